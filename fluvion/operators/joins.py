@@ -12,10 +12,6 @@ from fluvion.functions.clocks import hours_between, plus_hours
 HOUR_US = 3_600_000_000
 
 
-def epoch_h(ts: Column) -> Column:
-    return F.unix_micros(ts) / F.lit(float(HOUR_US))
-
-
 def latest_at_grid(
     rows: DataFrame,
     keys: Sequence[str],
@@ -67,7 +63,8 @@ def nearest_in_time(
     Both sides meet on time buckets as wide as the tolerance: the target looks at its own bucket
     and its two neighbours, the right side sits in one. No interpolation.
     """
-    bucket = lambda c: F.floor(epoch_h(c) / tolerance_h).cast("long")
+    width = float(round(tolerance_h * HOUR_US))
+    bucket = lambda c: F.floor(F.unix_micros(c) / F.lit(width)).cast("long")
     probes = left.select(*left_id, *[k for k in keys if k not in left_id], target).withColumn(
         "_b", F.explode(F.array(*[bucket(F.col(target)) + d for d in (-1, 0, 1)]))
     )

@@ -47,9 +47,10 @@ class Tables:
             df = df.withColumn("revision_seq", F.row_number().over(w) - 1)
         return df
 
-    def levels(self) -> DataFrame:
-        """Every point has the same four official levels (one row, joined as columns)."""
-        return self.spark.range(1).select(*[F.lit(v).alias(k) for k, v in LEVELS.items()])
+    @staticmethod
+    def with_levels(df: DataFrame) -> DataFrame:
+        """The four official levels beside each row (the same at every point)."""
+        return df.withColumns({k: F.lit(v) for k, v in LEVELS.items()})
 
     def fast_series(self) -> DataFrame:
         """Quarter-hour gauge series: the highest reading of each 15 minutes per station group."""
