@@ -129,7 +129,8 @@ def e7(t):
     return out.select("basin", "n_mapped", "n_used", "value", F.col("no_value_at_window_start").alias("no_start"), F.col("water_year_rollover").alias("rollover"), F.col("suspect_flag").alias("suspect"))
 
 
-HOURS_SQL = """(SELECT user_id % 6 AS basin, date_trunc('hour', ts) AS valid_time, CASE WHEN (hour(date_trunc('hour', ts)) + user_id % 6) % 7 <> 0 THEN max(value) END AS value FROM events GROUP BY ALL)"""
+BINDINGS["b_hour"] = """SELECT basin, valid_time, CASE WHEN (hour(valid_time) + basin) % 7 <> 0 THEN v END AS value FROM (
+  SELECT user_id % 6 AS basin, date_trunc('hour', ts) AS valid_time, max(value) AS v FROM events GROUP BY ALL)"""
 
 
 def basin_hours(t):
@@ -140,10 +141,10 @@ def basin_hours(t):
 
 @query(
     "E8_trailing_totals",
-    f"""WITH h AS {HOURS_SQL}, a AS (SELECT basin, max(valid_time) AS window_end FROM h GROUP BY ALL)
+    """WITH a AS (SELECT basin, max(valid_time) AS window_end FROM b_hour GROUP BY ALL)
       SELECT basin, CAST(window_end AS VARCHAR) AS window_end, w AS window_h, round(sum(value), 3) AS total, CAST(count(value) AS INTEGER) AS hours_present, CAST(count(*) - count(value) AS INTEGER) AS hours_refused,
         CASE WHEN count(value) = 0 THEN 'all_hours_refused' WHEN count(value) < w AND count(*) > count(value) THEN 'hours_missing_and_refused' WHEN count(value) < w THEN 'hours_missing' ELSE 'complete' END AS reason
-      FROM h JOIN a USING (basin), (VALUES (6), (24), (72)) AS x(w) WHERE valid_time > window_end - to_hours(w) GROUP BY basin, window_end, w""",
+      FROM b_hour JOIN a USING (basin), (VALUES (6), (24), (72)) AS x(w) WHERE valid_time > window_end - to_hours(w) GROUP BY basin, window_end, w""",
 )
 def e8(t):
     return precipitation.trailing_totals(basin_hours(t), "basin").fillna("complete", ["reason"])
