@@ -41,7 +41,7 @@ BINDINGS: dict[str, str] = {
         FROM (SELECT event_type AS feature, user_id % 10 AS scope, date_trunc('day', ts) AS valid_time,
               max(value) AS value, max(event_id) AS id FROM events GROUP BY ALL)""",
     "b_cell": """SELECT vec_id AS field, label AS grid_hash, CAST(i - 1 AS INTEGER) AS flat_index,
-        round(CAST(embedding[i] AS DOUBLE) * 1000) AS value
+        round(CAST(embedding[i] AS DOUBLE) * 1000) + 0.0 AS value
         FROM embeddings, range(1, 65) AS r(i)""",
     "b_mask": """SELECT * FROM (SELECT CAST(b AS INTEGER) AS basin, CAST(f AS INTEGER) AS flat_index, ((f * 7 + b) % 10) / 10.0::DOUBLE AS weight
         FROM range(0, 6) AS x(b), range(0, 64) AS y(f)) WHERE weight > 0""",

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from fluvion.catalog.aggregates import daily
 from fluvion.catalog.expressions import T, now
 from fluvion.catalog.joins import known
-from fluvion.catalog.registry import query
+from fluvion.catalog.registry import TIE, query
 from fluvion.catalog.series import pct_case
 from fluvion.functions import bands, clocks, flood, geo, labels, values
 from fluvion.operators import doy, geometry, selection
@@ -34,14 +34,14 @@ def i2(t):
     return j.select("site", "day", bands.seasonal_multiple(F.col("value"), F.col("p95")).alias("multiple"))
 
 
-PCT_SQL = f"(SELECT DISTINCT w.site, w.day, l.n, {pct_case('w.value')} AS p FROM b_win w JOIN b_lad l ON l.site = w.site AND l.key = w.doy)"
+PCT_SQL = f"(SELECT DISTINCT w.site, w.day, l.n, round({pct_case('w.value')} + 1e-9, 1) AS p FROM b_win w JOIN b_lad l ON l.site = w.site AND l.key = w.doy)"
 BAND_SQL = lambda v: f"CASE WHEN {v} < 25 THEN 'low' WHEN {v} < 75 THEN 'moderate' WHEN {v} < 90 THEN 'high' ELSE 'very_high' END"
 
 
 def ranked_days(t):
     d = daily(t)
     j = d.join(doy.ladder(d).withColumnRenamed("key", "doy"), ["site", "doy"])
-    return j.withColumn("p", doy.percentile_of(F.col("value")))
+    return j.withColumn("p", F.round(doy.percentile_of(F.col("value")) + TIE, 1))
 
 
 @query(
@@ -248,7 +248,7 @@ def i22(t):
 
 @query(
     "I23_reference_names",
-    """SELECT site, 'daily:' || site || ':' || min(year(day)) || '-' || max(year(day)) AS climatology, 'daily:' || site || ':WY' || min(wy) || '-WY' || max(wy) AS reference, 'daily:' || site || ':unknown' AS unknown_span FROM b_win GROUP BY ALL""",
+    """SELECT site, 'daily:' || site || ':' || min(year(day)) || '-' || max(year(day)) AS climatology, 'daily:' || site || ':WY' || min(wy) || '-WY' || max(wy) AS reference, 'daily:' || site || ':unknown' AS unknown_span FROM b_win GROUP BY site""",
 )
 def i23(t):
     g = daily(t).groupBy("site").agg(F.min(F.year("day")).alias("y0"), F.max(F.year("day")).alias("y1"), F.min("wy").alias("w0"), F.max("wy").alias("w1"))

@@ -14,3 +14,12 @@ def projection_state(families: Sequence[tuple[str, DataFrame, str]]) -> DataFram
         one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("available_at") == F.col(clock)).alias("n_at_own_clock")).select(F.lit(name).alias("family"), "*")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def time_grid(spans: DataFrame, hours: Sequence[int], event_start: str, event_end: str) -> DataFrame:
+    """Evaluation instants: every day of each span at fixed hours, tagged event or control."""
+    day = F.explode(F.sequence("lo", "hi")).alias("day")
+    rows = spans.select("*", day).withColumn("hour", F.explode(F.array(*[F.lit(h) for h in hours])))
+    role = F.when(F.col("day").between(F.lit(event_start).cast("date"), F.lit(event_end).cast("date")), "event").otherwise("control")
+    as_of = F.timestamp_seconds(F.unix_timestamp(F.col("day").cast("timestamp")) + F.col("hour") * 3600)
+    return rows.withColumn("as_of", as_of).withColumn("role", role)
