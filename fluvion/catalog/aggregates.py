@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fluvion.catalog.expressions import T, now, object_keys
-from fluvion.catalog.joins import KEY, LEFT_SQL, RIGHT_SQL, transports
+from fluvion.catalog.joins import KEY, LEFT_SQL, RIGHT_SQL, river_paths, transports
 from fluvion.catalog.registry import BINDINGS, query
 from fluvion.functions import clocks, overlay, values
 from fluvion.operators import doy, geometry, health, precipitation, snow
@@ -399,18 +399,12 @@ def e28(t):
     )
 
 
-PATH_SQL = "(SELECT o_custkey AS river, o_orderkey AS path_id, l_partkey / 1000.0::DOUBLE AS x, l_suppkey / 100.0::DOUBLE AS y, l_linenumber AS i, l_partkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"
-
-
-def river_paths(t):
-    v = t.read("lineitem").join(t.forecast_runs().select(F.col("run_id").alias("l_orderkey"), F.col("fp").alias("river")), "l_orderkey")
-    vertex = F.struct("l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") / 1000.0).alias("x"), (F.col("l_suppkey") / 100.0).alias("y"))
-    return v.groupBy("river", F.col("l_orderkey").alias("path_id")).agg(F.array_sort(F.collect_list(vertex)).alias("path"))
+PATH_SQL = """(SELECT o_custkey AS river, path_id, i, xy[1] / 1000.0::DOUBLE AS x, xy[2] / 100.0::DOUBLE AS y FROM (SELECT l_orderkey AS path_id, l_linenumber AS i, min((l_partkey, l_suppkey)) AS xy FROM lineitem GROUP BY ALL) JOIN orders ON o_orderkey = path_id)"""
 
 
 @query(
     "E29_river_lengths",
-    f"""WITH s AS (SELECT river, path_id, sqrt(power(lead(x) OVER w - x, 2) + power(lead(y) OVER w - y, 2)) AS d FROM {PATH_SQL} WINDOW w AS (PARTITION BY path_id ORDER BY i, l_partkey, l_suppkey)),
+    f"""WITH s AS (SELECT river, path_id, sqrt(power(lead(x) OVER w - x, 2) + power(lead(y) OVER w - y, 2)) AS d FROM {PATH_SQL} WINDOW w AS (PARTITION BY path_id ORDER BY i)),
       r AS (SELECT c_nationkey AS basin, c_name AS name, sum(coalesce(d, 0)) AS length FROM s JOIN customer ON c_custkey = river GROUP BY ALL)
       SELECT basin, name, round(length, 6) AS length, length = max(length) OVER (PARTITION BY basin) OR (contains(lower(name), '00' || basin) AND length >= 0.1) AS mainstem FROM r""",
 )

@@ -199,12 +199,12 @@ def m1c(t):
 
 @query(
     "M2_masks_to_build",
-    """WITH w AS (SELECT DISTINCT b AS basin, label AS grid_hash FROM embeddings, range(0, 6) AS r(b)) SELECT basin, grid_hash FROM w ANTI JOIN (SELECT DISTINCT vec_id % 6 AS basin, label AS grid_hash FROM embeddings WHERE vec_id % 4 <> 0) s USING (basin, grid_hash)""",
+    """WITH w AS (SELECT DISTINCT b AS basin, label AS grid_hash FROM embeddings, range(6) AS r(b)) SELECT basin, grid_hash FROM w ANTI JOIN (SELECT DISTINCT vec_id % 6 AS basin, label AS grid_hash FROM embeddings WHERE vec_id % 6 <> label % 6) s USING (basin, grid_hash)""",
 )
 def m2(t):
     e = t.read("embeddings")
     wanted = e.select(F.col("label").alias("grid_hash")).distinct().select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("basin"), "grid_hash")
-    stored = e.filter("vec_id % 4 <> 0").select((F.col("vec_id") % 6).alias("basin"), F.col("label").alias("grid_hash"))
+    stored = e.filter("vec_id % 6 <> label % 6").select((F.col("vec_id") % 6).alias("basin"), F.col("label").alias("grid_hash"))
     return masks.masks_to_build(wanted, stored)
 
 

@@ -402,17 +402,20 @@ def d26(t):
 
 @query(
     "D27_mainstem_midpoint",
-    """WITH p AS (SELECT o_custkey AS basin, o_orderkey AS path_id, count(*) AS n_vertices FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
-      best AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY basin ORDER BY n_vertices DESC, path_id) = 1),
-      v AS (SELECT l_orderkey AS path_id, l_partkey AS x, l_suppkey AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM lineitem)
-      SELECT basin, b.path_id, n_vertices, x AS mid_x, y AS mid_y FROM best b JOIN v ON v.path_id = b.path_id AND v.i = n_vertices // 2""",
+    """WITH v AS (SELECT l_orderkey AS path_id, l_linenumber, min((l_partkey, l_suppkey)) AS xy FROM lineitem GROUP BY ALL), p AS (SELECT o_custkey AS basin, path_id, count(*) AS n_vertices FROM orders JOIN v ON path_id = o_orderkey GROUP BY ALL),
+      best AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY basin ORDER BY n_vertices DESC, path_id) = 1), i AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY l_linenumber) - 1 AS i FROM v)
+      SELECT basin, b.path_id, n_vertices, xy[1] AS mid_x, xy[2] AS mid_y FROM best b JOIN i ON i.path_id = b.path_id AND i.i = n_vertices // 2""",
 )
 def d27(t):
     from fluvion.operators import geometry
 
-    v = t.read("lineitem").join(t.forecast_runs().select(F.col("run_id").alias("l_orderkey"), "fp"), "l_orderkey")
-    paths = v.groupBy(F.col("fp").alias("basin"), F.col("l_orderkey").alias("path_id")).agg(
-        F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y")))).alias("path")
-    )
-    mid = geometry.midpoint_of_longest(paths, "basin")
-    return mid.select("basin", "path_id", "n_vertices", F.col("mid.x").alias("mid_x"), F.col("mid.y").alias("mid_y"))
+    mid = geometry.midpoint_of_longest(river_paths(t).withColumnRenamed("river", "basin"), "basin")
+    return mid.select("basin", "path_id", "n_vertices", F.col("mid.l_partkey").alias("mid_x"), F.col("mid.l_suppkey").alias("mid_y"))
+
+
+def river_paths(t):
+    """One path per order: a vertex per line number, so a path is bounded before it becomes an array."""
+    vertices = t.read("lineitem").groupBy(F.col("l_orderkey").alias("path_id"), "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("xy"))
+    vertex = F.struct("l_linenumber", "xy.l_partkey", "xy.l_suppkey", (F.col("xy.l_partkey") / 1000.0).alias("x"), (F.col("xy.l_suppkey") / 100.0).alias("y"))
+    paths = vertices.groupBy("path_id").agg(F.array_sort(F.collect_list(vertex)).alias("path"))
+    return paths.join(t.forecast_runs().select(F.col("run_id").alias("path_id"), F.col("fp").alias("river")), "path_id")

@@ -22,13 +22,14 @@ def g1(t):
 
 @query(
     "G2_runs_in_window",
-    """SELECT r.run_id, CAST(any_value(r.issued_at) AS VARCHAR) AS issued_at, any_value(r.product) AS product, string_agg(v.lead || ':' || CAST(v.flow AS VARCHAR), '|' ORDER BY v.lead, v.flow) AS points FROM b_run r JOIN b_val v USING (run_id)
+    """SELECT r.run_id, CAST(any_value(r.issued_at) AS VARCHAR) AS issued_at, any_value(r.product) AS product, string_agg(v.lead || ':' || CAST(v.flow AS VARCHAR), '|' ORDER BY v.lead, v.flow) AS points FROM b_run r JOIN (SELECT run_id, lead, max(flow) AS flow FROM b_val GROUP BY ALL) v USING (run_id)
       WHERE r.issued_at >= TIMESTAMP '1998-01-01' AND r.issued_at < TIMESTAMP '1998-02-15' GROUP BY r.run_id""",
 )
 def g2(t):
     window = (F.col("issued_at") >= F.lit("1998-01-01").cast("timestamp")) & (F.col("issued_at") < F.lit("1998-02-15").cast("timestamp"))
     pts = F.transform(F.array_sort(F.collect_list(F.struct("lead", "flow"))), lambda p: F.concat_ws(":", p["lead"], p["flow"]))
-    out = t.run_values().filter(window).groupBy("run_id", "issued_at", "product").agg(pts.alias("points"))
+    per_lead = t.run_values().filter(window).groupBy("run_id", "issued_at", "product", "lead").agg(F.max("flow").alias("flow"))
+    out = per_lead.groupBy("run_id", "issued_at", "product").agg(pts.alias("points"))
     return out.select("run_id", "issued_at", "product", "points").orderBy("issued_at", "run_id")
 
 

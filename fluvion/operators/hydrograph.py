@@ -38,12 +38,12 @@ def encode(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     p = F.array_sort(F.collect_list(F.struct("t", "v")))
     g = points.groupBy(*keys).agg(p.alias("points"))
     steps = F.array_distinct(F.transform(F.slice("points", 2, F.greatest(F.size("points") - 1, F.lit(0))), lambda q, i: hours_between(q["t"], F.get("points", i)["t"])))
-    uniform = (F.size("points") >= 2) & (F.size(steps) == 1) & (F.element_at(steps, 1) > 0)
+    uniform = (F.size("points") >= 2) & (F.size(steps) == 1) & (F.get(steps, 0) > 0)
     return g.select(
         *keys,
         F.when(uniform, "grid").otherwise("points").alias("encoding"),
-        F.when(uniform, F.element_at("points", 1)["t"]).alias("t0"),
-        F.when(uniform, F.element_at(steps, 1)).alias("step_h"),
+        F.when(uniform, F.get("points", 0)["t"]).alias("t0"),
+        F.when(uniform, F.get(steps, 0)).alias("step_h"),
         F.when(uniform, F.transform("points", lambda q: q["v"])).alias("flow"),
         F.when(~uniform, F.col("points")).alias("points"),
     )
