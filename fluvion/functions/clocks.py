@@ -89,6 +89,7 @@ def is_winter(ts: Column) -> Column:
 
 
 def vtec_time(token: Column) -> Column:
-    """``yymmddThhmmZ``; the all-zero token means undefined."""
+    """``yymmddThhmmZ`` with the usual two-digit-year pivot (69-99 is 19xx); all zeros means undefined."""
     ok = token.rlike(r"^\d{6}T\d{4}Z$") & (token != F.lit("000000T0000Z"))
-    return F.when(ok, F.try_to_timestamp(F.concat(F.lit("20"), token), F.lit("yyyyMMdd'T'HHmm'Z'")))
+    century = F.when(F.substring(token, 1, 2) >= "69", F.lit("19")).otherwise(F.lit("20"))
+    return F.when(ok, F.try_to_timestamp(F.concat(century, token), F.lit("yyyyMMdd'T'HHmm'Z'")))
