@@ -74,3 +74,20 @@ def at_leads(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     ends = F.col("last_t") < plus_hours(F.col("lead.target"), -HORIZON_TOLERANCE_H)
     reason = F.when(F.col("b").isNotNull(), "ok").when(F.coalesce(ends, F.lit(False)), "forecast_ends").otherwise("no_point_near")
     return g.select(*keys, F.col("lead.lead_h").alias("lead_h"), F.col("b.t").alias("at"), F.col("b.v").alias("value"), reason.alias("reason"))
+
+
+def exceedance_band(rows: DataFrame, key: str, since: Column, until: Column) -> DataFrame:
+    """The 5 / 50 / 95 % traces inside a window, with the rows cut away counted.
+
+    ``rows``: key, valid_time, level, value. Levels are never interpolated.
+    """
+    at = lambda p: F.max(F.when(F.col("level") == p, F.col("value")))
+    inside = F.col("valid_time").between(since, until)
+    wide = rows.groupBy(key, "valid_time", inside.alias("inside")).agg(at(0.05).alias("hi"), at(0.5).alias("mid"), at(0.95).alias("lo"))
+    drawable = F.col("inside") & F.col("hi").isNotNull() & F.col("lo").isNotNull()
+    g = wide.groupBy(key).agg(
+        F.count_if("inside").alias("n_inside"), F.count_if(~F.col("inside")).alias("n_clipped"), F.count_if(drawable).alias("n_drawn"),
+        F.min(F.when(drawable, F.col("lo"))).alias("lowest"), F.max(F.when(drawable, F.col("hi"))).alias("highest"),
+    )
+    reason = F.when(F.col("n_drawn") > 0, "ok").when(F.col("n_inside") > 0, "no_values_at_levels").otherwise("every_row_outside_window")
+    return g.select(key, "n_inside", "n_clipped", "lowest", "highest", reason.alias("reason"))
