@@ -152,7 +152,7 @@ BINDINGS["b_fq"] = """SELECT basin, issued_at AS cycle, max(value) FILTER (featu
 BINDINGS["b_foff"] = """SELECT basin, issued_at AS cycle, CASE WHEN count(*) = 3 THEN sum(v) END AS total, CASE WHEN count(*) = 3 THEN arg_min(v, lead) END AS day1 FROM (
   SELECT *, max(issued_at) OVER (PARTITION BY basin) AS c FROM (SELECT b.basin, v.issued_at, v.lead, max(v.stage) AS v FROM b_fbasin b JOIN b_val v ON v.fp = b.basin AND v.lead IN (2, 4, 6) AND v.issued_at <= b.as_of AND v.issued_at >= b.as_of - INTERVAL 48 HOUR GROUP BY ALL)) WHERE issued_at = c GROUP BY basin, issued_at"""
 BINDINGS["b_fhyp"] = f"SELECT basin, sum(area) AS total, min(elevation) AS lo, max(elevation) AS hi, coalesce(sum(CASE WHEN elevation < 0 THEN area END), 0) AS under FROM {INSIDE_SQL} GROUP BY ALL"
-FRAC = """CASE WHEN h.total IS NULL THEN NULL WHEN q.snow >= 300 THEN CASE WHEN q.snow >= h.hi THEN 1 ELSE (SELECT sum(area) FROM {P} p WHERE p.basin = q.basin AND p.elevation < 300) / h.total END
+FRAC = """CASE WHEN h.total IS NULL OR q.snow IS NULL THEN NULL WHEN q.snow >= 300 THEN CASE WHEN q.snow >= h.hi THEN 1 ELSE (SELECT sum(area) FROM {P} p WHERE p.basin = q.basin AND p.elevation < 300) / h.total END
   ELSE least(1, (coalesce((SELECT sum(area) FROM {P} p WHERE p.basin = q.basin AND p.elevation < floor(q.snow / 20) * 20), 0) + coalesce((SELECT sum(area) FROM {P} p WHERE p.basin = q.basin AND p.elevation >= floor(q.snow / 20) * 20 AND p.elevation < floor(q.snow / 20) * 20 + 20), 0) * (q.snow - floor(q.snow / 20) * 20) / 20) / h.total) END""".replace("{P}", "b_inside")
 BINDINGS["b_inside"] = f"SELECT * FROM {INSIDE_SQL}"
 BINDINGS["b_forcing"] = f"""SELECT b.basin, q.cycle, CASE WHEN q.p50_72h IS NULL THEN 'unknown' WHEN q.p50_72h < 25 THEN 'low' WHEN q.p50_72h < 75 THEN 'moderate' WHEN q.p50_72h < 150 THEN 'high' ELSE 'very_high' END AS level,

@@ -92,4 +92,4 @@ def fraction_below(elevation: Column) -> Column:
     low = F.when(elevation >= F.col("min_m"), F.col("under")).otherwise(0.0) / F.col("total")
     beyond = F.when(elevation >= F.col("max_m"), F.lit(1.0)).otherwise((F.col("under") + upto(F.size("counts"))) / F.col("total"))
     within = F.least(F.lit(1.0), (F.col("under") + upto(F.greatest(full, F.lit(0))) + F.get("counts", full) * (span - full * BIN_M) / BIN_M) / F.col("total"))
-    return F.when(F.col("total") <= 0, F.lit(None).cast("double")).when(span <= 0, low).when(full >= F.size("counts"), beyond).otherwise(within)
+    return F.when(elevation.isNull() | F.col("total").isNull() | (F.col("total") <= 0), F.lit(None).cast("double")).when(span <= 0, low).when(full >= F.size("counts"), beyond).otherwise(within)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def projection_state(families: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
@@ -23,3 +23,157 @@ def time_grid(spans: DataFrame, hours: Sequence[int], event_start: str, event_en
     role = F.when(F.col("day").between(F.lit(event_start).cast("date"), F.lit(event_end).cast("date")), "event").otherwise("control")
     as_of = F.timestamp_seconds(F.unix_timestamp(F.col("day").cast("timestamp")) + F.col("hour") * 3600)
     return rows.withColumn("as_of", as_of).withColumn("role", role)
+
+
+# The two replay modes and how each row family becomes visible.
+KNOWLEDGE_TIME, RETROSPECTIVE = "KNOWLEDGE_TIME", "RETROSPECTIVE"
+ARMS = {"old": "0.1.0", "new": "0.2.0"}
+PROJECTION_RULES = (
+    ("observation", "valid_time", False),
+    ("forecast_run", "issued_at", False),
+    ("derived_feature", "valid_time", False),
+    ("reference", "cutoff", True),
+)
+
+
+def projected(df: DataFrame, mode: str, evidence_clock: str) -> DataFrame:
+    """Visibility clock of a replay mode as a derived view; the archive itself is never rewritten."""
+    if mode not in (KNOWLEDGE_TIME, RETROSPECTIVE):
+        raise ValueError(f"unknown replay mode {mode!r}")
+    own = F.col("available_at") if mode == KNOWLEDGE_TIME else F.col(evidence_clock)
+    return df.withColumn("archived_available_at", F.col("available_at")).withColumn("available_at", own)
+
+
+def restored(df: DataFrame) -> DataFrame:
+    return df.withColumn("available_at", F.col("archived_available_at")).drop("archived_available_at")
+
+
+def disclosure(evaluations: DataFrame, mode: str) -> DataFrame:
+    """What must accompany the numbers of a run: mode, families, and those that could not have existed."""
+    families = [f for f, _, _ in PROJECTION_RULES] if mode == RETROSPECTIVE else []
+    stale = [f for f, _, bad in PROJECTION_RULES if bad] if mode == RETROSPECTIVE else []
+    text = (
+        "rows were read exactly as the deployed system reads them"
+        if mode == KNOWLEDGE_TIME
+        else "rows were made visible by their own evidence clock; the figures say what was reconstructable, not what was known"
+    )
+    names = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
+    return evaluations.groupBy("arm").agg(F.count(F.lit(1)).alias("n")).select(
+        "arm", "n", F.lit(mode).alias("mode"), names(families).alias("projected"), names(stale).alias("anachronistic"), F.lit(text).alias("disclosure")
+    )
+
+
+def evaluations(ranked_days: DataFrame, grid: tuple[str, str, int], event: tuple[str, str], max_age_h: float = 48.0) -> DataFrame:
+    """One row per (site, evaluation time, arm).
+
+    ``ranked_days`` already carries percentile, changes and ranks per (site, day) with valid_time
+    and available_at; the replay is one as-of join of that table against the time grid, so no
+    surface is recomputed per instant.
+    """
+    from fluvion.functions import bands
+    from fluvion.operators.joins import latest_at_grid
+
+    payload = ["day", "value", "percentile", "direction_24h", "direction_48h", "growth_rank", "growth_rank_of"]
+    at = latest_at_grid(ranked_days, ["site"], ["valid_time"], payload, *grid, max_age_h)
+    role = F.when(F.to_date("as_of").between(F.lit(event[0]).cast("date"), F.lit(event[1]).cast("date")), "event").otherwise("control")
+    arm = F.explode(F.array(*[F.lit(a) for a in ARMS]))
+    both = at.withColumn("role", role).withColumn("band", F.coalesce(bands.band(F.col("percentile")), F.lit("unknown"))).withColumn("arm", arm)
+    new = F.col("arm") == "new"
+    for c in ("direction_24h", "direction_48h", "growth_rank", "growth_rank_of"):
+        both = both.withColumn(c, F.when(new, F.col(c)))
+    return both
+
+
+def rule_columns(fraction: float = 0.01) -> dict[str, tuple[Column, bool]]:
+    """Escalation rules as (boolean column, answerable by the old arm)."""
+    from fluvion.functions import bands
+
+    at_least = lambda name: bands.band_index(F.col("band")) >= bands.BANDS.index(name) + 1
+    very_high, rising24 = at_least("very_high"), F.col("direction_24h") == "rising"
+    within = F.col("growth_rank") <= F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.col("growth_rank_of")))
+    rules = {
+        "band_very_high": (very_high, True), "band_high": (at_least("high"), True), "rising_24h": (rising24, False),
+        "rising_48h": (F.col("direction_48h") == "rising", False),
+        "any_escalation": (F.coalesce(very_high, F.lit(False)) | F.coalesce(rising24, F.lit(False)), True),
+        "trend_rising_6h": (F.col("trend_direction") == "rising", True),
+        f"growth_rank_top_{fraction:g}_24h": (within, False),
+    }
+    return rules
+
+
+#: Rules whose constant was fixed before looking at the outcome; only these may claim a lead time.
+CHOSEN_RULES_PREFIX = "growth_rank_top"
+
+
+def apply_rules(evals: DataFrame, rules: Sequence[str] | None = None) -> DataFrame:
+    """(evaluation, rule, holds); a rule the arm cannot answer is null, not false."""
+    cols = {k: v for k, v in rule_columns().items() if rules is None or k in rules}
+    structs = [
+        F.struct(F.lit(k).alias("rule"), F.when((F.col("arm") == "new") | F.lit(old_ok), F.coalesce(c, F.lit(False))).alias("holds"))
+        for k, (c, old_ok) in cols.items()
+    ]
+    return evals.select("site", "as_of", "arm", "role", F.explode(F.array(*structs)).alias("r")).select("site", "as_of", "arm", "role", "r.*")
+
+
+def earliest_escalation(ruled: DataFrame) -> DataFrame:
+    """First event instant each rule held, and how often it fired in the control instants."""
+    event = F.col("role") == "event"
+    return ruled.groupBy("site", "rule", "arm").agg(
+        F.min(F.when(event & F.col("holds"), F.col("as_of"))).alias("first_time"), F.count_if(event).alias("evaluations"),
+        F.count_if(~event & F.coalesce("holds", F.lit(False))).alias("control_firings"), F.bool_and(F.col("holds").isNotNull()).alias("applicable"),
+    )
+
+
+def compare_arms(escalations: DataFrame) -> DataFrame:
+    """Old against new per (site, rule): a difference counts as lead time only for fixed rules."""
+    pick = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c)))
+    g = escalations.groupBy("site", "rule").agg(
+        pick("old", "first_time").alias("old_time"), pick("new", "first_time").alias("new_time"),
+        F.bool_or(F.when(F.col("arm") == "old", F.col("applicable"))).alias("old_ok"), F.bool_or(F.when(F.col("arm") == "new", F.col("applicable"))).alias("new_ok"),
+    )
+    diff = F.round((F.unix_timestamp("old_time") - F.unix_timestamp("new_time")) / 3600.0, 2)
+    fixed = ~F.col("rule").startswith(CHOSEN_RULES_PREFIX)
+    both = F.col("old_ok") & F.col("new_ok")
+    verdict = (
+        F.when(~F.col("old_ok") & ~F.col("new_ok"), "not_applicable")
+        .when(~both & F.coalesce(F.col("new_time"), F.col("old_time")).isNotNull(), "earlier_but_not_a_lead_time")
+        .when(~both, "no_difference")
+        .when(F.col("old_time").isNull() & F.col("new_time").isNull(), "no_difference")
+        .when(F.col("new_time").isNull(), "later")
+        .when(F.col("old_time").isNull(), "earlier_but_not_a_lead_time")
+        .when((diff > 0) & fixed, "lead_time")
+        .when(diff > 0, "earlier_but_not_a_lead_time")
+        .when(diff < 0, "later")
+        .otherwise("no_difference")
+    )
+    return g.select("site", "rule", "old_time", "new_time", diff.alias("difference_h"), verdict.alias("verdict"))
+
+
+def base_rate(ranked_days: DataFrame, skip: int = 3) -> DataFrame:
+    """How often each rule would have held over the whole record, all year and in winter.
+
+    Days per site are numbered once (a calendar-bounded window) to skip the first few.
+    """
+    from pyspark.sql import Window as W
+
+    from fluvion.functions.clocks import is_winter
+
+    days = ranked_days.withColumn("_i", F.row_number().over(W.partitionBy("site").orderBy("day"))).filter(F.col("_i") > skip)
+    winter = is_winter(F.col("valid_time"))
+    rising24, rising48 = F.col("direction_24h") == "rising", F.col("direction_48h") == "rising"
+    high, top = F.coalesce(F.col("percentile") >= 75, F.lit(False)), F.coalesce(F.col("percentile") >= 90, F.lit(False))
+    rules = {
+        "rising_24h": rising24, "rising_48h": rising48, "band_high": high, "band_very_high": top,
+        "any_escalation": top | rising24, "rising_24h_below_p90": rising24 & ~top,
+    }
+    g = days.groupBy("site").agg(
+        F.count(F.lit(1)).alias("days"), F.count_if(winter).alias("winter_days"),
+        *[F.count_if(c).alias(k) for k, c in rules.items()], *[F.count_if(c & winter).alias(f"{k}_winter") for k, c in rules.items()],
+    )
+    per_year = F.greatest(F.lit(1e-9), F.col("days") / 365.25)
+    return g.withColumns({f"{k}_per_year": F.round(F.col(k) / per_year + 1e-9, 1) for k in rules})
+
+
+def write_evaluations(evals: DataFrame, path: str) -> None:
+    """Evaluations partitioned by arm, so that rules can be applied again without a replay."""
+    evals.repartition("arm", F.pmod(F.hash("site"), F.lit(32))).write.mode("errorifexists").partitionBy("arm").parquet(path)
