@@ -156,7 +156,7 @@ FRAC = """CASE WHEN h.total IS NULL OR q.snow IS NULL THEN NULL WHEN q.snow >= 3
   ELSE least(1, (coalesce((SELECT sum(area) FROM {P} p WHERE p.basin = q.basin AND p.elevation < floor(q.snow / 20) * 20), 0) + coalesce((SELECT sum(area) FROM {P} p WHERE p.basin = q.basin AND p.elevation >= floor(q.snow / 20) * 20 AND p.elevation < floor(q.snow / 20) * 20 + 20), 0) * (q.snow - floor(q.snow / 20) * 20) / 20) / h.total) END""".replace("{P}", "b_inside")
 BINDINGS["b_inside"] = f"SELECT * FROM {INSIDE_SQL}"
 BINDINGS["b_forcing"] = f"""SELECT b.basin, q.cycle, CASE WHEN q.p50_72h IS NULL THEN 'unknown' WHEN q.p50_72h < 25 THEN 'low' WHEN q.p50_72h < 75 THEN 'moderate' WHEN q.p50_72h < 150 THEN 'high' ELSE 'very_high' END AS level,
-  CASE WHEN v <= 25 THEN v / 25 / 4 WHEN v <= 75 THEN (1 + (v - 25) / 50) / 4 WHEN v <= 150 THEN (2 + (v - 75) / 75) / 4 ELSE (3 + (v - 150) / 50) / 4 END AS score, q.p50_72h AS value, CASE WHEN q.p50_72h IS NOT NULL THEN q.p10 END AS p10, CASE WHEN q.p50_72h IS NOT NULL THEN q.p90 END AS p90,
+  CASE WHEN q.p50_72h IS NULL THEN NULL WHEN v <= 25 THEN v / 25 / 4 WHEN v <= 75 THEN (1 + (v - 25) / 50) / 4 WHEN v <= 150 THEN (2 + (v - 75) / 75) / 4 ELSE (3 + (v - 150) / 50) / 4 END AS score, q.p50_72h AS value, CASE WHEN q.p50_72h IS NOT NULL THEN q.p10 END AS p10, CASE WHEN q.p50_72h IS NOT NULL THEN q.p90 END AS p90,
   CASE WHEN q.p50_72h IS NOT NULL THEN q.snow END AS snow_level, CASE WHEN q.p50_72h IS NOT NULL THEN {FRAC} END AS rain_exposed, CASE WHEN q.p50_72h IS NOT NULL THEN o.total END AS official_total, CASE WHEN same THEN o.day1 - q.p50_24h END AS delta_24h, CASE WHEN same THEN o.total - q.p50_72h END AS delta_72h,
   CASE WHEN same AND o.total BETWEEN q.p10 AND q.p90 THEN 'inside' WHEN same THEN 'outside' END AS against_band,
   CASE WHEN q.p50_72h IS NULL THEN 'none' WHEN o.total IS NULL THEN 'no_official_total' WHEN NOT same THEN 'different_cycle' ELSE 'same_cycle' END AS agreement, CASE WHEN q.cycle IS NULL THEN 'no_cycle' WHEN q.p50_72h IS NULL THEN 'no_value' ELSE 'ok' END AS reason
