@@ -10,7 +10,7 @@ from fluvion.catalog.series import pct_case
 from fluvion.functions.clocks import plus_hours
 from fluvion.operators import doy
 from fluvion.plans import replay, susceptibility
-from fluvion.session import shared_dir
+from fluvion.session import shared_dir, staged
 
 CUTOFF = "2001-01-01"
 GRID = ("2001-03-01 06:00:00", "2001-05-30 18:00:00", 12)
@@ -35,7 +35,7 @@ BINDINGS["b_esc"] = """SELECT site, rule, arm, min(CASE WHEN role = 'event' AND
 
 def ranked_days(t, cutoff=CUTOFF):
     """Every day ranked in the reference as it stood at the cutoff, with its changes and their ranks."""
-    daily = t.daily_key(t.daily_means())
+    daily = staged(t.daily_key(t.daily_means()), "daily")
     before = daily.filter(F.col("day") < F.lit(cutoff).cast("date"))
     ranked = susceptibility.ranked(daily, doy.ladder(before)).select("site", "day", "value", "percentile")
     changes = susceptibility.state_changes(daily.select("site", "day", "value"))

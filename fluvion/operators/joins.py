@@ -107,27 +107,31 @@ def lookup(df: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
 def points_in_rings(points: DataFrame, rings: DataFrame, point_id: str, ring_id: str, cell: float) -> DataFrame:
     """(point, ring) pairs with the point inside, by even-odd crossing.
 
-    Candidates meet on the grid cells of each ring's bounding box; the crossing test then runs over
-    the ring's own vertex array inside the row, so neither edges nor points-by-edges are shuffled.
+    Candidates meet on the grid cells of each ring's bounding box and must lie inside the box; the
+    crossing test then runs over the ring's own edge array inside the row, so no edge is shuffled.
     """
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     c = lambda v: F.floor(v / cell).cast("int")
+    nxt = lambda i: F.get("ring", F.pmod(i + 1, F.size("ring")))
+    edge = F.transform("ring", lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), nxt(i)["x"].alias("x2"), nxt(i)["y"].alias("y2")))
+    sided = F.filter(edge, lambda e: e["y1"] != e["y2"])  # level edges are never crossed
+    bound = lambda f, axis: f(F.transform("ring", lambda p: p[axis]))
     boxed = (
-        rings.withColumn("_cx", F.explode(F.sequence(c(F.array_min(xs)), c(F.array_max(xs)))))
-        .withColumn("_cy", F.explode(F.sequence(c(F.array_min(ys)), c(F.array_max(ys)))))
-        .select(ring_id, "ring", "_cx", "_cy")
+        rings.select(
+            ring_id, sided.alias("edges"), bound(F.array_min, "x").alias("x0"), bound(F.array_max, "x").alias("x9"),
+            bound(F.array_min, "y").alias("y0"), bound(F.array_max, "y").alias("y9"),
+        )
+        .withColumn("_cx", F.explode(F.sequence(c(F.col("x0")), c(F.col("x9")))))
+        .withColumn("_cy", F.explode(F.sequence(c(F.col("y0")), c(F.col("y9")))))
     )
     probes = points.select(point_id, "x", "y", c(F.col("x")).alias("_cx"), c(F.col("y")).alias("_cy"))
-    nxt = lambda i: F.get("ring", F.pmod(i + 1, F.size("ring")))
+    near = probes.join(boxed, ["_cx", "_cy"]).filter(F.col("x").between(F.col("x0"), F.col("x9")) & F.col("y").between(F.col("y0"), F.col("y9")))
 
-    def crosses(p: Column, i: Column) -> Column:
-        q = nxt(i)
-        return ((p["y"] > F.col("y")) != (q["y"] > F.col("y"))) & (
-            F.col("x") < (q["x"] - p["x"]) * (F.col("y") - p["y"]) / (q["y"] - p["y"]) + p["x"]
+    def crossed(e: Column) -> Column:
+        return ((e["y1"] > F.col("y")) != (e["y2"] > F.col("y"))) & (
+            F.col("x") < (e["x2"] - e["x1"]) * (F.col("y") - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
         )
 
-    n_cross = F.size(F.filter(F.transform("ring", lambda p, i: crosses(p, i)), lambda b: b))
-    return probes.join(boxed, ["_cx", "_cy"]).filter(n_cross % 2 == 1).select(point_id, ring_id)
+    return near.filter(F.size(F.filter("edges", crossed)) % 2 == 1).select(point_id, ring_id)
 
 
 def nearest_within(points: DataFrame, vertices: DataFrame, point_id: str, limit_m: float, lat_max: float = 60.0) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fluvion.functions.arrays import ESTIMATORS, slope_spread
+from fluvion.functions.arrays import ESTIMATORS, pair_stats
 from fluvion.functions.clocks import plus_hours
 
 # Fixed values.
@@ -92,21 +92,21 @@ def estimate(windows: DataFrame, tidal_class: Column, basis: Column, estimator:
     """Full trend: tidal guard first, then sample, gap and span refusals, then slope and condition."""
     refusal = F.coalesce(tidal_refusal(tidal_class), window_refusal())
     ok = refusal.isNull()
-    df = windows.withColumn("refusal", refusal)
-    df = df.withColumn("slope", F.when(ok, ESTIMATORS[estimator](F.col("pts"))))
-    df = df.withColumn("spread", F.when(ok, slope_spread(F.col("pts"))))
+    df = windows.withColumn("refusal", refusal).withColumn("_pairs", pair_stats(F.when(ok, F.col("pts"))))
+    pairwise = {"theil_sen": F.col("_pairs.theil_sen"), "repeated_median": F.col("_pairs.repeated_median")}
+    df = df.withColumn("slope", pairwise[estimator] if estimator in pairwise else F.when(ok, ESTIMATORS[estimator](F.col("pts"))))
     eps = steady_epsilon(basis, F.col("last_v"))
     expected = F.greatest(F.lit(MIN_SAMPLES), F.floor(F.col("span_h") / CADENCE_H).cast("int"))
     quality = (
         F.when(F.col("slope").isNull(), F.lit(None))
         .when(F.col("n") < expected * SUPPORT_FRACTION, "SPARSE_SUPPORT")
-        .when((F.abs("slope") > 0) & (F.col("spread.q75") - F.col("spread.q25") > F.abs("slope") * WIDE_SPREAD), "WIDE_SLOPE_SPREAD")
+        .when((F.abs("slope") > 0) & (F.col("_pairs.q75") - F.col("_pairs.q25") > F.abs("slope") * WIDE_SPREAD), "WIDE_SLOPE_SPREAD")
         .otherwise("OK")
     )
     return df.withColumns({
         "direction": direction(F.col("slope"), eps), "quality": quality,
-        "q25": F.col("spread.q25"), "q75": F.col("spread.q75"), "refusal": F.coalesce("refusal", F.lit("ok")),
-    }).drop("spread")
+        "q25": F.col("_pairs.q25"), "q75": F.col("_pairs.q75"), "refusal": F.coalesce("refusal", F.lit("ok")),
+    }).drop("_pairs")
 
 
 def jitter(sloped: DataFrame, name: str, basis: Column, key: str = "station") -> DataFrame:

@@ -8,6 +8,7 @@ from fluvion.functions import bands
 from fluvion.functions.clocks import hours_between
 from fluvion.operators import doy
 from fluvion.operators.joins import calendar_lag
+from fluvion.session import staged
 
 # Fixed values.
 MAX_AGE_H = 48
@@ -80,7 +81,7 @@ def assess(daily: DataFrame, at: Column, ceilings: DataFrame, cadence_s: int, gr
     )
     # the exact rank is read only for gauges at or above the edge
     hot = extended.filter("hot").select("site", "day", F.col("doy").alias("key"), "value")
-    context = doy.record_context(daily)
+    context = staged(doy.record_context(daily), "record-context")
     ranks = doy.window_rank(hot, context, doy.record_tail(daily, context)).select("site", "rank", "rank_of", "exceeds_record")
     last = latest.select("site", "day")
     changes = state_changes(daily).join(last, ["site", "day"], "left_semi").select("site", "growth_24h", "direction_24h", "growth_48h", "direction_48h")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write a reduced intermediate once to the shared folder and read it back.
+
+    For results that several branches of one plan need: the wide scan behind them runs once, the
+    branches prune columns from Parquet, and a lost executor costs a re-read, not a recomputation.
+    """
+    path = f"{shared_dir(df.sparkSession)}/staged/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -48,7 +48,7 @@ def rates(stream: DataFrame, scope: str, instant: str, value: str, lateness: str
         F.coalesce(F.array_max(gaps), F.lit(0.0)).alias("max_gap_h"), last["y"].alias("last_v"),
     )
     refusal = trend.window_refusal()
-    slope = F.when(refusal.isNull(), ESTIMATORS[trend.SHIPPED](F.col("pts")))
+    slope = ESTIMATORS[trend.SHIPPED](F.when(refusal.isNull(), F.col("pts")))
     return shaped.withColumn("slope", slope).select(
         scope, "window_end", "n", "slope", trend.direction(F.col("slope"), trend.steady_epsilon(basis, F.col("last_v"))).alias("direction"),
         F.coalesce(refusal, F.lit("ok")).alias("refusal"),
