@@ -446,7 +446,7 @@ def e33(t):
     n = t.read("nation")
     produced = F.array_distinct(F.array(F.concat(F.lit("p"), "n_regionkey"), F.concat(F.lit("p"), (F.col("n_nationkey") % 4).cast("string"))))
     jobs = n.select(F.col("n_name").alias("job"), F.explode(produced).alias("product"))
-    return jobs.groupBy("product").agg(F.array_sort(F.collect_list("job")).alias("writers"), F.count(F.lit(1)).alias("n"))
+    return jobs.groupBy("product").agg(F.sort_array(F.collect_list("job")).alias("writers"), F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -417,5 +417,5 @@ def river_paths(t):
     """One path per order: a vertex per line number, so a path is bounded before it becomes an array."""
     vertices = t.read("lineitem").groupBy(F.col("l_orderkey").alias("path_id"), "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("xy"))
     vertex = F.struct("l_linenumber", "xy.l_partkey", "xy.l_suppkey", (F.col("xy.l_partkey") / 1000.0).alias("x"), (F.col("xy.l_suppkey") / 100.0).alias("y"))
-    paths = vertices.groupBy("path_id").agg(F.array_sort(F.collect_list(vertex)).alias("path"))
+    paths = vertices.groupBy("path_id").agg(F.sort_array(F.collect_list(vertex)).alias("path"))
     return paths.join(t.forecast_runs().select(F.col("run_id").alias("path_id"), F.col("fp").alias("river")), "path_id")

@@ -27,7 +27,7 @@ def g1(t):
 )
 def g2(t):
     window = (F.col("issued_at") >= F.lit("1998-01-01").cast("timestamp")) & (F.col("issued_at") < F.lit("1998-02-15").cast("timestamp"))
-    pts = F.transform(F.array_sort(F.collect_list(F.struct("lead", "flow"))), lambda p: F.concat_ws(":", p["lead"], p["flow"]))
+    pts = F.transform(F.sort_array(F.collect_list(F.struct("lead", "flow"))), lambda p: F.concat_ws(":", p["lead"], p["flow"]))
     per_lead = t.run_values().filter(window).groupBy("run_id", "issued_at", "product", "lead").agg(F.max("flow").alias("flow"))
     out = per_lead.groupBy("run_id", "issued_at", "product").agg(pts.alias("points"))
     return out.select("run_id", "issued_at", "product", "points").orderBy("issued_at", "run_id")

@@ -78,7 +78,7 @@ def daily_files(t):
     day = day.withColumn("m", F.trunc("day", "month")).withColumn("bad", (F.col("s") + F.month("day")) % 11 == 0)
     named = F.when(F.col("bad"), F.col("s") + 1).otherwise(F.col("s"))
     line = F.concat_ws(",", F.date_format("day", "yyyy-MM-dd"), F.when(F.col("q") == 7, "").otherwise(F.col("q").cast("string")), F.when(F.col("st") == "F", "Approved").otherwise("Provisional"), F.concat(F.lit("USGS-"), named))
-    g = day.groupBy("s", "m").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    g = day.groupBy("s", "m").agg(F.sort_array(F.collect_list(line)).alias("lines"))
     header = F.when((F.col("s") % 13) == 5, "time,value,approval,monitoring_location_id").otherwise("time,value,approval_status,monitoring_location_id")
     return g.select(
         F.concat(F.lit("USGS-"), "s").alias("site"), F.concat_ws("/", "s", "m").alias("path"), F.concat_ws("\n", header, F.concat_ws("\n", F.reverse("lines"))).alias("content")
@@ -183,7 +183,7 @@ def lead_values(t):
 )
 def a8(t):
     p = F.struct("lead", zulu("valid_time").alias("validTime"), F.when(F.col("lead") == 3, F.lit(-9999.0)).otherwise(F.col("stage")).alias("primary"), F.col("flow").alias("secondary"))
-    g = lead_values(t).groupBy("run_id", "issued_at").agg(F.array_sort(F.collect_list(p)).alias("data"))
+    g = lead_values(t).groupBy("run_id", "issued_at").agg(F.sort_array(F.collect_list(p)).alias("data"))
     body = F.struct(F.concat(F.lit("P"), "run_id").alias("lid"), F.struct(zulu("issued_at").alias("issuedTime"), F.lit("Stage").alias("primaryName"), F.lit("ft").alias("primaryUnits"), F.lit("Flow").alias("secondaryName"), F.lit("kcfs").alias("secondaryUnits"), "data").alias("forecast"))
     s = forecasts.stage_flow(g.select(F.concat(F.lit("sf/"), "run_id").alias("path"), F.to_json(body).alias("content")))
     return s.select("lid", "issued_at", "pos", "valid_time", F.col("primary").alias("primary_value"), F.col("secondary").alias("secondary_value"))
@@ -350,7 +350,7 @@ def bulletin_docs(t):
         F.lit("  - Impact...at 99.9 feet to of 5 feet.\n"), F.lit("$$\n"),
     )
     head = F.concat(F.lit("WGUS46 KSEW "), F.date_format("issued_at", "ddHHmm"), F.lit("\nFLWSEW\n\n"))
-    body = v.groupBy("run_id", "issued_at").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("lead", seg.alias("s")))), lambda x: x["s"])).alias("segments"))
+    body = v.groupBy("run_id", "issued_at").agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("lead", seg.alias("s")))), lambda x: x["s"])).alias("segments"))
     return body.select(
         F.concat(F.lit("afos/"), "run_id").alias("path"),
         F.concat(F.lit("\x01"), F.when(F.col("run_id") % 29 == 0, F.lit("no heading\n")).otherwise(head), F.col("segments"), F.lit("\x03")).alias("content"),
@@ -414,7 +414,7 @@ def a17(t):
 def a18(t):
     line = F.concat_ws("|", F.concat("l_returnflag", F.col("l_quantity").cast("string")), "l_linestatus", F.concat(F.lit("c"), "l_linenumber"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.lit("47.5"))
     rows = t.read("lineitem").select(F.floor(F.col("l_orderkey") / 40).alias("page"), F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_linenumber").alias("o"), line.alias("line"))
-    d = rows.groupBy("page").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"])).alias("content"))
+    d = rows.groupBy("page").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("o", "line"))), lambda x: x["line"])).alias("content"))
     return notices.gazetteer(d.select(F.format_string("gnis/%012d", "page").alias("path"), "content")).select("name", "feature_class", "county", "lon")
 
 

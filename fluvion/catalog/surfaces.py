@@ -345,7 +345,7 @@ def l12(t):
 def l13(t):
     latest = comparison.latest_cycles(t.forecast_runs().filter("product <> '5-LOW'"), ["fp"]).select("fp", "run_id", "issued_at")
     per = t.forecast_values().groupBy("run_id", "lead").agg(F.max("stage").alias("stage"))
-    pts = per.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("lead", "stage"))), lambda p: F.concat_ws("=", p["lead"], p["stage"])).alias("points"))
+    pts = per.groupBy("run_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("lead", "stage"))), lambda p: F.concat_ws("=", p["lead"], p["stage"])).alias("points"))
     return latest.join(pts, "run_id", "left").select("fp", "run_id", "issued_at", F.coalesce("points", F.array().cast("array<string>")).alias("points"))
 
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fluvion.functions.arrays import let, quantile_sorted
-from fluvion.functions.clocks import key_of_index
+from fluvion.functions.arrays import quantile_sorted
+from fluvion.functions.clocks import key_of_index, neighbour_indices
 from fluvion.functions.values import number
 from fluvion.operators.joins import calendar_lag, doy_windows
 
@@ -45,10 +45,18 @@ def clean_daily(rows: DataFrame) -> DataFrame:
     return good.groupBy("site", "day").agg(F.max_by(number(F.col("raw")), F.col("file_pos")).alias("value"))
 
 
+def site_windows(daily: DataFrame) -> DataFrame:
+    """Window copies made after the days of a site have met: one shuffle of days, not of copies.
+
+    Partitioning by site also serves every later grouping by (site, key). A site is one mean per
+    day, so its partition is bounded by the calendar.
+    """
+    return doy_windows(daily.repartition("site"), window_days=WINDOW_DAYS)
+
+
 def ladder(daily: DataFrame) -> DataFrame:
     """Percentile ladder per (site, key) over the pooled window; too small a sample gives none."""
-    w = doy_windows(daily, window_days=WINDOW_DAYS)
-    g = w.groupBy("site", "key").agg(
+    g = site_windows(daily).groupBy("site", "key").agg(
         F.count(F.lit(1)).alias("n"), F.percentile("value", [x / 100 for x in LEVELS]).alias("p")
     )
     return g.filter(F.col("n") >= MIN_SAMPLE).select("site", "key", "n", *[F.col("p")[i].alias(P[x]) for i, x in enumerate(LEVELS)])
@@ -56,34 +64,43 @@ def ladder(daily: DataFrame) -> DataFrame:
 
 def samples(daily: DataFrame) -> DataFrame:
     """The sorted pooled sample of each (site, key), as an array of (value, day, wy)."""
-    w = doy_windows(daily, window_days=WINDOW_DAYS)
-    return (
-        w.groupBy("site", "key")
-        .agg(F.array_sort(F.collect_list(F.struct("value", "day", "wy"))).alias("sample"))
-        .filter(F.size("sample") >= MIN_SAMPLE)
-    )
+    g = site_windows(daily).groupBy("site", "key").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("value", "day", "wy")).alias("pool"))
+    return g.filter(F.col("n") >= MIN_SAMPLE).select("site", "key", F.sort_array("pool").alias("sample"))
 
 
-def record_context(daily: DataFrame) -> DataFrame:
-    """Support of each key: counts, record with its day (later day on ties), p90 floor, tail years."""
-    s = samples(daily)
-    values = F.transform("sample", lambda r: r["value"])
-    floor = let(values, lambda v: quantile_sorted(v, TAIL_FLOOR))
-    s = s.withColumn("tail_floor", floor).withColumn("_top", F.element_at("sample", -1))
-    distinct_years = lambda c: F.size(F.array_distinct(F.transform(c, lambda r: r["wy"])))
+def reference(daily: DataFrame) -> DataFrame:
+    """Ladder and record support of each key from one pass over its sorted sample.
+
+    Support: counts, record with its day (later day on ties), p90 floor, water years above it.
+    """
+    s = samples(daily).withColumn("v", F.transform("sample", lambda r: r["value"]))
+    s = s.withColumn("tail_floor", quantile_sorted(F.col("v"), TAIL_FLOOR)).withColumn("_top", F.element_at("sample", -1))
+    years = lambda c: F.size(F.array_distinct(F.transform(c, lambda r: r["wy"])))
     return s.select(
-        "site", "key", F.size("sample").cast("long").alias("n"), distinct_years(F.col("sample")).alias("water_years"),
-        F.col("_top.value").alias("maximum"), F.col("_top.day").alias("maximum_day"), "tail_floor",
-        distinct_years(F.filter("sample", lambda r: r["value"] > F.col("tail_floor"))).alias("tail_years"),
+        "site", "key", F.size("sample").cast("long").alias("n"), *[quantile_sorted(F.col("v"), x / 100).alias(P[x]) for x in LEVELS],
+        years(F.col("sample")).alias("water_years"), F.col("_top.value").alias("maximum"), F.col("_top.day").alias("maximum_day"), "tail_floor",
+        years(F.filter("sample", lambda r: r["value"] > F.col("tail_floor"))).alias("tail_years"),
     )
 
 
+CONTEXT = ("site", "key", "n", "water_years", "maximum", "maximum_day", "tail_floor", "tail_years")
+
+
+def record_context(daily: DataFrame) -> DataFrame:
+    """The support columns of :func:`reference`; the ladder columns are pruned away."""
+    return reference(daily).select(*CONTEXT)
+
+
 def record_tail(daily: DataFrame, context: DataFrame) -> DataFrame:
-    """Days above the lowest floor among the windows that contain them."""
-    floors = context.select("site", "key", "tail_floor")
-    covering = doy_windows(daily, window_days=WINDOW_DAYS).join(floors, ["site", "key"])
-    lowest = covering.groupBy("site", "day", "doy", "value").agg(F.min("tail_floor").alias("lowest_floor"))
-    return lowest.filter(F.col("value") > F.col("lowest_floor"))
+    """Days above the lowest floor among the windows that contain them.
+
+    The floors of a site travel as one map of at most 366 entries, so days are joined once by site
+    and never copied per window.
+    """
+    floors = context.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("key", "tail_floor"))).alias("floors"))
+    covering = F.transform(neighbour_indices(F.col("doy"), WINDOW_DAYS), lambda k: F.try_element_at("floors", k))
+    lowest = daily.join(floors, "site").withColumn("lowest_floor", F.array_min(covering))
+    return lowest.filter(F.col("value") > F.col("lowest_floor")).select("site", "day", "doy", "value", "lowest_floor")
 
 
 def growth_ratios(daily: DataFrame, window_h: int) -> DataFrame:
@@ -139,7 +156,7 @@ def window_rank(days: DataFrame, context: DataFrame, tail: DataFrame) -> DataFra
     with_support = days.join(context, ["site", "key"], "left")
     hot = with_support.filter(F.col("value") >= F.col("tail_floor")).select("site", "key", "day", "value")
     stored = doy_windows(tail.select("site", "doy", F.col("value").alias("tail_value"))).drop("doy")
-    stored = stored.groupBy("site", "key").agg(F.array_sort(F.collect_list("tail_value")).alias("tail"))
+    stored = stored.groupBy("site", "key").agg(F.sort_array(F.collect_list("tail_value")).alias("tail"))
     ranks = hot.join(stored, ["site", "key"], "left").select(
         "site", "key", "day", (F.size(F.filter(F.coalesce("tail", F.array().cast("array<double>")), lambda v: v > F.col("value"))) + 1).alias("rank")
     )
@@ -157,7 +174,7 @@ def growth_rank(changes: DataFrame, reference: DataFrame) -> DataFrame:
 
     The decile is held per site as one sorted array: at most a tenth of the days of record.
     """
-    stored = reference.groupBy("site", "n").agg(F.array_sort(F.collect_list("growth")).alias("top"))
+    stored = reference.groupBy("site", "n").agg(F.sort_array(F.collect_list("growth")).alias("top"))
     g = F.round("growth", GROWTH_DIGITS)
     j = changes.join(stored, "site", "left")
     above = F.size(F.filter("top", lambda v: v > g))

@@ -34,7 +34,7 @@ def freshness_anchors(
         F.max(F.when(~raw, F.col("retrieved_at"))).alias("value_retrieved"),
         F.max(F.when(raw, F.col("value_time"))).alias("fetch_time"),
         F.max(F.when(raw, F.col("retrieved_at"))).alias("fetch_retrieved"),
-        F.concat_ws("+", F.transform(F.array_sort(F.collect_list(F.when(~raw, F.struct("rank", "kind")))), lambda x: x["kind"])).alias("kinds"),
+        F.concat_ws("+", F.transform(F.sort_array(F.collect_list(F.when(~raw, F.struct("rank", "kind")))), lambda x: x["kind"])).alias("kinds"),
     )
     has_values, has_fetch = F.col("kinds") != "", F.col("fetch_time").isNotNull()
     merges = F.col("product").isin(*valid_until_superseded) & has_fetch

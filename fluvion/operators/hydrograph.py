@@ -35,7 +35,7 @@ def encode(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     A series is one member of one cycle: bounded by its horizon.
     """
-    p = F.array_sort(F.collect_list(F.struct("t", "v")))
+    p = F.sort_array(F.collect_list(F.struct("t", "v")))
     g = points.groupBy(*keys).agg(p.alias("points"))
     steps = F.array_distinct(F.transform(F.slice("points", 2, F.greatest(F.size("points") - 1, F.lit(0))), lambda q, i: hours_between(q["t"], F.get("points", i)["t"])))
     uniform = (F.size("points") >= 2) & (F.size(steps) == 1) & (F.get(steps, 0) > 0)

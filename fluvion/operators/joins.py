@@ -213,6 +213,11 @@ def doy_windows(daily: DataFrame, doy: str = "doy", window_days: int = 2) -> Dat
 
 
 def calendar_lag(daily: DataFrame, keys: Sequence[str], lag_days: int) -> DataFrame:
-    """Value of each day beside the value exactly ``lag_days`` earlier, matched on the date."""
-    prior = daily.select(*keys, F.date_add("day", lag_days).alias("day"), F.col("value").alias("prior"))
-    return daily.join(prior, [*keys, "day"])
+    """Value of each day beside the value exactly ``lag_days`` earlier, matched on the date.
+
+    A range frame of exactly that offset finds the earlier day without a self join; a gap in the
+    record gives no row, never the row before the gap.
+    """
+    number = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    w = W.partitionBy(*keys).orderBy(number).rangeBetween(-lag_days, -lag_days)
+    return daily.withColumn("prior", F.max("value").over(w)).filter(F.col("prior").isNotNull())

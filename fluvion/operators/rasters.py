@@ -31,7 +31,7 @@ def cut_window(cells: DataFrame, nx: int, i0: int, i1: int, j0: int, j1: int, sc
     fields = cells.select("field").distinct()
     g = inside.groupBy("field").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("raw") != SENTINEL, F.col("value"))).alias("top"),
-        F.transform(F.array_sort(F.collect_list(F.struct("flat_index", "raw"))), lambda c: c["raw"]).alias("cells"),
+        F.transform(F.sort_array(F.collect_list(F.struct("flat_index", "raw"))), lambda c: c["raw"]).alias("cells"),
     )
     out = fields.join(g, "field", "left")
     whole = F.coalesce(F.col("n") == need, F.lit(False))

@@ -65,7 +65,7 @@ def latest_snapshot(stored: DataFrame, incoming: DataFrame, key: str, order: Seq
 def ladder_document(ladder: DataFrame, levels: Sequence[str]) -> DataFrame:
     """One nested document per site: a map key → (n, levels), at most 366 entries."""
     entry = F.struct(F.col("key").cast("string").alias("key"), F.struct("n", *levels).alias("rung"))
-    return ladder.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("ladder"))
+    return ladder.groupBy("site").agg(F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("ladder"))
 
 
 def from_ladder_document(docs: DataFrame, levels: Sequence[str]) -> DataFrame:

@@ -49,7 +49,7 @@ def trailing_windows(series: DataFrame, key: str = "station", window_h: float =
     w = W.partitionBy(key, "_block").orderBy(sec).rangeBetween(-window_s, 0)
     hours = (sec - F.col("_block") * block_s) / 3600.0
     pts = F.collect_list(F.struct(hours.alias("x"), F.col("v").alias("y"))).over(w)
-    own = halo.withColumn("pts", F.array_sort(pts)).filter("_own = _block")
+    own = halo.withColumn("pts", F.sort_array(pts)).filter("_own = _block")
     first, last = F.element_at("pts", 1), F.element_at("pts", -1)
     gaps = F.transform(F.slice("pts", 2, F.greatest(F.size("pts") - 1, F.lit(0))), lambda q, i: q["x"] - F.get("pts", i)["x"])
     return own.select(

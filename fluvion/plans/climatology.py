@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fluvion.functions.values import relative_difference
 from fluvion.operators import doy
+from fluvion.session import staged
 
 # Fixed values.
 DISAGREEMENT_THRESHOLD = 0.1
@@ -55,11 +56,10 @@ def vintage_sensitivity(daily: DataFrame, years: Sequence[int], from_year: int)
 
 def build_references(daily: DataFrame, windows_h: Sequence[int] = (24, 48)) -> DataFrame:
     """Ladder, record support and growth reference of every site in one job, counted per site."""
-    ladder = doy.ladder(daily).groupBy("site").agg(F.count(F.lit(1)).alias("n_ladders"))
-    context = doy.record_context(daily)
-    support = context.groupBy("site").agg(F.sum("n").alias("n_pooled"), F.max("maximum").alias("record"))
-    tail = doy.record_tail(daily, context).groupBy("site").agg(F.count(F.lit(1)).alias("n_tail"))
-    out = ladder.join(support, "site").join(tail, "site", "left")
+    reference = staged(doy.reference(daily), "reference")
+    per_site = reference.groupBy("site").agg(F.count(F.lit(1)).alias("n_ladders"), F.sum("n").alias("n_pooled"), F.max("maximum").alias("record"))
+    tail = doy.record_tail(daily, reference).groupBy("site").agg(F.count(F.lit(1)).alias("n_tail"))
+    out = per_site.join(tail, "site", "left")
     for h in windows_h:
         ref = doy.growth_reference(daily, h).groupBy("site").agg(F.count(F.lit(1)).alias(f"n_growth_{h}h"), F.min("growth").alias(f"floor_{h}h"))
         out = out.join(ref, "site", "left")

@@ -39,7 +39,7 @@ def trend_at(best: DataFrame, at: Column, tidal_class: Column) -> DataFrame:
     """Trend over the closed six hours before ``at``; hourly readings bound the window."""
     window = best.filter((F.col("variable") == PRIMARY) & F.col("valid_time").between(plus_hours(at, -TREND_H), at) & F.col("value").isNotNull())
     x = hours_between(F.col("valid_time"), plus_hours(at, -TREND_H))
-    w = window.groupBy("point").agg(F.array_sort(F.collect_list(F.struct(x.alias("x"), F.col("value").alias("y")))).alias("pts"))
+    w = window.groupBy("point").agg(F.sort_array(F.collect_list(F.struct(x.alias("x"), F.col("value").alias("y")))).alias("pts"))
     first, last = F.element_at("pts", 1), F.element_at("pts", -1)
     gaps = F.transform(F.slice("pts", 2, F.greatest(F.size("pts") - 1, F.lit(0))), lambda q, i: q["x"] - F.get("pts", i)["x"])
     w = w.select("point", "pts", F.size("pts").alias("n"), (last["x"] - first["x"]).alias("span_h"), F.coalesce(F.array_max(gaps), F.lit(0.0)).alias("max_gap_h"), last["y"].alias("last_v"))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fluvion.functions import bands
 from fluvion.functions.clocks import hours_between
 from fluvion.operators import doy
-from fluvion.operators.joins import calendar_lag
 from fluvion.session import staged
 
 # Fixed values.
@@ -28,13 +27,16 @@ def change_direction(growth: Column, window_h: int) -> Column:
 def state_changes(daily: DataFrame) -> DataFrame:
     """Growth over 24 and 48 h beside each day; both ends must exist and be positive.
 
-    Daily means end on the same clock, so the endpoint within tolerance is the exact calendar day.
+    Daily means end on the same clock, so the endpoint within tolerance is the exact calendar day:
+    one window per site with a frame of exactly that offset.
     """
+    number = F.datediff("day", F.lit("1970-01-01").cast("date"))
     out = daily
     for h in CHANGE_WINDOWS_H:
-        lag = calendar_lag(daily.select("site", "day", "value"), ["site"], h // 24).filter((F.col("value") > 0) & (F.col("prior") > 0))
-        growth = lag.select("site", "day", (F.col("value") / F.col("prior")).alias(f"growth_{h}h"))
-        out = out.join(growth, ["site", "day"], "left").withColumn(f"direction_{h}h", change_direction(F.col(f"growth_{h}h"), h))
+        k = h // 24
+        prior = F.max("value").over(W.partitionBy("site").orderBy(number).rangeBetween(-k, -k))
+        growth = F.when((F.col("value") > 0) & (prior > 0), F.col("value") / prior)
+        out = out.withColumn(f"growth_{h}h", growth).withColumn(f"direction_{h}h", change_direction(F.col(f"growth_{h}h"), h))
     return out
 
 
@@ -52,7 +54,9 @@ def assess(daily: DataFrame, at: Column, ceilings: DataFrame, cadence_s: int, gr
     """
     if version not in VERSIONS:
         raise ValueError(f"unknown version {version!r}; known: {VERSIONS}")
-    ladder = doy.ladder(daily)
+    extended_version = version != "0.1.0"
+    reference = staged(doy.reference(daily), "reference") if extended_version else None
+    ladder = reference.select("site", "key", "n", *doy.P.values()) if extended_version else doy.ladder(daily)
     latest = daily.groupBy("site").agg(F.max(F.struct("day", "doy", "wy", "value")).alias("b")).select("site", "b.*")
     valid_time = F.date_add("day", 1).cast("timestamp")
     row = ranked(latest, ladder).withColumn("age_h", hours_between(at, valid_time))
@@ -68,7 +72,7 @@ def assess(daily: DataFrame, at: Column, ceilings: DataFrame, cadence_s: int, gr
         F.when(ok, F.round(p / 100, 4)).alias("score"), F.when(ok, confidence).otherwise("unknown").alias("confidence"), F.coalesce(reason, F.lit("ok")).alias("reason"),
         F.lit(f"susceptibility@{version}").alias("method"),
     ]
-    if version == "0.1.0":
+    if not extended_version:
         return row.select(*base)
 
     years = bands.independent_years(F.col("n"))
@@ -81,10 +85,11 @@ def assess(daily: DataFrame, at: Column, ceilings: DataFrame, cadence_s: int, gr
     )
     # the exact rank is read only for gauges at or above the edge
     hot = extended.filter("hot").select("site", "day", F.col("doy").alias("key"), "value")
-    context = staged(doy.record_context(daily), "record-context")
+    context = reference.select(*doy.CONTEXT)
     ranks = doy.window_rank(hot, context, doy.record_tail(daily, context)).select("site", "rank", "rank_of", "exceeds_record")
     last = latest.select("site", "day")
-    changes = state_changes(daily).join(last, ["site", "day"], "left_semi").select("site", "growth_24h", "direction_24h", "growth_48h", "direction_48h")
+    recent = daily.join(last.select("site", F.date_sub("day", 2).alias("since")), "site").filter(F.col("day") >= F.col("since"))
+    changes = state_changes(recent.select("site", "day", "value")).join(last, ["site", "day"], "left_semi").select("site", "growth_24h", "direction_24h", "growth_48h", "direction_48h")
     grown = changes.select("site", F.col("growth_24h").alias("growth")).filter("growth IS NOT NULL")
     growth_rank = doy.growth_rank(grown, doy.growth_reference(daily, 24)).select("site", "growth_rank", "growth_rank_of")
     out = extended.join(ranks, "site", "left").join(changes, "site", "left").join(growth_rank, "site", "left")

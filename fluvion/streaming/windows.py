@@ -39,7 +39,7 @@ def rates(stream: DataFrame, scope: str, instant: str, value: str, lateness: str
         .select(scope, F.window_time("bin").alias("t"), F.col("bin.start").alias("at"), "v")
     )
     w = bins.groupBy(scope, F.window("t", "6 hours", "15 minutes").alias("w")).agg(
-        F.array_sort(F.collect_list(F.struct((F.unix_timestamp("at") / 3600.0).alias("x"), F.col("v").alias("y")))).alias("pts")
+        F.sort_array(F.collect_list(F.struct((F.unix_timestamp("at") / 3600.0).alias("x"), F.col("v").alias("y")))).alias("pts")
     )
     first, last = F.element_at("pts", 1), F.element_at("pts", -1)
     gaps = F.transform(F.slice("pts", 2, F.greatest(F.size("pts") - 1, F.lit(0))), lambda q, i: q["x"] - F.get("pts", i)["x"])
