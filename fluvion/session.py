@@ -40,17 +40,22 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_MADE: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) a temporary folder is made.
+    Only where the setting is absent (tests, one machine) a temporary folder is made, once per
+    application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    made = tempfile.mkdtemp(prefix="fluvion-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _MADE:
+        _MADE[app] = tempfile.mkdtemp(prefix="fluvion-")
+    return _MADE[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

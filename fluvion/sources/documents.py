@@ -11,10 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 def read_directory(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Whole files of a directory tree as text."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def catalog_directory(spark: SparkSession, path: str) -> DataFrame:
