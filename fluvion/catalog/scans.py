@@ -294,14 +294,13 @@ def a12b(t):
     """SELECT alert_id, status, message_type, CAST(sent AS VARCHAR) AS sent, CAST(ends AS VARCHAR) AS ends, ugc1 || '|' || ugc2 AS ugc, coalesce(reference, '') AS "references" FROM b_alert WHERE conv_id % 10 <> 4""",
 )
 def a13(t):
-    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'-00:00'")
     naive = F.date_format("sent", "yyyy-MM-dd'T'HH:mm:ss")
     p = F.struct(
         F.col("alert_id").alias("id"), F.lit("Flood Warning").alias("event"), "status", F.col("message_type").alias("messageType"), F.when(F.col("conv_id") % 10 == 4, naive).otherwise(zulu("sent")).alias("sent"),
         zulu("ends").alias("ends"), zulu("expires").alias("expires"), F.struct(F.col("ugc").alias("UGC")).alias("geocode"), F.transform("references", lambda r: F.struct(r.alias("identifier"))).alias("references"),
     )
-    del stamp
-    d = docs(t.alerts().select("conv_id", F.struct(p.alias("properties")).alias("f")), "conv_id", F.struct(F.collect_list("f").alias("features")))
+    page = F.concat_ws("/", "conv_id", F.floor(F.col("turn") / 100))
+    d = docs(t.alerts().select(page.alias("page"), F.struct(p.alias("properties")).alias("f")), "page", F.struct(F.collect_list("f").alias("features")))
     return notices.alerts(d).select("alert_id", "status", "message_type", "sent", "ends", "ugc", "references")
 
 
@@ -409,13 +408,14 @@ def a17(t):
 
 @query(
     "A18_gazetteer",
-    """SELECT name, feature_class, county, lon FROM (SELECT l_returnflag || l_quantity AS name, l_linestatus AS feature_class, 'c' || l_linenumber AS county, l_extendedprice AS lon, row_number() OVER (PARTITION BY l_returnflag, l_quantity, l_linestatus, l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem) WHERE rn = 1""".replace("l_returnflag || l_quantity", "l_returnflag || CAST(l_quantity AS VARCHAR)"),
+    """SELECT name, feature_class, county, lon FROM (SELECT l_returnflag || l_quantity AS name, l_linestatus AS feature_class, 'c' || l_linenumber AS county, l_extendedprice AS lon, row_number() OVER (PARTITION BY l_returnflag, l_quantity, l_linestatus, l_linenumber ORDER BY l_orderkey // 40, l_partkey // 500, l_orderkey, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem) WHERE rn = 1""".replace("l_returnflag || l_quantity", "l_returnflag || CAST(l_quantity AS VARCHAR)"),
 )
 def a18(t):
     line = F.concat_ws("|", F.concat("l_returnflag", F.col("l_quantity").cast("string")), "l_linestatus", F.concat(F.lit("c"), "l_linenumber"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.lit("47.5"))
-    rows = t.read("lineitem").select(F.floor(F.col("l_orderkey") / 40).alias("page"), F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_linenumber").alias("o"), line.alias("line"))
+    page = F.format_string("%012d/%012d", F.floor(F.col("l_orderkey") / 40), F.floor(F.col("l_partkey") / 500))
+    rows = t.read("lineitem").select(page.alias("page"), F.struct("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_linenumber").alias("o"), line.alias("line"))
     d = rows.groupBy("page").agg(F.concat_ws("\n", F.transform(F.sort_array(F.collect_list(F.struct("o", "line"))), lambda x: x["line"])).alias("content"))
-    return notices.gazetteer(d.select(F.format_string("gnis/%012d", "page").alias("path"), "content")).select("name", "feature_class", "county", "lon")
+    return notices.gazetteer(d.select(F.concat(F.lit("gnis/"), "page").alias("path"), "content")).select("name", "feature_class", "county", "lon")
 
 
 @query(

@@ -48,7 +48,7 @@ def j1(t):
     """Every key is appended once, whatever batch it comes in."""
     run = Run(t, "ingest")
     s = run.land().select("event_type", F.col("user_id").alias("station"), F.date_trunc("hour", "ts").alias("valid_time"), F.col("event_id").alias("id"))
-    ingest.run_available(s, run["checkpoint"], ingest.append_absent(run["out"], ["event_type", "station", "valid_time"], ["id"]))
+    ingest.run_available(s, run["checkpoint"], ingest.append_absent(run["out"], ["event_type", "station", "valid_time"], ["id"], "valid_time"))
     out = run.read("out")
     return out.groupBy("event_type", "station", "valid_time").agg(F.min("id").alias("id"))
 
@@ -60,7 +60,7 @@ def j2(t):
     s = run.land().select(
         (F.col("user_id") % 10).alias("station"), F.col("event_type").alias("variable"), F.to_date("ts").alias("day"), F.col("event_id").alias("id"), F.floor(F.col("value") / 40).cast("int").alias("state")
     )
-    ingest.run_available(s, run["checkpoint"], ingest.append_revisions(run["out"], ["station", "variable", "day"], ["state"]))
+    ingest.run_available(s, run["checkpoint"], ingest.append_revisions(run["out"], ["station", "variable", "day"], ["state"], "day"))
     return run.read("out").select("station", "variable", "day", "id", "state", "revision_seq", "revises")
 
 

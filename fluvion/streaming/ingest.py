@@ -52,22 +52,32 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def append_absent(path: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """Batch writer: only rows whose natural key is not stored yet."""
+def overlapping(stored: DataFrame, batch: DataFrame, instant: str) -> DataFrame:
+    """Stored rows inside the time range of a batch.
+
+    One (min, max) row is fetched; the range filter then skips stored files by their statistics,
+    so a batch reads the store around its own times and not the whole archive.
+    """
+    lo, hi = batch.agg(F.min(instant), F.max(instant)).first()
+    return stored.filter(F.col(instant).between(F.lit(lo), F.lit(hi)))
+
+
+def append_absent(path: str, keys: Sequence[str], order: Sequence[str], instant: str) -> Callable[[DataFrame, int], None]:
+    """Batch writer: only rows whose natural key (which includes ``instant``) is not stored yet."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        stored = earlier_batches(batch.sparkSession, path, batch_id, batch)
+        stored = overlapping(earlier_batches(batch.sparkSession, path, batch_id, batch), batch, instant)
         write_batch(revisions.absent(batch, stored, keys, [F.asc(c) for c in order]), path, batch_id)
 
     return each
 
 
-def append_revisions(path: str, keys: Sequence[str], compared: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def append_revisions(path: str, keys: Sequence[str], compared: Sequence[str], instant: str) -> Callable[[DataFrame, int], None]:
     """Batch writer: only rows that differ from the latest stored revision of their key."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
         shape = batch.select(*keys, "id", *compared).withColumn("revision_seq", F.lit(0)).withColumn("revises", F.lit(None).cast("long"))
-        stored = earlier_batches(batch.sparkSession, path, batch_id, shape)
+        stored = overlapping(earlier_batches(batch.sparkSession, path, batch_id, shape), batch, instant)
         new = revisions.new_revisions(stored, batch.withColumn("arrived", F.col("id")), keys, compared, "arrived")
         write_batch(new, path, batch_id)
 

@@ -74,7 +74,7 @@ def test_streamed_revisions_equal_one_batch(spark, landing):
     df, path, tmp = landing
     keyed = lambda d: d.select("station", F.to_date("ts").alias("day"), "id", F.floor(F.col("value") / 10).cast("int").alias("v"))
     s = keyed(ingest.open_stream(spark, path, df.schema, 1))
-    ingest.run_available(s, str(tmp / "cp"), ingest.append_revisions(str(tmp / "out"), ["station", "day"], ["v"]))
+    ingest.run_available(s, str(tmp / "cp"), ingest.append_revisions(str(tmp / "out"), ["station", "day"], ["v"], "day"))
     got = {(r.id, r.revision_seq) for r in spark.read.parquet(str(tmp / "out")).collect()}
     batch = keyed(df).withColumn("arrived", F.col("id"))
     empty = batch.limit(0).withColumn("revision_seq", F.lit(0))
