@@ -204,10 +204,8 @@ def e15(t):
 
 def job_catalog(t):
     """Registered jobs: one per (event type, user group of ten), and one per nation that never runs."""
-    run = t.job_runs().select(F.col("job").alias("provider"), "run_id")
     jobs = t.events().select(F.col("event_type").alias("provider"), F.concat_ws(".", "event_type", (F.col("user_id") % 10)).alias("job"), (F.col("user_id") % 10).alias("k")).distinct()
     idle = t.basins().select(F.lit("idle").alias("provider"), F.concat(F.lit("idle."), F.col("basin").cast("string")).alias("job"), F.col("basin").cast("long").alias("k"))
-    del run
     return jobs.unionByName(idle).select("job", "provider", (F.lit(900) * (F.col("k") + 1)).alias("cadence_s"))
 
 

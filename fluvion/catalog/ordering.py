@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from fluvion.catalog.expressions import T, now
 from fluvion.catalog.joins import KEY, LEFT_SQL, RIGHT_SQL, transports
 from fluvion.catalog.registry import query
-from fluvion.functions import clocks, values
-from fluvion.operators import doy, health, joins, selection
+from fluvion.functions import clocks
+from fluvion.operators import health, joins, selection
 from fluvion.plans import quality
 
 

@@ -4,9 +4,9 @@ from pyspark.sql import Window as W, functions as F
 
 from fluvion.catalog.aggregates import daily
 from fluvion.catalog.expressions import T, now
-from fluvion.catalog.joins import KEY, newest_order
+from fluvion.catalog.joins import KEY
 from fluvion.catalog.registry import BINDINGS, query
-from fluvion.functions import clocks, overlay
+from fluvion.functions import clocks
 from fluvion.operators import agreement, doy, joins, selection, snow, trend
 from fluvion.session import staged
 

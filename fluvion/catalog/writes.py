@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from fluvion.catalog.aggregates import daily
 from fluvion.catalog.expressions import T, now
 from fluvion.catalog.registry import query
-from fluvion.functions import clocks
 from fluvion.operators import doy, hydrograph, revisions, sinks
 from fluvion.session import shared_dir
 
@@ -31,7 +30,6 @@ def stored_revisions(t):
     return revisions.new_revisions(none, first, REV, ["state"], "arrived")
 
 
-LAST_SQL = f"""(SELECT station, variable, day, arg_max(id, id) AS id, arg_max(state, id) AS state, CAST(sum(ch) - 1 AS INTEGER) AS seq FROM {SEQ_SQL} GROUP BY station, variable, day)"""
 # the latest stored revision keeps the id of the arrival that changed it
 LAST_SQL = f"""(SELECT station, variable, day, max(CASE WHEN ch = 1 THEN id END) AS id, arg_max(state, id) AS state, CAST(sum(ch) - 1 AS INTEGER) AS seq FROM {SEQ_SQL} GROUP BY station, variable, day)"""
 
