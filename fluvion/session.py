@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -46,23 +48,19 @@ _MADE: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) a temporary folder is made, once per
-    application.
+    A session on one machine that names none gets a folder of its own, removed when the driver ends; on a
+    cluster a missing setting is an error, because no folder of the driver is seen by the executors.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    app = spark.sparkContext.applicationId
-    if app not in _MADE:
-        _MADE[app] = tempfile.mkdtemp(prefix="fluvion-")
-    return _MADE[app]
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: survives the loss of an executor."""
-    sc = df.sparkSession.sparkContext
-    sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if sc.applicationId not in _MADE:
+        _MADE[sc.applicationId] = made = tempfile.mkdtemp(prefix="fluvion-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+    return _MADE[sc.applicationId]
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
