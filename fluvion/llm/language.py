@@ -62,14 +62,36 @@ def gram_vectors(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def _merged(found: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of several lists with the sums of their counts."""
+    keys, at = np.unique(np.concatenate(found), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate(n), len(keys)).astype(np.int64)
+
+
 def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        held: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(part.column(0).to_pylist(), part.column(1)):
-            held.setdefault(lang, []).append(grams(text.as_py()))
+    """N-gram counts per language of a partition; the texts' n-grams are held for a bounded number of characters."""
+    known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    held: dict[str, list[np.ndarray]] = {}
+
+    def settle() -> None:
         for lang, lists in held.items():
             found, n = np.unique(np.concatenate(lists), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+            old = known.get(lang)
+            known[lang] = _merged([old[0], found], [old[1], n]) if old else (found, n.astype(np.int64))
+        held.clear()
+
+    chars = 0
+    for part in parts:
+        for lang, text in zip(part.column(0), part.column(1)):
+            found = grams(text.as_py())
+            held.setdefault(lang.as_py(), []).append(found)
+            chars += len(found)
+            if chars >= _BATCH_CHARS:
+                settle()
+                chars = 0
+    settle()
+    for lang, (found, n) in known.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found), pa.array(n)], ["lang", "gram", "n"])
 
 
 def _bundle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from fluvion.llm.graph import components
 SHINGLE, DISTANCE = 4, 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 _BLOCK = 4096
-_PAIRS = 1 << 21
+_PAIRS = 1 << 20
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
