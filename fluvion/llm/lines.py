@@ -57,7 +57,8 @@ def removals(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES)
     common = staged(boilerplate(lines, min_sites), "boilerplate")
     seen = staged(lines.join(common, ["h1", "h2"]).select("h1", "h2", "doc_id", "_text", "pos"), "boilerplate-lines")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_text").alias("t"), F.col("pos").alias("p"))
-    first = seen.groupBy("h1", "h2").agg(F.min(order).alias("first"))
+    # one row per boilerplate line, written so that its size decides how it meets the lines
+    first = staged(seen.groupBy("h1", "h2").agg(F.min(order).alias("first")), "first-lines")
     extra = seen.join(first, ["h1", "h2"]).where(~order.eqNullSafe(F.col("first")))
     return extra.groupBy("doc_id", "_text").agg(F.collect_set("pos").alias("drop"))
 
