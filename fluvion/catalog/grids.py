@@ -66,57 +66,58 @@ def a24(t):
 
 @query(
     "E9_strict_zonal_mean",
-    """SELECT field, basin, count(*) AS cell_count, count_if(value < -400) AS missing_cells, round(CASE WHEN count_if(value < -400) = 0 THEN sum(value * weight) / sum(weight) END, 6) AS value, CASE WHEN count_if(value < -400) > 0 THEN 'missing_values' ELSE 'ok' END AS reason FROM b_cell JOIN b_mask USING (flat_index) GROUP BY ALL""",
+    """WITH g AS (SELECT field, basin, count(*) AS met, count_if(value < -400) AS bad, sum(value * weight) AS total FROM b_gap JOIN b_mask USING (flat_index) GROUP BY ALL)
+      SELECT field, basin, n AS cell_count, bad + n - met AS missing_cells, round(CASE WHEN bad + n - met = 0 THEN total / w END, 6) AS value, CASE WHEN bad + n - met > 0 THEN 'missing_values' ELSE 'ok' END AS reason FROM g JOIN b_masktotal USING (basin)""",
 )
 def e9(t):
-    return zonal.strict_mean(t.grid_cells(), t.mask(), 64, F.col("value") < -400)
+    return zonal.strict_mean(t.delivered_cells(), t.mask(), 64, F.col("value") < -400)
 
 
-CODED_SQL = "(SELECT field, flat_index, CASE WHEN value < -330 THEN -3.0 WHEN value < -300 THEN -1.0 ELSE abs(value) END::DOUBLE AS value FROM b_cell)"
+CODED_SQL = "(SELECT field, flat_index, CASE WHEN value < -330 THEN -3.0 WHEN value < -300 THEN -1.0 ELSE abs(value) END::DOUBLE AS value FROM b_gap)"
 
 
 @query(
     "E10_radar_zonal",
-    f"""WITH g AS (SELECT field, basin, count(*) AS cell_count, sum(weight) AS ws, coalesce(sum(CASE WHEN value >= 0 THEN weight END), 0) AS wv, coalesce(sum(CASE WHEN value = -3 THEN weight END), 0) AS wn, coalesce(sum(CASE WHEN value = -1 THEN weight END), 0) AS wm,
-        sum(CASE WHEN value >= 0 THEN value * weight END) AS tot, max(CASE WHEN value >= 0 THEN value END) AS top FROM {CODED_SQL} JOIN b_mask USING (flat_index) GROUP BY ALL)
+    f"""WITH g AS (SELECT field, basin, any_value(n) AS cell_count, any_value(w) AS ws, coalesce(sum(CASE WHEN value >= 0 THEN weight END), 0) AS wv, coalesce(sum(CASE WHEN value = -3 THEN weight END), 0) AS wn, coalesce(sum(CASE WHEN value = -1 THEN weight END), 0) AS wm,
+        sum(CASE WHEN value >= 0 THEN value * weight END) AS tot, max(CASE WHEN value >= 0 THEN value END) AS top FROM {CODED_SQL} JOIN b_mask USING (flat_index) JOIN b_masktotal USING (basin) GROUP BY field, basin)
       SELECT field, basin, cell_count, round(wv / ws, 6) AS valid_fraction, round(wn / ws, 6) AS no_coverage_fraction, round(wm / ws, 6) AS missing_fraction, round(CASE WHEN wv / ws >= 0.995 THEN tot / wv END, 6) AS mean, CASE WHEN wv / ws >= 0.995 THEN top END AS max,
         concat_ws('|', CASE WHEN wv / ws < 0.995 THEN 'insufficient_radar_coverage' END, CASE WHEN wn > 0 THEN 'radar_no_coverage_cells' END, CASE WHEN wm > 0 THEN 'missing_cells' END) AS flags FROM g""",
 )
 def e10(t):
     v = F.col("value")
-    coded = t.grid_cells().withColumn("value", F.when(v < -330, F.lit(-3.0)).when(v < -300, F.lit(-1.0)).otherwise(F.abs(v)))
+    coded = t.delivered_cells().withColumn("value", F.when(v < -330, F.lit(-3.0)).when(v < -300, F.lit(-1.0)).otherwise(F.abs(v)))
     return zonal.radar_stats(coded, t.mask())
 
 
-SNOW_SQL = "(SELECT field, flat_index, CASE WHEN value < -330 THEN -9999.0 WHEN value < -300 THEN -7.0 WHEN value > 330 THEN 32767.0 WHEN value < -100 THEN 0.0 ELSE abs(value) END::DOUBLE AS value FROM b_cell)"
+SNOW_SQL = "(SELECT field, flat_index, CASE WHEN value < -330 THEN -9999.0 WHEN value < -300 THEN -7.0 WHEN value > 330 THEN 32767.0 WHEN value < -100 THEN 0.0 ELSE abs(value) END::DOUBLE AS value FROM b_gap)"
 
 
 @query(
     "E11_snow_zonal",
-    f"""WITH g AS (SELECT field, basin, count(*) AS cell_count, sum(weight) AS ws, coalesce(sum(CASE WHEN value >= 0 AND value <> 32767 THEN weight END), 0) AS wv, coalesce(sum(CASE WHEN value = -9999 THEN weight END), 0) AS ww, coalesce(sum(CASE WHEN value = 32767 THEN weight END), 0) AS wt,
-        coalesce(sum(CASE WHEN value = -7 THEN weight END), 0) AS wc, sum(CASE WHEN value >= 0 AND value <> 32767 THEN value * weight END) AS tot, max(CASE WHEN value <> 32767 THEN value END) AS top, coalesce(sum(CASE WHEN value > 0 AND value <> 32767 THEN weight END), 0) AS wsnow FROM {SNOW_SQL} JOIN b_mask USING (flat_index) GROUP BY ALL)
+    f"""WITH g AS (SELECT field, basin, any_value(n) AS cell_count, any_value(w) AS ws, coalesce(sum(CASE WHEN value >= 0 AND value <> 32767 THEN weight END), 0) AS wv, coalesce(sum(CASE WHEN value = -9999 THEN weight END), 0) AS ww, coalesce(sum(CASE WHEN value = 32767 THEN weight END), 0) AS wt,
+        coalesce(sum(CASE WHEN value = -7 THEN weight END), 0) AS wc, sum(CASE WHEN value >= 0 AND value <> 32767 THEN value * weight END) AS tot, max(CASE WHEN value <> 32767 THEN value END) AS top, coalesce(sum(CASE WHEN value > 0 AND value <> 32767 THEN weight END), 0) AS wsnow FROM {SNOW_SQL} JOIN b_mask USING (flat_index) JOIN b_masktotal USING (basin) GROUP BY field, basin)
       SELECT field, basin, cell_count, round(wv / ws, 6) AS valid_fraction, round(ww / ws, 6) AS water_fraction, round(wt / ws, 6) AS saturated_fraction, round(wc / ws, 6) AS corrupt_fraction, round(CASE WHEN wv / ws >= 0.93 THEN tot / wv END, 6) AS mean, CASE WHEN wv / ws >= 0.93 THEN top END AS max,
         round(CASE WHEN wv / ws >= 0.93 THEN wsnow / wv END, 6) AS snow_covered_fraction, concat_ws('|', CASE WHEN wv / ws < 0.93 THEN 'insufficient_grid_coverage' END, CASE WHEN ww > 0 THEN 'static_water_cells_present' END, CASE WHEN wt > 0 THEN 'swe_saturated_cells_excluded' END, CASE WHEN wc > 0 THEN 'negative_non_sentinel_cells_excluded' END) AS flags FROM g""",
 )
 def e11(t):
     v = F.col("value")
     coded = F.when(v < -330, F.lit(-9999.0)).when(v < -300, F.lit(-7.0)).when(v > 330, F.lit(32767.0)).when(v < -100, F.lit(0.0)).otherwise(F.abs(v))
-    return zonal.snow_stats(t.grid_cells().withColumn("value", coded), t.mask())
+    return zonal.snow_stats(t.delivered_cells().withColumn("value", coded), t.mask())
 
 
-RAIN_SQL = "(SELECT field, flat_index, CASE WHEN value < -350 THEN 9999.0 WHEN value BETWEEN -200 AND -150 THEN -0.05 ELSE abs(value) END::DOUBLE AS value FROM b_cell)"
+RAIN_SQL = "(SELECT field, flat_index, CASE WHEN value < -350 THEN 9999.0 WHEN value BETWEEN -200 AND -150 THEN -0.05 ELSE abs(value) END::DOUBLE AS value FROM b_gap)"
 
 
 @query(
     "E12_forecast_zonal",
-    f"""WITH g AS (SELECT field, basin, count(*) AS cell_count, sum(weight) AS ws, sum(CASE WHEN value < 9998 THEN weight END) AS wv, count_if(value < 0) AS neg, sum(CASE WHEN value < 9998 THEN greatest(value, 0) * weight END) AS tot, max(CASE WHEN value < 9998 THEN greatest(value, 0) END) AS top FROM {RAIN_SQL} JOIN b_mask USING (flat_index) GROUP BY ALL)
+    f"""WITH g AS (SELECT field, basin, any_value(n) AS cell_count, any_value(w) AS ws, sum(CASE WHEN value < 9998 THEN weight END) AS wv, count_if(value < 0) AS neg, sum(CASE WHEN value < 9998 THEN greatest(value, 0) * weight END) AS tot, max(CASE WHEN value < 9998 THEN greatest(value, 0) END) AS top FROM {RAIN_SQL} JOIN b_mask USING (flat_index) JOIN b_masktotal USING (basin) GROUP BY field, basin)
       SELECT field, basin, cell_count, round(wv / ws, 6) AS valid_fraction, round(1 - wv / ws, 6) AS missing_fraction, neg AS negative_clamped_cells, round(CASE WHEN wv / ws >= 0.995 THEN tot / wv END, 6) AS mean, CASE WHEN wv / ws >= 0.995 THEN top END AS max,
         concat_ws('|', CASE WHEN wv / ws < 0.995 THEN 'insufficient_grid_coverage' END, CASE WHEN 1 - wv / ws > 1e-6 THEN 'missing_cells' END, CASE WHEN neg > 0 THEN 'jpeg_negative_clamped' END) AS flags FROM g""",
 )
 def e12(t):
     v = F.col("value")
     coded = F.when(v < -350, F.lit(9999.0)).when(v.between(-200, -150), F.lit(-0.05)).otherwise(F.abs(v))
-    return zonal.forecast_stats(t.grid_cells().withColumn("value", coded), t.mask())
+    return zonal.forecast_stats(t.delivered_cells().withColumn("value", coded), t.mask())
 
 
 PIX_SQL = """(SELECT field * 64 + flat_index AS pid, (field * 8 % 480) + flat_index % 8 + 0.5::DOUBLE AS x, (flat_index // 8) * 2.5 + 0.25::DOUBLE AS y, value AS elevation, 1 + (flat_index // 8) * 0.25::DOUBLE AS area FROM b_cell)"""

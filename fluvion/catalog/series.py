@@ -330,12 +330,12 @@ def f26(t):
     "F27_sustained_rise",
     """WITH d AS (SELECT station, t, coalesce(slope > greatest(1.0, abs(last_v) * 0.01::DOUBLE), false) AS up FROM b_rm JOIN b_ok USING (station, t)), g AS (SELECT *, sum(CASE WHEN up THEN 0 ELSE 1 END) OVER (PARTITION BY station ORDER BY t) AS run FROM d),
       n AS (SELECT station, t, row_number() OVER (PARTITION BY station, run ORDER BY t) AS nth FROM g WHERE up), pk AS (SELECT station, arg_min(t, (-v, t)) AS peak FROM b_fast GROUP BY ALL)
-      SELECT pk.station, CAST(min(CASE WHEN n.t < peak THEN n.t - INTERVAL 1 HOUR END) AS VARCHAR) AS first_rise, count(n.t) AS n_onsets, count_if(coalesce(n.t >= TIMESTAMP '2024-01-20', false)) AS n_late FROM pk LEFT JOIN n ON n.station = pk.station AND nth = 4 GROUP BY ALL""",
+      SELECT pk.station, CAST(min(CASE WHEN n.t < peak THEN n.t - INTERVAL 2 HOUR END) AS VARCHAR) AS first_rise, count(n.t) AS n_onsets, count_if(coalesce(n.t >= TIMESTAMP '2024-01-20', false)) AS n_late FROM pk LEFT JOIN n ON n.station = pk.station AND nth = 8 GROUP BY ALL""",
 )
 def f27(t):
     s = trend.slopes(windows(t), ("repeated_median",))
     d = s.select("station", "t", trend.direction(F.col("repeated_median_slope"), trend.steady_epsilon(flow(), F.col("last_v"))).alias("direction"))
-    hits = trend.sustained(d, need=4)
+    hits = trend.sustained(d, need=8)
     peak = F.max(F.struct("v", (-F.unix_micros("t")).alias("k")))
     peaks = t.fast_series().groupBy("station").agg(F.timestamp_micros(-peak["k"]).alias("peak"))
     j = peaks.join(hits, "station", "left")

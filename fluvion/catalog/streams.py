@@ -12,7 +12,6 @@ from fluvion.sources.bindings import Tables, hours
 from fluvion.streaming import ingest, windows
 
 SLICES, FILES = 5, 4
-START = "2024-01-01"
 
 
 class Run:
@@ -29,7 +28,10 @@ class Run:
         """The whole events table as files in arrival order (arrival is up to six hours late)."""
         arrival = F.col("ts") + hours(F.col("event_id") % 7)
         e = self.t.events().withColumn("available_at", arrival)
-        part = F.least(F.floor(F.datediff(F.to_date("available_at"), F.lit(START).cast("date")) / 7), F.lit(SLICES - 1))
+        # slices cover the arrivals from the first to the last, whenever they are
+        first, last = e.agg(F.unix_micros(F.min("available_at")), F.unix_micros(F.max("available_at"))).first()
+        width = (((last or 0) - (first or 0)) // SLICES + 1)
+        part = F.least(F.floor((F.unix_micros("available_at") - F.lit(first or 0)) / F.lit(width)), F.lit(SLICES - 1))
         e = e.withColumn("slice", part)
         for i in range(SLICES):
             e.filter(F.col("slice") == i).drop("slice").repartition(FILES).write.mode("append").parquet(self["landing"])

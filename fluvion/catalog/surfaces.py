@@ -394,11 +394,11 @@ def l16(t):
 
 @query(
     "L17_basin_grid_job",
-    """WITH g AS (SELECT field, basin, round(sum(abs(value) * weight) / sum(weight), 6) AS value FROM b_cell JOIN b_mask USING (flat_index) GROUP BY ALL) SELECT field, basin, value FROM g WHERE NOT (field % 3 = 0 AND basin < 3)""",
+    """WITH g AS (SELECT field, basin, sum(weight) AS wv, sum(abs(value) * weight) AS total FROM b_gap JOIN b_mask USING (flat_index) GROUP BY ALL) SELECT field, basin, round(CASE WHEN wv / w >= 0.995 THEN total / wv END, 6) AS value FROM g JOIN b_masktotal USING (basin) WHERE NOT (field % 3 = 0 AND basin < 3)""",
 )
 def l17(t):
     """Zonal means of all fields, of which only the (field, basin) pairs not yet stored are appended."""
-    cells = t.grid_cells().withColumn("value", F.abs("value"))
+    cells = t.delivered_cells().withColumn("value", F.abs("value"))
     means = zonal.radar_stats(cells, t.mask()).select("field", "basin", F.col("mean").alias("value"))
     stored = means.filter("field % 3 = 0 AND basin < 3").select("field", "basin")
     return revisions.absent(means, stored, ["field", "basin"], [F.asc("value")])

@@ -50,8 +50,8 @@ BATCH_SQL = f"""(SELECT station, variable, day, id, state, 0 AS k, seq FROM {LAS
 
 @query(
     "B2_batch_revisions",
-    f"""WITH s AS (SELECT *, lag(state) OVER w AS ps, lag(id) OVER w AS pid FROM {BATCH_SQL} WINDOW w AS (PARTITION BY station, variable, day ORDER BY k, id)), c AS (SELECT *, CASE WHEN k = 1 AND (ps IS NULL OR ps <> state) THEN 1 ELSE 0 END AS ch FROM s),
-      n AS (SELECT *, coalesce(max(seq) OVER (PARTITION BY station, variable, day), -1) + sum(ch) OVER (PARTITION BY station, variable, day ORDER BY k, id ROWS UNBOUNDED PRECEDING) AS rs FROM c)
+    f"""WITH s AS (SELECT *, lag(state) OVER w AS ps FROM {BATCH_SQL} WINDOW w AS (PARTITION BY station, variable, day ORDER BY k, id)), c AS (SELECT *, CASE WHEN k = 1 AND (ps IS NULL OR ps <> state) THEN 1 ELSE 0 END AS ch FROM s),
+      n AS (SELECT *, last_value(CASE WHEN k = 0 OR ch = 1 THEN id END IGNORE NULLS) OVER (PARTITION BY station, variable, day ORDER BY k, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pid, coalesce(max(seq) OVER (PARTITION BY station, variable, day), -1) + sum(ch) OVER (PARTITION BY station, variable, day ORDER BY k, id ROWS UNBOUNDED PRECEDING) AS rs FROM c)
       SELECT station, variable, CAST(day AS VARCHAR) AS day, id, state, CAST(rs AS INTEGER) AS revision_seq, pid AS revises FROM n WHERE ch = 1""",
 )
 def b2(t):
@@ -211,12 +211,13 @@ def b16(t):
 
 @query(
     "B17_refusals_as_rows",
-    """SELECT field, basin, round(CASE WHEN count_if(value < -400) = 0 THEN sum(value * weight) / sum(weight) END, 6) AS value, CASE WHEN count_if(value < -400) > 0 THEN 'missing_values' END AS reason FROM b_cell JOIN b_mask USING (flat_index) GROUP BY ALL""",
+    """WITH g AS (SELECT field, basin, count(*) AS met, count_if(value < -400) AS bad, sum(value * weight) AS total FROM b_gap JOIN b_mask USING (flat_index) GROUP BY ALL)
+      SELECT field, basin, round(CASE WHEN bad + n - met = 0 THEN total / w END, 6) AS value, CASE WHEN bad + n - met > 0 THEN 'missing_values' END AS reason FROM g JOIN b_masktotal USING (basin)""",
 )
 def b17(t):
     from fluvion.operators import zonal
 
-    means = zonal.strict_mean(t.grid_cells(), t.mask(), 64, F.col("value") < -400)
+    means = zonal.strict_mean(t.delivered_cells(), t.mask(), 64, F.col("value") < -400)
     good = means.filter("reason = 'ok'").select("field", "basin", "value")
     bad = means.filter("reason <> 'ok'").select("field", "basin", "reason")
     return sinks.with_refusals(good, bad)

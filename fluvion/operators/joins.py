@@ -134,27 +134,36 @@ def points_in_rings(points: DataFrame, rings: DataFrame, point_id: str, ring_id:
     return near.filter(F.size(F.filter("edges", crossed)) % 2 == 1).select(point_id, ring_id)
 
 
-def nearest_within(points: DataFrame, vertices: DataFrame, point_id: str, limit_m: float, lat_max: float = 60.0) -> DataFrame:
+def nearest_within(points: DataFrame, vertices: DataFrame, point_id: str, limit_m: float) -> DataFrame:
     """Distance to the nearest vertex closer than ``limit_m``; points without one keep null.
 
-    Vertices are copied to the 3 x 3 neighbouring cells of a grid whose cell is at least the limit
-    wide at ``lat_max``, so every pair inside the limit shares a cell.
+    Rows of cells are as high as the limit; each row is cut into as many columns as keep a cell wider than the
+    limit at the row's poleward neighbour, around the whole circle. Vertices are copied to the three rows
+    and three columns around them, so every pair inside the limit shares a cell at any latitude and
+    across the date line.
     """
-    import math
-
     dy = limit_m / geo.METRES_PER_DEGREE
-    dx = limit_m / (geo.METRES_PER_DEGREE * math.cos(math.radians(lat_max)))
-    cx, cy = F.floor(F.col("lon") / dx).cast("long"), F.floor(F.col("lat") / dy).cast("long")
+    cy = F.floor(F.col("lat") / dy).cast("long")
+
+    def column(row: Column, lon: Column, shift: Column) -> Column:
+        edge = F.least(F.greatest(F.abs(row - 1), F.abs(row + 2)) * dy, F.lit(90.0))
+        n = F.greatest(F.floor(F.cos(F.radians(edge)) * (360.0 / dy)), F.lit(1)).cast("long")
+        return F.pmod(F.floor((lon + 180.0) * n / 360.0).cast("long") + shift, n)
+
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     spread = (
-        vertices.select(F.col("lon").alias("v_lon"), F.col("lat").alias("v_lat"), cx.alias("_x"), cy.alias("_y"))
+        vertices.select(F.col("lon").alias("v_lon"), F.col("lat").alias("v_lat"), cy.alias("_y"))
         .distinct()
         .withColumn("_dx", F.explode(around))
         .withColumn("_dy", F.explode(around))
-        .select("v_lon", "v_lat", (F.col("_x") + F.col("_dx")).alias("_cx"), (F.col("_y") + F.col("_dy")).alias("_cy"))
+        .withColumn("_cy", F.col("_y") + F.col("_dy"))
+        .select("v_lon", "v_lat", "_cy", column(F.col("_cy"), F.col("v_lon"), F.col("_dx")).alias("_cx"))
+        .distinct()
     )
-    probes = points.select(point_id, "lon", "lat", cx.alias("_cx"), cy.alias("_cy"))
-    d = geo.local_distance_m(F.col("lon"), F.col("lat"), F.col("v_lon"), F.col("v_lat"))
+    probes = points.select(point_id, "lon", "lat", cy.alias("_cy"), column(cy, F.col("lon"), F.lit(0)).alias("_cx"))
+    # the vertex's longitude on the point's side of the date line
+    v_lon = F.col("v_lon") + 360.0 * F.round((F.col("lon") - F.col("v_lon")) / 360.0)
+    d = geo.local_distance_m(F.col("lon"), F.col("lat"), v_lon, F.col("v_lat"))
     near = probes.join(spread, ["_cx", "_cy"]).withColumn("d_m", d).filter(F.col("d_m") < limit_m)
     return points.join(near.groupBy(point_id).agg(F.min("d_m").alias("d_m")), point_id, "left")
 

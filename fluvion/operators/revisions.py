@@ -22,15 +22,18 @@ def new_revisions(stored: DataFrame, batch: DataFrame, keys: Sequence[str], comp
     arrivals = batch.select(*keys, "id", order, *compared).withColumn("_seq", F.lit(None).cast("int")).withColumn("_stored", F.lit(False))
     w = W.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first(), F.col("id"))
     state = F.struct(*compared)
-    seen = touched.unionByName(arrivals).withColumn("_prev", F.lag(state).over(w)).withColumn("_prev_id", F.lag("id").over(w))
+    seen = touched.unionByName(arrivals).withColumn("_prev", F.lag(state).over(w))
     changed = F.when(F.col("_stored"), 0).when(F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(state), 1).otherwise(0)
     counted = seen.withColumn("_changed", changed)
     running = F.sum("_changed").over(w.rowsBetween(W.unboundedPreceding, 0))
+    # identical arrivals are not written, so the link skips them
+    written = F.when(F.col("_stored") | (F.col("_changed") == 1), F.col("id"))
+    counted = counted.withColumn("_written", F.last(written, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
     base = F.max("_seq").over(W.partitionBy(*keys))
     return (
         counted.withColumn("revision_seq", (F.coalesce(base, F.lit(-1)) + running).cast("int"))
         .filter((F.col("_changed") == 1))
-        .select(*keys, "id", *compared, "revision_seq", F.col("_prev_id").alias("revises"))
+        .select(*keys, "id", *compared, "revision_seq", F.col("_written").alias("revises"))
     )
 
 

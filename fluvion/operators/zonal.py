@@ -15,19 +15,26 @@ def weighted_cells(cells: DataFrame, mask: DataFrame, by: list[str]) -> DataFram
     return cells.join(mask, by)
 
 
+def mask_totals(mask: DataFrame) -> DataFrame:
+    """Cells and weight of each basin's whole mask: what a field must be measured against, delivered or not."""
+    return mask.groupBy("basin").agg(F.count(F.lit(1)).alias("cell_count"), F.sum("weight").alias("wsum"))
+
+
 def _weight(cond: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, F.col("weight"))), F.lit(0.0))
 
 
 def strict_mean(cells: DataFrame, mask: DataFrame, grid_size: int, missing: Column) -> DataFrame:
-    """Mean that refuses whole when any masked cell is missing or lies outside the grid."""
+    """Mean that refuses whole when any masked cell is missing, absent from the field or outside the grid."""
     v = F.when(~missing, F.col("value"))
+    beyond = (F.col("flat_index") < 0) | (F.col("flat_index") >= grid_size)
+    totals = mask.groupBy("basin").agg(F.count(F.lit(1)).alias("cell_count"), F.sum("weight").alias("wsum"), F.count_if(beyond).alias("outside"))
     g = weighted_cells(cells, mask, ["flat_index"]).groupBy("field", "basin").agg(
-        F.count(F.lit(1)).alias("cell_count"),
-        F.count_if(missing).alias("missing_cells"),
-        F.count_if((F.col("flat_index") < 0) | (F.col("flat_index") >= grid_size)).alias("outside"),
-        (F.sum(v * F.col("weight")) / F.sum("weight")).alias("mean"),
+        F.count(F.lit(1)).alias("met"),
+        F.count_if(missing).alias("bad"),
+        F.sum(v * F.col("weight")).alias("total"),
     )
+    g = g.join(totals, "basin").withColumn("missing_cells", F.col("bad") + F.col("cell_count") - F.col("met")).withColumn("mean", F.col("total") / F.col("wsum"))
     reason = F.when(F.col("outside") > 0, "cell_out_of_range").when(F.col("missing_cells") > 0, "missing_values")
     return g.select("field", "basin", "cell_count", "missing_cells", F.when(reason.isNull(), F.col("mean")).alias("value"), F.coalesce(reason, F.lit("ok")).alias("reason"))
 
@@ -37,14 +44,12 @@ def radar_stats(cells: DataFrame, mask: DataFrame) -> DataFrame:
     v, w = F.col("value"), F.col("weight")
     valid = v >= 0.0
     g = weighted_cells(cells, mask, ["flat_index"]).groupBy("field", "basin").agg(
-        F.count(F.lit(1)).alias("cell_count"),
-        F.sum("weight").alias("wsum"),
         _weight(valid).alias("wvalid"),
         _weight(v == RADAR_NO_COVERAGE).alias("wno"),
         _weight(v == RADAR_MISSING).alias("wmiss"),
         F.sum(F.when(valid, v * w)).alias("total"),
         F.max(F.when(valid, v)).alias("top"),
-    )
+    ).join(mask_totals(mask), "basin")
     frac = F.col("wvalid") / F.col("wsum")
     ok = frac >= RADAR_MIN_VALID
     flags = F.array_compact(F.array(
@@ -64,10 +69,9 @@ def snow_stats(cells: DataFrame, mask: DataFrame) -> DataFrame:
     valid = (v >= 0) & (v != SNOW_SATURATED)
     corrupt = (v < 0) & (v != SNOW_NODATA)
     g = weighted_cells(cells, mask, ["flat_index"]).groupBy("field", "basin").agg(
-        F.count(F.lit(1)).alias("cell_count"), F.sum("weight").alias("wsum"), _weight(valid).alias("wvalid"),
-        _weight(v == SNOW_NODATA).alias("wwater"), _weight(v == SNOW_SATURATED).alias("wsat"), _weight(corrupt).alias("wbad"),
+        _weight(valid).alias("wvalid"), _weight(v == SNOW_NODATA).alias("wwater"), _weight(v == SNOW_SATURATED).alias("wsat"), _weight(corrupt).alias("wbad"),
         F.sum(F.when(valid, v * w)).alias("total"), F.max(F.when(valid, v)).alias("top"), _weight(valid & (v > 0)).alias("wsnow"),
-    )
+    ).join(mask_totals(mask), "basin")
     part = lambda c: F.round(F.col(c) / F.col("wsum"), 6)
     ok = F.col("wvalid") / F.col("wsum") >= SNOW_MIN_VALID
     flags = F.array_compact(F.array(
@@ -90,9 +94,8 @@ def forecast_stats(cells: DataFrame, mask: DataFrame) -> DataFrame:
     v, w = F.col("value"), F.col("weight")
     valid = (v >= 0) & (v < FORECAST_MISSING_FLOOR)
     g = rows.groupBy("field", "basin").agg(
-        F.count(F.lit(1)).alias("cell_count"), F.sum("weight").alias("wsum"), _weight(valid).alias("wvalid"),
-        F.count_if("_clamped").alias("negative_clamped_cells"), F.sum(F.when(valid, v * w)).alias("total"), F.max(F.when(valid, v)).alias("top"),
-    )
+        _weight(valid).alias("wvalid"), F.count_if("_clamped").alias("negative_clamped_cells"), F.sum(F.when(valid, v * w)).alias("total"), F.max(F.when(valid, v)).alias("top"),
+    ).join(mask_totals(mask), "basin")
     frac = F.col("wvalid") / F.col("wsum")
     ok = frac >= FORECAST_MIN_VALID
     missing = F.round(1.0 - F.round(frac, 12), 6)

@@ -126,6 +126,10 @@ class Tables:
             F.col("vec_id").alias("field"), F.col("label").alias("grid_hash"), F.posexplode("embedding").alias("flat_index", "value")
         ).withColumn("value", F.round(F.col("value").cast("double") * 1000).cast("double"))
 
+    def delivered_cells(self) -> DataFrame:
+        """Cells as delivered: every ninth field lacks its last four."""
+        return self.grid_cells().filter(~((F.col("field") % 9 == 0) & (F.col("flat_index") >= 60)))
+
     def mask(self, basins: int = 6, cells: int = 64) -> DataFrame:
         """Sparse weights of six basins on the 64-cell grid (at most 384 rows by construction)."""
         b = self.spark.range(basins).select(F.col("id").cast("int").alias("basin"))

@@ -52,7 +52,7 @@ def medium_range(docs: DataFrame) -> DataFrame:
     """
     df = parse_json(docs, MEDIUM_RANGE)
     units = F.map_values("doc.mediumRange")
-    df = refuse(df, F.exists(units, lambda s: ~s["units"].isin(*FLOW_UNITS)), "unknown_unit")
+    df = refuse(df, F.exists(units, lambda s: ~F.coalesce(s["units"].isin(*FLOW_UNITS), F.lit(False))), "unknown_unit")
     m = accepted(df).select("path", "doc.reach", F.explode("doc.mediumRange").alias("name", "s"))
     index = F.nullif(F.regexp_extract("name", r"(\d+)$", 1), F.lit("")).cast("int")
     rows = m.filter(F.size("s.data") > 0).select(
@@ -64,10 +64,12 @@ def medium_range(docs: DataFrame) -> DataFrame:
 def ensembles(docs: DataFrame) -> DataFrame:
     """Array of cycles of arrays of members; a group that mixes headers is refused whole.
 
-    An empty outer list is a valid answer and gives no groups. One row per group.
+    An empty outer list is a valid answer and gives no groups; content that cannot be read gives one
+    refused row without a group number. One row per group.
     """
     parsed = docs.withColumn("groups", F.from_json("content", f"array<array<struct<{MEMBER}>>>"))
-    g = parsed.select("path", F.posexplode("groups").alias("group_no", "members")).filter(F.size("members") > 0).withColumn("refusal", F.lit(None).cast("string"))
+    g = parsed.select("path", F.col("groups").isNull().alias("_unread"), F.posexplode_outer("groups").alias("group_no", "members"))
+    g = g.filter("_unread or size(members) > 0").withColumn("refusal", F.when(F.col("_unread"), "malformed")).drop("_unread")
     step = F.transform("members", lambda m: m["time_step_multiplier"].try_cast("int"))
     g = refuse(g, F.exists("members", lambda m: ~m["time_step_unit"].eqNullSafe(F.lit("second"))), "step_unit")
     g = refuse(g, F.exists(step, lambda s: F.coalesce((s <= 0) | (s > MAX_STEP_S), F.lit(True))), "implausible_step")

@@ -125,7 +125,7 @@ def polygons(docs: DataFrame) -> DataFrame:
     g = f.select("id", F.posexplode(members).alias("g", "m")).filter(F.col("m.type").isin("Polygon", "MultiPolygon"))
     text = F.when(F.col("m.type") == "Polygon", F.concat(F.lit("["), F.col("m.coordinates"), F.lit("]"))).otherwise(F.col("m.coordinates"))
     parts = g.select("id", "g", F.posexplode(F.from_json(text, "array<array<array<array<double>>>>")).alias("p", "rings"))
-    rings = parts.select(F.col("id").alias("basin"), (F.col("g") * 1000 + F.col("p")).alias("part"), F.posexplode("rings").alias("ring", "xy"))
+    rings = parts.select(F.col("id").alias("basin"), (F.col("g").cast("long") * (1 << 32) + F.col("p")).alias("part"), F.posexplode("rings").alias("ring", "xy"))
     return rings.withColumn("pts", F.transform("xy", lambda v: F.struct(F.get(v, F.lit(0)).alias("x"), F.get(v, F.lit(1)).alias("y")))).drop("xy")
 
 

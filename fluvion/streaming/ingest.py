@@ -44,7 +44,9 @@ def earlier_batches(spark: SparkSession, path: str, batch_id: int, like: DataFra
     """Rows written by batches before ``batch_id``; none yet gives an empty table."""
     try:
         return spark.read.parquet(path).filter(F.col("batch") < batch_id).drop("batch")
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return like.limit(0)
 
 
@@ -113,7 +115,9 @@ def snapshots(path: str, key: str, order: Sequence[str], columns: Sequence[str])
         incoming = batch.select(*wanted)
         try:
             stored = spark.read.parquet(path).filter(F.col("batch") == batch_id - 1).select(*wanted)
-        except AnalysisException:
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
             stored = incoming.limit(0)
         newest = selection.newest(stored.unionByName(incoming), [key], [F.desc(c) for c in order])
         write_batch(newest, path, batch_id)

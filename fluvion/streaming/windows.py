@@ -55,7 +55,7 @@ def rates(stream: DataFrame, scope: str, instant: str, value: str, lateness: str
     )
 
 
-def sustained_rises(stream: DataFrame, scope: str, gap: str = "16 minutes", minimum_h: float = 1.0, lateness: str = "1 hour") -> DataFrame:
+def sustained_rises(stream: DataFrame, scope: str, gap: str = "16 minutes", minimum_h: float = 2.0, lateness: str = "1 hour") -> DataFrame:
     """Runs of consecutive rising windows, as sessions over the rising rows only."""
     rising = stream.withWatermark("window_end", lateness).filter(F.col("direction") == "rising")
     s = rising.groupBy(scope, F.session_window("window_end", gap).alias("s")).agg(
