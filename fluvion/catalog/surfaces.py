@@ -57,8 +57,7 @@ def shifted_runs(t):
 
 
 def shifted_values(t):
-    d = F.expr(f"interval {SHIFT_DAYS} days")
-    return t.run_values().select("run_id", (F.col("valid_time") + d).alias("valid_time"), (F.col("stage") * 10).alias("stage"))
+    return t.forecast_values().select("run_id", (F.col("lead") * 6).alias("after_h"), (F.col("stage") * 10).alias("stage"))
 
 
 def levels():
@@ -87,7 +86,7 @@ def l1(t):
 )
 def l1b(t):
     newest = selection.newest(shifted_runs(t).filter(F.col("available_at") <= now()), ["point"], [F.desc("issued_at"), F.desc("run_id")]).select("point", "run_id", "issued_at")
-    pts = shifted_values(t).join(newest, "run_id").select("point", F.col("issued_at").alias("as_of"), F.col("valid_time").alias("t"), F.col("stage").alias("v"))
+    pts = shifted_values(t).join(newest, "run_id").select("point", F.col("issued_at").alias("as_of"), plus_hours(F.col("issued_at"), F.col("after_h")).alias("t"), F.col("stage").alias("v"))
     return hydrograph.at_leads(pts, ["point"])
 
 
@@ -228,7 +227,7 @@ def agreement_rows(t):
     pts = latest.select(
         F.col("fp").alias("point"), "run_id", plus_hours(F.col("issued_at"), 6).alias("as_of"), plus_hours(F.col("issued_at"), -(r % 30)).alias("cycle"), (F.lit(30) + r % 60).alias("coverage_h")
     )
-    v = staged(t.run_values().join(pts.select("point", "run_id"), "run_id").select("point", "valid_time", "lead", "flow"), "latest-values")
+    v = t.run_values(latest).select(F.col("fp").alias("point"), "valid_time", "lead", "flow")
     official = v.groupBy("point", F.col("valid_time").alias("t")).agg(F.max("flow").alias("v"))
     factors = F.array(*[F.lit(x) for x in FACTORS])
     spread = v.withColumn("member", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))))
@@ -332,7 +331,7 @@ def l11(t):
 )
 def l12(t):
     latest = comparison.latest_cycles(t.forecast_runs(), ["fp"]).select("fp", "run_id", "issued_at")
-    v = t.run_values().drop("fp", "issued_at").join(latest, "run_id").groupBy("fp", "issued_at", "valid_time").agg(F.max("flow").alias("flow"))
+    v = t.run_values(latest).groupBy("fp", "issued_at", "valid_time").agg(F.max("flow").alias("flow"))
     rows = v.withColumn("q", F.explode(F.array(*[F.struct(F.lit(p).alias("level"), (F.col("flow") * k).alias("value")) for p, k in ((0.05, 2.0), (0.5, 1.0), (0.95, 0.5))]))).select("fp", "issued_at", "valid_time", "q.*")
     return hydrograph.exceedance_band(rows, "fp", F.col("issued_at"), plus_hours(F.col("issued_at"), 24))
 

@@ -45,35 +45,36 @@ def clean_daily(rows: DataFrame) -> DataFrame:
     return good.groupBy("site", "day").agg(F.max_by(number(F.col("raw")), F.col("file_pos")).alias("value"))
 
 
-def site_windows(daily: DataFrame) -> DataFrame:
-    """Window copies made after the days of a site have met: one shuffle of days, not of copies.
+def site_windows(daily: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Window copies of the days; with ``keys`` (site, key) only those of the windows asked for.
 
-    Partitioning by site also serves every later grouping by (site, key). A site is one mean per
-    day, so its partition is bounded by the calendar.
+    The copies are made map-side after the daily mean and dealt by (site, key), so a site's record is
+    spread over its 366 windows and never meets in one task.
     """
-    return doy_windows(daily.repartition("site"), window_days=WINDOW_DAYS)
+    copies = doy_windows(daily, window_days=WINDOW_DAYS)
+    return copies if keys is None else copies.join(keys.select("site", "key"), ["site", "key"], "left_semi")
 
 
-def ladder(daily: DataFrame) -> DataFrame:
+def ladder(daily: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Percentile ladder per (site, key) over the pooled window; too small a sample gives none."""
-    g = site_windows(daily).groupBy("site", "key").agg(
+    g = site_windows(daily, keys).groupBy("site", "key").agg(
         F.count(F.lit(1)).alias("n"), F.percentile("value", [x / 100 for x in LEVELS]).alias("p")
     )
     return g.filter(F.col("n") >= MIN_SAMPLE).select("site", "key", "n", *[F.col("p")[i].alias(P[x]) for i, x in enumerate(LEVELS)])
 
 
-def samples(daily: DataFrame) -> DataFrame:
+def samples(daily: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """The sorted pooled sample of each (site, key), as an array of (value, day, wy)."""
-    g = site_windows(daily).groupBy("site", "key").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("value", "day", "wy")).alias("pool"))
+    g = site_windows(daily, keys).groupBy("site", "key").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("value", "day", "wy")).alias("pool"))
     return g.filter(F.col("n") >= MIN_SAMPLE).select("site", "key", F.sort_array("pool").alias("sample"))
 
 
-def reference(daily: DataFrame) -> DataFrame:
-    """Ladder and record support of each key from one pass over its sorted sample.
+def reference(daily: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Ladder and record support of each key (or of the ``keys`` asked for) from one pass over its sorted sample.
 
     Support: counts, record with its day (later day on ties), p90 floor, water years above it.
     """
-    s = samples(daily).withColumn("v", F.transform("sample", lambda r: r["value"]))
+    s = samples(daily, keys).withColumn("v", F.transform("sample", lambda r: r["value"]))
     s = s.withColumn("tail_floor", quantile_sorted(F.col("v"), TAIL_FLOOR)).withColumn("_top", F.element_at("sample", -1))
     years = lambda c: F.size(F.array_distinct(F.transform(c, lambda r: r["wy"])))
     return s.select(

@@ -49,10 +49,11 @@ def trend_at(best: DataFrame, at: Column, tidal_class: Column) -> DataFrame:
 def official_forecast(runs: DataFrame, values: DataFrame, at: Column) -> DataFrame:
     """Newest official run known at ``at`` per point, with its crest inside the hazard window.
 
-    The run per point is found first; only values of those runs are read.
+    The run per point is found first, from the headers; only values of those runs are joined.
+    ``values``: run_id, after_h (hours after the issue time), stage.
     """
     newest = selection.newest(runs.filter(F.col("available_at") <= at), ["point"], [F.desc("issued_at"), F.desc("run_id")]).select("point", "run_id", "issued_at")
-    chosen = values.join(newest, "run_id").withColumn("as_of", at)
+    chosen = values.join(newest, "run_id").withColumn("valid_time", plus_hours(F.col("issued_at"), F.col("after_h"))).withColumn("as_of", at)
     crest = hydrograph.crests(chosen, ["point", "run_id"], "stage")
     return newest.join(crest, ["point", "run_id"], "left")
 

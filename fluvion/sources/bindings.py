@@ -101,10 +101,13 @@ class Tables:
             F.col("l_quantity").alias("stage"),
         )
 
-    def run_values(self) -> DataFrame:
-        """Values with their run header: one shuffle join on the run key (AQE splits skewed runs)."""
+    def run_values(self, runs: DataFrame | None = None) -> DataFrame:
+        """Values with their run header: one shuffle join on the run key (AQE splits skewed runs).
+
+        With ``runs``, chosen from the headers alone, only their values are joined.
+        """
         return (
-            self.forecast_runs()
+            (self.forecast_runs() if runs is None else runs)
             .join(self.forecast_values(), "run_id")
             .withColumn("valid_time", F.col("issued_at") + hours(F.col("lead") * 6))
         )
