@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from fluvion.functions import bands
 from fluvion.functions.clocks import hours_between
 from fluvion.operators import doy
+from fluvion.session import staged
 
 # Fixed values.
 MAX_AGE_H = 48
@@ -57,7 +58,7 @@ def assess(daily: DataFrame, at: Column, ceilings: DataFrame, cadence_s: int, gr
     latest = daily.groupBy("site").agg(F.max(F.struct("day", "doy", "wy", "value")).alias("b")).select("site", "b.*")
     # of each site only the window of its latest day is read: about five days of every year
     asked = latest.select("site", F.col("doy").alias("key"))
-    reference = doy.reference(daily, asked) if extended_version else None
+    reference = staged(doy.reference(daily, asked), "reference") if extended_version else None
     ladder = reference.select("site", "key", "n", *doy.P.values()) if extended_version else doy.ladder(daily, asked)
     valid_time = F.date_add("day", 1).cast("timestamp")
     row = ranked(latest, ladder).withColumn("age_h", hours_between(at, valid_time))
