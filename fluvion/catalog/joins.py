@@ -267,14 +267,14 @@ def d13(t):
 
 @query(
     "D14_same_cycle",
-    """WITH c AS (SELECT fp, issued_at, lead, max(flow) AS v FROM b_val WHERE lead <= 3 GROUP BY ALL), m AS (SELECT *, max(issued_at) OVER (PARTITION BY fp) AS cyc FROM c)
+    """WITH c AS (SELECT fp, issued_at, (lead - 1) // 3 AS win, max(flow) AS v FROM b_val GROUP BY ALL), m AS (SELECT *, max(issued_at) OVER (PARTITION BY fp) AS cyc FROM c)
       SELECT fp, CAST(cyc AS VARCHAR) AS cycle, count(*) AS n_windows, round(CASE WHEN count(*) = 3 THEN sum(v) END, 2) AS total,
         CASE WHEN count(*) = 3 THEN 'ok' ELSE 'incomplete_cycle' END AS reason FROM m WHERE issued_at = cyc GROUP BY fp, cyc""",
 )
 def d14(t):
     from fluvion.operators import precipitation
 
-    windows = t.run_values().filter("lead <= 3").groupBy("fp", "issued_at", "lead").agg(F.max("flow").alias("value"))
+    windows = t.run_values().groupBy("fp", "issued_at", F.floor((F.col("lead") - 1) / 3).alias("window")).agg(F.max("flow").alias("value"))
     return precipitation.newest_cycle_total(windows, "fp", 3).select("fp", "cycle", "n_windows", F.round("total", 2).alias("total"), "reason")
 
 

@@ -64,9 +64,22 @@ BINDINGS: dict[str, str] = {
 TIE = 1e-9
 
 
+def with_ties(sql: str) -> str:
+    """The SQL with the tie term inside each ``round(..., 6)``; a final 6 of any other call stays as it is."""
+    out, at = [], 0
+    for m in re.finditer(r", 6\)", sql):
+        depth, i = 1, m.start()
+        while depth and i:
+            i -= 1
+            depth += {")": 1, "(": -1}.get(sql[i], 0)
+        out.append(sql[at : m.start()] + (f" + {TIE}" if re.search(r"\bround$", sql[:i]) else ""))
+        at = m.start()
+    return "".join(out) + sql[at:]
+
+
 def with_bindings(sql: str) -> str:
     """Prefix the SQL with the logical tables it names, in dependency order."""
-    sql = sql.replace(", 6)", f" + {TIE}, 6)")
+    sql = with_ties(sql)
     needed: list[str] = []
 
     def need(text: str) -> None:

@@ -15,6 +15,7 @@ from fluvion.session import shared_dir, staged
 CUTOFF = "2001-01-01"
 GRID = ("2001-03-01 06:00:00", "2001-05-30 18:00:00", 12)
 EVENT = ("2001-04-10", "2001-05-05")
+SERIES_SHIFT_DAYS = 8306  # moves the event calendar into the replayed one
 
 BINDINGS["b_cday"] = f"SELECT * FROM b_day WHERE day < DATE '{CUTOFF}'"
 BINDINGS["b_cwin"] = BINDINGS["b_win"].replace("b_day", "b_cday")
@@ -25,11 +26,16 @@ BINDINGS["b_rk"] = f"""SELECT d.site, d.day, d.value, round({pct_case('d.value')
   CASE WHEN round(d.value / a.value, 4) >= f.floor THEN CAST((SELECT count(*) FROM b_cgrow x WHERE x.site = d.site AND x.growth > round(d.value / a.value, 4)) + 1 AS INTEGER) END AS growth_rank, CASE WHEN a.value IS NOT NULL THEN f.n END AS growth_rank_of
   FROM (SELECT *, datediff('day', DATE '2000-01-01', make_date(2000, month(day), day(day))) AS doy FROM b_day) d LEFT JOIN b_clad l ON l.site = d.site AND l.key = d.doy LEFT JOIN b_day a ON a.site = d.site AND a.day = d.day - 1 AND a.value > 0 AND d.value > 0 LEFT JOIN b_day b ON b.site = d.site AND b.day = d.day - 2 AND b.value > 0 AND d.value > 0
   LEFT JOIN (SELECT site, min(growth) AS floor, any_value(n) AS n FROM b_cgrow GROUP BY ALL) f ON f.site = d.site"""
+BINDINGS["b_gpt"] = f"""SELECT station AS site, g AS as_of, (epoch(t) - epoch(TIMESTAMP '2024-01-01')) / 3600.0::DOUBLE AS x, v AS y, (epoch(t) - epoch(lag(t) OVER (PARTITION BY station, g ORDER BY t))) / 3600.0::DOUBLE AS gap
+  FROM generate_series(TIMESTAMP '{GRID[0]}', TIMESTAMP '{GRID[1]}', INTERVAL {GRID[2]} HOUR) AS s(g) JOIN b_fast ON t - INTERVAL {SERIES_SHIFT_DAYS} DAY BETWEEN g - INTERVAL 6 HOUR AND g"""
+BINDINGS["b_gok"] = """SELECT site, as_of, arg_max(y, x) AS last_v FROM b_gpt GROUP BY ALL HAVING count(*) >= 3 AND coalesce(max(gap), 0) <= 2 AND max(x) - min(x) >= 3"""
+BINDINGS["b_gdir"] = """SELECT site, as_of, CASE WHEN abs(slope) <= greatest(1.0, abs(last_v) * 0.01::DOUBLE) THEN 'steady' WHEN slope > 0 THEN 'rising' ELSE 'falling' END AS trend FROM b_gok JOIN (
+  SELECT site, as_of, median(m) AS slope FROM (SELECT p.site, p.as_of, p.x, median((q.y - p.y) / (q.x - p.x)) AS m FROM b_gpt p JOIN b_gpt q ON q.site = p.site AND q.as_of = p.as_of AND q.x <> p.x GROUP BY ALL) GROUP BY ALL) USING (site, as_of)"""
 BINDINGS["b_ev"] = f"""SELECT g AS as_of, site, day, percentile, d24, d48, growth_rank, growth_rank_of, valid_time, CASE WHEN CAST(g AS DATE) BETWEEN DATE '{EVENT[0]}' AND DATE '{EVENT[1]}' THEN 'event' ELSE 'control' END AS role, CASE WHEN percentile IS NULL THEN 'unknown' WHEN percentile < 25 THEN 'low' WHEN percentile < 75 THEN 'moderate' WHEN percentile < 90 THEN 'high' ELSE 'very_high' END AS band
   FROM generate_series(TIMESTAMP '{GRID[0]}', TIMESTAMP '{GRID[1]}', INTERVAL {GRID[2]} HOUR) AS x(g) JOIN b_rk r ON r.available_at <= g AND r.valid_time >= g - INTERVAL 48 HOUR QUALIFY row_number() OVER (PARTITION BY g, site ORDER BY valid_time DESC) = 1"""
 BINDINGS["b_rule"] = """SELECT site, as_of, arm, role, rule, CASE WHEN arm = 'old' AND rule IN ('rising_24h', 'rising_48h', 'growth_rank_top_0.01_24h') THEN NULL ELSE CASE rule WHEN 'band_very_high' THEN band = 'very_high' WHEN 'band_high' THEN band IN ('high', 'very_high') WHEN 'rising_24h' THEN d24 = 'rising' WHEN 'rising_48h' THEN d48 = 'rising'
-  WHEN 'any_escalation' THEN band = 'very_high' OR (arm = 'new' AND d24 = 'rising') WHEN 'trend_rising_6h' THEN percentile > 95 ELSE coalesce(growth_rank <= greatest(1, ceil(0.01::DOUBLE * growth_rank_of)), false) END END AS holds
-  FROM b_ev, (VALUES ('old'), ('new')) AS a(arm), (VALUES ('band_very_high'), ('band_high'), ('rising_24h'), ('rising_48h'), ('any_escalation'), ('trend_rising_6h'), ('growth_rank_top_0.01_24h')) AS r(rule)"""
+  WHEN 'any_escalation' THEN band = 'very_high' OR (arm = 'new' AND d24 = 'rising') WHEN 'trend_rising_6h' THEN coalesce(trend = 'rising', false) ELSE coalesce(growth_rank <= greatest(1, ceil(0.01::DOUBLE * growth_rank_of)), false) END END AS holds
+  FROM b_ev LEFT JOIN b_gdir USING (site, as_of), (VALUES ('old'), ('new')) AS a(arm), (VALUES ('band_very_high'), ('band_high'), ('rising_24h'), ('rising_48h'), ('any_escalation'), ('trend_rising_6h'), ('growth_rank_top_0.01_24h')) AS r(rule)"""
 BINDINGS["b_esc"] = """SELECT site, rule, arm, min(CASE WHEN role = 'event' AND holds THEN as_of END) AS first_time, count_if(role = 'event') AS evaluations, count_if(role = 'control' AND coalesce(holds, false)) AS control_firings, bool_and(holds IS NOT NULL) AS applicable FROM b_rule GROUP BY ALL"""
 
 
@@ -48,37 +54,38 @@ def ranked_days(t, cutoff=CUTOFF):
 
 def evaluated(t):
     ev = replay.evaluations(ranked_days(t), GRID, EVENT)
-    return ev.withColumn("trend_direction", F.when(F.col("percentile") > 95, "rising").otherwise("unknown"))
+    series = t.fast_series().select(F.col("station").alias("site"), (F.col("t") - F.expr(f"interval {SERIES_SHIFT_DAYS} days")).alias("t"), "v")
+    return replay.with_trends(ev, replay.grid_trends(series, GRID))
 
 
 @query(
     "L7_replay_evaluations",
-    """SELECT CAST(as_of AS VARCHAR) AS as_of, site, arm, CAST(day AS VARCHAR) AS day, percentile, band, role, CASE WHEN arm = 'new' THEN d24 END AS direction_24h, CASE WHEN arm = 'new' THEN growth_rank END AS growth_rank FROM b_ev, (VALUES ('old'), ('new')) AS a(arm)""",
+    """SELECT CAST(as_of AS VARCHAR) AS as_of, site, arm, CAST(day AS VARCHAR) AS day, percentile, band, role, CASE WHEN arm = 'new' THEN d24 END AS direction_24h, CASE WHEN arm = 'new' THEN growth_rank END AS growth_rank, coalesce(trend, 'unknown') AS trend_6h FROM b_ev LEFT JOIN b_gdir USING (site, as_of), (VALUES ('old'), ('new')) AS a(arm)""",
 )
 def l7(t):
-    return evaluated(t).select("as_of", "site", "arm", "day", "percentile", "band", "role", "direction_24h", "growth_rank")
+    return evaluated(t).select("as_of", "site", "arm", "day", "percentile", "band", "role", "direction_24h", "growth_rank", F.col("trend_direction").alias("trend_6h"))
 
 
-@query("L8_escalation_rules", "SELECT rule, arm, role, count(*) AS n, count_if(coalesce(holds, false)) AS n_holds, count_if(holds IS NULL) AS n_unanswerable FROM b_rule WHERE rule <> 'trend_rising_6h' GROUP BY ALL")
+@query("L8_escalation_rules", "SELECT rule, arm, role, count(*) AS n, count_if(coalesce(holds, false)) AS n_holds, count_if(holds IS NULL) AS n_unanswerable FROM b_rule GROUP BY ALL")
 def l8(t):
-    r = replay.apply_rules(evaluated(t)).filter("rule <> 'trend_rising_6h'")
+    r = replay.apply_rules(evaluated(t))
     return r.groupBy("rule", "arm", "role").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("holds", F.lit(False))).alias("n_holds"), F.count_if(F.col("holds").isNull()).alias("n_unanswerable"))
 
 
-@query("F28_earliest_escalation", "SELECT site, rule, arm, CAST(first_time AS VARCHAR) AS first_time, evaluations, control_firings, applicable FROM b_esc WHERE rule <> 'trend_rising_6h'")
+@query("F28_earliest_escalation", "SELECT site, rule, arm, CAST(first_time AS VARCHAR) AS first_time, evaluations, control_firings, applicable FROM b_esc")
 def f28(t):
-    return replay.earliest_escalation(replay.apply_rules(evaluated(t))).filter("rule <> 'trend_rising_6h'")
+    return replay.earliest_escalation(replay.apply_rules(evaluated(t)))
 
 
 @query(
     "D21_compare_arms",
-    """WITH p AS (SELECT site, rule, max(CASE WHEN arm = 'old' THEN first_time END) AS ot, max(CASE WHEN arm = 'new' THEN first_time END) AS nt, bool_or(arm = 'old' AND applicable) AS ook, bool_or(arm = 'new' AND applicable) AS nok FROM b_esc WHERE rule <> 'trend_rising_6h' GROUP BY ALL), d AS (SELECT *, round((epoch(ot) - epoch(nt)) / 3600.0::DOUBLE, 2) AS diff FROM p)
+    """WITH p AS (SELECT site, rule, max(CASE WHEN arm = 'old' THEN first_time END) AS ot, max(CASE WHEN arm = 'new' THEN first_time END) AS nt, bool_or(arm = 'old' AND applicable) AS ook, bool_or(arm = 'new' AND applicable) AS nok FROM b_esc GROUP BY ALL), d AS (SELECT *, round((epoch(ot) - epoch(nt)) / 3600.0::DOUBLE, 2) AS diff FROM p)
       SELECT site, rule, CAST(ot AS VARCHAR) AS old_time, CAST(nt AS VARCHAR) AS new_time, diff AS difference_h, CASE WHEN NOT ook AND NOT nok THEN 'not_applicable' WHEN NOT (ook AND nok) AND coalesce(nt, ot) IS NOT NULL THEN 'earlier_but_not_a_lead_time' WHEN NOT (ook AND nok) THEN 'no_difference' WHEN ot IS NULL AND nt IS NULL THEN 'no_difference' WHEN nt IS NULL THEN 'later'
         WHEN ot IS NULL THEN 'earlier_but_not_a_lead_time' WHEN diff > 0 AND rule NOT LIKE 'growth_rank_top%' THEN 'lead_time' WHEN diff > 0 THEN 'earlier_but_not_a_lead_time' WHEN diff < 0 THEN 'later' ELSE 'no_difference' END AS verdict FROM d""",
 )
 def d21(t):
     e = replay.earliest_escalation(replay.apply_rules(evaluated(t)))
-    return replay.compare_arms(e).filter("rule <> 'trend_rising_6h'")
+    return replay.compare_arms(e)
 
 
 RULES20 = {
@@ -114,12 +121,11 @@ def l9(t):
 )
 def l10(t):
     cut = F.lit("2024-01-15").cast("timestamp")
-    p = replay.projected(t.observations(), replay.RETROSPECTIVE, "valid_time")
-    back = replay.restored(p).select("id", F.col("available_at").alias("back"))
-    j = p.join(back, "id")
-    return j.groupBy("station").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("available_at") <= cut).alias("visible_retrospective"),
-        F.count_if(F.col("archived_available_at") <= cut).alias("visible_knowledge"), F.count_if(F.col("back") == F.col("archived_available_at")).alias("restored"),
+    obs = t.observations().withColumn("own", F.col("available_at"))
+    p = replay.projected(obs, replay.RETROSPECTIVE, "valid_time").withColumn("seen", F.col("available_at"))
+    return replay.restored(p).groupBy("station").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("seen") <= cut).alias("visible_retrospective"),
+        F.count_if(F.col("own") <= cut).alias("visible_knowledge"), F.count_if(F.col("available_at") == F.col("own")).alias("restored"),
     )
 
 

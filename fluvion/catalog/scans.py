@@ -107,8 +107,11 @@ def a3b(t):
 )
 def a4(t):
     latest = t.lineitem().groupBy("l_suppkey").agg(F.max(F.struct("day", F.col("l_quantity").alias("q"))).alias("b"))
-    p = F.struct(F.concat(F.lit("USGS-"), "l_suppkey").alias("monitoring_location_id"), F.col("b.day").cast("string").alias("time"), F.col("b.q").cast("string").alias("value"), F.lit("Provisional").alias("approval_status"))
-    rows = latest.select(F.floor(F.col("l_suppkey") / 50).alias("page"), F.struct(p.alias("properties")).alias("f"))
+    p = F.struct(F.concat(F.lit("USGS-"), "l_suppkey").alias("monitoring_location_id"), F.col("b.day").cast("string").alias("time"), (F.col("b.q") + F.col("kind.off")).cast("string").alias("value"),
+        F.lit("Provisional").alias("approval_status"), F.col("kind.parameter_code").alias("parameter_code"), F.col("kind.statistic_id").alias("statistic_id"))
+    # beside the daily mean discharge: its daily maximum and the daily mean stage
+    kinds = F.array(*(F.struct(F.lit(a).alias("parameter_code"), F.lit(b).cast("string").alias("statistic_id"), F.lit(c).alias("off")) for a, b, c in (("00060", "00003", 0), ("00060", "00001", 7), ("00065", "00003", -7))))
+    rows = latest.withColumn("kind", F.explode(kinds)).select(F.floor(F.col("l_suppkey") / 50).alias("page"), F.struct(p.alias("properties")).alias("f"))
     return gauges.latest_daily(docs(rows, "page", F.struct(F.collect_list("f").alias("features")))).select("site", "day", "value")
 
 
@@ -342,13 +345,14 @@ def bulletin_docs(t):
     num = F.format_string("%,d", F.floor(F.col("flow") / 10))
     vt = F.date_format("valid_time", "yyMMdd'T'HHmm'Z'")
     crest_time = F.when(F.col("lead") == 2, F.lit("000000T0000Z")).otherwise(vt)
+    event = F.concat(F.lit("/"), F.format_string("W%04d", (F.col("run_id") % 10000).cast("int")), F.lit(".1.ER."), vt, F.lit("."), crest_time, F.lit("."), vt, F.lit(".NO/\n"))
     seg = F.concat(
-        F.format_string("WAC%03d-\n", (F.col("run_id") % 1000).cast("int")), F.lit("/O.NEW.KSEW.FL.W.0042.250101T0000Z-250102T0000Z/\n/"),
-        F.format_string("W%04d", (F.col("run_id") % 10000).cast("int")), F.lit(".1.ER."), vt, F.lit("."), crest_time, F.lit("."), vt, F.lit(".NO/\n* Observed value was 3.0 feet.\n"),
+        F.format_string("WAC%03d-\n", (F.col("run_id") % 1000).cast("int")), F.when(F.col("lead") == 3, "/O.CAN.KSEW.FL.W.0041.250101T0000Z-250102T0000Z/\n").otherwise(""), F.lit("/O.NEW.KSEW.FL.W.0042.250101T0000Z-250102T0000Z/\n"),
+        event, F.when(F.col("run_id") % 37 == 0, event).otherwise(""), F.when(F.col("lead") == 5, "").otherwise("* At noon the stage was 3.0 feet.\n"), F.when(F.col("lead") == 6, "").otherwise(F.concat(F.lit("* Flood stage is "), F.col("lead").cast("string"), F.lit(",001.0 feet.\n"))),
         F.when(F.col("lead") == 7, "").otherwise(F.concat(F.lit("  - Forecast...The river will rise to "), F.format_string("%.1f", F.col("stage")), F.lit(" feet and then\n    to a crest of "), num, F.lit(" feet tomorrow.\n"))),
         F.lit("  - Impact...at 99.9 feet to of 5 feet.\n"), F.lit("$$\n"),
     )
-    head = F.concat(F.lit("WGUS46 KSEW "), F.date_format("issued_at", "ddHHmm"), F.lit("\nFLWSEW\n\n"))
+    head = F.concat(F.lit("WGUS46 KSEW "), F.date_format("issued_at", "ddHHmm"), F.when(F.col("run_id") % 31 == 0, "\n\n").otherwise("\nFLWSEW\n\n"))
     body = v.groupBy("run_id", "issued_at").agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("lead", seg.alias("s")))), lambda x: x["s"])).alias("segments"))
     return body.select(
         F.concat(F.lit("afos/"), "run_id").alias("path"),
@@ -356,16 +360,24 @@ def bulletin_docs(t):
     )
 
 
-SEG_SQL = """(SELECT run_id, issued_at, lead, valid_time, max(stage) AS stage, max(flow) AS flow FROM b_val WHERE run_id % 29 <> 0 GROUP BY ALL)"""
+SEG_SQL = """(SELECT run_id, issued_at, lead, valid_time, max(stage) AS stage, max(flow) AS flow FROM b_val WHERE run_id % 29 <> 0 AND run_id % 31 <> 0 AND run_id % 37 <> 0 GROUP BY ALL)"""
 
 
 @query(
     "A15_bulletin_segments",
-    f"""SELECT 'afos/' || run_id AS path, CAST(row_number() OVER (PARTITION BY run_id ORDER BY lead) - 1 AS INTEGER) AS segment_no, strftime(issued_at, '%d%H%M') AS wmo, printf('W%04d', run_id % 10000) AS lid, CAST(CASE WHEN lead <> 2 THEN valid_time END AS VARCHAR) AS crest_time, CASE WHEN lead = 7 THEN 0 ELSE 2 END AS n_mentions FROM {SEG_SQL}""",
+    f"""SELECT 'afos/' || run_id AS path, CAST(row_number() OVER (PARTITION BY run_id ORDER BY lead) - 1 AS INTEGER) AS segment_no, strftime(issued_at, '%d%H%M') AS wmo, printf('W%04d', run_id % 10000) AS lid, CAST(CASE WHEN lead <> 2 THEN valid_time END AS VARCHAR) AS crest_time, CASE WHEN lead = 7 THEN 0 ELSE 2 END AS n_mentions , 'FLWSEW' AS pil, CASE WHEN lead = 3 THEN 'CAN|NEW' ELSE 'NEW' END AS actions, CASE WHEN lead <> 5 THEN 3.0::DOUBLE END AS observed, CASE WHEN lead <> 6 THEN lead * 1000.0::DOUBLE + 1 END AS flood_stage FROM {SEG_SQL}""",
 )
 def a15(t):
     s = notices.segments(notices.bulletins(bulletin_docs(t)))
-    return s.select("path", "segment_no", "wmo", "lid", "crest_time", F.size("mentions").alias("n_mentions"))
+    return s.select("path", "segment_no", "wmo", "lid", "crest_time", F.size("mentions").alias("n_mentions"), "pil", "actions", "observed", "flood_stage")
+
+
+@query(
+    "A15_refused_bulletins",
+    """SELECT CASE WHEN run_id % 29 = 0 THEN 'no_heading' WHEN run_id % 31 = 0 THEN 'no_product_line' ELSE 'several_event_lines' END AS refusal, count(DISTINCT run_id) AS n FROM b_val WHERE run_id % 29 = 0 OR run_id % 31 = 0 OR run_id % 37 = 0 GROUP BY ALL""",
+)
+def a15b(t):
+    return documents.refusals(notices.bulletins(bulletin_docs(t))).groupBy("refusal").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -381,12 +393,24 @@ def e32(t):
     """SELECT 'mrms/' || strftime(ts, '%Y%m%d-%H%M%S') || '.' || event_id || '.grib2' AS key, CAST(date_trunc('second', ts) AS VARCHAR) AS valid_time, CAST(date_trunc('second', ts) + INTERVAL 3 MINUTE AS VARCHAR) AS modified_at, CAST(value * 100 AS BIGINT) AS size_bytes FROM events""",
 )
 def a16(t):
+    return notices.listing(listing_docs(t))
+
+
+def listing_docs(t):
     key = F.concat(F.lit("mrms/"), F.date_format("ts", "yyyyMMdd-HHmmss"), F.lit("."), "event_id", F.lit(".grib2"))
     entry = F.concat(
         F.lit("<Contents><Key>"), key, F.lit("</Key><LastModified>"), zulu(F.col("ts") + F.expr("interval 3 minutes")), F.lit("</LastModified><Size>"), F.round(F.col("value") * 100).cast("long").cast("string"), F.lit("</Size></Contents>")
     )
     d = t.events().select(F.floor(F.col("event_id") / PAGE).alias("page"), entry.alias("e")).groupBy("page").agg(F.concat_ws("", F.collect_list("e")).alias("body"))
-    return notices.listing(d.select(F.concat(F.lit("<ListBucketResult>"), "body", F.lit("</ListBucketResult>")).alias("content")))
+    return d.select("page", F.concat(F.lit("listing/"), "page").alias("path"), F.concat(F.lit("<ListBucketResult>"), "body", F.lit("</ListBucketResult>")).alias("content"))
+
+
+@query("A16_refused_pages", f"""SELECT 'malformed' AS refusal, count(DISTINCT event_id // {PAGE}) AS n FROM events WHERE event_id // {PAGE} % 5 = 3 HAVING count(*) > 0""")
+def a16b(t):
+    """Every fifth page lands a second time, cut off; the broken copy is refused, the whole one is read."""
+    d = listing_docs(t)
+    broken = d.filter(F.col("page") % 5 == 3).withColumn("content", F.expr("left(content, length(content) - 25)"))
+    return documents.refusals(notices.listing_pages(d.unionByName(broken))).groupBy("refusal").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

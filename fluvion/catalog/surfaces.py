@@ -150,7 +150,7 @@ BINDINGS["b_frow"] = """SELECT b.basin, b.as_of, v.issued_at, ['p50_72h', 'p10_7
 BINDINGS["b_fq"] = """SELECT basin, issued_at AS cycle, max(value) FILTER (feature = 'p50_72h') AS p50_72h, max(value) FILTER (feature = 'p10_72h') AS p10, max(value) FILTER (feature = 'p90_72h') AS p90, max(value) FILTER (feature = 'p50_24h') AS p50_24h, max(value) FILTER (feature = 'snow_p50') AS snow
   FROM (SELECT *, max(issued_at) OVER (PARTITION BY basin) AS c FROM b_frow) WHERE issued_at = c GROUP BY ALL"""
 BINDINGS["b_foff"] = """SELECT basin, issued_at AS cycle, CASE WHEN count(*) = 3 THEN sum(v) END AS total, CASE WHEN count(*) = 3 THEN arg_min(v, lead) END AS day1 FROM (
-  SELECT *, max(issued_at) OVER (PARTITION BY basin) AS c FROM (SELECT b.basin, v.issued_at, v.lead, max(v.stage) AS v FROM b_fbasin b JOIN b_val v ON v.fp = b.basin AND v.lead IN (2, 4, 6) AND v.issued_at <= b.as_of AND v.issued_at >= b.as_of - INTERVAL 48 HOUR GROUP BY ALL)) WHERE issued_at = c GROUP BY basin, issued_at"""
+  SELECT *, max(issued_at) OVER (PARTITION BY basin) AS c FROM (SELECT b.basin, v.issued_at, (v.lead - 1) // 3 AS lead, max(v.stage) AS v FROM b_fbasin b JOIN b_val v ON v.fp = b.basin AND v.issued_at <= b.as_of AND v.issued_at >= b.as_of - INTERVAL 48 HOUR GROUP BY ALL)) WHERE issued_at = c GROUP BY basin, issued_at"""
 BINDINGS["b_fhyp"] = f"SELECT basin, sum(area) AS total, min(elevation) AS lo, max(elevation) AS hi, coalesce(sum(CASE WHEN elevation < 0 THEN area END), 0) AS under FROM {INSIDE_SQL} GROUP BY ALL"
 FRAC = """CASE WHEN h.total IS NULL OR q.snow IS NULL THEN NULL WHEN q.snow >= 300 THEN CASE WHEN q.snow >= h.hi THEN 1 ELSE (SELECT sum(area) FROM {P} p WHERE p.basin = q.basin AND p.elevation < 300) / h.total END
   ELSE least(1, (coalesce((SELECT sum(area) FROM {P} p WHERE p.basin = q.basin AND p.elevation < floor(q.snow / 20) * 20), 0) + coalesce((SELECT sum(area) FROM {P} p WHERE p.basin = q.basin AND p.elevation >= floor(q.snow / 20) * 20 AND p.elevation < floor(q.snow / 20) * 20 + 20), 0) * (q.snow - floor(q.snow / 20) * 20) / 20) / h.total) END""".replace("{P}", "b_inside")
@@ -170,7 +170,8 @@ def forcing_inputs(t):
     names = F.array(*[F.lit(x) for x in ("p50_72h", "p10_72h", "p90_72h", "p50_24h", "det_24h", "det_72h", "snow_p50")])
     v = t.run_values()
     rows = v.select(F.col("fp").alias("basin"), "issued_at", F.element_at(names, F.col("lead")).alias("feature"), (F.col("stage") * 4).alias("value"))
-    official = v.filter(F.col("lead").isin(2, 4, 6)).select(F.col("fp").alias("basin"), "issued_at", "lead", F.col("stage").alias("value"))
+    # the official side has three windows per cycle, each with its highest value
+    official = v.select(F.col("fp").alias("basin"), "issued_at", F.floor((F.col("lead") - 1) / 3).alias("lead"), F.col("stage").alias("value"))
     return basins, rows, official
 
 
@@ -196,11 +197,10 @@ def l6(t):
 
 # --- agreement ----------------------------------------------------------------------------------
 
-FACTORS = (0.7, 0.8, 0.9, 1.0, 1.1, 1.2)
 BINDINGS["b_arun"] = """SELECT fp AS point, run_id, issued_at, issued_at + INTERVAL 6 HOUR AS as_of, issued_at - to_hours(CAST(run_id % 30 AS INTEGER)) AS cycle, 30 + run_id % 60 AS coverage_h FROM b_run QUALIFY row_number() OVER (PARTITION BY fp ORDER BY issued_at DESC, run_id DESC) = 1"""
 BINDINGS["b_aw"] = """SELECT *, greatest(as_of - INTERVAL 6 HOUR, cycle) AS ws, least(as_of + INTERVAL 72 HOUR, cycle + to_hours(CAST(coverage_h AS INTEGER))) AS we FROM b_arun"""
 BINDINGS["b_apt"] = """SELECT point, t, max(v) AS v FROM (SELECT w.point, v.valid_time AS t, v.flow AS v FROM b_aw w JOIN b_val v USING (run_id) WHERE v.valid_time > ws AND v.valid_time <= we) GROUP BY ALL"""
-BINDINGS["b_amp"] = """SELECT w.point, m AS member, v.valid_time AS t, max(v.flow * [0.7::DOUBLE, 0.8, 0.9, 1.0, 1.1, 1.2][(m + v.lead) % 6 + 1]) AS v FROM b_aw w JOIN b_val v USING (run_id), range(0, 6) AS r(m) WHERE v.valid_time > ws AND v.valid_time <= we GROUP BY ALL"""
+BINDINGS["b_amp"] = """SELECT w.point, v.member, v.valid_time AS t, max(v.flow) AS v FROM b_aw w JOIN b_val v USING (run_id) WHERE v.valid_time > ws AND v.valid_time <= we GROUP BY ALL"""
 
 
 def shape_sql(src, keys):
@@ -227,12 +227,9 @@ def agreement_rows(t):
     pts = latest.select(
         F.col("fp").alias("point"), "run_id", plus_hours(F.col("issued_at"), 6).alias("as_of"), plus_hours(F.col("issued_at"), -(r % 30)).alias("cycle"), (F.lit(30) + r % 60).alias("coverage_h")
     )
-    v = t.run_values(latest).select(F.col("fp").alias("point"), "valid_time", "lead", "flow")
+    v = t.run_values(latest).select(F.col("fp").alias("point"), "valid_time", "member", "flow")
     official = v.groupBy("point", F.col("valid_time").alias("t")).agg(F.max("flow").alias("v"))
-    factors = F.array(*[F.lit(x) for x in FACTORS])
-    spread = v.withColumn("member", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))))
-    scaled = F.col("flow") * F.element_at(factors, ((F.col("member") + F.col("lead")) % 6 + 1).cast("int"))
-    members = spread.groupBy("point", "member", F.col("valid_time").alias("t")).agg(F.max(scaled).alias("v"))
+    members = v.groupBy("point", "member", F.col("valid_time").alias("t")).agg(F.max("flow").alias("v"))
     flow_levels = {k: F.lit(x) for k, x in (("action", 30000.0), ("minor", 50000.0), ("moderate", 70000.0), ("major", 90000.0))}
     return comparison.assess(pts.drop("run_id"), official, members, flow_levels, F.lit(30000.0))
 
@@ -316,12 +313,11 @@ def l24(t):
 
 @query(
     "L11_reservoir_state",
-    f"""WITH o AS (SELECT * FROM b_obs WHERE variable IN ('view', 'click', 'error') AND id % 4 <> 0 AND available_at <= TIMESTAMP '{T}' AND valid_time BETWEEN TIMESTAMP '{T}' - INTERVAL 3 DAY AND TIMESTAMP '{T}' QUALIFY row_number() OVER (PARTITION BY station, variable ORDER BY valid_time DESC, id DESC) = 1)
+    f"""WITH o AS (SELECT * FROM b_obs WHERE variable IN ('view', 'click', 'error') AND available_at <= TIMESTAMP '{T}' AND valid_time BETWEEN TIMESTAMP '{T}' - INTERVAL 3 DAY AND TIMESTAMP '{T}' QUALIFY row_number() OVER (PARTITION BY station, variable ORDER BY valid_time DESC, id DESC) = 1)
       SELECT station, max(value) FILTER (variable = 'view') AS forebay, max(value) FILTER (variable = 'click') AS inflow, max(value) FILTER (variable = 'error') AS outflow, CAST(max(valid_time) AS VARCHAR) AS newest FROM o GROUP BY ALL""",
 )
 def l11(t):
-    product = t.observations().filter(F.col("id") % 4 != 0)
-    return reservoirs.latest_state(product, now(), {"view": "forebay", "click": "inflow", "error": "outflow"})
+    return reservoirs.latest_state(t.observations(), now(), {"view": "forebay", "click": "inflow", "error": "outflow"})
 
 
 @query(

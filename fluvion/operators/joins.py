@@ -34,7 +34,9 @@ def latest_at_grid(
     n_slots = F.floor(hours_between(t1, t0) / step_h).cast("int")
     slot = F.greatest(F.lit(0), F.ceil(hours_between(F.col("available_at"), t0) / step_h).cast("int"))
     best = F.max(F.struct(*order, *[c for c in payload if c not in order])).alias("best")
-    slots = rows.withColumn("slot", slot).filter(F.col("slot") <= n_slots).groupBy(*keys, "slot").agg(best)
+    # plain bounds on both clocks, so that a scan can skip what no grid instant sees
+    near = (F.col("available_at") <= t1) & (F.col(order[0]) >= plus_hours(t0, -lookback_h))
+    slots = rows.filter(near).withColumn("slot", slot).filter(F.col("slot") <= n_slots).groupBy(*keys, "slot").agg(best)
     w = W.partitionBy(*keys).orderBy("slot")
     running = slots.withColumn("best", F.max("best").over(w)).withColumn(
         "until", F.coalesce(F.lead("slot").over(w) - 1, n_slots)

@@ -8,17 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 # Fixed values.
 RASTER_RETENTION_H = 72
+#: bounds the size of a file, not of a result
+MAX_FILE_RECORDS = 20_000_000
 
 
 def write_by_month(df: DataFrame, path: str, instant: str = "valid_time", mode: str = "append") -> None:
     """Append partitioned by month of valid time.
 
-    Rows are spread by (month, hash of the row's instant) before the write, so a month that holds a
-    third of all rows is still written by many tasks, with few files per task.
+    The rebalance hint gathers a month's rows and splits a month of any size into as many tasks as its bytes
+    need, so neither the number of writers nor of files depends on a fixed number of salts.
     """
     month = F.trunc(F.to_date(instant), "month")
-    out = df.withColumn("month", month).withColumn("_salt", F.pmod(F.hash(instant), F.lit(16)))
-    out.repartition("month", "_salt").drop("_salt").write.mode(mode).partitionBy("month").parquet(path)
+    out = df.withColumn("month", month).hint("rebalance", F.col("month"))
+    out.write.mode(mode).option("maxRecordsPerFile", MAX_FILE_RECORDS).partitionBy("month").parquet(path)
 
 
 def read_months(spark: SparkSession, path: str, lo: str, hi: str) -> DataFrame:

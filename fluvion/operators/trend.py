@@ -50,10 +50,15 @@ def trailing_windows(series: DataFrame, key: str = "station", window_h: float =
     hours = (sec - F.col("_block") * block_s) / 3600.0
     pts = F.collect_list(F.struct(hours.alias("x"), F.col("v").alias("y"))).over(w)
     own = halo.withColumn("pts", F.sort_array(pts)).filter("_own = _block")
+    return window_shape(own.select(key, "t", "v", "pts"))
+
+
+def window_shape(windows: DataFrame) -> DataFrame:
+    """Number, span, largest gap and last value of the sorted readings ``pts`` of each window."""
     first, last = F.element_at("pts", 1), F.element_at("pts", -1)
     gaps = F.transform(F.slice("pts", 2, F.greatest(F.size("pts") - 1, F.lit(0))), lambda q, i: q["x"] - F.get("pts", i)["x"])
-    return own.select(
-        key, "t", "v", "pts", F.size("pts").alias("n"), (last["x"] - first["x"]).alias("span_h"),
+    return windows.select(
+        "*", F.size("pts").alias("n"), (last["x"] - first["x"]).alias("span_h"),
         F.coalesce(F.array_max(gaps), F.lit(0.0)).alias("max_gap_h"), last["y"].alias("last_v"),
     )
 

@@ -6,6 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fluvion.functions.clocks import hours_between, plus_hours
+from fluvion.operators import trend
+from fluvion.operators.sinks import MAX_FILE_RECORDS
+
 
 def projection_state(families: Sequence[tuple[str, DataFrame, str]]) -> DataFrame:
     """Per family: rows, and rows visible at their own evidence clock."""
@@ -63,6 +67,31 @@ def disclosure(evaluations: DataFrame, mode: str) -> DataFrame:
     )
 
 
+def grid_trends(series: DataFrame, grid: tuple[str, str, int], key: str = "site", window_h: float = trend.WINDOW_H) -> DataFrame:
+    """Six-hour trend at every grid instant that any reading is near: (key, as_of, trend_direction, trend_refusal).
+
+    ``series``: key, t, v; one row per cadence step. Each reading goes to the grid instants whose closed window
+    [as_of - window, as_of] holds it, so a window is bounded by its length over the cadence.
+    """
+    t0, t1 = (F.lit(x).cast("timestamp") for x in grid[:2])
+    n_slots = F.floor(hours_between(t1, t0) / grid[2]).cast("int")
+    age = hours_between(F.col("t"), t0)
+    first, last = F.greatest(F.lit(0), F.ceil(age / grid[2]).cast("int")), F.least(n_slots, F.floor((age + window_h) / grid[2]).cast("int"))
+    near = series.filter((F.col("t") <= t1) & (F.col("t") >= plus_hours(t0, -window_h)))
+    seen = near.select(key, "t", "v", F.explode(F.when(first <= last, F.sequence(first, last))).alias("slot"))
+    as_of = plus_hours(t0, F.col("slot") * grid[2])
+    pts = seen.withColumn("as_of", as_of).select(key, "as_of", F.struct(hours_between(F.col("t"), F.col("as_of")).alias("x"), F.col("v").alias("y")).alias("p"))
+    w = trend.window_shape(pts.groupBy(key, "as_of").agg(F.sort_array(F.collect_list("p")).alias("pts")))
+    e = trend.estimate(w, F.lit("FLUVIAL"), F.lit("flow"))
+    return e.select(key, "as_of", F.col("direction").alias("trend_direction"), F.col("refusal").alias("trend_refusal"))
+
+
+def with_trends(evals: DataFrame, trends: DataFrame, key: str = "site") -> DataFrame:
+    """Evaluations with the trend at their instant; where no reading was near, it is unknown."""
+    j = evals.join(trends.select(key, "as_of", "trend_direction"), [key, "as_of"], "left")
+    return j.withColumn("trend_direction", F.coalesce("trend_direction", F.lit("unknown")))
+
+
 def evaluations(ranked_days: DataFrame, grid: tuple[str, str, int], event: tuple[str, str], max_age_h: float = 48.0) -> DataFrame:
     """One row per (site, evaluation time, arm).
 
@@ -175,5 +204,5 @@ def base_rate(ranked_days: DataFrame, skip: int = 3) -> DataFrame:
 
 
 def write_evaluations(evals: DataFrame, path: str) -> None:
-    """Evaluations partitioned by arm, so that rules can be applied again without a replay."""
-    evals.repartition("arm", F.pmod(F.hash("site"), F.lit(32))).write.mode("errorifexists").partitionBy("arm").parquet(path)
+    """Evaluations partitioned by arm, so that rules can be applied again without a replay; an arm is split by its size."""
+    evals.hint("rebalance", F.col("arm")).write.mode("errorifexists").option("maxRecordsPerFile", MAX_FILE_RECORDS).partitionBy("arm").parquet(path)

@@ -10,6 +10,7 @@ from fluvion.sources.documents import accepted, parse_json, refuse
 
 # Fixed values.
 PARAMETERS = {"00065": "stage", "00060": "flow"}
+DISCHARGE, DAILY_MEAN = "00060", "00003"
 NO_DATA = -999999.0
 THRESHOLD_SENTINEL = -9999.0
 PERCENTILE_COLUMNS = ("p05_va", "p10_va", "p25_va", "p50_va", "p75_va", "p90_va", "p95_va")
@@ -97,9 +98,13 @@ def daily_rows(files: DataFrame) -> DataFrame:
 
 
 def latest_daily(docs: DataFrame) -> DataFrame:
-    """Latest complete daily mean of many sites in one document."""
+    """Latest complete daily mean discharge of many sites in one document; other parameters and statistics are not read.
+
+    A feature without a statistic is a daily mean.
+    """
     df = accepted(parse_json(docs, CONTINUOUS))
     p = df.select(F.explode("doc.features").alias("f")).select("f.properties.*")
+    p = p.filter((F.col("parameter_code") == DISCHARGE) & (F.coalesce("statistic_id", F.lit(DAILY_MEAN)) == DAILY_MEAN))
     return p.select(
         F.substring_index("monitoring_location_id", "-", -1).alias("site"), F.to_date("time").alias("day"), number(F.col("value")).alias("value"), F.col("approval_status").alias("approval")
     )

@@ -10,10 +10,13 @@ from fluvion.sources.documents import accepted, parse_json, refuse
 
 # The line formats of the bulletins and listings.
 WMO_LINE = r"(?m)^([A-Z]{4}\d{2}) ([A-Z]{4}) (\d{6})(?: ([A-Z]{3}))?\s*$"
+PRODUCT_LINE = r"\A\n*([A-Z][A-Z0-9]{3,8})[ \t]*(?:\n|\z)"
 UGC_LINE = r"(?m)^([A-Z]{2}[CZ]\d{3}(?:[->][A-Z0-9]{3,6})*-)\s*$"
 PVTEC_LINE = r"(?m)^/[OTEX]\.([A-Z]{3})\.([A-Z]{4})\.([A-Z]{2})\.([A-Z])\.(\d{4})\.(\d{6}T\d{4}Z)-(\d{6}T\d{4}Z)/\s*$"
 HVTEC_LINE = r"(?m)^/([A-Z0-9]{5})\.([0-3NU])\.([A-Z]{2})\.(\d{6}T\d{4}Z)\.(\d{6}T\d{4}Z)\.(\d{6}T\d{4}Z)\.([A-Z]{2})/\s*$"
 FORECAST_BULLET = r"(?m)^[ \t]*(- Forecast[^\n]*(?:\n(?![ \t]*(?:- |\*|&&|\$\$|$))[^\n]*)*)"
+FLOOD_LEVEL = r"\bFlood (?:stage|flow) is (\d[\d,]*(?:\.\d+)?)\s+(?:feet|cfs)\b"
+OBSERVED = r"\bthe (?:stage|flow) was (\d[\d,]*(?:\.\d+)?)\s+(?:feet|cfs)\b"
 MENTION = r"\b(?:to|of)\s+(?:a crest of\s+)?(\d[\d,]*(?:\.\d+)?)\s+(feet|cfs)\b"
 TRANSMISSION_END = "\x01"
 SEGMENT_END = r"(?m)^\s*\$\$\s*$"
@@ -33,23 +36,31 @@ def mention_values(text: Column) -> Column:
 
 
 def bulletins(docs: DataFrame) -> DataFrame:
-    """Products of each transmission with their header, refused without one."""
+    """Products of each transmission with their header; refused without a heading, without a product line
+    right below it, or with several hydrologic event lines in one segment."""
     chunks = F.filter(F.split("content", TRANSMISSION_END), lambda c: F.length(F.trim(c)) > 0)
     p = docs.select("path", F.posexplode(chunks).alias("product_no", "text")).withColumn("refusal", F.lit(None).cast("string"))
     p = p.withColumn("text", F.regexp_replace("text", "[\r\x03]", "")).withColumn("wmo", F.nullif(F.regexp_extract("text", WMO_LINE, 3), F.lit("")))
-    return refuse(p, F.col("wmo").isNull(), "no_heading")
+    below = F.get(F.split("text", WMO_LINE, 2), F.lit(1))
+    p = refuse(p, F.col("wmo").isNull(), "no_heading").withColumn("pil", F.nullif(F.regexp_extract(below, PRODUCT_LINE, 1), F.lit("")))
+    p = refuse(p, F.col("pil").isNull(), "no_product_line")
+    # what stands before the first zone line belongs to no segment
+    bodies = F.transform(F.split("text", SEGMENT_END), lambda s: F.get(F.split(s, UGC_LINE, 2), F.lit(1)))
+    return refuse(p, F.exists(bodies, lambda s: F.coalesce(F.regexp_count(s, F.lit(HVTEC_LINE)), F.lit(0)) > 1), "several_event_lines")
 
 
 def segments(products: DataFrame) -> DataFrame:
-    """Segments with event codes, the forecast bullet and its crest (largest number mentioned)."""
-    s = accepted(products).select("path", "product_no", "wmo", F.posexplode(F.split("text", SEGMENT_END)).alias("segment_no", "body"))
+    """Segments with all their event codes, flood level, observed value, the forecast bullet and its crest (largest number mentioned)."""
+    s = accepted(products).select("path", "product_no", "wmo", "pil", F.posexplode(F.split("text", SEGMENT_END)).alias("segment_no", "body"))
     s = s.withColumn("ugc", F.nullif(F.regexp_extract("body", UGC_LINE, 1), F.lit(""))).filter(F.col("ugc").isNotNull())
     h = lambda i: F.nullif(F.regexp_extract("body", HVTEC_LINE, i), F.lit(""))
     bullet = F.nullif(F.regexp_extract("body", FORECAST_BULLET, 1), F.lit(""))
     s = s.withColumn("forecast_text", bullet).withColumn("mentions", mention_values(F.coalesce(F.col("forecast_text"), F.lit(""))))
+    first = lambda pattern: number_token(F.nullif(F.regexp_extract("body", pattern, 1), F.lit("")))
+    actions = F.regexp_extract_all("body", F.lit(PVTEC_LINE), F.lit(1))
     return s.select(
-        "path", "product_no", "wmo", "segment_no", "ugc", h(1).alias("lid"), h(2).alias("severity"), vtec_time(h(5)).alias("crest_time"), vtec_time(h(4)).alias("begin_time"),
-        F.nullif(F.regexp_extract("body", PVTEC_LINE, 1), F.lit("")).alias("action"), "forecast_text", "mentions", F.array_max("mentions").alias("crest"),
+        "path", "product_no", "wmo", "pil", "segment_no", "ugc", h(1).alias("lid"), h(2).alias("severity"), vtec_time(h(5)).alias("crest_time"), vtec_time(h(4)).alias("begin_time"),
+        actions.alias("actions"), first(FLOOD_LEVEL).alias("flood_stage"), first(OBSERVED).alias("observed"), "forecast_text", "mentions", F.array_max("mentions").alias("crest"),
     )
 
 
@@ -95,9 +106,17 @@ def reservoir_rows(parsed: DataFrame) -> DataFrame:
 LISTING = "Contents: array<struct<Key: string, LastModified: string, Size: bigint>>"
 
 
+def listing_pages(docs: DataFrame) -> DataFrame:
+    """Parsed listing pages; content that is not a listing, or holds an object without a key, is refused. A page may be empty."""
+    parsed = docs.withColumn("page", F.from_xml("content", f"struct<{LISTING}>")).withColumn("refusal", F.lit(None).cast("string"))
+    shaped = F.coalesce(F.col("content").rlike(r"(?s)<ListBucketResult\b.*(?:</ListBucketResult>|/>)\s*\z"), F.lit(False))
+    parsed = refuse(parsed, F.col("page").isNull() | ~shaped, "malformed")
+    return refuse(parsed, F.exists("page.Contents", lambda o: o["Key"].isNull()), "missing_key")
+
+
 def listing(docs: DataFrame) -> DataFrame:
-    """Objects of a listing page: valid time out of the key, publication time from last-modified."""
-    o = docs.select(F.explode(F.from_xml("content", f"struct<{LISTING}>")["Contents"]).alias("o"))
+    """Objects of the listing pages that can be read: valid time out of the key, publication time from last-modified."""
+    o = accepted(listing_pages(docs)).select(F.explode("page.Contents").alias("o"))
     stamp = F.nullif(F.regexp_extract("o.Key", STAMP, 1), F.lit(""))
     return o.select(
         F.col("o.Key").alias("key"), F.try_to_timestamp(stamp, F.lit("yyyyMMdd-HHmmss")).alias("valid_time"), parse_instant(F.col("o.LastModified")).alias("modified_at"), F.col("o.Size").alias("size_bytes")

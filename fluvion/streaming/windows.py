@@ -29,8 +29,9 @@ def hourly(stream: DataFrame, scope: str, instant: str, value: str, lateness: st
 def rates(stream: DataFrame, scope: str, instant: str, value: str, lateness: str, basis: Column) -> DataFrame:
     """Six-hour rate of rise every 15 minutes.
 
-    The first window reduces the stream to its cadence, so the second holds at most 24 readings
-    per scope; the slope is then computed over that array in the row.
+    The first window reduces the stream to its cadence, so the second holds at most 25 readings
+    per scope: those from six hours before its last instant up to and with that instant, the same closed
+    window as in `trend.trailing_windows`. The slope is then computed over that array in the row.
     """
     bins = (
         stream.withWatermark(instant, lateness)
@@ -38,13 +39,13 @@ def rates(stream: DataFrame, scope: str, instant: str, value: str, lateness: str
         .agg(F.max(value).alias("v"))
         .select(scope, F.window_time("bin").alias("t"), F.col("bin.start").alias("at"), "v")
     )
-    w = bins.groupBy(scope, F.window("t", "6 hours", "15 minutes").alias("w")).agg(
+    w = bins.groupBy(scope, F.window("t", "375 minutes", "15 minutes").alias("w")).agg(
         F.sort_array(F.collect_list(F.struct((F.unix_timestamp("at") / 3600.0).alias("x"), F.col("v").alias("y")))).alias("pts")
     )
     first, last = F.element_at("pts", 1), F.element_at("pts", -1)
     gaps = F.transform(F.slice("pts", 2, F.greatest(F.size("pts") - 1, F.lit(0))), lambda q, i: q["x"] - F.get("pts", i)["x"])
     shaped = w.select(
-        scope, F.col("w.end").alias("window_end"), "pts", F.size("pts").alias("n"), (last["x"] - first["x"]).alias("span_h"),
+        scope, (F.col("w.end") - F.expr("interval 15 minutes")).alias("window_end"), "pts", F.size("pts").alias("n"), (last["x"] - first["x"]).alias("span_h"),
         F.coalesce(F.array_max(gaps), F.lit(0.0)).alias("max_gap_h"), last["y"].alias("last_v"),
     )
     refusal = trend.window_refusal()

@@ -103,7 +103,7 @@ def test_streamed_rates_match_the_windows(spark, landing):
     seen = spark.read.parquet(str(tmp / "rates")).filter("refusal = 'ok'").collect()
     assert len(seen) > 50
     for row in seen:
-        win = sorted((t, v) for t, v in pts[row.station].items() if row.window_end - timedelta(hours=6) <= t < row.window_end)
+        win = sorted((t, v) for t, v in pts[row.station].items() if row.window_end - timedelta(hours=6) <= t <= row.window_end)
         x = np.array([t.timestamp() / 3600 for t, _ in win])
         y = np.array([v for _, v in win])
         inner = [np.median([(y[j] - y[i]) / (x[j] - x[i]) for j in range(len(x)) if j != i]) for i in range(len(x))]

@@ -1,12 +1,17 @@
 """Small inputs that must not be lost, linked wrongly or averaged away."""
 
+import json
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
-from fluvion.operators import joins, revisions, zonal
+from fluvion.catalog import registry
+from fluvion.operators import joins, revisions, trend, zonal
+from fluvion.plans import replay
 from fluvion.session import shared_dir
-from fluvion.sources import forecasts
-from fluvion.streaming import ingest
+from fluvion.sources import documents, forecasts, gauges, notices
+from fluvion.streaming import ingest, windows
 
 
 def test_revision_links_name_written_rows(spark):
@@ -57,3 +62,63 @@ def test_store_errors_are_not_an_empty_store(spark):
     spark.range(3).write.parquet(f"{clash}/part=1")
     with pytest.raises(Exception):
         ingest.earlier_batches(spark, clash, 1, like).count()
+
+
+def test_tie_term_only_in_rounding():
+    assert registry.with_ties("round(a, 6)") == "round(a + 1e-09, 6)"
+    assert registry.with_ties("round(sum(greatest(x, 6)), 6), pmod(x, 6)") == "round(sum(greatest(x, 6)) + 1e-09, 6), pmod(x, 6)"
+
+
+def test_latest_daily_reads_only_mean_discharge(spark):
+    f = lambda code, stat, v: {"properties": {"monitoring_location_id": "USGS-1", "parameter_code": code, "statistic_id": stat, "time": "2024-01-01", "value": v}}
+    page = {"features": [f("00060", "00003", "5"), f("00060", None, "6"), f("00060", "00001", "7"), f("00065", "00003", "8")]}
+    docs = spark.createDataFrame([("p", json.dumps(page))], "path string, content string")
+    assert sorted(r.value for r in gauges.latest_daily(docs).collect()) == [5.0, 6.0]
+
+
+def test_bulletins_are_refused_not_guessed(spark):
+    event = "/ABCW1.2.ER.251209T1701Z.251210T1200Z.251211T0000Z.NO/\n"
+    head, zone = "WGUS46 KSEW 091701\n", "WAC033-\n"
+    texts = {
+        "good": head + "FLWSEW\n\n" + zone + "/O.CAN.KSEW.FL.W.0041.251209T1701Z-000000T0000Z/\n/O.NEW.KSEW.FL.W.0042.251209T1701Z-000000T0000Z/\n" + event + "* At noon the stage was 9.5 feet.\n* Flood stage is 10.0 feet.\n$$\n",
+        "no_product_line": head + "\nnot a name\n" + zone + event + "$$\n",
+        "several_event_lines": head + "FLWSEW\n" + zone + event + event + "$$\n",
+        "two_segments": head + "FLWSEW\n" + event + zone + event + "$$\n" + zone + event + "$$\n",
+        "no_heading": "FLWSEW\n",
+    }
+    products = notices.bulletins(spark.createDataFrame(list(texts.items()), "path string, content string"))
+    assert {r.path: r.refusal for r in products.collect()} == {k: None if k in ("good", "two_segments") else k for k in texts}
+    s = notices.segments(products).filter("path = 'good'").first()
+    assert (s.pil, s.actions, s.observed, s.flood_stage, s.lid) == ("FLWSEW", ["CAN", "NEW"], 9.5, 10.0, "ABCW1")
+
+
+def test_broken_listing_is_refused(spark):
+    whole = "<ListBucketResult><Contents><Key>a/20240101-000000.grib2</Key><LastModified>2024-01-01T00:00:00Z</LastModified><Size>3</Size></Contents></ListBucketResult>"
+    rows = [("whole", whole), ("cut", whole[:-30]), ("other", "<Error/>"), ("text", "no"), ("null", None), ("empty", "<ListBucketResult></ListBucketResult>"), ("keyless", whole.replace("<Key>a/20240101-000000.grib2</Key>", ""))]
+    pages = spark.createDataFrame(rows, "path string, content string")
+    refused = {r.path: r.refusal for r in documents.refusals(notices.listing_pages(pages)).collect()}
+    assert refused == {"cut": "malformed", "other": "malformed", "text": "malformed", "null": "malformed", "keyless": "missing_key"}
+    assert [r.size_bytes for r in notices.listing(pages).collect()] == [3]
+
+
+def test_grid_trend_sees_its_closed_window_only(spark):
+    t0 = datetime(2024, 1, 1)
+    rows = [(1, t0 + timedelta(minutes=15 * i), float(i) * 100) for i in range(24 * 4 + 1)]
+    rows += [(2, t0 + timedelta(hours=h), 1.0) for h in (0, 5, 6)]
+    series = spark.createDataFrame(rows, "site long, t timestamp, v double")
+    got = {(r.site, r.as_of): (r.trend_direction, r.trend_refusal) for r in replay.grid_trends(series, ("2024-01-01 00:00:00", "2024-01-02 12:00:00", 12)).collect()}
+    assert got[1, t0] == ("unknown", "INSUFFICIENT_OBSERVATIONS") and got[1, t0 + timedelta(hours=12)] == ("rising", "ok")
+    assert got[1, t0 + timedelta(hours=24)] == ("rising", "ok") and (1, t0 + timedelta(hours=36)) not in got
+    assert (2, t0 + timedelta(hours=12)) in got and got[2, t0 + timedelta(hours=12)][0] == "unknown"
+
+
+def test_streamed_rates_are_the_batch_rates(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i % 2, t0 + timedelta(minutes=15 * (i // 2)), float(i * i % 91)) for i in range(160)], "station long, t timestamp, v double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = ingest.open_stream(spark, str(tmp_path / "in"), df.schema)
+    ingest.run_to_table(windows.rates(s, "station", "t", "v", "1 hour", F.lit("flow")), str(tmp_path / "cp"), str(tmp_path / "out"))
+    batch = {(r.station, r.t): r.repeated_median_slope for r in trend.slopes(trend.trailing_windows(df), ("repeated_median",)).collect()}
+    seen = {(r.station, r.window_end): r.slope for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    shared = seen.keys() & batch.keys()
+    assert len(shared) > 80 and all(seen[k] == pytest.approx(batch[k]) for k in shared)
