@@ -115,13 +115,12 @@ def g8(t):
       SELECT side, station, count(*) AS n FROM (SELECT 'only_left' AS side, * FROM (SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL SELECT 'only_right', * FROM (SELECT * FROM r EXCEPT SELECT * FROM l) UNION ALL SELECT 'both', * FROM (SELECT * FROM l INTERSECT SELECT * FROM r)) GROUP BY ALL""",
 )
 def h1(t):
-    left, right = (x.select(*KEY) for x in transports(t))
-    parts = [("only_left", left.subtract(right)), ("only_right", right.subtract(left)), ("both", left.intersect(right))]
-    out = None
-    for side, df in parts:
-        df = df.select(F.lit(side).alias("side"), "station")
-        out = df if out is None else out.unionByName(df)
-    return out.groupBy("side", "station").agg(F.count(F.lit(1)).alias("n"))
+    """The difference both ways and the intersection of two key sets, from one pass over either side."""
+    left, right = transports(t)
+    sides = left.select(*KEY, F.lit(True).alias("l"), F.lit(False).alias("r")).unionByName(right.select(*KEY, F.lit(False).alias("l"), F.lit(True).alias("r")))
+    per = sides.groupBy(*KEY).agg(F.bool_or("l").alias("l"), F.bool_or("r").alias("r"))
+    side = F.when(~F.col("r"), "only_left").when(~F.col("l"), "only_right").otherwise("both")
+    return per.groupBy(side.alias("side"), "station").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

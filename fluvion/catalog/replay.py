@@ -20,6 +20,7 @@ SERIES_SHIFT_DAYS = 8306  # moves the event calendar into the replayed one
 BINDINGS["b_cday"] = f"SELECT * FROM b_day WHERE day < DATE '{CUTOFF}'"
 BINDINGS["b_cwin"] = BINDINGS["b_win"].replace("b_day", "b_cday")
 BINDINGS["b_clad"] = BINDINGS["b_lad"].replace("b_win", "b_cwin")
+BINDINGS["b_cctx"] = BINDINGS["b_ctx"].replace("b_win", "b_cwin")
 BINDINGS["b_cgrow"] = BINDINGS["b_growth"].replace(ratio_sql(1), ratio_sql(1).replace("b_day", "b_cday"))
 DIR = lambda g, h: f"CASE WHEN {g} IS NULL THEN 'unknown' WHEN {g} BETWEEN 1 / power(1.01::DOUBLE, {h}) AND power(1.01::DOUBLE, {h}) THEN 'steady' WHEN {g} > 1 THEN 'rising' ELSE 'falling' END"
 BINDINGS["b_rk"] = f"""SELECT d.site, d.day, d.value, round({pct_case('d.value')} + 1e-9, 1) AS percentile, {DIR('d.value / a.value', 24)} AS d24, {DIR('d.value / b.value', 48)} AS d48, (d.day + 1)::TIMESTAMP AS valid_time, (d.day + 1)::TIMESTAMP + to_hours(CAST(d.site % 3 * 12 AS INTEGER)) AS available_at,
@@ -106,13 +107,15 @@ def e20(t):
 
 @query(
     "L9_reference_at_cutoff",
-    f"SELECT site, key, n, round(p50, 6) AS p50, round(p95, 6) AS p95, '{CUTOFF} 00:00:00' AS known_from FROM b_clad",
+    f"""SELECT l.site, l.key, l.n, round(p50, 6) AS p50, round(p95, 6) AS p95, CAST(c.water_years AS INTEGER) AS water_years, round(c.maximum, 6) AS maximum, round(c.tail_floor, 6) AS tail_floor, CAST(c.tail_years AS INTEGER) AS tail_years, g.n AS growth_n, g.floor AS growth_floor, '{CUTOFF} 00:00:00' AS known_from
+      FROM b_clad l JOIN b_cctx c ON c.site = l.site AND c.key = l.key LEFT JOIN (SELECT site, any_value(n) AS n, min(growth) AS floor FROM b_cgrow GROUP BY ALL) g ON g.site = l.site""",
 )
 def l9(t):
-    """Reference rebuilt from the days before a cutoff, stamped with the clock at which it became known."""
-    daily = t.daily_key(t.daily_means())
-    lad = doy.ladder(daily.filter(F.col("day") < F.lit(CUTOFF).cast("date")))
-    return lad.select("site", F.col("key").cast("long").alias("key"), "n", "p50", "p95", F.lit(CUTOFF).cast("timestamp").alias("known_from"))
+    """Ladder, record support and growth reference from the days before a cutoff, stamped with the clock at which they became known."""
+    before = t.daily_key(t.daily_means()).filter(F.col("day") < F.lit(CUTOFF).cast("date"))
+    growth = doy.growth_reference(before, 24).groupBy("site").agg(F.max("n").alias("growth_n"), F.min("growth").alias("growth_floor"))
+    out = doy.reference(before).join(growth, "site", "left")
+    return out.select("site", F.col("key").cast("long").alias("key"), "n", "p50", "p95", "water_years", "maximum", "tail_floor", "tail_years", "growth_n", "growth_floor", F.lit(CUTOFF).cast("timestamp").alias("known_from"))
 
 
 @query(

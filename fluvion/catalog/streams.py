@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from fluvion.catalog.registry import query
+from fluvion.catalog.registry import BINDINGS, query
 from fluvion.functions import flood
 from fluvion.operators import precipitation
 from fluvion.session import shared_dir
@@ -14,6 +14,10 @@ from fluvion.streaming import ingest, windows
 SLICES, FILES = 5, 4
 
 
+BINDINGS["b_land"] = f"""SELECT *, CAST(least((epoch_us(available_at) - lo) // ((hi - lo) // {SLICES} + 1), {SLICES - 1}) AS INTEGER) AS slice
+  FROM (SELECT *, ts + to_hours(CAST(event_id % 7 AS INTEGER)) AS available_at FROM events), (SELECT min(epoch_us(ts + to_hours(CAST(event_id % 7 AS INTEGER)))) AS lo, max(epoch_us(ts + to_hours(CAST(event_id % 7 AS INTEGER)))) AS hi FROM events)"""
+
+
 class Run:
     """Folders of one run, below the shared directory."""
 
@@ -55,7 +59,12 @@ def j1(t):
     return out.groupBy("event_type", "station", "valid_time").agg(F.min("id").alias("id"))
 
 
-@query("J2_streaming_revisions")
+@query(
+    "J2_streaming_revisions",
+    """WITH a AS (SELECT user_id % 10 AS station, event_type AS variable, CAST(ts AS DATE) AS day, event_id AS id, CAST(floor(value / 40) AS INTEGER) AS state, slice FROM b_land),
+      c AS (SELECT *, lag(state) OVER (PARTITION BY station, variable, day ORDER BY slice, id) IS DISTINCT FROM state AS changed FROM a)
+      SELECT station, variable, CAST(day AS VARCHAR) AS day, id, state, CAST(row_number() OVER w - 1 AS INTEGER) AS revision_seq, lag(id) OVER w AS revises FROM c WHERE changed WINDOW w AS (PARTITION BY station, variable, day ORDER BY slice, id)""",
+)
 def j2(t):
     """Revisions of (station, variable, day): only changes are written, numbered across batches."""
     run = Run(t, "revisions")
@@ -79,7 +88,11 @@ def j3(t):
     )
 
 
-@query("J4_change_events")
+@query(
+    "J4_change_events",
+    """WITH s AS (SELECT event_type || '.' || user_id AS product, slice, max(ts) AS t FROM b_land GROUP BY ALL), p AS (SELECT *, max(t) OVER (PARTITION BY product ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
+      SELECT product, CAST(t AS VARCHAR) AS content_time, CAST(before AS VARCHAR) AS previous, slice AS batch FROM p WHERE slice > 0 AND (before IS NULL OR t > before)""",
+)
 def j4(t):
     """Products whose newest content moved between looks; the first look primes silently."""
     run = Run(t, "changes")

@@ -168,7 +168,9 @@ def forcing_inputs(t):
     extra = F.when(F.col("fp") % 5 == 0, 60).otherwise(12)
     basins = runs.groupBy("fp").agg(F.max("issued_at").alias("last")).select(F.col("fp").alias("basin"), plus_hours(F.col("last"), extra).alias("as_of"))
     names = F.array(*[F.lit(x) for x in ("p50_72h", "p10_72h", "p90_72h", "p50_24h", "det_24h", "det_72h", "snow_p50")])
-    v = t.run_values()
+    # from the headers: only the runs of the last two days before each basin's time have their values joined
+    near = runs.join(basins.select(F.col("basin").alias("fp"), "as_of"), "fp").filter((F.col("issued_at") <= F.col("as_of")) & (F.col("issued_at") >= plus_hours(F.col("as_of"), -forcing.MAX_CYCLE_AGE_H)))
+    v = t.run_values(near.drop("as_of"))
     rows = v.select(F.col("fp").alias("basin"), "issued_at", F.element_at(names, F.col("lead")).alias("feature"), (F.col("stage") * 4).alias("value"))
     # the official side has three windows per cycle, each with its highest value
     official = v.select(F.col("fp").alias("basin"), "issued_at", F.floor((F.col("lead") - 1) / 3).alias("lead"), F.col("stage").alias("value"))
@@ -197,6 +199,8 @@ def l6(t):
 
 # --- agreement ----------------------------------------------------------------------------------
 
+ACTION_FLOW = 30000.0
+
 BINDINGS["b_arun"] = """SELECT fp AS point, run_id, issued_at, issued_at + INTERVAL 6 HOUR AS as_of, issued_at - to_hours(CAST(run_id % 30 AS INTEGER)) AS cycle, 30 + run_id % 60 AS coverage_h FROM b_run QUALIFY row_number() OVER (PARTITION BY fp ORDER BY issued_at DESC, run_id DESC) = 1"""
 BINDINGS["b_aw"] = """SELECT *, greatest(as_of - INTERVAL 6 HOUR, cycle) AS ws, least(as_of + INTERVAL 72 HOUR, cycle + to_hours(CAST(coverage_h AS INTEGER))) AS we FROM b_arun"""
 BINDINGS["b_apt"] = """SELECT point, t, max(v) AS v FROM (SELECT w.point, v.valid_time AS t, v.flow AS v FROM b_aw w JOIN b_val v USING (run_id) WHERE v.valid_time > ws AND v.valid_time <= we) GROUP BY ALL"""
@@ -209,6 +213,8 @@ def shape_sql(src, keys):
 
 
 BINDINGS["b_amem"] = f"SELECT *, count(*) OVER (PARTITION BY point) AS mc, row_number() OVER (PARTITION BY point ORDER BY crest, ct, member) AS pos FROM {shape_sql('b_amp', 'point, member')}"
+BINDINGS["b_aex"] = """SELECT point, exceeds, exceeding, exceeding / members AS fraction FROM (SELECT point, count(*) AS members, CASE WHEN max(crest) >= 90000 THEN 'major' WHEN max(crest) >= 70000 THEN 'moderate' WHEN max(crest) >= 50000 THEN 'minor' ELSE 'action' END AS exceeds,
+  CASE WHEN max(crest) >= 90000 THEN count_if(crest >= 90000) WHEN max(crest) >= 70000 THEN count_if(crest >= 70000) WHEN max(crest) >= 50000 THEN count_if(crest >= 50000) ELSE count_if(crest >= 30000) END AS exceeding FROM b_amem GROUP BY ALL)"""
 FCAT = lambda v: f"CASE WHEN {v} >= 90000 THEN 4 WHEN {v} >= 70000 THEN 3 WHEN {v} >= 50000 THEN 2 WHEN {v} >= 30000 THEN 1 ELSE 0 END"
 BINDINGS["b_agree"] = f"""SELECT point, CASE WHEN reason <> 'ok' THEN 'unknown' WHEN abs(delta) <= 0.25 AND coalesce(dt <= 6, true) AND steps = 0 AND NOT disagree AND NOT opposed THEN 'high' WHEN abs(delta) <= 0.6 AND coalesce(dt <= 18, true) AND steps <= 1 THEN 'moderate' ELSE 'low' END AS state, reason,
   CASE WHEN reason = 'ok' THEN delta END AS delta, CASE WHEN reason = 'ok' THEN dt END AS timing_h, CASE WHEN reason = 'ok' THEN steps END AS steps, o_crest, o_ct, o_shape, m_crest, m_ct, m_shape, member, mc, shared_h, lost_h, age_h, o_step, m_step,
@@ -230,16 +236,16 @@ def agreement_rows(t):
     v = t.run_values(latest).select(F.col("fp").alias("point"), "valid_time", "member", "flow")
     official = v.groupBy("point", F.col("valid_time").alias("t")).agg(F.max("flow").alias("v"))
     members = v.groupBy("point", "member", F.col("valid_time").alias("t")).agg(F.max("flow").alias("v"))
-    flow_levels = {k: F.lit(x) for k, x in (("action", 30000.0), ("minor", 50000.0), ("moderate", 70000.0), ("major", 90000.0))}
-    return comparison.assess(pts.drop("run_id"), official, members, flow_levels, F.lit(30000.0))
+    flow_levels = {k: F.lit(x) for k, x in (("action", ACTION_FLOW), ("minor", 50000.0), ("moderate", 70000.0), ("major", 90000.0))}
+    return comparison.assess(pts.drop("run_id"), official, members, flow_levels, F.lit(ACTION_FLOW))
 
 
 @query(
     "L5_agreement",
-    """SELECT point, state, reason, round(delta, 6) AS delta, timing_h, steps, o_crest, o_shape, round(m_crest, 6) AS m_crest, m_shape, member, round(shared_h, 6) AS shared_h, quality FROM b_agree""",
+    """SELECT point, state, reason, round(delta, 6) AS delta, timing_h, steps, o_crest, o_shape, round(m_crest, 6) AS m_crest, m_shape, member, round(shared_h, 6) AS shared_h, quality, exceeds, exceeding, round(fraction, 6) AS fraction FROM b_agree LEFT JOIN b_aex USING (point)""",
 )
 def l5(t):
-    return agreement_rows(t).select("point", "state", "reason", "delta", "timing_h", "steps", "o_crest", "o_shape", "m_crest", "m_shape", "member", "shared_h", "quality")
+    return agreement_rows(t).select("point", "state", "reason", "delta", "timing_h", "steps", "o_crest", "o_shape", "m_crest", "m_shape", "member", "shared_h", "quality", "exceeds", "exceeding", "fraction")
 
 
 @query("D16_official_vs_model_window", """SELECT point, o_crest, CAST(o_ct AS VARCHAR) AS o_crest_time, round(m_crest, 6) AS m_crest, CAST(m_ct AS VARCHAR) AS m_crest_time, round(lost_h, 6) AS lost_tail_h, age_h AS cycle_age_h FROM b_agree""")
@@ -267,16 +273,28 @@ def l27(t):
     return comparison.drivers(a.withColumn("o_crest", F.col("o_crest") + 1e-9).withColumn("m_crest", F.col("m_crest") + 1e-9))
 
 
-@query("I21_agreement_sentences")
+PCT_SQL = "CAST(round(abs(delta) * 100) AS BIGINT)"
+DIFF_SQL = "CAST(round(abs(m_crest - o_crest)) AS BIGINT)"
+
+
+@query(
+    "I21_agreement_sentences",
+    f"""SELECT point, concat('The median model member peaks ', CASE WHEN o_crest >= 30000 AND abs(delta) * 100 < 1 THEN 'within 1% of' WHEN o_crest >= 30000 THEN concat({PCT_SQL}, '% ', CASE WHEN delta > 0 THEN 'above' ELSE 'below' END) WHEN {DIFF_SQL} = 0 THEN 'within 1 cfs of' ELSE concat(format('{{:,}}', {DIFF_SQL}), ' cfs ', CASE WHEN m_crest > o_crest THEN 'above' ELSE 'below' END) END,
+        ' the official forecast', CASE WHEN o_crest < 30000 THEN concat(' (', CASE WHEN abs(delta) * 100 < 1 THEN 'under 1' ELSE CAST({PCT_SQL} AS VARCHAR) END, '% of the action flow of 30,000 cfs)') ELSE '' END, ', and ',
+        CASE WHEN timing_h < 0.5 THEN 'crests at the same time' WHEN timing_h IS NOT NULL THEN concat('crests ', CAST(round(timing_h) AS BIGINT), ' h ', CASE WHEN m_ct > o_ct THEN 'later' ELSE 'earlier' END) WHEN (o_shape = 'crest') <> (m_shape = 'crest') THEN 'only one of the two crests inside this window' ELSE concat('neither crests inside this window (official ', o_shape, ', model ', m_shape, ')') END,
+        coalesce('; ' || nullif(CASE WHEN c1 IS NOT NULL AND c2 IS NOT NULL THEN c1 || ' and ' || c2 ELSE concat_ws(' and ', c1, c2, c3) END, ''), ''), '.') AS sentence
+      FROM (SELECT *, CASE WHEN contains(quality, 'window_truncated_by_model_coverage') THEN concat('the model covers only the first ', CAST(round(shared_h) AS BIGINT), ' h of that window') END AS c1, CASE WHEN contains(quality, 'members_identical_in_window') THEN concat('all ', mc, ' members reach the same peak') END AS c2,
+        CASE WHEN contains(quality, 'official_series_coarser_than_model') THEN 'the official series is coarser than the model''s' END AS c3 FROM b_agree WHERE reason = 'ok')""",
+)
 def i21(t):
     a = agreement_rows(t).filter("reason = 'ok'")
     caveats = [
-        F.when(F.array_contains("quality", "window_truncated_by_model_coverage"), F.format_string("the model covers only the first %.0f h of that window", "shared_h")),
+        F.when(F.array_contains("quality", "window_truncated_by_model_coverage"), F.format_string("the model covers only the first %d h of that window", F.round("shared_h").cast("long"))),
         F.when(F.array_contains("quality", "members_identical_in_window"), F.format_string("all %d members reach the same peak", "member_count")),
         F.when(F.array_contains("quality", "official_series_coarser_than_model"), F.lit("the official series is coarser than the model's")),
     ]
     timing = labels.timing_phrase(F.col("timing_h"), F.col("m_crest_time") > F.col("o_crest_time"), F.col("o_shape"), F.col("m_shape"))
-    return a.select("point", labels.explain("The median model member", F.col("delta"), timing, caveats).alias("sentence"))
+    return a.select("point", labels.explain("The median model member", F.col("delta"), timing, caveats, F.col("m_crest") - F.col("o_crest"), F.when(F.col("o_crest") < ACTION_FLOW, F.lit(ACTION_FLOW))).alias("sentence"))
 
 
 # --- basins -------------------------------------------------------------------------------------
@@ -407,11 +425,11 @@ def l17(t):
 )
 def l18(t):
     """Retained cycles that are not stored yet, encoded per series and linked to the cycle they supersede."""
-    v = t.run_values()
-    retained = v.groupBy("run_id", "fp", "issued_at").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    # what is missing is decided on the headers; the values of those runs are then read once
+    retained = t.forecast_runs().select("run_id", "fp", "issued_at")
     stored = retained.filter("run_id % 3 = 0").select("run_id")
     missing = retained.join(stored, "run_id", "left_anti")
-    series = v.join(missing.select("run_id"), "run_id", "left_semi").groupBy("run_id", F.col("valid_time").alias("t")).agg(F.max("flow").alias("v"))
+    series = t.run_values(missing).groupBy("run_id", F.col("valid_time").alias("t")).agg(F.max("flow").alias("v"))
     enc = hydrograph.encode(series, ["run_id"]).select("run_id", "encoding")
     return revisions.link_supersession(missing.join(enc, "run_id"), ["fp"]).select("run_id", "fp", "encoding", "supersedes")
 

@@ -33,24 +33,36 @@ def visual_intensity(percentile: Column, valid_time: Column, now: Column) -> Col
     return F.when(fresh, F.round(percentile, 1) / 100.0)
 
 
-def magnitude_phrase(delta: Column) -> Column:
-    pct = F.abs(delta) * 100
+def magnitude_phrase(delta: Column, difference: Column, floor: Column) -> Column:
+    """How far the crests are apart: per cent of the official one, or flow where a floor was the denominator."""
+    pct, size = F.abs(delta) * 100, F.round(F.abs(difference)).cast("long")
     side = F.when(delta > 0, "above").otherwise("below")
-    return F.when(pct < 1, F.lit("within 1% of")).otherwise(F.format_string("%.0f%% %s", pct, side))
+    relative = F.when(pct < 1, F.lit("within 1% of")).otherwise(F.format_string("%d%% %s", F.round(pct).cast("long"), side))
+    return F.when(floor.isNull(), relative).when(size == 0, F.lit("within 1 cfs of")).otherwise(F.format_string("%,d cfs %s", size, side))
+
+
+def basis_phrase(delta: Column, floor: Column) -> Column:
+    """Names the denominator of the percentage where it is the action flow and not the official crest."""
+    pct = F.abs(delta) * 100
+    shown = F.when(pct < 1, F.lit("under 1")).otherwise(F.round(pct).cast("long").cast("string"))
+    return F.when(floor.isNull(), F.lit("")).otherwise(F.format_string(" (%s%% of the action flow of %,d cfs)", shown, F.round(floor).cast("long")))
 
 
 def timing_phrase(timing_h: Column, later: Column, official_shape: Column, model_shape: Column) -> Column:
     one_only = (official_shape == "crest") != (model_shape == "crest")
     return (
         F.when(timing_h < 0.5, F.lit("crests at the same time"))
-        .when(timing_h.isNotNull(), F.format_string("crests %.0f h %s", timing_h, F.when(later, "later").otherwise("earlier")))
+        .when(timing_h.isNotNull(), F.format_string("crests %d h %s", F.round(timing_h).cast("long"), F.when(later, "later").otherwise("earlier")))
         .when(one_only, F.lit("only one of the two crests inside this window"))
         .otherwise(F.format_string("neither crests inside this window (official %s, model %s)", official_shape, model_shape))
     )
 
 
-def explain(subject: str, delta: Column, timing: Column, caveats: list[Column]) -> Column:
-    """One sentence: magnitude, timing, and at most two caveats in priority order."""
+def explain(subject: str, delta: Column, timing: Column, caveats: list[Column], difference: Column, floor: Column) -> Column:
+    """One sentence: magnitude and what it is a share of, timing, and at most two caveats in priority order.
+
+    ``floor`` is null where the official crest itself was the denominator of ``delta``.
+    """
     kept = F.slice(F.array_compact(F.array(*caveats)), 1, MAX_CAVEATS)
-    head = F.format_string(f"{subject} peaks %s the official forecast, and %s", magnitude_phrase(delta), timing)
+    head = F.format_string(f"{subject} peaks %s the official forecast%s, and %s", magnitude_phrase(delta, difference, floor), basis_phrase(delta, floor), timing)
     return F.concat(F.concat_ws("; ", head, F.nullif(F.concat_ws(" and ", kept), F.lit(""))), F.lit("."))

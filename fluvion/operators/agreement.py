@@ -19,16 +19,19 @@ PROMINENCE, FLAT = 0.05, 0.05
 MIN_SHARED_H, TRUNCATION_H = 24.0, 1.0
 
 
-def member_exceedance(members: DataFrame, keys: Sequence[str], levels: dict[str, float]) -> DataFrame:
+def member_exceedance(members: DataFrame, keys: Sequence[str], levels: dict[str, float | Column]) -> DataFrame:
     """How many members reach the highest category any member reaches (the lowest when none does).
 
     ``members`` holds one crest per member; the categories are four conditional counts, not a join.
+    Without levels nothing can be exceeded: category and counts are null.
     """
     counts = {c: F.count_if(F.col("crest") >= levels[c]) for c in CATEGORIES if c in levels}
     g = members.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("members"), F.countDistinct("crest").alias("distinct_crests"), *[c.alias(f"_n_{k}") for k, c in counts.items()]
     )
     defined = list(counts)
+    if not defined:
+        return g.select(*keys, "members", "distinct_crests", F.lit(None).cast("string").alias("exceeds"), F.lit(None).cast("long").alias("exceeding"), F.lit(None).cast("double").alias("fraction"))
     cat, n = F.lit(defined[0]), F.col(f"_n_{defined[0]}")
     for c in defined[1:]:
         reached = F.col(f"_n_{c}") > 0

@@ -107,33 +107,30 @@ def lookup(df: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
 
 
 def points_in_rings(points: DataFrame, rings: DataFrame, point_id: str, ring_id: str, cell: float) -> DataFrame:
-    """(point, ring) pairs with the point inside, by even-odd crossing.
+    """(point, ring) pairs with the point inside, by even-odd crossing over all rings of one id (holes included).
 
-    Candidates meet on the grid cells of each ring's bounding box and must lie inside the box; the
-    crossing test then runs over the ring's own edge array inside the row, so no edge is shuffled.
+    Candidates meet on the grid cells of each ring's bounding box and must lie inside the box. Edges are dealt by
+    (ring, row of cells); a candidate meets only those of its own row, and crossings are counted by
+    partial aggregation. No row ever carries a whole ring but the input's own.
     """
     c = lambda v: F.floor(v / cell).cast("int")
     nxt = lambda i: F.get("ring", F.pmod(i + 1, F.size("ring")))
     edge = F.transform("ring", lambda p, i: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), nxt(i)["x"].alias("x2"), nxt(i)["y"].alias("y2")))
-    sided = F.filter(edge, lambda e: e["y1"] != e["y2"])  # level edges are never crossed
+    # level edges are never crossed
+    edges = rings.select(ring_id, F.explode(edge).alias("e")).select(ring_id, "e.*").filter("y1 <> y2")
+    edges = edges.withColumn("_cy", F.explode(F.sequence(c(F.least("y1", "y2")), c(F.greatest("y1", "y2")))))
     bound = lambda f, axis: f(F.transform("ring", lambda p: p[axis]))
-    boxed = (
-        rings.select(
-            ring_id, sided.alias("edges"), bound(F.array_min, "x").alias("x0"), bound(F.array_max, "x").alias("x9"),
-            bound(F.array_min, "y").alias("y0"), bound(F.array_max, "y").alias("y9"),
-        )
-        .withColumn("_cx", F.explode(F.sequence(c(F.col("x0")), c(F.col("x9")))))
-        .withColumn("_cy", F.explode(F.sequence(c(F.col("y0")), c(F.col("y9")))))
+    boxes = rings.groupBy(ring_id).agg(
+        F.min(bound(F.array_min, "x")).alias("x0"), F.max(bound(F.array_max, "x")).alias("x9"), F.min(bound(F.array_min, "y")).alias("y0"), F.max(bound(F.array_max, "y")).alias("y9")
     )
+    boxed = boxes.withColumn("_cx", F.explode(F.sequence(c(F.col("x0")), c(F.col("x9"))))).withColumn("_cy", F.explode(F.sequence(c(F.col("y0")), c(F.col("y9")))))
     probes = points.select(point_id, "x", "y", c(F.col("x")).alias("_cx"), c(F.col("y")).alias("_cy"))
     near = probes.join(boxed, ["_cx", "_cy"]).filter(F.col("x").between(F.col("x0"), F.col("x9")) & F.col("y").between(F.col("y0"), F.col("y9")))
-
-    def crossed(e: Column) -> Column:
-        return ((e["y1"] > F.col("y")) != (e["y2"] > F.col("y"))) & (
-            F.col("x") < (e["x2"] - e["x1"]) * (F.col("y") - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
-        )
-
-    return near.filter(F.size(F.filter("edges", crossed)) % 2 == 1).select(point_id, ring_id)
+    crossed = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (
+        F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    )
+    hits = near.select(point_id, ring_id, "x", "y", "_cy").join(edges, [ring_id, "_cy"]).filter(crossed)
+    return hits.groupBy(point_id, ring_id).agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1").select(point_id, ring_id)
 
 
 def nearest_within(points: DataFrame, vertices: DataFrame, point_id: str, limit_m: float) -> DataFrame:

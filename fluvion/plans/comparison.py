@@ -25,10 +25,10 @@ def assess(points: DataFrame, official: DataFrame, members: DataFrame, levels: d
     bounds = p.select("point", "start", "end")
     o = agreement.hydrographs(official.join(bounds, "point").filter(inside), ["point"])
     shapes = agreement.hydrographs(members.join(bounds, "point").filter(inside), ["point", "member"])
-    counts = shapes.groupBy("point").agg(F.countDistinct("crest").alias("distinct_crests"))
+    counts = agreement.member_exceedance(shapes, ["point"], levels or {}).drop("members")
     m = agreement.median_member(shapes, ["point"]).join(counts, "point")
     o_cols = o.select("point", *[F.col(c).alias(f"o_{c}") for c in ("crest", "crest_time", "shape", "step_h")])
-    m_cols = m.select("point", "member", "member_count", "distinct_crests", *[F.col(c).alias(f"m_{c}") for c in ("crest", "crest_time", "shape", "step_h")])
+    m_cols = m.select("point", "member", "member_count", "distinct_crests", "exceeds", "exceeding", "fraction", *[F.col(c).alias(f"m_{c}") for c in ("crest", "crest_time", "shape", "step_h")])
     j = p.join(o_cols, "point", "left").join(m_cols, "point", "left")
     return agreement.verdict(j, levels, floor)
 
@@ -38,7 +38,7 @@ def explanation(assessed: DataFrame) -> DataFrame:
     record = F.struct(
         F.struct("shared_h", "lost_tail_h", "cycle_age_h").alias("window"),
         F.struct(F.col("o_crest").alias("crest"), F.col("o_shape").alias("shape")).alias("official"),
-        F.struct(F.col("m_crest").alias("crest"), F.col("m_shape").alias("shape"), "member", "member_count").alias("model"),
+        F.struct(F.col("m_crest").alias("crest"), F.col("m_shape").alias("shape"), "member", "member_count", "exceeds", "exceeding", "fraction").alias("model"),
         F.struct("delta", "timing_h", "steps").alias("difference"),
     )
     return assessed.select("point", "state", "reason", "quality", record.alias("record"))

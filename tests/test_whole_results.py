@@ -122,3 +122,30 @@ def test_streamed_rates_are_the_batch_rates(spark, tmp_path):
     seen = {(r.station, r.window_end): r.slope for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     shared = seen.keys() & batch.keys()
     assert len(shared) > 80 and all(seen[k] == pytest.approx(batch[k]) for k in shared)
+
+
+def test_ring_with_a_hole_and_many_edges(spark):
+    import math
+
+    circle = lambda r, n: [(r * math.cos(2 * math.pi * i / n), r * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    rings = spark.createDataFrame([("a", circle(10, 300)), ("a", circle(4, 60)), ("b", [(20.0, 0.0), (22.0, 0.0), (22.0, 2.0), (20.0, 2.0)])], "ring_id string, ring array<struct<x: double, y: double>>")
+    pts = [(i, 0.37 * (i % 80) - 12.0, 0.41 * (i // 80) - 11.0) for i in range(80 * 54)] + [(10_000, 21.0, 1.0), (10_001, None, 1.0)]
+    got = {(r.pid, r.ring_id) for r in joins.points_in_rings(spark.createDataFrame(pts, "pid long, x double, y double"), rings, "pid", "ring_id", cell=3.0).collect()}
+    inner, outer = math.cos(math.pi / 60), math.cos(math.pi / 300)
+    for i, x, y in pts[:-2]:
+        r = math.hypot(x, y)
+        if r < 10 * outer and (r > 4 or r < 4 * inner):  # not between a chord and its arc
+            assert ((i, "a") in got) == (r > 4)
+        elif r > 10:
+            assert (i, "a") not in got
+    assert (10_000, "b") in got and not any(p == 10_001 for p, _ in got)
+
+
+def test_sentence_names_its_denominator(spark):
+    from fluvion.functions import labels
+
+    row = spark.range(1).select(
+        labels.magnitude_phrase(F.lit(0.014), F.lit(84.6), F.lit(6000.0)).alias("flow"), labels.basis_phrase(F.lit(0.014), F.lit(6000.0)).alias("share"),
+        labels.magnitude_phrase(F.lit(-0.287), F.lit(-84.6), F.lit(None).cast("double")).alias("relative"), labels.basis_phrase(F.lit(-0.287), F.lit(None).cast("double")).alias("none"),
+    ).first()
+    assert tuple(row) == ("85 cfs above", " (1% of the action flow of 6,000 cfs)", "29% below", "")
