@@ -70,7 +70,7 @@ def a24(t):
       SELECT field, basin, n AS cell_count, bad + n - met AS missing_cells, round(CASE WHEN bad + n - met = 0 THEN total / w END, 6) AS value, CASE WHEN bad + n - met > 0 THEN 'missing_values' ELSE 'ok' END AS reason FROM g JOIN b_masktotal USING (basin)""",
 )
 def e9(t):
-    return zonal.strict_mean(t.delivered_cells(), t.mask(), 64, F.col("value") < -400)
+    return zonal.strict_mean(t.delivered_cells(), t.mask(), None, F.col("value") < -400)
 
 
 CODED_SQL = "(SELECT field, flat_index, CASE WHEN value < -330 THEN -3.0 WHEN value < -300 THEN -1.0 ELSE abs(value) END::DOUBLE AS value FROM b_gap)"
@@ -120,7 +120,7 @@ def e12(t):
     return zonal.forecast_stats(t.delivered_cells().withColumn("value", coded), t.mask())
 
 
-PIX_SQL = """(SELECT field * 64 + flat_index AS pid, (field * 8 % 480) + flat_index % 8 + 0.5::DOUBLE AS x, (flat_index // 8) * 2.5 + 0.25::DOUBLE AS y, value AS elevation, 1 + (flat_index // 8) * 0.25::DOUBLE AS area FROM b_cell)"""
+PIX_SQL = """(SELECT field || ':' || flat_index AS pid, (field * 8 % 480) + flat_index % 8 + 0.5::DOUBLE AS x, (flat_index // 8) * 2.5 + 0.25::DOUBLE AS y, value AS elevation, 1 + (flat_index // 8) * 0.25::DOUBLE AS area FROM b_cell)"""
 QUAD_SQL = f"""(SELECT ring_id, e, cx + [-9.5, 8.0, 11.0, -4.0][e + 1] AS x1, cy + [-1.0, -2.75, 1.5, 2.875][e + 1] AS y1, cx + [8.0, 11.0, -4.0, -9.5][e + 1] AS x2, cy + [-2.75, 1.5, 2.875, -1.0][e + 1] AS y2 FROM {RING_SQL})"""
 INSIDE_SQL = f"(SELECT ring_id AS basin, pid, any_value(elevation) AS elevation, any_value(area) AS area FROM {PIX_SQL} p JOIN {QUAD_SQL} v ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)"
 
@@ -129,7 +129,7 @@ def pixels(t):
     f, k = F.col("field"), F.col("flat_index")
     row = F.floor(k / 8)
     p = t.grid_cells().select(
-        (f * 64 + k).alias("pid"), ((f * 8 % 480) + k % 8 + F.lit(0.5)).alias("x"), (row * 2.5 + F.lit(0.25)).alias("y"),
+        F.concat_ws(":", f, k).alias("pid"), ((f * 8 % 480) + k % 8 + F.lit(0.5)).alias("x"), (row * 2.5 + F.lit(0.25)).alias("y"),
         F.col("value").alias("elevation"), (F.lit(1) + row * 0.25).alias("area"),
     )
     hit = joins.points_in_rings(p, rings(t), "pid", "ring_id", cell=8.0)

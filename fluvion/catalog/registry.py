@@ -42,11 +42,11 @@ BINDINGS: dict[str, str] = {
               max(value) AS value, max(event_id) AS id FROM events GROUP BY ALL)""",
     "b_cell": """SELECT vec_id AS field, label AS grid_hash, CAST(i - 1 AS INTEGER) AS flat_index,
         round(CAST(embedding[i] AS DOUBLE) * 1000) + 0.0 AS value
-        FROM embeddings, range(1, 65) AS r(i)""",
+        FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)""",
     "b_gap": "SELECT * FROM b_cell WHERE NOT (field % 9 = 0 AND flat_index >= 60)",
     "b_masktotal": "SELECT basin, count(*) AS n, sum(weight) AS w FROM b_mask GROUP BY basin",
     "b_mask": """SELECT * FROM (SELECT CAST(b AS INTEGER) AS basin, CAST(f AS INTEGER) AS flat_index, ((f * 7 + b) % 10) / 10.0::DOUBLE AS weight
-        FROM range(0, 6) AS x(b), range(0, 64) AS y(f)) WHERE weight > 0""",
+        FROM range(0, 6) AS x(b), (SELECT DISTINCT flat_index AS f FROM b_cell)) WHERE weight > 0""",
     "b_alert": """SELECT concat_ws('-', 'alert', conv_id, turn) AS alert_id, conv_id, turn, sent,
         sent + to_hours(CAST(turn AS INTEGER)) AS available_at,
         CASE WHEN turn % 3 <> 0 THEN sent + INTERVAL 10 DAY END AS ends,

@@ -217,7 +217,7 @@ def b16(t):
 def b17(t):
     from fluvion.operators import zonal
 
-    means = zonal.strict_mean(t.delivered_cells(), t.mask(), 64, F.col("value") < -400)
+    means = zonal.strict_mean(t.delivered_cells(), t.mask(), None, F.col("value") < -400)
     good = means.filter("reason = 'ok'").select("field", "basin", "value")
     bad = means.filter("reason <> 'ok'").select("field", "basin", "reason")
     return sinks.with_refusals(good, bad)

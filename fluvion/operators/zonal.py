@@ -24,10 +24,13 @@ def _weight(cond: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, F.col("weight"))), F.lit(0.0))
 
 
-def strict_mean(cells: DataFrame, mask: DataFrame, grid_size: int, missing: Column) -> DataFrame:
-    """Mean that refuses whole when any masked cell is missing, absent from the field or outside the grid."""
+def strict_mean(cells: DataFrame, mask: DataFrame, grid_size: int | None, missing: Column) -> DataFrame:
+    """Mean that refuses whole when any masked cell is missing, absent from the field or outside the grid.
+
+    A mask made from the fields' own cells has no cell outside and needs no ``grid_size``.
+    """
     v = F.when(~missing, F.col("value"))
-    beyond = (F.col("flat_index") < 0) | (F.col("flat_index") >= grid_size)
+    beyond = F.lit(False) if grid_size is None else (F.col("flat_index") < 0) | (F.col("flat_index") >= grid_size)
     totals = mask.groupBy("basin").agg(F.count(F.lit(1)).alias("cell_count"), F.sum("weight").alias("wsum"), F.count_if(beyond).alias("outside"))
     g = weighted_cells(cells, mask, ["flat_index"]).groupBy("field", "basin").agg(
         F.count(F.lit(1)).alias("met"),

@@ -124,7 +124,7 @@ class Tables:
         )
 
     def grid_cells(self) -> DataFrame:
-        """Cell table of gridded fields, 8 x 8 per field."""
+        """Cell table of gridded fields, eight columns wide."""
         return self.read("embeddings").select(
             F.col("vec_id").alias("field"), F.col("label").alias("grid_hash"), F.posexplode("embedding").alias("flat_index", "value")
         ).withColumn("value", F.round(F.col("value").cast("double") * 1000).cast("double"))
@@ -133,12 +133,12 @@ class Tables:
         """Cells as delivered: every ninth field lacks its last four."""
         return self.grid_cells().filter(~((F.col("field") % 9 == 0) & (F.col("flat_index") >= 60)))
 
-    def mask(self, basins: int = 6, cells: int = 64) -> DataFrame:
-        """Sparse weights of six basins on the 64-cell grid (at most 384 rows by construction)."""
-        b = self.spark.range(basins).select(F.col("id").cast("int").alias("basin"))
+    def mask(self, basins: int = 6) -> DataFrame:
+        """Sparse weights of six basins on the grid that the fields' own cells make up, whatever its size."""
+        cells = self.grid_cells().select("flat_index").distinct()
         weight = ((F.col("flat_index") * 7 + F.col("basin")) % 10) / 10.0
         return (
-            b.select("basin", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("flat_index"))
+            cells.select(F.explode(F.sequence(F.lit(0), F.lit(basins - 1))).alias("basin"), "flat_index")
             .withColumn("weight", weight)
             .filter("weight > 0")
         )
