@@ -180,6 +180,32 @@ def d9(t):
     return zonal.overlap(zone, t.mask(), "zone", "basin", cell_km2=2.5, minimum_km2=2.0)
 
 
+def boxed(df, key):
+    """Rings (basin, part, ring, pts) of the boxes of a table."""
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    pts = F.array(corner("west", "south"), corner("east", "south"), corner("east", "north"), corner("west", "north"))
+    return df.select(F.col(key).alias("basin"), F.lit(0).alias("part"), F.lit(0).alias("ring"), pts.alias("pts"))
+
+
+@query(
+    "D9_polygon_overlap",
+    """WITH z AS (SELECT s_suppkey AS zone, (s_suppkey * 37 % 480) + 0.25::DOUBLE AS west, (s_suppkey * 7 % 18) + 0.125::DOUBLE AS south, 7.5::DOUBLE + s_suppkey % 5 AS w, 2.5::DOUBLE + s_suppkey % 3 AS h FROM supplier),
+      b AS (SELECT n_nationkey AS basin, n_nationkey * 19 - 1.5::DOUBLE AS west, (n_nationkey * 5 % 18)::DOUBLE AS south, 26.0::DOUBLE AS w, 9.5::DOUBLE AS h FROM nation),
+      o AS (SELECT zone, basin, (least(z.west + z.w, b.west + b.w) - greatest(z.west, b.west)) * (least(z.south + z.h, b.south + b.h) - greatest(z.south, b.south)) AS area, z.w * z.h AS za, b.w * b.h AS ba
+        FROM z JOIN b ON z.west < b.west + b.w AND b.west < z.west + z.w AND z.south < b.south + b.h AND b.south < z.south + z.h)
+      SELECT zone, basin, round(area, 6) AS overlap_km2, round(area / za, 6) AS of_zone, round(area / ba, 6) AS of_basin FROM o WHERE area >= 2.0""",
+)
+def d9_polygons(t):
+    from fluvion.operators import masks
+
+    k, n = F.col("s_suppkey"), F.col("basin")
+    west, south = (k * 37 % 480) + F.lit(0.25), (k * 7 % 18) + F.lit(0.125)
+    zones = t.read("supplier").select(k.alias("zone"), west.alias("west"), south.alias("south"), (west + 7.5 + k % 5).alias("east"), (south + 2.5 + k % 3).alias("north"))
+    basins = t.basins().select(n, (n * 19 - 1.5).alias("west"), (n * 19 + 24.5).alias("east"), (n * 5 % 18).cast("double").alias("south"), (n * 5 % 18 + 9.5).alias("north"))
+    o = masks.polygon_overlaps(boxed(zones, "zone"), boxed(basins, "basin"), tile=16.0, cell_km2=1.0, minimum_km2=2.0)
+    return o.select(F.col("left").alias("zone"), F.col("right").alias("basin"), "overlap_km2", F.col("of_left").alias("of_zone"), F.col("of_right").alias("of_basin"))
+
+
 def rings(t):
     """One quadrilateral per supplier, in a 0-500 by 0-24 plane."""
     k = F.col("s_suppkey")

@@ -75,11 +75,11 @@ def g5(t):
       SELECT station, variable, CAST(valid_time AS VARCHAR) AS valid_time, value, last_value(id) OVER (PARTITION BY station, variable ORDER BY valid_time ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_id FROM b ORDER BY station, variable, valid_time""",
 )
 def g6(t):
-    from pyspark.sql import Window as W
-
-    best = selection.newest(selection.as_known_at(t.observations(True), T), KEY, [F.desc("revision_seq"), F.desc("id")])
-    w = W.partitionBy("station", "variable").orderBy("valid_time").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return best.select(*KEY, "value", F.last_value("id").over(w).alias("last_id")).orderBy(*KEY)
+    known = selection.as_known_at(t.observations(True), T)
+    best = selection.newest(known, KEY, [F.desc("revision_seq"), F.desc("id")])
+    last = known.groupBy(F.col("station").alias("_s"), F.col("variable").alias("_v")).agg(F.max(F.struct("valid_time", "revision_seq", "id"))["id"].alias("last_id"))
+    both = best.join(last, F.col("station").eqNullSafe(F.col("_s")) & F.col("variable").eqNullSafe(F.col("_v")))
+    return both.select(*KEY, "value", "last_id").orderBy(*KEY)
 
 
 @query(

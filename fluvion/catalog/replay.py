@@ -147,7 +147,9 @@ def l23(t):
 
 @query(
     "L26_replay_disclosure",
-    """SELECT arm, count(*) AS n, 'RETROSPECTIVE' AS mode, 'observation|forecast_run|derived_feature|reference' AS projected, 'reference' AS anachronistic FROM b_ev, (VALUES ('old'), ('new')) AS a(arm) GROUP BY arm""",
+    """SELECT arm, count(*) AS n, 'RETROSPECTIVE' AS mode, 'observation|derived_feature|reference|threshold|forecast_run' AS projected,
+      'observation:valid_time:publication_latency|derived_feature:valid_time:publication_lag_and_approved_values|reference:cutoff:rebuilt_from_later_fetch|threshold:declared_epoch:vintage_unverified|forecast_run:issued_at:none' AS optimism,
+      'threshold' AS anachronistic FROM b_ev, (VALUES ('old'), ('new')) AS a(arm) GROUP BY arm""",
 )
 def l26(t):
     return replay.disclosure(evaluated(t), replay.RETROSPECTIVE).drop("disclosure")

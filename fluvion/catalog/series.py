@@ -7,7 +7,7 @@ from fluvion.catalog.expressions import T, now
 from fluvion.catalog.joins import KEY
 from fluvion.catalog.registry import BINDINGS, query
 from fluvion.functions import clocks
-from fluvion.operators import agreement, doy, joins, selection, snow, trend
+from fluvion.operators import agreement, doy, joins, running, selection, snow, trend
 from fluvion.session import staged
 
 BINDINGS["b_wpt"] = """SELECT a.station, a.t, a.v AS last_v, b.t AS bt, (epoch(b.t) - epoch(TIMESTAMP '2024-01-01')) / 3600.0::DOUBLE AS x, b.v AS y,
@@ -314,7 +314,7 @@ def f24(t):
 def f25(t):
     k = F.col("s_suppkey")
     d = t.read("supplier").select(F.col("s_nationkey").alias("basin"), (k % 3).alias("surface"), (k % 17).alias("rank"), F.col("s_name").alias("feature"))
-    return d.select("basin", "feature", F.row_number().over(W.partitionBy("basin").orderBy("surface", "rank", "feature")).alias("rank"))
+    return running.numbered(d.withColumnRenamed("rank", "place"), ["basin"], ["surface", "place"], ["feature"], "rank").select("basin", "feature", "rank")
 
 
 @query(
@@ -322,8 +322,8 @@ def f25(t):
     """SELECT event_id AS id, CAST(row_number() OVER (PARTITION BY date_trunc('minute', ts) ORDER BY event_type, event_id) - 1 AS INTEGER) AS seq FROM events""",
 )
 def f26(t):
-    w = W.partitionBy(F.date_trunc("minute", "ts")).orderBy("event_type", "event_id")
-    return t.events().select(F.col("event_id").alias("id"), (F.row_number().over(w) - 1).alias("seq"))
+    e = t.events().select(F.date_trunc("minute", "ts").alias("minute"), "event_type", F.shiftright(F.col("event_id").cast("long"), 16).alias("range"), F.col("event_id").alias("id"))
+    return running.numbered(e, ["minute"], ["event_type", "range"], ["id"], "seq").select("id", (F.col("seq") - 1).alias("seq"))
 
 
 @query(

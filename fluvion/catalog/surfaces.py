@@ -437,7 +437,12 @@ def l18(t):
 @query(
     "L21_station_snapshot",
     f"""WITH o AS (SELECT * FROM b_obs WHERE available_at <= TIMESTAMP '{T}' AND valid_time BETWEEN TIMESTAMP '{T}' - INTERVAL 14 DAY AND TIMESTAMP '{T}' QUALIFY row_number() OVER (PARTITION BY station ORDER BY valid_time DESC, id DESC) = 1)
-      SELECT station, value, CASE WHEN station % 5 = 0 THEN 'unknown' WHEN value >= 200 THEN 'flood' WHEN value >= 100 THEN 'elevated' WHEN value >= 50 THEN 'watch' ELSE 'calm' END AS risk, epoch(TIMESTAMP '{T}') - epoch(valid_time) > 90 * 60 AS stale FROM o""",
+      , h AS (SELECT station, string_agg(printf('%s=%d', strftime(t, '%m-%d %H'), v), '|' ORDER BY t) AS series FROM (SELECT station, date_trunc('hour', valid_time) AS t, CAST(round(max(value) * 100) AS BIGINT) AS v FROM b_obs
+        WHERE available_at <= TIMESTAMP '{T}' AND valid_time > TIMESTAMP '{T}' - INTERVAL 24 HOUR AND valid_time <= TIMESTAMP '{T}' GROUP BY ALL) GROUP BY station),
+      r AS (SELECT s_nationkey AS basin, count(*) AS snow_stations, count_if(DATE '2001-10-20' - day <= 3) AS snow_fresh FROM (SELECT l_suppkey AS station, CAST(max(l_shipdate) AS DATE) AS day FROM lineitem GROUP BY ALL) JOIN supplier ON s_suppkey = station GROUP BY ALL)
+      SELECT station, value, CASE WHEN station % 5 = 0 THEN 'unknown' WHEN value >= 200 THEN 'flood' WHEN value >= 100 THEN 'elevated' WHEN value >= 50 THEN 'watch' ELSE 'calm' END AS risk, epoch(TIMESTAMP '{T}') - epoch(valid_time) > 90 * 60 AS stale,
+        coalesce(series, '') AS series, snow_stations, snow_fresh, CASE WHEN snow_stations IS NULL THEN 'no_mapping' WHEN snow_fresh = 0 THEN 'stale' ELSE 'available' END AS precursors
+      FROM o LEFT JOIN h USING (station) LEFT JOIN supplier ON s_suppkey = station LEFT JOIN r ON r.basin = s_nationkey""",
 )
 def l21(t):
     from fluvion.catalog.joins import known
@@ -445,7 +450,23 @@ def l21(t):
     s = selection.newest(known(t, numbered=False), ["station"], [F.desc("valid_time"), F.desc("id")])
     ok = F.col("station") % 5 != 0
     risk = flood.prototype_risk(F.col("value"), levels(), ok, F.lit("configured_pending"))
-    return s.select("station", "value", risk.alias("risk"), values.is_stale(now(), F.col("valid_time")).alias("stale"))
+    s = s.select("station", "value", risk.alias("risk"), values.is_stale(now(), F.col("valid_time")).alias("stale"))
+    # one value per hour of the last day, so a station's series is bounded however often it reports
+    day = known(t, 24, numbered=False).filter(F.col("valid_time") > plus_hours(now(), -24))
+    hourly = day.groupBy("station", F.date_trunc("hour", "valid_time").alias("t")).agg(F.round(F.max("value") * 100).cast("long").alias("v"))
+    point = F.concat(F.date_format("t", "MM-dd HH"), F.lit("="), F.col("v").cast("string"))
+    series = hourly.groupBy("station").agg(F.sort_array(F.collect_list(point)).alias("series"))
+    signal = snow.prototype_signal(snow_readings(t), F.lit("2001-10-20").cast("date")).join(t.stations(), "station")
+    fresh = signal.groupBy("basin").agg(F.count(F.lit(1)).alias("snow_stations"), F.count_if(~F.col("stale")).alias("snow_fresh"))
+    mapped = t.stations().select("station", "basin").join(fresh, "basin", "left")
+    state = F.when(F.col("snow_stations").isNull(), "no_mapping").when(F.col("snow_fresh") == 0, "stale").otherwise("available")
+    j = s.join(series, "station", "left").join(mapped, "station", "left")
+    empty = F.array().cast("array<string>")
+    return j.select("station", "value", "risk", "stale", F.coalesce("series", empty).alias("series"), "snow_stations", "snow_fresh", state.alias("precursors"))
+
+
+def snow_readings(t):
+    return t.lineitem().groupBy(F.col("l_suppkey").alias("station"), "day").agg(F.max("l_quantity").alias("value")).withColumn("mapping_confidence", F.lit("high"))
 
 
 @query(
@@ -471,14 +492,21 @@ def l22(t):
 @query(
     "L25_latest_field_or_reason",
     f"""WITH f AS (SELECT user_id % 12 AS layer, event_id AS id, ts FROM events WHERE ts BETWEEN TIMESTAMP '{T}' - INTERVAL 1 HOUR AND TIMESTAMP '{T}' QUALIFY row_number() OVER (PARTITION BY user_id % 12 ORDER BY ts DESC, event_id DESC) = 1)
-      SELECT n_nationkey AS layer, n_name AS product, coalesce(r_name, 'UNKNOWN') AS kind, f.id, CASE WHEN f.id IS NULL THEN 'no_field_within_lookback' ELSE 'ok' END AS reason FROM nation LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN f ON f.layer = n_nationkey""",
+      SELECT n_nationkey AS layer, n_name AS product, n_regionkey AS source, coalesce(r_name, 'UNKNOWN') AS kind, f.id, CAST(f.ts AS VARCHAR) AS valid_time, round((epoch_us(TIMESTAMP '{T}') - epoch_us(f.ts)) / 1e6::DOUBLE, 6) AS age_s, g.nx, g.ny,
+        CASE WHEN f.id IS NULL THEN 'no_field_within_lookback' WHEN g.nx IS NULL THEN 'grid_unknown' ELSE 'ok' END AS reason FROM nation LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN f ON f.layer = n_nationkey
+        LEFT JOIN (SELECT grid_hash, 8::INTEGER AS nx, CAST(ceil((max(flat_index) + 1) / 8) AS INTEGER) AS ny FROM b_cell GROUP BY grid_hash) g ON g.grid_hash = f.layer""",
 )
 def l25(t):
     inside = F.col("ts").between(plus_hours(now(), -1), now())
     f = selection.newest(t.events().filter(inside).withColumn("layer", (F.col("user_id") % 12).cast("int")), ["layer"], [F.desc("ts"), F.desc("event_id")])
     products = t.basins().select(F.col("basin").alias("layer"), F.col("basin_name").alias("product"), "source").join(t.sources(), "source", "left")
-    j = products.join(f.select("layer", F.col("event_id").alias("id")), "layer", "left")
-    return j.select("layer", "product", F.coalesce("kind", F.lit("UNKNOWN")).alias("kind"), "id", F.when(F.col("id").isNull(), "no_field_within_lookback").otherwise("ok").alias("reason"))
+    f = f.select("layer", F.col("event_id").alias("id"), F.col("ts").alias("valid_time"))
+    # the cell table is eight columns wide; the grid of a layer is the extent of its cells
+    grids = t.grid_cells().groupBy(F.col("grid_hash").alias("_grid")).agg(F.lit(8).alias("nx"), F.ceil((F.max("flat_index") + 1) / 8).cast("int").alias("ny"))
+    j = products.join(f.join(grids, F.col("layer") == F.col("_grid"), "left"), "layer", "left")
+    reason = F.when(F.col("id").isNull(), "no_field_within_lookback").when(F.col("nx").isNull(), "grid_unknown").otherwise("ok")
+    age = (F.unix_micros(now()) - F.unix_micros("valid_time")) / 1e6
+    return j.select("layer", "product", "source", F.coalesce("kind", F.lit("UNKNOWN")).alias("kind"), "id", "valid_time", age.alias("age_s"), "nx", "ny", reason.alias("reason"))
 
 
 @query(
@@ -486,8 +514,7 @@ def l25(t):
     """WITH r AS (SELECT l_suppkey AS station, CAST(max(l_shipdate) AS DATE) AS day FROM lineitem GROUP BY ALL) SELECT s_nationkey AS basin, count(*) AS stations, count_if(DATE '2001-10-20' - day <= 3) AS n_fresh, CASE WHEN count_if(DATE '2001-10-20' - day <= 3) = 0 THEN 'stale' WHEN count_if(DATE '2001-10-20' - day > 3) = 0 THEN 'ok' ELSE 'partial' END AS status FROM r JOIN supplier ON s_suppkey = station GROUP BY ALL""",
 )
 def l28(t):
-    r = t.lineitem().groupBy(F.col("l_suppkey").alias("station"), "day").agg(F.max("l_quantity").alias("value")).withColumn("mapping_confidence", F.lit("high"))
-    sig = snow.prototype_signal(r, F.lit("2001-10-20").cast("date")).join(t.stations(), "station")
+    sig = snow.prototype_signal(snow_readings(t), F.lit("2001-10-20").cast("date")).join(t.stations(), "station")
     g = sig.groupBy("basin").agg(F.count(F.lit(1)).alias("stations"), F.count_if(~F.col("stale")).alias("n_fresh"))
     status = F.when(F.col("n_fresh") == 0, "stale").when(F.col("n_fresh") == F.col("stations"), "ok").otherwise("partial")
     return g.withColumn("status", status)

@@ -80,6 +80,7 @@ def link_supersession(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     blocked = runs.withColumn("_block", F.trunc(F.to_date("issued_at"), "month"))
     inside = F.lag("run_id").over(W.partitionBy(*keys, "_block").orderBy("issued_at", "run_id"))
     last = blocked.groupBy(*keys, "_block").agg(F.max(F.struct("issued_at", "run_id")).alias("_last"))
-    carry = last.select(*keys, "_block", F.lag("_last.run_id").over(W.partitionBy(*keys).orderBy("_block")).alias("_carry"))
-    linked = blocked.withColumn("_inside", inside).join(carry, [*keys, "_block"])
-    return linked.withColumn("supersedes", F.coalesce("_inside", "_carry")).drop("_block", "_inside", "_carry")
+    both = [*keys, "_block"]
+    carry = last.select(*[F.col(c).alias(f"_at_{c}") for c in both], F.lag("_last.run_id").over(W.partitionBy(*keys).orderBy("_block")).alias("_carry"))
+    linked = blocked.withColumn("_inside", inside).join(carry, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in both])
+    return linked.select(*runs.columns, F.coalesce("_inside", "_carry").alias("supersedes"))

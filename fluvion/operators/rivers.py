@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed values.
 MIN_LENGTH_DEG = 0.02
@@ -12,6 +12,8 @@ STEM_FACTOR = 5
 def lengths_with_mainstem(parts: DataFrame, stem_word: Column) -> DataFrame:
     """Length per named river of a basin; mainstem = the longest, or named like the basin and long enough."""
     total = parts.groupBy("basin", "name").agg(F.sum("length").alias("length"))
-    longest = F.max("length").over(W.partitionBy("basin"))
+    longest = total.groupBy(F.col("basin").alias("_basin")).agg(F.max("length").alias("_longest"))
     named = F.contains(F.lower("name"), F.lower(stem_word)) & (F.col("length") >= MIN_LENGTH_DEG * STEM_FACTOR)
-    return total.withColumn("mainstem", (F.col("length") == longest) | named)
+    # one row per basin meets its rivers, so that a basin with very many is not one task
+    both = total.join(longest, F.col("basin").eqNullSafe(F.col("_basin")))
+    return both.select("basin", "name", "length", ((F.col("length") == F.col("_longest")) | named).alias("mainstem"))

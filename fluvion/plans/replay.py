@@ -32,11 +32,13 @@ def time_grid(spans: DataFrame, hours: Sequence[int], event_start: str, event_en
 # The two replay modes and how each row family becomes visible.
 KNOWLEDGE_TIME, RETROSPECTIVE = "KNOWLEDGE_TIME", "RETROSPECTIVE"
 ARMS = {"old": "0.1.0", "new": "0.2.0"}
+# family, clock it becomes visible by, how that is earlier than any real retrieval, whether it could not have existed
 PROJECTION_RULES = (
-    ("observation", "valid_time", False),
-    ("forecast_run", "issued_at", False),
-    ("derived_feature", "valid_time", False),
-    ("reference", "cutoff", True),
+    ("observation", "valid_time", "publication_latency", False),
+    ("derived_feature", "valid_time", "publication_lag_and_approved_values", False),
+    ("reference", "cutoff", "rebuilt_from_later_fetch", False),
+    ("threshold", "declared_epoch", "vintage_unverified", True),
+    ("forecast_run", "issued_at", "none", False),
 )
 
 
@@ -53,9 +55,11 @@ def restored(df: DataFrame) -> DataFrame:
 
 
 def disclosure(evaluations: DataFrame, mode: str) -> DataFrame:
-    """What must accompany the numbers of a run: mode, families, and those that could not have existed."""
-    families = [f for f, _, _ in PROJECTION_RULES] if mode == RETROSPECTIVE else []
-    stale = [f for f, _, bad in PROJECTION_RULES if bad] if mode == RETROSPECTIVE else []
+    """What must accompany the numbers of a run: mode, families with their clock and optimism, and those that could not have existed."""
+    rules = PROJECTION_RULES if mode == RETROSPECTIVE else ()
+    families = [f for f, _, _, _ in rules]
+    optimism = [f"{f}:{clock}:{early}" for f, clock, early, _ in rules]
+    stale = [f for f, _, _, bad in rules if bad]
     text = (
         "rows were read exactly as the deployed system reads them"
         if mode == KNOWLEDGE_TIME
@@ -63,7 +67,7 @@ def disclosure(evaluations: DataFrame, mode: str) -> DataFrame:
     )
     names = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
     return evaluations.groupBy("arm").agg(F.count(F.lit(1)).alias("n")).select(
-        "arm", "n", F.lit(mode).alias("mode"), names(families).alias("projected"), names(stale).alias("anachronistic"), F.lit(text).alias("disclosure")
+        "arm", "n", F.lit(mode).alias("mode"), names(families).alias("projected"), names(optimism).alias("optimism"), names(stale).alias("anachronistic"), F.lit(text).alias("disclosure")
     )
 
 

@@ -31,15 +31,28 @@ def run_available(df: DataFrame, checkpoint: str, each: Callable[[DataFrame, int
 
 
 def run_to_table(df: DataFrame, checkpoint: str, path: str) -> StreamingQuery:
-    """Append-mode stream into Parquet: exactly once through the sink's own log."""
+    """Append-mode stream into Parquet: exactly once through the sink's own log.
+
+    What a watermark kept out is not lost unseen: ``<path>_late`` receives one row (ended_at, n_dropped) per run
+    that dropped any. A stateful step counts rows after its map-side combine.
+    """
     q = (
         df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start()
     )
     q.awaitTermination()
+    dropped = late_rows(q)
+    if dropped:
+        one = df.sparkSession.range(1).select(F.current_timestamp().alias("ended_at"), F.lit(dropped).cast("long").alias("n_dropped"))
+        one.write.mode("append").parquet(f"{path}_late")
     return q
 
 
+def late_rows(q: StreamingQuery) -> int:
+    """Rows dropped by the watermarks of a query, over the batches it keeps progress of."""
+    return sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
+
+
 def earlier_batches(spark: SparkSession, path: str, batch_id: int, like: DataFrame) -> DataFrame:
     """Rows written by batches before ``batch_id``; none yet gives an empty table."""
     try:

@@ -3,11 +3,12 @@
 import json
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from fluvion.catalog import registry
-from fluvion.operators import joins, revisions, trend, zonal
+from fluvion.operators import joins, masks, revisions, running, trend, zonal
 from fluvion.plans import replay
 from fluvion.session import shared_dir
 from fluvion.sources import documents, forecasts, gauges, notices
@@ -149,3 +150,65 @@ def test_sentence_names_its_denominator(spark):
         labels.magnitude_phrase(F.lit(-0.287), F.lit(-84.6), F.lit(None).cast("double")).alias("relative"), labels.basis_phrase(F.lit(-0.287), F.lit(None).cast("double")).alias("none"),
     ).first()
     assert tuple(row) == ("85 cfs above", " (1% of the action flow of 6,000 cfs)", "29% below", "")
+
+
+def _inside(rings, px, py):
+    """Even-odd test of many points against the rings of one polygon."""
+    held = np.zeros(px.shape, bool)
+    for pts in rings:
+        for (x1, y1), (x2, y2) in zip(pts, pts[1:] + pts[:1]):
+            if y1 != y2:
+                held ^= ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
+    return held
+
+
+def test_polygon_overlap_is_exact(spark):
+    """Concave rings, holes, several rows of tiles, negative places, and neighbours that do not meet."""
+    left = {1: [[(0.3, 0.2), (9.1, 1.0), (6.0, 4.0), (9.5, 8.2), (1.0, 7.7), (3.0, 4.1)], [(4.0, 3.0), (4.2, 5.5), (5.1, 3.3)]], 2: [[(20, 20), (30, 21), (25, 30)]], 4: [[(-5.2, -5.1), (-1.0, -4.4), (-2.2, 0.7)]]}
+    right = {7: [[(2.0, -1.0), (8.0, 3.0), (4.5, 9.3), (-1.0, 5.0)]], 8: [[(100, 100), (101, 100), (100, 101)]], 9: [[(-4, -6), (-4, -3), (40, -3), (40, -6)]], 10: [[(26, 22), (28, 29), (22, 25)]], 11: [[(0, 10), (9, 10), (9, 12), (0, 12)]]}
+
+    def table(polygons):
+        rows = [(k, 0, i, [{"x": float(x), "y": float(y)} for x, y in ring]) for k, rings in polygons.items() for i, ring in enumerate(rings)]
+        return spark.createDataFrame(rows, "basin int, part int, ring int, pts array<struct<x double, y double>>")
+
+    got = {(r.left, r.right): (r.overlap_km2, r.of_left, r.of_right) for r in masks.polygon_overlaps(table(left), table(right), 8.0, 1.0, 0.01).collect()}
+    px, py = np.meshgrid(np.arange(-7, 41, 0.02) + 0.01, np.arange(-7, 41, 0.02) + 0.01)
+    held = {k: _inside(v, px, py) for k, v in (left | right).items()}
+    expected = {}
+    for a in left:
+        for b in right:
+            shared = (held[a] & held[b]).sum() * 4e-4
+            if shared > 0.01:
+                expected[a, b] = (shared, (held[a] & held[b]).sum() / held[a].sum(), (held[a] & held[b]).sum() / held[b].sum())
+    assert got.keys() == expected.keys() == {(1, 7), (2, 10), (4, 9)}
+    for k, values in expected.items():
+        assert got[k] == pytest.approx(values, rel=2e-3)
+    # two halves of one cell do not overlap
+    half = lambda x0, x1: {0: [[(x0, 0.0), (x1, 0.0), (x1, 1.0), (x0, 1.0)]]}
+    assert masks.polygon_overlaps(table(half(0.0, 0.5)), table(half(0.5, 1.0)), 8.0, 1.0, 0.01).count() == 0
+
+
+def test_numbers_run_across_blocks(spark):
+    rows = [("a", 1, 5), ("a", 1, 2), ("a", None, 9), ("a", 3, 1), (None, 2, 4), (None, 1, 4), ("b", 7, 7)]
+    df = spark.createDataFrame(rows, "k string, block int, x int")
+    got = {(r.k, r.block, r.x): r.n for r in running.numbered(df, ["k"], ["block"], ["x"], "n").collect()}
+    assert got == {("a", None, 9): 1, ("a", 1, 2): 2, ("a", 1, 5): 3, ("a", 3, 1): 4, (None, 1, 4): 1, (None, 2, 4): 2, ("b", 7, 7): 1}
+    assert running.numbered(df.limit(0), ["k"], ["block"], ["x"], "n").collect() == []
+
+
+def test_supersession_keeps_runs_without_a_key_or_a_time(spark):
+    runs = spark.createDataFrame([(1, None, datetime(2024, 1, 1)), (2, None, datetime(2024, 3, 1)), (3, "p", None), (4, "p", datetime(2024, 1, 5))], "run_id int, fp string, issued_at timestamp")
+    got = {r.run_id: r.supersedes for r in revisions.link_supersession(runs, ["fp"]).collect()}
+    assert got == {1: None, 2: 1, 3: None, 4: 3}
+
+
+def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    # rows are held late against the watermark of the batch before theirs
+    for k, hours in (("a", 0), ("a", 30), ("b", 31), ("a", 2)):
+        one = spark.createDataFrame([(k, at + timedelta(hours=hours), 1.0)], "k string, t timestamp, v double")
+        one.coalesce(1).write.mode("append").parquet(str(tmp_path / "land"))
+    s = ingest.open_stream(spark, str(tmp_path / "land"), "k string, t timestamp, v double", 1)
+    q = ingest.run_to_table(windows.hourly(s, "k", "t", "v", "1 hour"), str(tmp_path / "cp"), str(tmp_path / "out"))
+    assert ingest.late_rows(q) == 1
+    assert [r.n_dropped for r in spark.read.parquet(str(tmp_path / "out_late")).collect()] == [1]
