@@ -456,7 +456,7 @@ def l21(t):
     hourly = day.groupBy("station", F.date_trunc("hour", "valid_time").alias("t")).agg(F.round(F.max("value") * 100).cast("long").alias("v"))
     point = F.concat(F.date_format("t", "MM-dd HH"), F.lit("="), F.col("v").cast("string"))
     series = hourly.groupBy("station").agg(F.sort_array(F.collect_list(point)).alias("series"))
-    signal = snow.prototype_signal(snow_readings(t), F.lit("2001-10-20").cast("date")).join(t.stations(), "station")
+    signal = snow.prototype_signal(prototype_readings(t), F.lit("2001-10-20").cast("date")).join(t.stations(), "station")
     fresh = signal.groupBy("basin").agg(F.count(F.lit(1)).alias("snow_stations"), F.count_if(~F.col("stale")).alias("snow_fresh"))
     mapped = t.stations().select("station", "basin").join(fresh, "basin", "left")
     state = F.when(F.col("snow_stations").isNull(), "no_mapping").when(F.col("snow_fresh") == 0, "stale").otherwise("available")
@@ -465,7 +465,7 @@ def l21(t):
     return j.select("station", "value", "risk", "stale", F.coalesce("series", empty).alias("series"), "snow_stations", "snow_fresh", state.alias("precursors"))
 
 
-def snow_readings(t):
+def prototype_readings(t):
     return t.lineitem().groupBy(F.col("l_suppkey").alias("station"), "day").agg(F.max("l_quantity").alias("value")).withColumn("mapping_confidence", F.lit("high"))
 
 
@@ -514,7 +514,7 @@ def l25(t):
     """WITH r AS (SELECT l_suppkey AS station, CAST(max(l_shipdate) AS DATE) AS day FROM lineitem GROUP BY ALL) SELECT s_nationkey AS basin, count(*) AS stations, count_if(DATE '2001-10-20' - day <= 3) AS n_fresh, CASE WHEN count_if(DATE '2001-10-20' - day <= 3) = 0 THEN 'stale' WHEN count_if(DATE '2001-10-20' - day > 3) = 0 THEN 'ok' ELSE 'partial' END AS status FROM r JOIN supplier ON s_suppkey = station GROUP BY ALL""",
 )
 def l28(t):
-    sig = snow.prototype_signal(snow_readings(t), F.lit("2001-10-20").cast("date")).join(t.stations(), "station")
+    sig = snow.prototype_signal(prototype_readings(t), F.lit("2001-10-20").cast("date")).join(t.stations(), "station")
     g = sig.groupBy("basin").agg(F.count(F.lit(1)).alias("stations"), F.count_if(~F.col("stale")).alias("n_fresh"))
     status = F.when(F.col("n_fresh") == 0, "stale").when(F.col("n_fresh") == F.col("stations"), "ok").otherwise("partial")
     return g.withColumn("status", status)
