@@ -2,7 +2,9 @@
 
 Equal vectors of a label are one class first. Each tree splits recursively at the median of a random
 projection; the middle of every split spills to both sides. Classes that share a leaf are compared by
-cosine in double precision; pairs from all trees are united. A tree is grown in two steps: its top is
+cosine in double precision; the pairs of a leaf leave it as stars of its connected parts, and the stars of all trees
+make components. Links are then counted, not made, by comparing each component whole, in blocks of BLOCK classes: a
+dense group much larger than a leaf loses no link of its members. A tree is grown in two steps: its top is
 fitted on a bounded sample (SAMPLE vectors, chosen by hash) and routes every vector to a group of about GROUP
 classes, so that a label with a third of all rows is spread over many tasks; inside a group it goes on
 to leaves of LEAF classes. Every vector is indexed. Trees repeat until nearby pairs are unlikely to have been parted
@@ -23,9 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from fluvion.llm.common import staged
 from fluvion.llm.graph import components
+from fluvion.llm.simhash import _stars
 
 TREES, LEAF, SPILL = 16, 192, 0.06
 SAMPLE, GROUP = 20_000, 8_000
+BLOCK = 2048
 COSINE = 0.93
 
 
@@ -107,7 +111,7 @@ def classes(rows: DataFrame) -> DataFrame:
 
 
 def pairs(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, group: int = GROUP) -> DataFrame:
-    """(a, b): pairs found with a < b of the same label and at least the given cosine.
+    """(a, b): links that connect the pairs found, of the same label and at least the given cosine.
 
     ``vectors`` has label, embedding (finite, not zero) and cid, and is read twice: write it first.
     """
@@ -145,8 +149,10 @@ def pairs(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf:
         for rows in grow(x, (key[2].as_py(), 1 + key[3].as_py()), leaf):
             near = np.triu(x[rows] @ x[rows].T >= cosine, 1)
             i, j = np.nonzero(near)
-            out_a.append(cid[rows[i]])
-            out_b.append(cid[rows[j]])
+            if len(i):
+                a, b = _stars(cid[rows[i]], cid[rows[j]])
+                out_a.append(a)
+                out_b.append(b)
         a, b = np.concatenate(out_a), np.concatenate(out_b)
         both = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1) if len(a) else np.empty((2, 0), np.int64)
         both = both[:, both[0] != both[1]]
@@ -157,6 +163,41 @@ def pairs(vectors: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf:
     return groups.groupBy("label", "width", "tree", "node").applyInArrow(compared, "a bigint, b bigint").distinct()
 
 
+def links(members: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+    """(cid, others): for each class of (root, cid, size, embedding), the ids of other classes of its root within the cosine.
+
+    Each block of a component meets each other one; small components share tasks.
+    """
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    tasks = members.count() // block + 1
+    dealt = members.join(sizes, "root").withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("root", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "cid", "size", "embedding", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(tasks))).otherwise(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other"))).alias("task"))
+
+    def counted(table: pa.Table) -> pa.Table:
+        root, low, high, mine, cid = (table.column(c).to_numpy() for c in ("root", "low", "high", "mine", "cid"))
+        size = table.column("size").to_numpy().astype(np.float64)
+        others = np.zeros(len(cid))
+        order = np.lexsort((high, low, root))
+        new = np.flatnonzero((np.diff(root[order]) != 0) | (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)) + 1
+        # lists of a task may differ in length between components, not within one
+        vectors = table.column("embedding").combine_chunks()
+        for rows in np.split(order, new):
+            x = _unit(vectors.take(pa.array(rows)))
+            left, right = mine[rows] == low[rows[0]], mine[rows] == high[rows[0]]
+            a, b = rows[left], rows[right]
+            for at in range(0, len(a), 512):
+                near = (x[left][at : at + 512] @ x[right].T >= cosine).astype(np.float64)
+                if low[rows[0]] == high[rows[0]]:
+                    near[np.arange(len(near)), at + np.arange(len(near))] = 0
+                else:
+                    others[b] += size[a[at : at + 512]] @ near
+                others[a[at : at + 512]] += near @ size[b]
+        return pa.table({"cid": cid, "others": others.astype(np.int64)})
+
+    return met.groupBy("task").applyInArrow(counted, "cid bigint, others bigint").groupBy("cid").agg(F.sum("others").alias("others"))
+
+
 def near_duplicates(rows: DataFrame, cosine: float = COSINE, **forest) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of (vec_id, embedding, label)."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), "label")
@@ -164,9 +205,10 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE, **forest) -> DataFr
     found = staged(pairs(known, cosine, **forest), "pairs")
     roots = components(found)
     sizes = known.groupBy("cid").agg(F.sum("size").alias("size"))
-    both = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = both.join(sizes.select(F.col("cid").alias("b"), "size"), "b").groupBy(F.col("a").alias("cid")).agg(F.sum("size").alias("others"))
-    named = sizes.join(links, "cid", "left").join(roots, sizes["cid"] == roots["node"], "left")
+    # a root is not among the nodes
+    linked = roots.union(roots.select("root", "root").distinct())
+    members = staged(known.join(linked, known["cid"] == linked["node"]).select("root", "cid", "size", "embedding"), "members")
+    named = sizes.join(links(members, cosine), "cid", "left").join(roots, sizes["cid"] == roots["node"], "left")
     named = named.select("cid", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "cid").alias("component_id"))
     member = known.select("label", "embedding", "cid").join(named, "cid").select("label", "embedding", "n_links", "component_id")
     out = rows.join(member, ["label", "embedding"], "left")
