@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 DIM, N = 2048, 3
+#: cosines of unrelated vectors of signs spread by 1 / sqrt(DIM) around 0; a score under three of that is noise
+NOISE = 3 / DIM**0.5
 _BATCH_CHARS = 1 << 20
 _SPACE = 32
 
