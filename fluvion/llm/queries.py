@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fluvion.llm import bpe, chat, divergence, embeddings, fingerprints, language, lines, packing, pii, sharding, simhash
+from fluvion.llm import bpe, chat, decontamination, divergence, embeddings, fingerprints, language, lines, packing, pii, sharding, simhash, whitening
 from fluvion.llm.common import read, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,31 @@ LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuv
 )
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_decontamination",
+    rf"""
+    WITH d AS (
+        SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+        FROM documents
+    ),
+    b AS (SELECT item_id, regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+    w AS (SELECT DISTINCT item_id, list_slice(ws, i, i + {decontamination.WIDTH - 1}) AS win FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - {decontamination.WIDTH - 1}, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+    sizes AS (SELECT DISTINCT len(win) AS m FROM w),
+    grams AS (SELECT k, m, i, list_slice(ws, i, i + m - 1) AS gram FROM (SELECT k, m, ws, unnest(range(1, len(ws) - m + 2)) AS i FROM d, sizes WHERE len(ws) >= m)),
+    found AS (SELECT k, i, m, item_id FROM grams JOIN w ON win = gram),
+    hit AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + m)) AS p FROM found) GROUP BY k),
+    named AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY k)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit USING (k) LEFT JOIN named USING (k)""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    named = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
