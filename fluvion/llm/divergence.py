@@ -1,7 +1,7 @@
 """Divergence of the sources of a language, with terms as fixed-width digests until their text is needed.
 
-A task tallies its terms by (lang, source) in bounded tables; what is shuffled for counting is a 64-bit digest of
-the term and two numbers. A term is kept where enough documents of its language hold it. The kept digests
+A task tallies its terms by (lang, source) in bounded tables; what is shuffled for counting is fixed in width: a
+64-bit key of the source, a 64-bit digest of the term and two numbers. A term is kept where enough documents of its language hold it. The kept digests
 alone then meet their strings: the least and the greatest string of a digest differ exactly if terms collide in it, and the
 occurrences of such a digest are counted anew by the string itself (`split`). Text is joined back to what is returned.
 
@@ -37,105 +37,114 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_LETTERS).split()
 
 
-def digest(term: bytes, bits: int = 64) -> int:
-    """A signed digest; fewer bits than 64 serve to try collisions."""
+def digests(found: list[bytes], bits: int = 64) -> np.ndarray:
+    """Signed digests of terms; fewer bits than 64 serve to try collisions."""
     from xxhash import xxh64_intdigest
 
-    h = xxh64_intdigest(term) & ((1 << bits) - 1)
-    return h - (1 << 64) if h >> 63 else h
+    return (np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found)) & np.uint64((1 << bits) - 1)).view(np.int64)
 
 
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return column.cast(pa.binary()).to_pylist()
+def _keys(seed: int) -> tuple[Column, Column]:
+    return F.xxhash64(F.lit(seed), "lang").alias("l"), F.xxhash64(F.lit(seed), "lang", "source").alias("g")
 
 
-def tallies(docs: DataFrame, bits: int = 64, named: bool = False) -> DataFrame:
-    """(lang, source, digest, n, docs): occurrences and documents of each term, in parts; with ``named`` also ``term``."""
+def sources(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(lang, source, l, g): every source of a language with two fixed-width keys, and the seed by which no two keys meet."""
+    groups = staged(_source(docs).select("lang", "source").distinct(), "groups")
+    for seed in range(100):
+        keyed = groups.select("lang", "source", *_keys(seed))
+        x = keyed.agg(*(F.count_distinct(F.struct(*c)).alias("_".join(c)) for c in (["lang"], ["l"], ["lang", "source"], ["g"]))).first()
+        if x["lang"] == x["l"] and x["lang_source"] == x["g"]:
+            return staged(keyed, "sources"), seed
+    raise AssertionError("keys of 64 bits met a hundred times")
+
+
+def tallies(docs: DataFrame, seed: int = 0, bits: int = 64, named: bool = False, most: int = HELD) -> DataFrame:
+    """(g, digest, n, docs): occurrences and documents of each term, in parts; with ``named`` also ``term``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[int, tuple[Counter, Counter]] = {}
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, seen) in held.items():
-                words = list(n)
-                columns = [
-                    pa.array([lang] * len(words), pa.string()),
-                    pa.array([source] * len(words), pa.string()),
-                    pa.array(np.fromiter((digest(w, bits) for w in words), np.int64, len(words))),
-                    pa.array(np.fromiter(n.values(), np.int64, len(words))),
-                    pa.array(np.fromiter((seen[w] for w in words), np.int64, len(words))),
-                    *([pa.array(words, pa.binary()).cast(pa.string())] if named else []),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names)
+            for g, (n, seen) in held.items():
+                found, size = list(n), len(n)
+                columns = [np.full(size, g), digests(found, bits), np.fromiter(n.values(), np.int64, size), np.fromiter(map(seen.__getitem__, found), np.int64, size)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *([pa.array(found, pa.binary()).cast(pa.string())] if named else [])], names)
             held.clear()
 
         for part in parts:
-            for lang, source, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _bytes(part.column(2))):
-                words = terms(text)
-                n, seen = held.setdefault((lang, source), (Counter(), Counter()))
+            for g, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
+                found = terms(text)
+                n, seen = held.setdefault(g, (Counter(), Counter()))
                 size -= len(n)
-                n.update(words)
-                seen.update(set(words))
+                n.update(found)
+                seen.update(set(found))
                 size += len(n)
-                if size > HELD:
+                if size > most:
                     yield from out()
                     size = 0
         yield from out()
 
-    names = ["lang", "source", "digest", "n", "docs", *(["term"] if named else [])]
-    return _source(docs).mapInArrow(run, "lang string, source string, digest bigint, n bigint, docs bigint" + (", term string" if named else ""))
+    names = ["g", "digest", "n", "docs", *(["term"] if named else [])]
+    return _source(docs).select(_keys(seed)[1], "text").mapInArrow(run, "g bigint, digest bigint, n bigint, docs bigint" + (", term string" if named else ""))
 
 
-def strings(docs: DataFrame, bits: int = 64) -> DataFrame:
-    """(lang, digest, term): the terms of each language, each at least once."""
+def strings(docs: DataFrame, seed: int = 0, bits: int = 64, most: int = HELD) -> DataFrame:
+    """(l, digest, term): the terms of each language, each at least once."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, set[bytes]] = {}
+        held: dict[int, set[bytes]] = {}
+        size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, found in held.items():
-                words = list(found)
-                columns = [pa.array([lang] * len(words), pa.string()), pa.array(np.fromiter((digest(w, bits) for w in words), np.int64, len(words))), pa.array(words, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["lang", "digest", "term"])
+            for key, words in held.items():
+                found = list(words)
+                columns = [pa.array(np.full(len(found), key)), pa.array(digests(found, bits)), pa.array(found, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["l", "digest", "term"])
             held.clear()
 
         for part in parts:
-            for lang, text in zip(part.column(0).to_pylist(), _bytes(part.column(1))):
-                held.setdefault(lang, set()).update(terms(text))
-                if sum(map(len, held.values())) > HELD:
+            for key, text in zip(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist()):
+                words = held.setdefault(key, set())
+                size -= len(words)
+                words.update(terms(text))
+                size += len(words)
+                if size > most:
                     yield from out()
+                    size = 0
         yield from out()
 
-    return _source(docs).select("lang", "text").mapInArrow(run, "lang string, digest bigint, term string")
+    return _source(docs).select(_keys(seed)[0], "text").mapInArrow(run, "l bigint, digest bigint, term string")
 
 
 def _summed(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
-def vocabulary(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Kept terms as (lang, digest, split, term, total) and their counts as (lang, source, digest, split, n).
+def vocabulary(docs: DataFrame, groups: DataFrame, seed: int, min_docs: int = MIN_DOCS, bits: int = 64, most: int = HELD) -> tuple[DataFrame, DataFrame]:
+    """Kept terms as (l, digest, split, term, total) and their counts as (l, g, digest, split, n).
 
     ``split`` is the term where its digest is shared with another term of the language, else empty.
     """
-    counts = staged(_summed(tallies(docs, bits), "lang", "source", "digest"), "term-counts")
-    often = staged(_summed(counts, "lang", "digest").where(F.col("docs") >= min_docs).select("lang", "digest", F.col("n").alias("total")), "often")
-    named = strings(docs, bits).join(often.select("lang", "digest"), ["lang", "digest"], "left_semi")
-    named = staged(named.groupBy("lang", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "named")
-    alone = often.join(named.where("low = high"), ["lang", "digest"]).select("lang", "digest", F.lit("").alias("split"), F.col("low").alias("term"), "total")
-    mine = counts.join(alone.select("lang", "digest"), ["lang", "digest"], "left_semi").select("lang", "source", "digest", F.lit("").alias("split"), "n")
-    shared = named.where("low <> high").select("lang", "digest")
+    langs = groups.select("g", "l")
+    counts = staged(_summed(tallies(docs, seed, bits, most=most), "g", "digest"), "term-counts").join(langs, "g")
+    often = staged(_summed(counts, "l", "digest").where(F.col("docs") >= min_docs).select("l", "digest", F.col("n").alias("total")), "often")
+    named = strings(docs, seed, bits, most).join(often.select("l", "digest"), ["l", "digest"], "left_semi")
+    named = staged(named.groupBy("l", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "named")
+    alone = often.join(named.where("low = high"), ["l", "digest"]).select("l", "digest", F.lit("").alias("split"), F.col("low").alias("term"), "total")
+    mine = counts.join(alone.select("l", "digest"), ["l", "digest"], "left_semi").select("l", "g", "digest", F.lit("").alias("split"), "n")
+    shared = named.where("low <> high").select("l", "digest")
     if not shared.isEmpty():
-        again = tallies(docs, bits, named=True).join(shared, ["lang", "digest"], "left_semi")
-        again = staged(_summed(again, "lang", "source", "digest", "term"), "split-counts")
-        parted = _summed(again, "lang", "digest", "term").where(F.col("docs") >= min_docs)
-        alone = alone.union(parted.select("lang", "digest", F.col("term").alias("split"), "term", F.col("n").alias("total")))
-        mine = mine.union(again.join(parted.select("lang", "digest", "term"), ["lang", "digest", "term"], "left_semi").select("lang", "source", "digest", F.col("term").alias("split"), "n"))
+        again = tallies(docs, seed, bits, True, most).join(langs, "g").join(shared, ["l", "digest"], "left_semi")
+        again = staged(_summed(again, "l", "g", "digest", "term"), "split-counts")
+        parted = _summed(again, "l", "digest", "term").where(F.col("docs") >= min_docs)
+        alone = alone.union(parted.select("l", "digest", F.col("term").alias("split"), "term", F.col("n").alias("total")))
+        mine = mine.union(again.join(parted.select("l", "digest", "term"), ["l", "digest", "term"], "left_semi").select("l", "g", "digest", F.col("term").alias("split"), "n"))
     return staged(alone, "kept-terms"), staged(mine, "kept-counts")
 
 
@@ -153,76 +162,79 @@ def distance(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div ({p} + {q})")
 
 
-def _bucket_sums(table: pa.Table) -> pa.Table:
-    """Sums of distances over the terms of one bucket, for each pair of sources of two blocks."""
-    idx, p = table.column("idx").to_numpy(), table.column("p").to_numpy()
-    head = table.column("head").to_numpy(zero_copy_only=False)
-    order = np.argsort(idx[head])
-    who, base = idx[head][order], p[head][order]
-    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-    keys = table.filter(pa.array(~head)).select(["digest", "split"])
-    ids = keys.column("digest").to_numpy()
-    split = keys.column("split").combine_chunks().dictionary_encode()
-    code = split.indices.to_numpy() if isinstance(split, pa.DictionaryArray) else np.concatenate([c.indices.to_numpy() for c in split.chunks]) if split.num_chunks else np.empty(0, np.int64)
-    ranked = np.lexsort((code, ids))
-    new = np.ones(len(ids), bool)
-    new[1:] = (np.diff(ids[ranked]) != 0) | (np.diff(code[ranked]) != 0)
-    term = np.cumsum(new) - 1
-    n_terms = int(new.sum())
-    column, value = np.searchsorted(who, idx[~head][ranked]), p[~head][ranked]
-    sums = np.zeros((len(who), len(who)), np.int64)
-    for at in range(0, n_terms, 4096):
-        a, b = np.searchsorted(term, (at, at + 4096))
-        dense = np.tile(base, (min(4096, n_terms - at), 1))
-        dense[term[a:b] - at, column[a:b]] = value[a:b]
-        for k in range(len(who)):
-            gap = dense - dense[:, k : k + 1]
-            sums[k] += (gap * gap // (dense + dense[:, k : k + 1])).sum(axis=0)
-    x, y = np.nonzero(who[:, None] < who[None, :])
-    if low != high:
-        apart = (who[x] // BLOCK == low) & (who[y] // BLOCK == high)
-        x, y = x[apart], y[apart]
-    n = len(x)
-    return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * n, pa.string()), "a": who[x], "b": who[y], "part": sums[x, y], "seen": np.full(n, n_terms, np.int64)})
-
-
-def pair_values(who: DataFrame, counts: DataFrame) -> DataFrame:
-    """(lang, a, b, value) for sources numbered a < b, from (lang, source, idx, v, p0) and (lang, idx, v, digest, split, p)."""
-    blocks = who.groupBy("lang").agg(F.expr(f"max(idx) div {BLOCK}").alias("last"))
-    buckets = F.expr(f"v div {BUCKET}")
-    met = lambda rows: rows.join(blocks, "lang").withColumn("mine", F.expr(f"idx div {BLOCK}")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
-    shape = ["lang", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "bucket", "head", "idx", "p", "digest", "split"]
+def _bucket_sums(block: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Sums of distances over the terms of one bucket, for each pair of sources of two blocks."""
+        idx, p = table.column("idx").to_numpy(), table.column("p").to_numpy()
+        head = table.column("head").to_numpy(zero_copy_only=False)
+        order = np.argsort(idx[head])
+        who, base = idx[head][order], p[head][order]
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        keys = table.filter(pa.array(~head)).select(["digest", "split"])
+        ids = keys.column("digest").to_numpy()
+        split = keys.column("split").combine_chunks().dictionary_encode()
+        code = split.indices.to_numpy() if isinstance(split, pa.DictionaryArray) else np.concatenate([c.indices.to_numpy() for c in split.chunks]) if split.num_chunks else np.empty(0, np.int64)
+        ranked = np.lexsort((code, ids))
+        new = np.ones(len(ids), bool)
+        new[1:] = (np.diff(ids[ranked]) != 0) | (np.diff(code[ranked]) != 0)
+        term = np.cumsum(new) - 1
+        n_terms = int(new.sum())
+        column, value = np.searchsorted(who, idx[~head][ranked]), p[~head][ranked]
+        sums = np.zeros((len(who), len(who)), np.int64)
+        for at in range(0, n_terms, 4096):
+            a, b = np.searchsorted(term, (at, at + 4096))
+            dense = np.tile(base, (min(4096, n_terms - at), 1))
+            dense[term[a:b] - at, column[a:b]] = value[a:b]
+            for k in range(len(who)):
+                gap = dense - dense[:, k : k + 1]
+                sums[k] += (gap * gap // (dense + dense[:, k : k + 1])).sum(axis=0)
+        x, y = np.nonzero(who[:, None] < who[None, :])
+        if low != high:
+            apart = (who[x] // block == low) & (who[y] // block == high)
+            x, y = x[apart], y[apart]
+        n = len(x)
+        return pa.table({"l": np.full(n, table.column("l")[0].as_py()), "a": who[x], "b": who[y], "part": sums[x, y], "seen": np.full(n, n_terms, np.int64)})
+
+    return run
+
+
+def pair_values(who: DataFrame, counts: DataFrame, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+    """(l, source_a, source_b, value) for sources numbered a < b, from (l, source, idx, v, p0) and (l, idx, v, digest, split, p)."""
+    blocks = who.groupBy("l").agg(F.expr(f"max(idx) div {block}").alias("last"))
+    buckets = F.expr(f"v div {bucket}")
+    met = lambda rows: rows.join(blocks, "l").withColumn("mine", F.expr(f"idx div {block}")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    shape = ["l", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "bucket", "head", "idx", "p", "digest", "split"]
     heads = met(who).withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), buckets)))
     heads = heads.select("*", F.lit(True).alias("head"), F.col("p0").alias("p"), F.lit(0).cast("long").alias("digest"), F.lit("").alias("split")).select(*shape)
     rows = met(counts).withColumn("bucket", F.pmod(F.xxhash64("digest"), buckets + 1)).withColumn("head", F.lit(False)).select(*shape)
-    sums = heads.union(rows).groupBy("lang", "low", "high", "bucket").applyInArrow(_bucket_sums, "lang string, a bigint, b bigint, part bigint, seen bigint")
-    sums = sums.groupBy("lang", "a", "b").agg(F.sum("part").alias("part"), F.sum("seen").alias("seen"))
-    one, two = (who.select("lang", F.col("idx").alias(k), F.col("source").alias(f"source_{k}"), F.col("p0").alias(f"p_{k}"), "v") for k in ("a", "b"))
-    both = sums.join(one, ["lang", "a"]).join(two.drop("v"), ["lang", "b"])
-    return both.withColumn("value", F.col("part") + (F.col("v") - F.col("seen")) * distance("p_a", "p_b"))
+    sums = heads.union(rows).groupBy("l", "low", "high", "bucket").applyInArrow(_bucket_sums(block), "l bigint, a bigint, b bigint, part bigint, seen bigint")
+    sums = sums.groupBy("l", "a", "b").agg(F.sum("part").alias("part"), F.sum("seen").alias("seen"))
+    one, two = (who.select("l", F.col("idx").alias(k), F.col("source").alias(f"source_{k}"), F.col("p0").alias(f"p_{k}"), "v") for k in ("a", "b"))
+    both = sums.join(one, ["l", "a"]).join(two.drop("v"), ["l", "b"])
+    return both.select("l", "source_a", "source_b", (F.col("part") + (F.col("v") - F.col("seen")) * distance("p_a", "p_b")).alias("value"))
 
 
-def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, bits: int = 64) -> DataFrame:
+def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, bits: int = 64, most: int = HELD, **deal: int) -> DataFrame:
     """(lang, source, part, item, value, rank): how far each source is from the others, and the terms that set it apart."""
-    kept, counts = vocabulary(docs, min_docs, bits)
-    sizes = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_total"))
-    groups = _source(docs).select("lang", "source").distinct()
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    who = groups.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").fillna(0, ["total", "v", "lang_total"])
-    who = who.withColumns({"idx": (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long"), "p0": share("0", "total", "v")})
-    who = staged(who, "sources")
-    placed = counts.join(who, ["lang", "source"]).withColumn("p", share("n", "total", "v"))
-
-    pairs = pair_values(who, placed.select("lang", "idx", "v", "digest", "split", "p"))
-    pairs = staged(pairs.select("lang", "source_a", "source_b", "value"), "source-pairs")
-    both = pairs.union(pairs.select("lang", F.col("source_b"), F.col("source_a"), "value")).toDF("lang", "source", "item", "value")
+    groups, seed = sources(docs)
+    kept, counts = vocabulary(docs, groups, seed, min_docs, bits, most)
+    sizes = kept.groupBy("l").agg(F.count("*").alias("v"), F.sum("total").alias("lang_total"))
+    totals = counts.groupBy("g").agg(F.sum("n").alias("total"))
+    who = groups.join(totals, "g", "left").join(sizes, "l", "left").fillna(0, ["total", "v", "lang_total"])
+    who = who.withColumns({"idx": (F.row_number().over(Window.partitionBy("l").orderBy("source")) - 1).cast("long"), "p0": share("0", "total", "v")})
+    who = staged(who, "numbered-sources")
+    placed = counts.join(who.drop("l"), "g").withColumn("p", share("n", "total", "v"))
+
+    pairs = staged(pair_values(who, placed.select("l", "idx", "v", "digest", "split", "p"), **deal), "source-pairs")
+    langs = groups.select("l", "lang").distinct()
+    both = pairs.union(pairs.select("l", "source_b", "source_a", "value")).toDF("l", "source", "item", "value").join(langs, "l")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     near = both.select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
 
-    own = placed.join(kept.select("lang", "digest", "split", F.col("total").alias("in_lang")), ["lang", "digest", "split"])
+    own = placed.join(kept.select("l", "digest", "split", F.col("total").alias("in_lang")), ["l", "digest", "split"])
     own = own.withColumn("q", share("in_lang", "lang_total", "v")).where("p > q").withColumn("value", distance("p", "q"))
     # ranks by value keep all ties of the last place; only these get their text, which decides ties
-    first = own.withColumn("place", F.rank().over(Window.partitionBy("lang", "source").orderBy(F.desc("value")))).where(F.col("place") <= top)
-    told = first.select("lang", "source", "digest", "split", "value").join(kept.select("lang", "digest", "split", F.col("term").alias("item")), ["lang", "digest", "split"])
+    first = own.withColumn("place", F.rank().over(Window.partitionBy("g").orderBy(F.desc("value")))).where(F.col("place") <= top)
+    told = first.select("lang", "source", "l", "digest", "split", "value").join(kept.select("l", "digest", "split", F.col("term").alias("item")), ["l", "digest", "split"])
     apart = told.select("lang", "source", F.lit("term").alias("part"), "item", "value", F.row_number().over(order).alias("rank")).where(F.col("rank") <= top)
     return near.union(apart)
