@@ -7,6 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+def matching(rows: DataFrame, other: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``rows`` joined with the keys of ``other`` (semi or anti); null equals null in every key part."""
+    have = other.select(*[F.col(k).alias(f"_h_{k}") for k in keys])
+    return rows.join(have, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys], how)
+
+
+def beside(rows: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the other columns of the row of ``other`` that has the same keys, null equal to null, if any."""
+    named = other.select(*[F.col(k).alias(f"_h_{k}") if k in keys else F.col(k) for k in other.columns])
+    return rows.join(named, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys], "left").drop(*[f"_h_{k}" for k in keys])
+
+
 def new_revisions(stored: DataFrame, batch: DataFrame, keys: Sequence[str], compared: Sequence[str], order: str) -> DataFrame:
     """Rows of ``batch`` that differ from the version before them, linked and numbered.
 
@@ -18,7 +30,7 @@ def new_revisions(stored: DataFrame, batch: DataFrame, keys: Sequence[str], comp
     last = stored.groupBy(*keys).agg(F.max(F.struct("revision_seq", "id", *compared)).alias("s"))
     last = last.select(*keys, F.col("s.id").alias("id"), F.lit(None).cast(batch.schema[order].dataType).alias(order),
                        *[F.col(f"s.{c}").alias(c) for c in compared], F.col("s.revision_seq").alias("_seq"), F.lit(True).alias("_stored"))
-    touched = last.join(batch.select(*keys).distinct(), list(keys), "left_semi")
+    touched = matching(last, batch.select(*keys).distinct(), keys, "left_semi")
     arrivals = batch.select(*keys, "id", order, *compared).withColumn("_seq", F.lit(None).cast("int")).withColumn("_stored", F.lit(False))
     w = W.partitionBy(*keys).orderBy(F.col(order).asc_nulls_first(), F.col("id"))
     state = F.struct(*compared)
@@ -41,9 +53,7 @@ def absent(batch: DataFrame, stored: DataFrame, keys: Sequence[str], order: Sequ
     """First row per natural key that the store does not hold; null equals null in every key part."""
     w = W.partitionBy(*keys).orderBy(*order)
     first = batch.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    have = stored.select(*[F.col(k).alias(f"_h_{k}") for k in keys]).distinct()
-    on = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
-    return first.join(have, on, "left_anti")
+    return matching(first, stored.select(*keys).distinct(), keys, "left_anti")
 
 
 def complete_instants(stored: DataFrame, expected: DataFrame, instant: str, scope: str) -> DataFrame:
@@ -57,13 +67,13 @@ def complete_instants(stored: DataFrame, expected: DataFrame, instant: str, scop
 def above_high_water(batch: DataFrame, stored: DataFrame, keys: Sequence[str], instant: str) -> DataFrame:
     """Batch rows newer than the newest stored instant of their key."""
     mark = stored.groupBy(*keys).agg(F.max(instant).alias("_mark"))
-    return batch.join(mark, list(keys), "left").filter(F.col("_mark").isNull() | (F.col(instant) > F.col("_mark"))).drop("_mark")
+    return beside(batch, mark, keys).filter(F.col("_mark").isNull() | (F.col(instant) > F.col("_mark"))).drop("_mark")
 
 
 def changed_dimension_rows(stored: DataFrame, batch: DataFrame, keys: Sequence[str], compared: Sequence[str]) -> DataFrame:
     """Rows to append to a slowly changing dimension: only where the compared columns changed."""
     last = stored.groupBy(*keys).agg(F.max(F.struct("effective_from", "id", *compared)).alias("_s"))
-    joined = batch.join(last, list(keys), "left")
+    joined = beside(batch, last, keys)
     same = F.lit(True)
     for c in compared:
         same = same & F.col(c).eqNullSafe(F.col(f"_s.{c}"))

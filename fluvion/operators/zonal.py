@@ -9,50 +9,69 @@ RADAR_MISSING, RADAR_NO_COVERAGE, RADAR_MIN_VALID = -1.0, -3.0, 0.995
 SNOW_NODATA, SNOW_SATURATED, SNOW_MIN_VALID = -9999.0, 32767.0, 0.93
 FORECAST_NOISE, FORECAST_MISSING_FLOOR, FORECAST_MIN_VALID = 0.1, 9998.0, 0.995
 
+DEALS = 64
 
-def weighted_cells(cells: DataFrame, mask: DataFrame, by: list[str]) -> DataFrame:
-    """Each cell beside the basins it belongs to. The mask is sparse and joined on the cell id."""
-    return cells.join(mask, by)
 
+def expected(cells: DataFrame, mask: DataFrame, fields: DataFrame | None, grid_size: int | None) -> DataFrame:
+    """One row per (field, basin) that must be answered, whatever was delivered.
 
-def mask_totals(mask: DataFrame) -> DataFrame:
-    """Cells and weight of each basin's whole mask: what a field must be measured against, delivered or not."""
-    return mask.groupBy("basin").agg(F.count(F.lit(1)).alias("cell_count"), F.sum("weight").alias("wsum"))
+    ``cell_count`` and ``wsum`` are those of the basin's whole mask; ``outside`` counts mask cells beyond the grid and
+    ``surplus`` delivered cells beyond it. Fields are those of ``fields`` or, without a list, those with any cell.
+    """
+    beyond = lambda c: F.lit(False) if grid_size is None else (F.col(c) < 0) | (F.col(c) >= grid_size)
+    basins = mask.groupBy("basin").agg(F.count(F.lit(1)).alias("cell_count"), F.sum("weight").alias("wsum"), F.count_if(beyond("flat_index")).alias("outside"))
+    sizes = cells.groupBy("field").agg(F.count_if(beyond("flat_index")).alias("surplus"))
+    listed = sizes if fields is None else fields.select("field").distinct().join(sizes, "field", "left").fillna(0, ["surplus"])
+    # every basin answers for every field, a row of the result each; fields are dealt so that they meet the basins in many tasks
+    dealt = basins.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    return listed.withColumn("_deal", F.pmod(F.xxhash64("field"), F.lit(DEALS)).cast("int")).join(dealt, "_deal").drop("_deal")
+
+
+def measured(cells: DataFrame, mask: DataFrame, aggregates: list[Column], fields: DataFrame | None, grid_size: int | None = None) -> DataFrame:
+    """Aggregates over the weighted cells of each expected (field, basin); without a delivered cell they are null.
+
+    A value that is null or NaN is missing: it is read as null, so that no comparison holds for it.
+    """
+    value = F.col("value").cast("double")
+    known = cells.withColumn("value", F.when(~F.isnan(value), value))
+    g = known.join(mask, "flat_index").groupBy("field", "basin").agg(*aggregates)
+    return expected(cells, mask, fields, grid_size).join(g, ["field", "basin"], "left")
 
 
 def _weight(cond: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, F.col("weight"))), F.lit(0.0))
 
 
-def strict_mean(cells: DataFrame, mask: DataFrame, grid_size: int | None, missing: Column) -> DataFrame:
-    """Mean that refuses whole when any masked cell is missing, absent from the field or outside the grid.
+def strict_mean(cells: DataFrame, mask: DataFrame, grid_size: int | None, missing: Column, fields: DataFrame | None = None) -> DataFrame:
+    """Mean that refuses whole when any masked cell is missing, null, NaN, absent from the field or outside the grid.
 
-    A mask made from the fields' own cells has no cell outside and needs no ``grid_size``.
+    A field with cells beyond the grid was delivered on another grid. A mask made from the fields' own cells has no
+    cell outside and needs no ``grid_size``. A mask whose weights sum to nothing has no mean.
     """
-    v = F.when(~missing, F.col("value"))
-    beyond = F.lit(False) if grid_size is None else (F.col("flat_index") < 0) | (F.col("flat_index") >= grid_size)
-    totals = mask.groupBy("basin").agg(F.count(F.lit(1)).alias("cell_count"), F.sum("weight").alias("wsum"), F.count_if(beyond).alias("outside"))
-    g = weighted_cells(cells, mask, ["flat_index"]).groupBy("field", "basin").agg(
-        F.count(F.lit(1)).alias("met"),
-        F.count_if(missing).alias("bad"),
-        F.sum(v * F.col("weight")).alias("total"),
+    bad = F.col("value").isNull() | F.coalesce(missing, F.lit(True))
+    g = measured(cells, mask, [
+        F.count(F.lit(1)).alias("met"), F.count_if(bad).alias("bad"), F.sum(F.when(~bad, F.col("value")) * F.col("weight")).alias("total"),
+    ], fields, grid_size)
+    g = g.withColumn("missing_cells", F.coalesce("bad", F.lit(0)) + F.col("cell_count") - F.coalesce("met", F.lit(0)))
+    reason = (
+        F.when(F.col("surplus") > 0, "wrong_grid_size").when(F.col("outside") > 0, "cell_out_of_range")
+        .when(~(F.col("wsum") > 0), "empty_weight").when(F.col("missing_cells") > 0, "missing_values")
     )
-    g = g.join(totals, "basin").withColumn("missing_cells", F.col("bad") + F.col("cell_count") - F.col("met")).withColumn("mean", F.col("total") / F.col("wsum"))
-    reason = F.when(F.col("outside") > 0, "cell_out_of_range").when(F.col("missing_cells") > 0, "missing_values")
-    return g.select("field", "basin", "cell_count", "missing_cells", F.when(reason.isNull(), F.col("mean")).alias("value"), F.coalesce(reason, F.lit("ok")).alias("reason"))
+    mean = F.when(reason.isNull(), F.col("total") / F.col("wsum"))
+    return g.select("field", "basin", "cell_count", "missing_cells", mean.alias("value"), F.coalesce(reason, F.lit("ok")).alias("reason"))
 
 
-def radar_stats(cells: DataFrame, mask: DataFrame) -> DataFrame:
+def radar_stats(cells: DataFrame, mask: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """Coverage-tolerant mean: sentinels lower the valid fraction; refused below the floor."""
     v, w = F.col("value"), F.col("weight")
     valid = v >= 0.0
-    g = weighted_cells(cells, mask, ["flat_index"]).groupBy("field", "basin").agg(
+    g = measured(cells, mask, [
         _weight(valid).alias("wvalid"),
         _weight(v == RADAR_NO_COVERAGE).alias("wno"),
         _weight(v == RADAR_MISSING).alias("wmiss"),
         F.sum(F.when(valid, v * w)).alias("total"),
         F.max(F.when(valid, v)).alias("top"),
-    ).join(mask_totals(mask), "basin")
+    ], fields).fillna(0.0, ["wvalid", "wno", "wmiss"])
     frac = F.col("wvalid") / F.col("wsum")
     ok = frac >= RADAR_MIN_VALID
     flags = F.array_compact(F.array(
@@ -66,15 +85,15 @@ def radar_stats(cells: DataFrame, mask: DataFrame) -> DataFrame:
     )
 
 
-def snow_stats(cells: DataFrame, mask: DataFrame) -> DataFrame:
+def snow_stats(cells: DataFrame, mask: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """Mean, maximum and snow-covered fraction over valid land cells."""
     v, w = F.col("value"), F.col("weight")
     valid = (v >= 0) & (v != SNOW_SATURATED)
     corrupt = (v < 0) & (v != SNOW_NODATA)
-    g = weighted_cells(cells, mask, ["flat_index"]).groupBy("field", "basin").agg(
+    g = measured(cells, mask, [
         _weight(valid).alias("wvalid"), _weight(v == SNOW_NODATA).alias("wwater"), _weight(v == SNOW_SATURATED).alias("wsat"), _weight(corrupt).alias("wbad"),
         F.sum(F.when(valid, v * w)).alias("total"), F.max(F.when(valid, v)).alias("top"), _weight(valid & (v > 0)).alias("wsnow"),
-    ).join(mask_totals(mask), "basin")
+    ], fields).fillna(0.0, ["wvalid", "wwater", "wsat", "wbad", "wsnow"])
     part = lambda c: F.round(F.col(c) / F.col("wsum"), 6)
     ok = F.col("wvalid") / F.col("wsum") >= SNOW_MIN_VALID
     flags = F.array_compact(F.array(
@@ -89,16 +108,15 @@ def snow_stats(cells: DataFrame, mask: DataFrame) -> DataFrame:
     )
 
 
-def forecast_stats(cells: DataFrame, mask: DataFrame) -> DataFrame:
+def forecast_stats(cells: DataFrame, mask: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """Precipitation mean with the small negative decoding noise clamped to zero."""
+    w = F.col("weight")
     clamped = (F.col("value") < 0) & (F.col("value") >= -FORECAST_NOISE)
-    rows = weighted_cells(cells, mask, ["flat_index"]).withColumn("_clamped", clamped)
-    rows = rows.withColumn("value", F.when(F.col("_clamped"), F.lit(0.0)).otherwise(F.col("value")))
-    v, w = F.col("value"), F.col("weight")
+    v = F.when(clamped, F.lit(0.0)).otherwise(F.col("value"))
     valid = (v >= 0) & (v < FORECAST_MISSING_FLOOR)
-    g = rows.groupBy("field", "basin").agg(
-        _weight(valid).alias("wvalid"), F.count_if("_clamped").alias("negative_clamped_cells"), F.sum(F.when(valid, v * w)).alias("total"), F.max(F.when(valid, v)).alias("top"),
-    ).join(mask_totals(mask), "basin")
+    g = measured(cells, mask, [
+        _weight(valid).alias("wvalid"), F.count_if(clamped).alias("negative_clamped_cells"), F.sum(F.when(valid, v * w)).alias("total"), F.max(F.when(valid, v)).alias("top"),
+    ], fields).fillna(0.0, ["wvalid"]).fillna(0, ["negative_clamped_cells"])
     frac = F.col("wvalid") / F.col("wsum")
     ok = frac >= FORECAST_MIN_VALID
     missing = F.round(1.0 - F.round(frac, 12), 6)

@@ -52,6 +52,16 @@ class Tables:
         """The four official levels beside each row (the same at every point)."""
         return df.withColumns({k: F.lit(v) for k, v in LEVELS.items()})
 
+    def dated_levels(self) -> DataFrame:
+        """Official levels with a time from which each holds and one at which it became known; a station has several."""
+        k, origin = F.col("o_orderkey"), F.timestamp_seconds(F.lit(1704067200))
+        kind = F.element_at(F.array(*map(F.lit, LEVELS)), (k % 4).cast("int") + 1)
+        base = F.element_at(F.array(*map(F.lit, LEVELS.values())), (k % 4).cast("int") + 1)
+        return self.read("orders").select(
+            F.col("o_custkey").alias("station"), kind.alias("category"), (base * (F.lit(0.75) + (k % 8) / 16.0)).alias("level"),
+            (origin + hours(k % 700)).alias("effective_from"), (origin + hours(k % 700 + k % 48)).alias("known_at"), k.alias("id"),
+        )
+
     def fast_series(self) -> DataFrame:
         """Quarter-hour gauge series: the highest reading of each 15 minutes per station group."""
         t = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / 900) * 900)

@@ -1,18 +1,35 @@
 """Continuous ingest: idempotent appends, revisions, change events and snapshots per micro-batch.
 
-Every batch writes its own ``batch=<id>`` folder with overwrite, so a batch that is run again after
-a failure replaces its own output and nothing else.
+What a batch writes goes to its own ``batch=<id>`` folder with overwrite, so a batch that is run again after
+a failure replaces its own output and nothing else. What it must know of earlier batches is held in keyed tables
+(`fluvion.streaming.state`), read at the version before the batch and only where the batch's own keys lie.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fluvion.operators import revisions, selection
+from fluvion.streaming.state import KeyedTable
+
+
+def held(each: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A batch writer whose batch is computed once, however often it reads it."""
+
+    @wraps(each)
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            each(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    return run
 
 
 def open_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -40,7 +57,6 @@ def run_to_table(df: DataFrame, checkpoint: str, path: str) -> StreamingQuery:
         df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
         .outputMode("append").trigger(availableNow=True).start()
     )
-    q.awaitTermination()
     dropped = late_rows(q)
     if dropped:
         one = df.sparkSession.range(1).select(F.current_timestamp().alias("ended_at"), F.lit(dropped).cast("long").alias("n_dropped"))
@@ -48,9 +64,21 @@ def run_to_table(df: DataFrame, checkpoint: str, path: str) -> StreamingQuery:
     return q
 
 
-def late_rows(q: StreamingQuery) -> int:
-    """Rows dropped by the watermarks of a query, over the batches it keeps progress of."""
-    return sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
+def late_rows(q: StreamingQuery, look_s: float = 0.5) -> int:
+    """Rows dropped by the watermarks of a query, over all batches until it ends.
+
+    Progress is kept of the last batches only, so it is looked at again and again while the query runs.
+    """
+    dropped: dict[int, int] = {}
+
+    def look() -> None:
+        for p in q.recentProgress:
+            dropped[p.batchId] = max(dropped.get(p.batchId, 0), sum(op.numRowsDroppedByWatermark for op in p.stateOperators))
+
+    while not q.awaitTermination(look_s):
+        look()
+    look()
+    return sum(dropped.values())
 
 
 def earlier_batches(spark: SparkSession, path: str, batch_id: int, like: DataFrame) -> DataFrame:
@@ -67,34 +95,39 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
-def overlapping(stored: DataFrame, batch: DataFrame, instant: str) -> DataFrame:
-    """Stored rows inside the time range of a batch.
-
-    One (min, max) row is fetched; the range filter then skips stored files by their statistics,
-    so a batch reads the store around its own times and not the whole archive.
-    """
-    lo, hi = batch.agg(F.min(instant), F.max(instant)).first()
-    return stored.filter(F.col(instant).between(F.lit(lo), F.lit(hi)))
+def _schema(df: DataFrame, *columns: str) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def append_absent(path: str, keys: Sequence[str], order: Sequence[str], instant: str) -> Callable[[DataFrame, int], None]:
-    """Batch writer: only rows whose natural key (which includes ``instant``) is not stored yet."""
+    """Batch writer: only rows whose natural key (which includes ``instant``) is not stored yet.
 
+    The keys of all batches are a keyed table beside the rows, so that only the batch's own months and key hashes are read.
+    """
+
+    @held
     def each(batch: DataFrame, batch_id: int) -> None:
-        stored = overlapping(earlier_batches(batch.sparkSession, path, batch_id, batch), batch, instant)
-        write_batch(revisions.absent(batch, stored, keys, [F.asc(c) for c in order]), path, batch_id)
+        spark = batch.sparkSession
+        known = KeyedTable(spark, f"{path}_keys", _schema(batch, *keys), keys, instant)
+        write_batch(revisions.absent(batch, known.lookup(batch.select(*keys).distinct(), batch_id - 1), keys, [F.asc(c) for c in order]), path, batch_id)
+        known.commit(spark.read.schema(batch.schema).parquet(f"{path}/batch={batch_id}"), batch_id)
 
     return each
 
 
 def append_revisions(path: str, keys: Sequence[str], compared: Sequence[str], instant: str) -> Callable[[DataFrame, int], None]:
-    """Batch writer: only rows that differ from the latest stored revision of their key."""
+    """Batch writer: only rows that differ from the latest stored revision of their key; the latest are a keyed table."""
 
+    @held
     def each(batch: DataFrame, batch_id: int) -> None:
-        shape = batch.select(*keys, "id", *compared).withColumn("revision_seq", F.lit(0)).withColumn("revises", F.lit(None).cast("long"))
-        stored = overlapping(earlier_batches(batch.sparkSession, path, batch_id, shape), batch, instant)
-        new = revisions.new_revisions(stored, batch.withColumn("arrived", F.col("id")), keys, compared, "arrived")
-        write_batch(new, path, batch_id)
+        spark = batch.sparkSession
+        kinds = _schema(batch, *keys, "id", *compared)
+        last = KeyedTable(spark, f"{path}_last", f"{kinds}, revision_seq int", keys, instant)
+        stored = last.lookup(batch.select(*keys).distinct(), batch_id - 1)
+        write_batch(revisions.new_revisions(stored, batch.withColumn("arrived", F.col("id")), keys, compared, "arrived"), path, batch_id)
+        new = spark.read.schema(f"{kinds}, revision_seq int").parquet(f"{path}/batch={batch_id}")
+        newest = F.max_by(F.struct("id", *compared, "revision_seq"), "revision_seq").alias("s")
+        last.commit(new.groupBy(*keys).agg(newest).select(*keys, "s.*"), batch_id)
 
     return each
 
@@ -102,38 +135,60 @@ def append_revisions(path: str, keys: Sequence[str], compared: Sequence[str], in
 def change_events(anchors_path: str, events_path: str, key: str, instant: str) -> Callable[[DataFrame, int], None]:
     """Batch writer: a key whose newest content time moved since the last look becomes an event.
 
-    The first batch only primes: nothing changed while nobody was looking. The anchors are one row
-    per key and are carried from batch to batch as a table.
+    The first batch only primes: nothing changed while nobody was looking. The anchors are a keyed table.
     """
 
+    @held
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         seen = batch.groupBy(key).agg(F.max(instant).alias("content_time"))
-        before = earlier_batches(spark, anchors_path, batch_id, seen.withColumn("at_batch", F.lit(0)))
-        previous = before.groupBy(key).agg(F.max("content_time").alias("previous"))
-        moved = seen.join(previous, key, "left").filter(F.col("previous").isNull() | (F.col("content_time") > F.col("previous")))
+        anchors = KeyedTable(batch.sparkSession, anchors_path, _schema(seen, key, "content_time"), [key])
+        previous = anchors.lookup(seen, batch_id - 1).withColumnRenamed("content_time", "previous")
+        moved = revisions.beside(seen, previous, [key]).filter(F.col("previous").isNull() | (F.col("content_time") > F.col("previous")))
         if batch_id > 0:
             write_batch(moved.select(key, "content_time", "previous"), events_path, batch_id)
-        write_batch(moved.select(key, "content_time").withColumn("at_batch", F.lit(batch_id)), anchors_path, batch_id)
+        anchors.commit(moved.select(key, "content_time"), batch_id)
 
     return each
 
 
-def snapshots(path: str, key: str, order: Sequence[str], columns: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """Batch writer: the newest row per key after each batch, as a full small table per batch."""
+def snapshot_table(spark: SparkSession, path: str, schema: str, key: str) -> KeyedTable:
+    return KeyedTable(spark, path, schema, [key])
+
 
+def snapshots(table: KeyedTable, key: str, order: Sequence[str]) -> Callable[[DataFrame, int], None]:
+    """Batch writer: the newest row per key after each batch, as a version of a keyed table."""
+
+    @held
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        wanted = [key, *order, *[c for c in columns if c != key and c not in order]]
-        incoming = batch.select(*wanted)
-        try:
-            stored = spark.read.parquet(path).filter(F.col("batch") == batch_id - 1).select(*wanted)
-        except AnalysisException as missing:
-            if missing.getCondition() != "PATH_NOT_FOUND":
-                raise
-            stored = incoming.limit(0)
-        newest = selection.newest(stored.unionByName(incoming), [key], [F.desc(c) for c in order])
-        write_batch(newest, path, batch_id)
+        by = [F.desc(c) for c in order]
+        incoming = selection.newest(batch.select(*table.schema.names), [key], by)
+        stored = table.lookup(incoming, batch_id - 1)
+        newest = selection.newest(stored.withColumn("_new", F.lit(False)).unionByName(incoming.withColumn("_new", F.lit(True))), [key], [*by, F.asc("_new")])
+        table.commit(newest.filter("_new"), batch_id)
+
+    return each
+
+
+def as_of(rows: DataFrame, versions: DataFrame, on: str, row_key: str, of: str, value: str, kinds: Sequence[str]) -> DataFrame:
+    """``rows`` with a column per kind: the value of the newest version valid at ``valid_time`` and known at ``available_at``.
+
+    ``versions``: on, ``of`` (its kind), value, effective_from, known_at, id. Versions of a key are few, so each row meets
+    those of its key and one aggregation keeps the newest of each kind.
+    """
+    met = rows.join(versions.select(F.col(on).alias("_on"), of, F.col(value).alias("_value"), "effective_from", "known_at", F.col("id").alias("_id")), F.col(on) == F.col("_on"), "left")
+    valid = (F.col("effective_from") <= F.col("valid_time")) & (F.col("known_at") <= F.col("available_at"))
+    newest = [F.max(F.when(valid & (F.col(of) == k), F.struct("effective_from", "known_at", "_id", "_value"))).alias(k) for k in kinds]
+    keep = [F.first(c).alias(c) for c in rows.columns if c != row_key]
+    g = met.groupBy(row_key).agg(*keep, *newest)
+    return g.select(*rows.columns, *[F.col(f"{k}._value").alias(k) for k in kinds])
+
+
+def beside_dimension(path: str, dimension: Callable[[], DataFrame], join: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """Batch writer: each batch meets the dimension as it is stored when the batch runs, not when the stream began."""
+
+    @held
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write_batch(join(batch, dimension()), path, batch_id)
 
     return each
 

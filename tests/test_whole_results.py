@@ -36,6 +36,38 @@ def test_absent_cells_count_against_the_mask(spark):
     assert {r.reason for r in zonal.strict_mean(cells, mask, 2, F.lit(False)).collect()} == {"cell_out_of_range", "ok"}
 
 
+def test_null_and_nan_cells_and_absent_basins_are_refusals(spark):
+    nan = float("nan")
+    mask = spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0), (1, 2, 1.0), (2, 0, 0.0)], "basin int, flat_index int, weight double")
+    cells = spark.createDataFrame([(1, 0, 5.0), (1, 1, None), (2, 0, 5.0), (2, 1, nan), (3, 0, 5.0), (3, 1, 7.0), (3, 2, 1.0), (4, 0, 1.0), (4, 1, 1.0), (4, 2, 1.0), (4, 3, 1.0)], "field int, flat_index int, value double")
+    fields = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 9)], "field int")
+    got = {(r.field, r.basin): (r.value, r.reason, r.missing_cells) for r in zonal.strict_mean(cells, mask, 3, F.col("value") < 0, fields).collect()}
+    assert got == {
+        (1, 0): (None, "missing_values", 1), (1, 1): (None, "missing_values", 1), (2, 0): (None, "missing_values", 1), (2, 1): (None, "missing_values", 1),
+        (3, 0): (6.0, "ok", 0), (3, 1): (1.0, "ok", 0), (4, 0): (None, "wrong_grid_size", 0), (4, 1): (None, "wrong_grid_size", 0),
+        (9, 0): (None, "missing_values", 2), (9, 1): (None, "missing_values", 1), **{(f, 2): (None, "empty_weight" if f != 4 else "wrong_grid_size", 1 if f == 9 else 0) for f in (1, 2, 3, 4, 9)},
+    }
+    for stats, flag in ((zonal.radar_stats, "insufficient_radar_coverage"), (zonal.snow_stats, "insufficient_grid_coverage"), (zonal.forecast_stats, "insufficient_grid_coverage")):
+        rows = {(r.field, r.basin): r for r in stats(cells, mask.filter("basin < 2"), fields).collect()}
+        assert len(rows) == 10 and rows[3, 0]["mean"] == 6.0 and rows[3, 0].flags == []
+        for k in ((1, 0), (2, 0), (1, 1), (9, 0), (9, 1)):
+            assert rows[k]["mean"] is None and rows[k]["max"] is None and flag in rows[k].flags
+        assert rows[2, 0].valid_fraction == 0.5 and rows[9, 1].valid_fraction == 0.0
+
+
+def test_null_parts_of_a_key_are_equal(spark):
+    """A feature without a window is met again: null equals null wherever stored rows are looked up."""
+    stored = spark.createDataFrame([(None, "flow", 7, 5, 0)], "win string, feature string, id long, state int, revision_seq int")
+    batch = spark.createDataFrame([(None, "flow", 8, 8, 5), (None, "flow", 9, 9, 6), ("24h", "flow", 10, 10, 6)], "win string, feature string, id long, at long, state int")
+    got = {r.id: (r.revision_seq, r.revises) for r in revisions.new_revisions(stored, batch, ["win", "feature"], ["state"], "at").collect()}
+    assert got == {9: (1, 7), 10: (0, None)}
+    marks = revisions.above_high_water(batch, stored.withColumn("at", F.lit(8)), ["win", "feature"], "at")
+    assert {r.id for r in marks.collect()} == {9, 10}
+    dated = stored.withColumn("effective_from", F.lit(datetime(2024, 1, 1)))
+    got = {r.id: r.change for r in revisions.changed_dimension_rows(dated, batch, ["win", "feature"], ["state"]).collect()}
+    assert got == {9: "changed", 10: "new"}
+
+
 def test_unreadable_documents_are_refused(spark):
     docs = spark.createDataFrame([("a", "{not json"), ("b", "[]"), ("c", "[[]]")], "path string, content string")
     got = {(r.path, r.group_no): r.refusal for r in forecasts.ensembles(docs).collect()}
