@@ -17,11 +17,13 @@ packed each. Every id lies in exactly one piece.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from fluvion.llm.bpe import _Remembered
+from fluvion.llm.bpe import _byte_letters
 from fluvion.llm.common import text_or_empty
 
 WINDOW, END = 4096, 2
@@ -37,26 +39,58 @@ STRETCH = 512
 #: penalties in tokens: a cut after a sentence, a cut inside one, one more sequence at the end
 SENTENCE_CUT, INNER_CUT, TAIL_CUT = 8, 64, 64
 BLOCK = 64 * WINDOW
+#: words, and pieces of words, a worker remembers twice
+REMEMBERED = 400_000
+
+
+class _Kept(dict):
+    """A dictionary that makes what it lacks; when it is full it goes on with what was asked for since it was last full."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int = REMEMBERED):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.older.get(key)
+        if made is None:
+            made = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = made
+        return made
 
 
 class Tokens:
-    """Ids of texts by the tokenizers library, asked once per word where words are independent.
+    """Ids of texts by the tokenizers library, asked once per piece of a word where pieces are independent.
 
-    The vocabulary drops white space and never merges across it, so a text of plain letters can be looked up
-    word by word; any text with other characters or added tokens goes to the library whole.
+    The vocabulary drops white space and never merges across it or across the pieces its own pattern cuts words
+    into, so a text of plain letters can be looked up word by word, and a new word piece by piece; any text with
+    other characters or added tokens goes to the library whole.
     """
 
     #: control signs, other scripts and combining marks
     other = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9fİɐ-\U0010ffff]")
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.word = _Remembered(self._whole)
+        self.word = _Kept(self._whole)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = spec["pre_tokenizer"].get("pretokenizers", [])
+        if [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and not (steps[1]["add_prefix_space"] or steps[1]["use_regex"]):
+            self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
+            letters = {b: c for c, b in _byte_letters().items()}
+            model = self.library.model
+            # a byte-level piece goes to the model as the letters that stand for its bytes
+            self.piece = _Kept(lambda x: array("I", [t.id for t in model.tokenize(x if x.isascii() else "".join(map(letters.__getitem__, x.encode())))]).tobytes())
+            self.word.make = lambda x: self.piece[x] if x.isalpha() else b"".join(map(self.piece.__getitem__, self.pieces(x)))
         ends = np.zeros(self.library.get_vocab_size() + 1, bool)
         ends[[i for t, i in self.library.get_vocab().items() if re.fullmatch(r"[.!?…]+(</w>)?", t)]] = True
         self.sentence_end = ends
