@@ -30,7 +30,7 @@ from fluvion.llm.common import staged, text_or_empty
 
 WIDTH = 10
 #: words of a segment
-SEGMENT = 1 << 21
+SEGMENT = 1 << 20
 
 #: A-Z become a-z; what is no digit, letter or byte of a longer character becomes a blank
 _WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -64,7 +64,7 @@ class _Segment:
 
     def batches(self, number: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         def batch(n: int, **given: pa.Array) -> pa.RecordBatch:
-            kinds = {"segment": pa.int64(), "term": pa.string(), "positions": pa.list_(pa.int32()), "doc": pa.int64(), "doc_id": id_type, "place": pa.int32(), "skip": pa.int64(), "n_words": pa.int64()}
+            kinds = {"segment": pa.int64(), "term": pa.string(), "steps": pa.list_(pa.int32()), "doc": pa.int64(), "doc_id": id_type, "place": pa.int32(), "skip": pa.int64(), "n_words": pa.int64()}
             given["segment"] = pa.array(np.full(n, number, np.int64))
             return pa.RecordBatch.from_arrays([given.get(k, pa.nulls(n, t)) for k, t in kinds.items()], list(kinds))
 
@@ -74,19 +74,22 @@ class _Segment:
             return
         codes = np.concatenate(self.codes)
         at = np.concatenate([np.arange(p, p + len(c), dtype=np.int32) for p, c in zip(place, self.codes)])
-        order = np.argsort(codes, kind="stable")
+        at = at[np.argsort(codes, kind="stable")]
         ends = np.concatenate(([0], np.cumsum(np.bincount(codes, minlength=len(self.terms))))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(at[order]))
+        # steps are small numbers, which pack better than places
+        steps = np.diff(at, prepend=np.int32(0))
+        steps[ends[:-1]] = at[ends[:-1]]
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(steps))
         terms = pa.array(list(self.terms), pa.binary()).cast(pa.string())
         for a in range(0, len(terms), 1 << 16):
             some = terms.slice(a, 1 << 16)
-            yield batch(len(some), term=some, positions=lists.slice(a, 1 << 16))
+            yield batch(len(some), term=some, steps=lists.slice(a, 1 << 16))
 
 
 def postings(docs: DataFrame, overlap: int = WIDTH - 1, segment: int = SEGMENT) -> DataFrame:
-    """The index: rows of terms (segment, term, positions) and of documents (segment, doc, doc_id, place, skip, n_words).
+    """The index: rows of terms (segment, term, steps) and of documents (segment, doc, doc_id, place, skip, n_words).
 
-    ``doc`` is a key of the row; a document has one row with ``n_words`` and one more for each segment it goes on
+    ``steps`` are the first position of the term and the distances from each to the next. ``doc`` is a key of the row; a document has one row with ``n_words`` and one more for each segment it goes on
     in, where ``skip`` of its words stand before the segment. Keys belong to the partitions of ``docs``: write the index before use.
     """
 
@@ -114,7 +117,7 @@ def postings(docs: DataFrame, overlap: int = WIDTH - 1, segment: int = SEGMENT)
     if segment <= overlap:
         raise ValueError("a segment must be longer than what it repeats")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"segment bigint, term string, positions array<int>, doc bigint, doc_id {kind}, place int, skip bigint, n_words bigint"
+    schema = f"segment bigint, term string, steps array<int>, doc bigint, doc_id {kind}, place int, skip bigint, n_words bigint"
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, schema)
 
 
@@ -173,9 +176,12 @@ def _searched(within: int | None):
         place = docs.column("place").to_numpy()
         order = np.argsort(place)
         place, doc, skip = place[order], docs.column("doc").to_numpy()[order], docs.column("skip").to_numpy()[order]
-        lists = listed.column("positions").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        lists = listed.column("steps").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+        flat = lists.flatten().to_numpy().astype(np.int64)
+        before = np.concatenate(([0], np.cumsum(flat)))[ends[:-1]]
+        flat = np.cumsum(flat) - np.repeat(before, np.diff(ends))
         rows = {t: i for i, t in enumerate(listed.column("term").to_pylist())}
         out: list[tuple[np.ndarray, np.ndarray, int]] = []
         for number, plan in enumerate(right.column("plan").to_pylist()):
@@ -223,9 +229,9 @@ def search(index: DataFrame, queries: DataFrame, within: int | None = None) -> D
     each = kept.select("query", F.posexplode("terms").alias("offset", "term"))
     if within is not None:
         each = each.groupBy("query", "term").agg(F.min("offset").alias("offset"))
-    tested = index.where("term is not null").join(each.select("term").distinct(), "term", "left_semi").select("segment", "term", "positions")
+    tested = index.where("term is not null").join(each.select("term").distinct(), "term", "left_semi").select("segment", "term", "steps")
     tested = staged(tested, "test-postings")
-    often = tested.groupBy("term").agg(F.sum(F.size("positions")).alias("n"))
+    often = tested.groupBy("term").agg(F.sum(F.size("steps")).alias("n"))
     # a query with a term that never occurs has no match
     plans = each.join(often, "term", "left").groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term"))).alias("plan"))
     plans = staged(kept.select("query", "item_id").join(plans.where("plan[0].n > 0"), "query"), "plans")
@@ -233,7 +239,7 @@ def search(index: DataFrame, queries: DataFrame, within: int | None = None) -> D
     rarest = plans.select("item_id", F.transform("plan", lambda x: F.struct(x["term"].alias("term"), x["offset"].alias("offset"))).alias("plan"))
     visits = rarest.withColumn("term", F.col("plan")[0]["term"]).join(held, "term").drop("term")
     visits = visits.withColumn("term", F.coalesce(F.get("plan", F.lit(1))["term"], F.col("plan")[0]["term"])).join(held, ["segment", "term"], "left_semi").drop("term")
-    shape = ["segment", "term", "positions", "doc", "place", "skip"]
+    shape = ["segment", "term", "steps", "doc", "place", "skip"]
     begins = index.where("term is null").select(*shape)
     left = begins.unionByName(tested, allowMissingColumns=True).select(*shape)
     kind = queries.schema["item_id"].dataType.simpleString()
