@@ -15,6 +15,7 @@ extra columns are ignored; an empty table gives no rows. Entries so large that n
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg import Matrices
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
@@ -60,7 +61,8 @@ def block_matrix(rows: DataFrame, n: int, width: int) -> BlockMatrix:
     """Rows (idx, values) as a distributed matrix of one column of blocks."""
     vectors = rows.select(F.col("idx").alias("index"), array_to_vector("values").alias("vector"))
     matrix = IndexedRowMatrix(MLUtils.convertVectorColumnsFromML(vectors, "vector"), n, width)
-    return matrix.toBlockMatrix(max(ROWS, -(-n // BLOCKS)), width)
+    # read by several products; what an executor loses is made again from the written rows
+    return matrix.toBlockMatrix(max(ROWS, -(-n // BLOCKS)), width).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def multiplied(a: BlockMatrix, b: BlockMatrix, splits: int) -> BlockMatrix:
