@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fluvion.functions.clocks import hours_between, plus_hours
+from fluvion.operators import running
 
 # Fixed values.
 LOOKBACK_H, HORIZON_H = 6, 72
 HORIZON_LEADS_H = (6, 12, 24, 48, 72)
 HORIZON_TOLERANCE_H = 3.0
 
+BLOCK_DAYS = 16
+
 
 def crests(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Highest value in (as_of - 6 h, as_of + 72 h], earliest on ties."""
@@ -23,11 +26,11 @@ def crests(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def segments(series: DataFrame, key: str) -> DataFrame:
-    """Continuous stretches of a series, broken at nulls."""
-    w = W.partitionBy(key).orderBy("t")
-    marked = series.withColumn("_seg", F.sum(F.when(F.col("v").isNull(), 1).otherwise(0)).over(w)).filter(F.col("v").isNotNull())
-    g = marked.groupBy(key, "_seg").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
-    return g.select(key, F.row_number().over(W.partitionBy(key).orderBy("t0")).alias("segment"), "n", "t0", "t1")
+    """Continuous stretches of a series, broken at nulls, worked out in blocks of time (`running.runs`)."""
+    marked = running.runs(series, [key], running.day_block("t", BLOCK_DAYS), "t", F.col("v").isNotNull())
+    g = marked.groupBy(key, "run").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+    placed = running.numbered(g.withColumn("_block", running.day_block("t0", BLOCK_DAYS)), [key], ["_block"], ["t0"], "segment")
+    return placed.select(key, "segment", "n", "t0", "t1")
 
 
 def encode(points: DataFrame, keys: Sequence[str]) -> DataFrame:

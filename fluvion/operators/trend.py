@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fluvion.functions.arrays import ESTIMATORS, pair_stats
 from fluvion.functions.clocks import plus_hours
+from fluvion.operators import running
 
 # Fixed values.
 WINDOW_H = 6.0
@@ -24,7 +25,7 @@ SUPPORT_FRACTION = 0.75
 WIDE_SPREAD = 2.0
 SUSTAIN_WINDOWS = 8
 SHIPPED = "repeated_median"
-BLOCK_H = 24
+BLOCK_H, BLOCK_DAYS = 24, 4
 
 
 def steady_epsilon(basis: Column, last: Column) -> Column:
@@ -118,8 +119,7 @@ def jitter(sloped: DataFrame, name: str, basis: Column, key: str = "station") ->
     """Relative step between consecutive windows and hard direction flips of one estimator."""
     s = F.col(f"{name}_slope")
     rows = sloped.withColumn("_dir", direction(s, steady_epsilon(basis, F.col("last_v"))))
-    w = W.partitionBy(key).orderBy("t")
-    rows = rows.withColumn("_ps", F.lag(s).over(w)).withColumn("_pd", F.lag("_dir").over(w))
+    rows = running.lagged(rows, [key], running.day_block("t", BLOCK_DAYS), "t", {"_ps": f"{name}_slope", "_pd": "_dir"})
     step = F.abs(s - F.col("_ps")) / F.greatest(F.abs("last_v"), F.lit(1e-9))
     flip = (F.col("_pd") != F.col("_dir")) & (F.col("_dir") != "steady") & (F.col("_pd") != "steady")
     return rows.select(key, "t", step.alias("step"), flip.alias("flip"))
@@ -127,8 +127,5 @@ def jitter(sloped: DataFrame, name: str, basis: Column, key: str = "station") ->
 
 def sustained(directions: DataFrame, need: int = SUSTAIN_WINDOWS, key: str = "station") -> DataFrame:
     """Instants at which a run of rising windows reaches ``need``, per key."""
-    w = W.partitionBy(key).orderBy("t")
-    breaks = F.sum(F.when(F.col("direction") == "rising", 0).otherwise(1)).over(w)
-    runs = directions.withColumn("_run", breaks).filter(F.col("direction") == "rising")
-    nth = F.row_number().over(W.partitionBy(key, "_run").orderBy("t"))
-    return runs.withColumn("_nth", nth).filter(F.col("_nth") == need).select(key, "t", plus_hours(F.col("t"), -need * CADENCE_H).alias("onset"))
+    runs = running.runs(directions, [key], running.day_block("t", BLOCK_DAYS), "t", F.col("direction") == "rising")
+    return runs.filter(F.col("nth") == need).select(key, "t", plus_hours(F.col("t"), -need * CADENCE_H).alias("onset"))
