@@ -22,6 +22,8 @@ BINDINGS: dict[str, str] = {
         CAST(row_number() OVER (PARTITION BY user_id, event_type, date_trunc('hour', ts) ORDER BY event_id) - 1 AS INTEGER) AS revision_seq
         FROM events""",
     "b_lvl": "SELECT * FROM (VALUES ('action',1,CAST(50 AS DOUBLE)),('minor',2,100),('moderate',3,200),('major',4,400)) AS v(category, ord, lvl)",
+    "b_dated": """SELECT o_custkey AS station, ['action', 'minor', 'moderate', 'major'][CAST(o_orderkey % 4 AS INTEGER) + 1] AS category, [50, 100, 200, 400][CAST(o_orderkey % 4 AS INTEGER) + 1] * (0.75 + (o_orderkey % 8) / 16.0::DOUBLE) AS level,
+  TIMESTAMP '2024-01-01' + to_hours(CAST(o_orderkey % 700 AS INTEGER)) AS effective_from, TIMESTAMP '2024-01-01' + to_hours(CAST(o_orderkey % 700 + o_orderkey % 48 AS INTEGER)) AS known_at, o_orderkey AS id FROM orders""",
     "b_fast": """SELECT user_id % 10 AS station, time_bucket(INTERVAL 15 MINUTE, ts) AS t, max(value) AS v
         FROM events GROUP BY ALL""",
     "b_day": "SELECT l_suppkey % 10 AS site, CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS value FROM lineitem GROUP BY ALL",

@@ -67,6 +67,27 @@ def l7(t):
     return evaluated(t).select("as_of", "site", "arm", "day", "percentile", "band", "role", "direction_24h", "growth_rank", F.col("trend_direction").alias("trend_6h"))
 
 
+def evaluation_parts():
+    return [F.col("as_of"), F.col("site"), F.col("arm"), F.col("day"), F.round(F.col("percentile") * 10).cast("long"), F.col("band"), F.col("role"), F.col("direction_24h"), F.col("growth_rank"), F.col("trend_direction")]
+
+
+HASH_SQL = lambda parts: "sum(('0x' || substr(sha256(concat_ws('|', " + ", ".join(f"coalesce(CAST({p} AS VARCHAR), '~')" for p in parts) + ")), 1, 15))::BIGINT)::HUGEINT"
+
+
+@query(
+    "L7_run_document",
+    f"""WITH v AS (SELECT as_of, site, arm, day, CAST(round(percentile * 10) AS BIGINT) AS p, band, role, CASE WHEN arm = 'new' THEN d24 END AS d, CASE WHEN arm = 'new' THEN growth_rank END AS g, coalesce(trend, 'unknown') AS t FROM b_ev LEFT JOIN b_gdir USING (site, as_of), (VALUES ('old'), ('new')) AS a(arm)),
+      e AS (SELECT count(*) AS n_evaluations, count_if(role = 'event') AS n_event, count_if(role = 'control') AS n_control, count(DISTINCT site) AS n_sites, CAST(min(as_of) AS VARCHAR) AS first_as_of, CAST(max(as_of) AS VARCHAR) AS last_as_of, sha256(count(*) || ':' || {HASH_SQL(["as_of", "site", "arm", "day", "p", "band", "role", "d", "g", "t"])}) AS content_sha256 FROM v),
+      i AS (SELECT 'daily=' || sha256(count(*) || ':' || {HASH_SQL(["site", "day", "CAST(floor(value * 1000) AS BIGINT)"])}) AS inputs FROM b_day),
+      x AS (SELECT 'RETROSPECTIVE' AS mode, '{"|".join(map(str, GRID))}' AS grid, '{"|".join(EVENT)}' AS event, 'old=susceptibility@0.1.0|new=susceptibility@0.2.0' AS arms, 'observation|derived_feature|reference|threshold|forecast_run' AS projected, inputs, e.* FROM e, i)
+      SELECT sha256(concat_ws(chr(10), mode, grid, event, arms, inputs, content_sha256)) AS run_id, * FROM x""",
+)
+def l7_document(t):
+    """The manifest of the replay run: what it read, over which clocks and arms, what it counted, and a hash of it all."""
+    daily = [F.col("site"), F.col("day"), F.floor(F.col("value") * 1000)]
+    return replay.run_document(evaluated(t), evaluation_parts(), replay.RETROSPECTIVE, GRID, EVENT, {"daily": (t.daily_means(), daily)})
+
+
 @query("L8_escalation_rules", "SELECT rule, arm, role, count(*) AS n, count_if(coalesce(holds, false)) AS n_holds, count_if(holds IS NULL) AS n_unanswerable FROM b_rule GROUP BY ALL")
 def l8(t):
     r = replay.apply_rules(evaluated(t))

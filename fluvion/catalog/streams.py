@@ -220,10 +220,6 @@ def j9(t):
     return run.read("out").groupBy("basin", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-BINDINGS["b_dated"] = """SELECT o_custkey AS station, ['action', 'minor', 'moderate', 'major'][CAST(o_orderkey % 4 AS INTEGER) + 1] AS category, [50, 100, 200, 400][CAST(o_orderkey % 4 AS INTEGER) + 1] * (0.75 + (o_orderkey % 8) / 16.0::DOUBLE) AS level,
-  TIMESTAMP '2024-01-01' + to_hours(CAST(o_orderkey % 700 AS INTEGER)) AS effective_from, TIMESTAMP '2024-01-01' + to_hours(CAST(o_orderkey % 700 + o_orderkey % 48 AS INTEGER)) AS known_at, o_orderkey AS id FROM orders"""
-
-
 @query(
     "J9_dated_levels",
     """WITH e AS (SELECT event_id, user_id AS station, value, ts AS valid_time, ts + to_hours(CAST(event_id % 7 AS INTEGER)) AS available_at FROM events),

@@ -11,7 +11,7 @@ from fluvion.catalog.scalars import BAND_SQL
 from fluvion.catalog.series import pct_case
 from fluvion.functions import flood, labels, values
 from fluvion.functions.clocks import plus_hours
-from fluvion.operators import alerts, hydrograph, joins, precipitation, rasters, reservoirs, revisions, selection, snow, zonal
+from fluvion.operators import alerts, hydrograph, joins, precipitation, rasters, reservoirs, revisions, running, selection, snow, zonal
 from fluvion.plans import basin as basin_plan
 from fluvion.plans import cameras, climatology, comparison, forcing, river, susceptibility
 from fluvion.session import staged
@@ -90,6 +90,47 @@ def l1b(t):
     return hydrograph.at_leads(pts, ["point"])
 
 
+def point_evidence(t):
+    return river.evidence(river_observations(t), now(), shifted_runs(t), shifted_values(t), point_tidal())
+
+
+def point_levels(t):
+    return river.dated_levels(t.dated_levels().withColumnRenamed("station", "point"), now())
+
+
+BINDINGS["b_plevel"] = f"""SELECT station AS point, category, level, effective_from, known_at, id FROM b_dated WHERE effective_from <= TIMESTAMP '{T}' AND known_at <= TIMESTAMP '{T}' QUALIFY row_number() OVER (PARTITION BY station, category ORDER BY effective_from DESC, known_at DESC, id DESC) = 1"""
+NEWEST_SQL = "(SELECT * FROM b_rbest WHERE variable = 'stage' QUALIFY row_number() OVER (PARTITION BY point ORDER BY valid_time DESC, id DESC) = 1)"
+DATED_CAT = lambda v: f"CASE WHEN {v} IS NULL OR coalesce(action, minor, moderate, major) IS NULL THEN 'unknown' WHEN {v} >= major THEN 'major' WHEN {v} >= moderate THEN 'moderate' WHEN {v} >= minor THEN 'minor' WHEN {v} >= action THEN 'action' ELSE 'none' END"
+
+
+@query(
+    "L1_dated_levels",
+    f"""WITH l AS (SELECT point, max(level) FILTER (category = 'action') AS action, max(level) FILTER (category = 'minor') AS minor, max(level) FILTER (category = 'moderate') AS moderate, max(level) FILTER (category = 'major') AS major FROM b_plevel GROUP BY ALL)
+      SELECT p.point, p.value, action, minor, moderate, major, {DATED_CAT('p.value')} AS category, round(CASE WHEN action > p.value THEN action - p.value WHEN minor > p.value THEN minor - p.value WHEN moderate > p.value THEN moderate - p.value WHEN major > p.value THEN major - p.value END, 6) AS headroom,
+        CASE WHEN crest IS NULL THEN 'unknown' ELSE {DATED_CAT('crest')} END AS hazard FROM b_point p LEFT JOIN l USING (point)""",
+)
+def l1_dated(t):
+    """Points judged by the levels in force and known at the time, not by constants."""
+    state = point_evidence(t).join(point_levels(t), "point", "left")
+    own = flood.level_columns()
+    out = river.published(state, own, now(), F.lit(43200), F.lit(21600)).select("point", "value", "category", "headroom", "hazard")
+    return out.join(point_levels(t).drop("level_sources"), "point", "left")
+
+
+@query(
+    "L1_point_provenance",
+    f"""WITH a AS {NEWEST_SQL}, r AS (SELECT point, 'value' AS part, 1 AS n, id AS first_id, id AS last_id, valid_time, retrieved_at AS known_at FROM a
+        UNION ALL SELECT a.point, 'companion', 1, c.id, c.id, c.valid_time, c.retrieved_at FROM a JOIN b_rbest c ON c.point = a.point AND c.valid_time = a.valid_time AND c.variable = 'flow'
+        UNION ALL SELECT a.point, 'trend', count(*), min(w.id), max(w.id), max(w.valid_time), max(w.retrieved_at) FROM a JOIN b_rbest w ON w.point = a.point AND w.variable = 'stage' AND w.value IS NOT NULL AND w.valid_time BETWEEN TIMESTAMP '{T}' - INTERVAL 6 HOUR AND TIMESTAMP '{T}' GROUP BY a.point
+        UNION ALL SELECT point, 'hazard', 1, run_id, run_id, crest_time, o_orderdate + INTERVAL {SHIFT_DAYS} DAY + to_days(CAST(o_orderkey % 5 AS INTEGER)) FROM b_point JOIN orders ON o_orderkey = run_id
+        UNION ALL SELECT a.point, 'level:' || category, 1, l.id, l.id, effective_from, known_at FROM a JOIN b_plevel l ON l.point = a.point)
+      SELECT point, part, n, first_id, last_id, CAST(valid_time AS VARCHAR) AS valid_time, CAST(known_at AS VARCHAR) AS known_at FROM r""",
+)
+def l1_provenance(t):
+    """The row ids and clocks behind each number of a point's state."""
+    return river.provenance(point_evidence(t), point_levels(t))
+
+
 # --- susceptibility -----------------------------------------------------------------------------
 
 S_T = "2001-10-26 06:00:00"
@@ -323,6 +364,26 @@ def l2(t):
     return basin_states(t)
 
 
+DRIVER_SQL = f"""SELECT site AS basin, 0 AS s, 1 AS place, 'susceptibility' AS surface, 'flow_percentile' AS feature, p AS value, day::TIMESTAMP AS clock FROM b_susc WHERE reason = 'ok' UNION ALL SELECT site, 0, 2, 'susceptibility', 'daily_mean', value, day::TIMESTAMP FROM b_susc WHERE reason = 'ok'
+  UNION ALL SELECT basin, 1, place, 'forcing', feature, number, cycle FROM (SELECT basin, cycle, unnest([{{'place': 1, 'feature': 'value', 'number': value}}, {{'place': 2, 'feature': 'p90', 'number': p90}}, {{'place': 3, 'feature': 'p10', 'number': p10}}, {{'place': 4, 'feature': 'snow_level', 'number': snow_level}},
+    {{'place': 5, 'feature': 'rain_exposed_pct', 'number': round(rain_exposed * 100 + 1e-9, 1)}}, {{'place': 6, 'feature': 'official_total', 'number': official_total}}], recursive := true) FROM b_forcing) WHERE number IS NOT NULL
+  UNION ALL SELECT point, 2, 1, 'agreement', 'agreement_crest_flow_official', round(o_crest + 1e-9, 1), NULL FROM b_agree WHERE reason = 'ok' UNION ALL SELECT point, 2, 2, 'agreement', 'agreement_crest_flow_model_median', round(m_crest + 1e-9, 1), NULL FROM b_agree WHERE reason = 'ok'
+  UNION ALL SELECT point, 2, 3, 'agreement', 'agreement_crest_timing_delta_h', round(timing_h, 2), NULL FROM b_agree WHERE reason = 'ok'"""
+
+
+@query("L2_basin_drivers", f"SELECT basin, CAST(row_number() OVER (PARTITION BY basin ORDER BY s, place, feature) AS INTEGER) AS rank, surface, feature, round(value, 6) AS value, CAST(clock AS VARCHAR) AS clock FROM ({DRIVER_SQL}) JOIN nation ON n_nationkey = basin")
+def l2_drivers(t):
+    """The numbers that lead each basin's surfaces, in one ranked list, each with the clock of the row it comes from."""
+    basins = t.basins().select(F.col("basin").cast("long").alias("basin"))
+    s = susceptibility_rows(t, "0.1.0").filter("reason = 'ok'").withColumnRenamed("site", "basin").join(basins, "basin", "left_semi")
+    s = s.withColumn("d", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(f).alias("feature"), F.col(c).cast("double").alias("value")) for i, f, c in ((1, "flow_percentile", "percentile"), (2, "daily_mean", "value"))])))
+    f = staged(forcing_rows(t).join(basins, "basin", "left_semi"), "basin-forcing")
+    f = forcing.driver_rows(f).join(f.select("basin", F.col("cycle").alias("clock")), "basin").withColumnRenamed("number", "value")
+    a = comparison.drivers(agreement_rows(t).join(basins.withColumnRenamed("basin", "point"), "point", "left_semi").withColumns({"o_crest": F.col("o_crest") + 1e-9, "m_crest": F.col("m_crest") + 1e-9}))
+    a = a.withColumnRenamed("point", "basin").withColumn("clock", F.lit(None).cast("timestamp"))
+    return basin_plan.headline_drivers([("susceptibility", s.select("basin", "d.*", F.col("day").alias("clock"))), ("forcing", f), ("agreement", a)])
+
+
 @query("L24_scene_summary", f"SELECT b.basin, b.basin_name, b.susceptibility, b.hazard, count(p.point) AS n_points, max(p.value) AS highest FROM ({BASIN_SQL}) b LEFT JOIN customer c ON c.c_nationkey = b.basin LEFT JOIN b_point p ON p.point = c.c_custkey GROUP BY ALL")
 def l24(t):
     rivers = point_states(t).select(F.col("point").alias("fp"), "value").join(t.points(), "fp").groupBy(F.col("basin").cast("long").alias("basin")).agg(F.count(F.lit(1)).alias("n_points"), F.max("value").alias("highest"))
@@ -362,19 +423,41 @@ def l13(t):
     return latest.join(pts, "run_id", "left").select("fp", "run_id", "issued_at", F.coalesce("points", F.array().cast("array<string>")).alias("points"))
 
 
+BINDINGS["b_stem"] = """SELECT * FROM (SELECT -122 + (s_suppkey * 37 % 480) / 100.0::DOUBLE AS lon1, 46 + (s_suppkey * 7 % 24) / 10.0::DOUBLE AS lat1, lead(-122 + (s_suppkey * 37 % 480) / 100.0::DOUBLE) OVER w AS lon2, lead(46 + (s_suppkey * 7 % 24) / 10.0::DOUBLE) OVER w AS lat2 FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)) WHERE lon2 IS NOT NULL"""
+BINDINGS["b_stemm"] = """SELECT event_id AS pid, min(d) AS stem_m FROM (SELECT event_id, sqrt(power(x1 + t * dx, 2) + power(y1 + t * dy, 2)) AS d FROM (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN least(greatest(-(x1 * dx + y1 * dy) / (dx * dx + dy * dy), 0), 1) ELSE 0 END AS t FROM (
+  SELECT event_id, (lon1 - lon) * m AS x1, (lat1 - lat) * 111320 AS y1, (lon2 - lon1) * m AS dx, (lat2 - lat1) * 111320 AS dy FROM (SELECT event_id, -122 + value / 100 AS lon, 46 + (hour(ts) * 60 + minute(ts)) / 600.0::DOUBLE AS lat, 111320 * cos(radians(46 + (hour(ts) * 60 + minute(ts)) / 600.0::DOUBLE)) AS m FROM events), b_stem))) WHERE d < 5000 GROUP BY ALL"""
+
+
+def camera_places(t):
+    return t.events().select(F.col("event_id").alias("pid"), (F.lit(-122) + F.col("value") / 100).alias("lon"), (F.lit(46) + (F.hour("ts") * 60 + F.minute("ts")) / 600.0).alias("lat"))
+
+
+def stems(t):
+    """Mainstems as segments: the suppliers of a nation, in order, are the vertices of its path."""
+    k = F.col("s_suppkey")
+    v = t.read("supplier").select(F.col("s_nationkey").alias("basin"), k.alias("i"), (F.lit(-122) + (k * 37 % 480) / 100.0).alias("lon1"), (F.lit(46) + (k * 7 % 24) / 10.0).alias("lat1"))
+    return running.lagged(v, ["basin"], F.floor(F.col("i") / 1024), "i", {"lon2": "lon1", "lat2": "lat1"}).filter("lon2 IS NOT NULL").select("lon1", "lat1", "lon2", "lat2")
+
+
+@query("L14_stem_distance", "SELECT event_id AS pid, round(stem_m, 4) AS d_m FROM events LEFT JOIN b_stemm ON pid = event_id")
+def l14b(t):
+    return joins.nearest_segment(camera_places(t), stems(t), "pid", cameras.STEM_REPORT_M).select("pid", F.round("d_m", 4).alias("d_m"))
+
+
 @query(
     "L14_camera_evidence",
     """WITH v AS (SELECT ring_id, e, cx + [-9.5, 8.0, 11.0, -4.0][e + 1] AS x1, cy + [-1.0, -2.75, 1.5, 2.875][e + 1] AS y1, cx + [8.0, 11.0, -4.0, -9.5][e + 1] AS x2, cy + [-2.75, 1.5, 2.875, -1.0][e + 1] AS y2 FROM (SELECT s_suppkey AS ring_id, unnest([0, 1, 2, 3]) AS e, (s_suppkey * 37 % 480) + 10.25::DOUBLE AS cx, (s_suppkey * 7 % 18) + 3.125::DOUBLE AS cy FROM supplier)),
       p AS (SELECT event_id AS pid, event_type AS title, value AS x, hour(ts) + minute(ts) / 60.0::DOUBLE AS y, event_id % 50 = 0 AS at_gauge FROM events), i AS (SELECT pid, ring_id FROM p JOIN v ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1),
       z AS (SELECT pid, bool_or(ring_id % 5 = 0) AS floodway FROM i GROUP BY ALL)
-      SELECT p.pid, concat_ws('|', CASE WHEN at_gauge THEN 'at_usgs_gauge' END, CASE WHEN contains(title, 'click') THEN 'river_named_in_camera_title' END, CASE WHEN z.floodway THEN 'inside_floodway' WHEN z.pid IS NOT NULL THEN 'inside_1pct_floodplain' END) AS reasons,
-        CASE WHEN at_gauge OR coalesce(z.floodway, false) THEN 'A' WHEN z.pid IS NOT NULL OR contains(title, 'click') THEN 'B' ELSE 'C' END AS tier, at_gauge OR z.pid IS NOT NULL AS evidenced FROM p LEFT JOIN z USING (pid)""",
+      SELECT p.pid, concat_ws('|', CASE WHEN at_gauge THEN 'at_usgs_gauge' END, CASE WHEN contains(title, 'click') THEN 'river_named_in_camera_title' END, CASE WHEN m.pid IS NOT NULL THEN CAST(round(m.stem_m / 10) * 10 AS BIGINT) || '_m_from_mainstem_river' END, CASE WHEN z.floodway THEN 'inside_floodway' WHEN z.pid IS NOT NULL THEN 'inside_1pct_floodplain' END) AS reasons,
+        CASE WHEN at_gauge OR coalesce(z.floodway, false) OR (contains(title, 'click') AND coalesce(round(m.stem_m / 10) * 10 < 400, false)) THEN 'A' WHEN z.pid IS NOT NULL OR contains(title, 'click') OR coalesce(round(m.stem_m / 10) * 10 < 400, false) THEN 'B' ELSE 'C' END AS tier, at_gauge OR z.pid IS NOT NULL OR coalesce(round(m.stem_m / 10) * 10 <= 600, false) AS evidenced FROM p LEFT JOIN z USING (pid) LEFT JOIN b_stemm m USING (pid)""",
 )
 def l14(t):
     pts = event_points(t)
     inside = joins.points_in_rings(pts, rings(t), "pid", "ring_id", cell=8.0).groupBy("pid").agg(F.bool_or(F.col("ring_id") % 5 == 0).alias("floodway"))
-    cams = t.events().select(F.col("event_id").alias("pid"), F.col("event_type").alias("title"), (F.col("event_id") % 50 == 0).alias("at_gauge"), F.lit(None).cast("double").alias("stem_m"))
-    return cameras.evidence(cams.join(inside, "pid", "left"), words=("click",)).select("pid", "reasons", "tier", "evidenced")
+    cams = t.events().select(F.col("event_id").alias("pid"), F.col("event_type").alias("title"), (F.col("event_id") % 50 == 0).alias("at_gauge"))
+    stem = joins.nearest_segment(camera_places(t), stems(t), "pid", cameras.STEM_REPORT_M).select("pid", F.col("d_m").alias("stem_m"))
+    return cameras.evidence(cams.join(stem, "pid").join(inside, "pid", "left"), words=("click",)).select("pid", "reasons", "tier", "evidenced")
 
 
 @query(

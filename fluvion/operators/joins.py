@@ -167,6 +167,48 @@ def nearest_within(points: DataFrame, vertices: DataFrame, point_id: str, limit_
     return points.join(near.groupBy(point_id).agg(F.min("d_m").alias("d_m")), point_id, "left")
 
 
+def nearest_segment(points: DataFrame, segments: DataFrame, point_id: str, limit_m: float, same: str | None = None) -> DataFrame:
+    """Distance to the nearest point of any segment, not of its ends alone, where it is closer than ``limit_m``; else null.
+
+    ``segments``: lon1, lat1, lon2, lat2, and ``same``, a column that points and segments must share, if one is named. Rows
+    of grid cells are as high as the limit, columns at least as wide. A segment enters the cells of its pieces, each no longer
+    than a cell, and of their neighbours; the distance is to the whole segment. Segments cross the date line by
+    longitudes beyond 180.
+    """
+    dy = limit_m / geo.METRES_PER_DEGREE
+    row = lambda lat: F.floor(lat / dy).cast("long")
+
+    def columns(at: Column) -> Column:
+        edge = F.least(F.greatest(F.abs(at - 1), F.abs(at + 2)) * dy, F.lit(90.0))
+        return F.greatest(F.floor(F.cos(F.radians(edge)) * (360.0 / dy)), F.lit(1)).cast("long")
+
+    keep = ["lon1", "lat1", "lon2", "lat2", *([same] if same else [])]
+    # a degree of longitude is never longer than one of latitude, so steps by degrees are short enough
+    n = F.greatest(F.ceil(F.greatest(F.abs(F.col("lon2") - F.col("lon1")), F.abs(F.col("lat2") - F.col("lat1"))) / dy), F.lit(1)).cast("int")
+    pieces = segments.select(*keep).distinct().withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    on = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * i / F.col("_n")
+    lon = [on("lon1", "lon2", F.col("_i") + k) for k in (0, 1)]
+    lat = [on("lat1", "lat2", F.col("_i") + k) for k in (0, 1)]
+    rows = F.sequence(row(F.least(*lat)) - 1, row(F.greatest(*lat)) + 1)
+    placed = pieces.withColumns({"_w": F.least(*lon), "_e": F.greatest(*lon), "_cy": F.explode(rows)}).withColumn("_cols", columns(F.col("_cy")))
+    column = lambda x, n: F.floor((x + 180.0) * n / 360.0).cast("long")
+    spread = placed.withColumn("_c", F.explode(F.sequence(column(F.col("_w"), F.col("_cols")) - 1, column(F.col("_e"), F.col("_cols")) + 1)))
+    spread = spread.select(*keep, "_cy", F.pmod("_c", "_cols").alias("_cx")).distinct()
+    cy = row(F.col("lat"))
+    probes = points.select(point_id, "lon", "lat", *([same] if same else []), cy.alias("_cy"), F.pmod(column(F.col("lon"), columns(cy)), columns(cy)).alias("_cx"))
+    # both ends on the point's side of the date line, in metres from the point
+    side = 360.0 * F.round((F.col("lon") - F.col("lon1")) / 360.0)
+    wide = geo.metres_per_degree_lon(F.col("lat"))
+    x1, x2 = (F.col("lon1") + side - F.col("lon")) * wide, (F.col("lon2") + side - F.col("lon")) * wide
+    y1, y2 = ((F.col(c) - F.col("lat")) * geo.METRES_PER_DEGREE for c in ("lat1", "lat2"))
+    met = probes.join(spread, ["_cx", "_cy", *([same] if same else [])]).withColumns({"_x": x1, "_y": y1, "_dx": x2 - x1, "_dy": y2 - y1})
+    length = F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")
+    part = F.when(length > 0, F.least(F.greatest(-(F.col("_x") * F.col("_dx") + F.col("_y") * F.col("_dy")) / length, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+    met = met.withColumn("_t", part).withColumn("d_m", F.hypot(F.col("_x") + F.col("_t") * F.col("_dx"), F.col("_y") + F.col("_t") * F.col("_dy")))
+    near = met.filter(F.col("d_m") < limit_m).groupBy(point_id).agg(F.min("d_m").alias("d_m"))
+    return points.join(near, point_id, "left")
+
+
 def first_box(points: DataFrame, boxes: DataFrame, point_id: str, cell: float) -> DataFrame:
     """First bounding box (by ``box`` order) that holds each point, edges included."""
     c = lambda v: F.floor(v / cell).cast("int")

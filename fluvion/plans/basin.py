@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from fluvion.operators import running
+
 
 def basin_state(
     basins: DataFrame, susceptibility: DataFrame, forcing: DataFrame, points: DataFrame, agreement: DataFrame, rain: DataFrame, alerts: DataFrame
@@ -32,6 +34,19 @@ def basin_state(
     )
 
 
+def headline_drivers(surfaces: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(basin, rank, surface, feature, value, clock): the drivers of each basin, renumbered over its surfaces in their order.
+
+    Each surface brings rows (basin, rank, feature, value, clock), few per basin.
+    """
+    rows = None
+    for place, (name, df) in enumerate(surfaces):
+        one = df.select("basin", F.lit(place).alias("_surface"), F.col("rank").cast("int").alias("_place"), F.lit(name).alias("surface"), "feature", F.col("value").cast("double").alias("value"), F.col("clock").cast("timestamp").alias("clock"))
+        rows = one if rows is None else rows.unionByName(one)
+    ranked = running.numbered(rows, ["basin"], ["_surface"], ["_place", "feature"], "rank")
+    return ranked.select("basin", "rank", "surface", "feature", "value", "clock")
+
+
 def scene(states: DataFrame, rivers: DataFrame) -> DataFrame:
     """All basins with the count and highest reading of their river points."""
     return states.select("basin", "basin_name", "susceptibility", "hazard").join(rivers, "basin", "left").fillna(0, ["n_points"])

@@ -12,21 +12,22 @@ STEM_NEAR_M, STEM_EVIDENCE_M, STEM_REPORT_M = 400, 600, 5000
 def evidence(cameras: DataFrame, words: tuple[str, ...] = RIVER_WORDS) -> DataFrame:
     """Reasons and tier of each viewpoint.
 
-    ``cameras``: title, at_gauge, stem_m (distance to the mainstem), floodway (true inside a
+    Distances count as they are told, in tens of metres. ``cameras``: title, at_gauge, stem_m (distance to the mainstem), floodway (true inside a
     floodway, false inside a floodplain only, null outside both).
     """
     named = F.lit(False)
     for w in words:
         named = named | F.contains(F.lower("title"), F.lit(w))
-    near = F.coalesce(F.col("stem_m") < STEM_NEAR_M, F.lit(False))
+    stem = F.round("stem_m", -1)
+    near = F.coalesce(stem < STEM_NEAR_M, F.lit(False))
     floodway, zone = F.coalesce("floodway", F.lit(False)), F.col("floodway").isNotNull()
     reasons = F.array_compact(F.array(
         F.when(F.col("at_gauge"), "at_usgs_gauge"), F.when(named, "river_named_in_camera_title"),
-        F.when(F.col("stem_m") < STEM_REPORT_M, F.format_string("%.0f_m_from_mainstem_river", F.round("stem_m", -1))),
+        F.when(F.col("stem_m") < STEM_REPORT_M, F.format_string("%.0f_m_from_mainstem_river", stem)),
         F.when(floodway, "inside_floodway").when(zone, "inside_1pct_floodplain"),
     ))
     tier = F.when(F.col("at_gauge") | (named & near) | floodway, "A").when(zone | near | named, "B").otherwise("C")
-    seen = F.col("at_gauge") | zone | F.coalesce(F.col("stem_m") <= STEM_EVIDENCE_M, F.lit(False))
+    seen = F.col("at_gauge") | zone | F.coalesce(stem <= STEM_EVIDENCE_M, F.lit(False))
     return cameras.withColumn("reasons", reasons).withColumn("tier", tier).withColumn("evidenced", seen)
 
 

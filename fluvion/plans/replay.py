@@ -71,6 +71,42 @@ def disclosure(evaluations: DataFrame, mode: str) -> DataFrame:
     )
 
 
+def content(columns: Sequence[Column]) -> tuple[Column, Column]:
+    """Aggregates (rows, digest) of a table, whatever the order of its rows: a sum over the digests of the rows."""
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in columns]), 256)
+    return F.count(F.lit(1)), F.sum(F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)"))
+
+
+def content_sha256(rows: Column, digest: Column) -> Column:
+    return F.sha2(F.concat_ws(":", rows.cast("string"), F.coalesce(digest, F.lit(0)).cast("string")), 256)
+
+
+def run_document(evals: DataFrame, columns: Sequence[Column], mode: str, grid: tuple[str, str, int], event: tuple[str, str], inputs: dict[str, tuple[DataFrame, Sequence[Column]]]) -> DataFrame:
+    """One row that says what a run was: mode, grid, event, arms, inputs, counts and content, each from one aggregation.
+
+    ``run_id`` is a hash of all of it: a changed input or evaluation changes it, a run repeated does not.
+    """
+    rows, digest = content(columns)
+    doc = evals.agg(
+        rows.alias("n_evaluations"), F.count_if(F.col("role") == "event").alias("n_event"), F.count_if(F.col("role") == "control").alias("n_control"),
+        F.countDistinct("site").alias("n_sites"), F.min("as_of").alias("first_as_of"), F.max("as_of").alias("last_as_of"), digest.alias("_digest"),
+    ).withColumn("content_sha256", content_sha256(F.col("n_evaluations"), F.col("_digest")))
+    told = []
+    for name, (df, parts) in inputs.items():
+        n, d = content(parts)
+        one = df.agg(n.alias("_n"), d.alias("_d")).select(F.concat_ws("=", F.lit(name), content_sha256(F.col("_n"), F.col("_d"))).alias(f"_in_{name}"))
+        doc = doc.crossJoin(one)  # one row each
+        told.append(F.col(f"_in_{name}"))
+    names = [f for f, _, _, _ in PROJECTION_RULES] if mode == RETROSPECTIVE else []
+    doc = doc.withColumns({
+        "mode": F.lit(mode), "grid": F.concat_ws("|", *map(F.lit, map(str, grid))), "event": F.concat_ws("|", *map(F.lit, event)),
+        "arms": F.array(*[F.lit(f"{k}=susceptibility@{v}") for k, v in ARMS.items()]), "projected": F.array(*map(F.lit, names)).cast("array<string>"), "inputs": F.array(*told),
+    })
+    identity = F.concat_ws("\n", "mode", "grid", "event", F.concat_ws("|", "arms"), F.concat_ws("|", "inputs"), "content_sha256")
+    shape = ["mode", "grid", "event", "arms", "projected", "inputs", "n_evaluations", "n_event", "n_control", "n_sites", "first_as_of", "last_as_of", "content_sha256"]
+    return doc.select(F.sha2(identity, 256).alias("run_id"), *shape)
+
+
 def grid_trends(series: DataFrame, grid: tuple[str, str, int], key: str = "site", window_h: float = trend.WINDOW_H) -> DataFrame:
     """Six-hour trend at every grid instant that any reading is near: (key, as_of, trend_direction, trend_refusal).
 
