@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fluvion.llm.common import let
+from fluvion.llm.common import before, chunks, cut, let
 
 START, STOP = "<|im_start|>", "<|im_end|>"
 _STUFFED, _UNSTUFFED = r"<(\\*)\|", r"<\\(\\*)\|"
@@ -83,13 +83,11 @@ def formatted(conversations: DataFrame) -> DataFrame:
     whole = written.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("source"))
     whole = whole.withColumn("formatted", F.array_join(F.transform("source", lambda t: t["out"]), ""))
     read = whole.withColumn("_read", parse(F.col("formatted")))
-    # the parts' sizes give each text's place
-    sizes = F.transform("_read", lambda t: t["size"])
-    starts = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all")), lambda acc: acc["all"])
-    placed = read.withColumn("_starts", starts)
-    turns = F.transform("_read", lambda t, i: F.struct(t["role"].alias("role"), t["text"].alias("text"), (F.get("_starts", i) + len(START) + t["head"]).alias("start"), F.length(t["body"]).alias("length")))
+    # the parts' sizes give each text's place; arrays are zipped, so that each is made once per conversation
+    places = before(F.transform("_read", lambda t: t["size"]))
+    turns = F.zip_with("_read", places, lambda t, at: F.struct(t["role"].alias("role"), t["text"].alias("text"), (at + len(START) + t["head"]).alias("start"), F.length(t["body"]).alias("length")))
     gave_back = F.forall("_read", lambda t: t["ok"]) & (F.transform("_read", lambda t: F.struct(t["role"], t["text"])).cast("array<struct<role:string,text:string>>") == F.transform("source", lambda t: F.struct(t["role"], t["text"])).cast("array<struct<role:string,text:string>>"))
-    return placed.select("conv_id", "formatted", turns.alias("turns"), gave_back.alias("identical"))
+    return read.select("conv_id", "formatted", turns.alias("turns"), gave_back.alias("identical"))
 
 
 def loss_spans(turns: Column) -> Column:
@@ -99,4 +97,4 @@ def loss_spans(turns: Column) -> Column:
 
 def under_mask(formatted: Column, spans: Column) -> Column:
     """The text of the spans, unescaped, in order, with nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+    return let(chunks(formatted), lambda parts: F.array_join(F.transform(spans, lambda s: unescape(cut(parts, s["start"], s["start"] + s["length"]))), ""))

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fluvion.llm.common import let, text_or_empty
+from fluvion.llm.common import before, chunks, cut, let, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -30,8 +30,8 @@ BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     # [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    # [0-9]([\x20-]?[0-9])+
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # [0-9]([\x20-]?[0-9])+; a run of fewer than 13 digits would be dropped, wherever in it a match began
+    "card": r"[0-9](?=(?:[\x20-]?[0-9]){12})(?:[\x20-]?[0-9])++",
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -71,17 +71,14 @@ def located(text: Column, pattern: str) -> Column:
     none = F.array().cast("array<struct<start:int,match:string>>")
 
     def with_places(matches: Column) -> Column:
-        pieces = F.split(text, pattern, -1)
+        # a gap before each match, and one after the last
+        sizes = F.zip_with(F.split(text, pattern, -1), matches, lambda gap, match: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(match), F.lit(0)).alias("match")))
 
-        def build(gaps: Column) -> Column:
-            zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-            step = lambda acc, i: F.struct(
-                (acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(matches, i))).alias("at"),
-                F.array_append(acc["out"], F.struct((acc["at"] + F.length(F.get(gaps, i))).alias("start"), F.get(matches, i).alias("match"))).alias("out"),
-            )
-            return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda acc: acc["out"])
+        def placed(sized: Column) -> Column:
+            begins = F.zip_with(sized, before(F.transform(sized, lambda x: x["gap"] + x["match"])), lambda x, at: at + x["gap"])
+            return F.zip_with(F.slice(begins, F.lit(1), F.size(matches)), matches, lambda start, match: F.struct(start.alias("start"), match.alias("match")))
 
-        return F.when(F.size(matches) > 0, let(pieces, build)).otherwise(none)
+        return F.when(F.size(matches) > 0, let(sizes, placed)).otherwise(none)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), with_places)
 
@@ -132,10 +129,10 @@ def _loose_matches(text: Column, kind: str) -> Column:
     return F.when(text.rlike(r"[(\[{]at[)\]}]"), found).otherwise(none)
 
 
-def _votes(text: Column, kind: str, start: Column, match: Column, strict: bool) -> Column:
-    """The votes (1, -1 or 0) of all labelers on one candidate, with its length class."""
-    left = F.lower(F.substring(text, F.greatest(start - _LEFT, F.lit(0)) + 1, F.least(start, F.lit(_LEFT))))
-    after = F.substring(text, start + F.length(match) + 1, F.lit(1))
+def _votes(parts: Column, kind: str, start: Column, match: Column, strict: bool) -> Column:
+    """The votes (1, -1 or 0) of all labelers on one candidate of a text in `chunks`, with its length class."""
+    left = F.lower(cut(parts, F.greatest(start - _LEFT, F.lit(0)), start))
+    after = cut(parts, start + F.length(match), start + F.length(match) + 1)
     pm = lambda cond: F.when(cond, 1).otherwise(-1)
     key = digits(match) if kind in ("card", "phone") else F.regexp_replace(F.lower(match), r"[\[\](){} ]|dot", "") if kind == "email" else match
     numbers = digits(match)
@@ -157,10 +154,20 @@ def _votes(text: Column, kind: str, start: Column, match: Column, strict: bool)
     )
 
 
+def _apart(base: Column, start: Column, stop: Column) -> Column:
+    """Whether a span overlaps none of the sorted spans of ``base``: halving finds the last that begins before its end."""
+    halves = F.array(*(F.lit(1 << k) for k in range(30, -1, -1)))
+    begun = F.aggregate(halves, F.lit(0), lambda n, step: F.when((step <= F.size(base) - n) & (F.get(base, n + step - 1)["start"] < stop), n + step).otherwise(n))
+    return let(begun, lambda n: (n == 0) | (F.get(base, n - 1)["stop"] <= start))
+
+
 def candidates(text: Column, kind: str, base: Column) -> Column:
     """Array of (start, stop, votes) of the looser matches of a kind that overlap no base span of it."""
-    loose = F.filter(_loose_matches(text, kind), lambda m: ~F.exists(base, lambda b: (b["start"] < m["start"] + F.length(m["match"])) & (m["start"] < b["stop"])))
-    return F.transform(loose, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["match"])).alias("stop"), _votes(text, kind, m["start"], m["match"], False).alias("votes")))
+    stop = lambda m: m["start"] + F.length(m["match"])
+    free = F.filter(_loose_matches(text, kind), lambda m: F.when(F.size(base) == 0, True).otherwise(_apart(base, m["start"], stop(m))))
+    judged = lambda parts, found: F.transform(found, lambda m: F.struct(m["start"].alias("start"), stop(m).alias("stop"), _votes(parts, kind, m["start"], m["match"], False).alias("votes")))
+    # most texts have none, and are not cut up
+    return let(free, lambda found: F.when(F.size(found) > 0, let(chunks(text), lambda parts: judged(parts, found))))
 
 
 def vote_counts(docs: DataFrame) -> DataFrame:
@@ -170,13 +177,13 @@ def vote_counts(docs: DataFrame) -> DataFrame:
     rows = rows.select("_text", *(base_spans(text, k).alias(k) for k in KINDS))
 
     def group(kind: str) -> Column:
-        match = lambda b: F.substring(text, b["start"] + 1, b["stop"] - b["start"])
-        strict = F.transform(kind, lambda b: F.struct(F.lit(kind).alias("kind"), let(match(b), lambda m: _votes(text, kind, b["start"], m, True)).alias("v")))
+        judged = lambda parts, b: let(cut(parts, b["start"], b["stop"]), lambda m: F.struct(F.lit(kind).alias("kind"), _votes(parts, kind, b["start"], m, True).alias("v")))
+        strict = F.when(F.size(kind) > 0, let(chunks(text), lambda parts: F.transform(kind, lambda b: judged(parts, b))))
         loose = F.transform(candidates(text, kind, F.col(kind)), lambda c: F.struct(F.lit(kind).alias("kind"), c["votes"].alias("v")))
-        return F.concat(strict, loose)
+        return F.array_compact(F.array(strict, loose))
 
     groups = [group(k) for k in KINDS]
-    return rows.select(F.explode(F.concat(*groups)).alias("c")).select("c.kind", "c.v.*").groupBy("kind", *LABELERS, "length").agg(F.count("*").alias("n"))
+    return rows.select(F.explode(F.flatten(F.concat(*groups))).alias("c")).select("c.kind", "c.v.*").groupBy("kind", *LABELERS, "length").agg(F.count("*").alias("n"))
 
 
 @dataclass
@@ -275,7 +282,8 @@ def spans(docs: DataFrame, model: Model, keep: list[str], least: float = 0.5) ->
         if not model.weights:
             return base
         chosen = F.filter(candidates(text, kind, base), lambda c: probability(model, kind, c["votes"]) >= least)
-        return F.array_sort(F.concat(base, F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop")))))
+        added = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop")))
+        return let(added, lambda x: F.when(x.isNull() | (F.size(x) == 0), base).otherwise(F.array_sort(F.concat(base, x))))
 
     every = [all_of(k).alias(f"{k}_all") for k in KINDS]
     return rows.select("*", *every)
@@ -292,13 +300,12 @@ def masked(docs: DataFrame, model: Model) -> DataFrame:
     found = spans(docs, model, [f"`{c}`" for c in docs.columns])
     named = lambda kind: F.transform(f"{kind}_all", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(kind).alias("kind")))
     all_ = F.array_sort(F.concat(*map(named, KINDS)))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], before, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
+    def replaced(spans_: Column, parts: Column) -> Column:
+        done = before(F.transform(spans_, lambda s: s["stop"]), F.greatest)
+        told = F.zip_with(spans_, done, lambda s, at: F.when(s["start"] >= at, F.concat(cut(parts, at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
+        last = F.array_max(F.transform(spans_, lambda s: s["stop"]))
+        return F.concat(F.array_join(told, ""), cut(parts, last, F.length("_text")))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text")))
-    new = let(all_, lambda a: F.when(F.size(a) > 0, F.aggregate(a, start, step, rest)).otherwise(F.col("_text")))
+    new = let(all_, lambda a: F.when(F.size(a) > 0, let(chunks(F.col("_text")), lambda parts: replaced(a, parts))).otherwise(F.col("_text")))
     return found.select(*(new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
