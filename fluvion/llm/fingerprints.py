@@ -1,12 +1,13 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is read as units: words, single characters of scripts without word spaces, single signs. A
-k-mer is ``k`` consecutive units; its inner substrings are the runs of ``s`` units in it, ordered by
+A text is read as units: pieces of up to PIECE letters or digits, begun anew at each word, single characters of scripts
+without word spaces, single signs. Short texts and texts without spaces so have anchors too. A k-mer is ``k`` consecutive units; its inner substrings are the runs of ``s`` units in it, ordered by
 hash. A k-mer is chosen (a closed syncmer) when its smallest inner substring is its first or its last.
 The choice looks at nothing outside the k-mer, so an edit changes only the anchors it touches.
 
-The fingerprint is the sorted list of the ``size`` smallest anchor hashes (a bottom-k sketch). Its
-likeness to another estimates the Jaccard similarity of the two anchor sets, from 0 to 1.
+The fingerprint is the sorted list of the smallest anchor hashes: ``size`` of them, or one in SHARE if that is more, so that it
+grows with the text. Its likeness to another estimates the Jaccard similarity of the two anchor sets, from 0 to 1, on as many
+hashes as both are sure to hold.
 
 Defined results: null text counts as empty; an empty text has an empty fingerprint, alike (1.0) only to
 another empty one; a text without any anchor has the hash of the whole text as its only one. Equal
@@ -20,9 +21,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fluvion.llm.common import let, staged, text_or_empty
 
 K, S, SIZE = 5, 2, 64
+PIECE, SHARE = 4, 8
 
 _DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-UNITS = rf"[{_DENSE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_DENSE}]]+|[^\s\p{{L}}\p{{M}}\p{{N}}]"
+UNITS = rf"[{_DENSE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_DENSE}]]{{1,{PIECE}}}|[^\s\p{{L}}\p{{M}}\p{{N}}]"
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
@@ -47,15 +49,20 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
 
 
 def sketch(text: Column, k: int = K, s: int = S, size: int = SIZE) -> Column:
-    """The ``size`` smallest distinct anchor hashes, ascending."""
-    found = F.slice(F.sort_array(F.array_distinct(F.array_compact(anchors(text, k, s)))), 1, size)
+    """The smallest distinct anchor hashes, ascending: ``size``, or one in SHARE of all if that is more."""
+    found = F.sort_array(F.array_distinct(F.array_compact(anchors(text, k, s))))
     whole = F.when(text == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(text)))
-    return let(found, lambda a: F.when(F.size(a) > 0, a).otherwise(whole))
+    kept = lambda a: F.slice(a, F.lit(1), F.greatest(F.lit(size), F.ceil(F.size(a) / SHARE).cast("int")))
+    return let(found, lambda a: F.when(F.size(a) > 0, kept(a)).otherwise(whole))
 
 
 def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
-    """Estimated Jaccard similarity of two sketches: the share both hold of the smallest of their union."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
+    """Estimated Jaccard similarity of two sketches: the share both hold of the smallest of their union.
+
+    A sketch of fewer than ``size`` hashes holds all of its text; so both know the smallest of the union as far as the shorter reaches.
+    """
+    reach = F.greatest(F.least(F.size(a), F.size(b)), F.lit(size))
+    least = F.slice(F.sort_array(F.array_union(a, b)), F.lit(1), reach)
     shared = lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u)
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(let(least, shared))
 
