@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fluvion.llm import bpe, fingerprints, language, lines, packing, pii, simhash
+from fluvion.llm import bpe, fingerprints, language, lines, packing, pii, queries, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, slot int, line string"
 
@@ -64,7 +64,7 @@ def test_edited_texts_and_likeness(spark, docs, none):
 
 
 def test_closed_syncmers(spark):
-    units = BASE.split()
+    units = [w[i : i + 4] for w in BASE.split() for i in range(0, len(w), 4)]
     found = spark.createDataFrame([(BASE,)], "text string").select(fingerprints.anchors(F.col("text")).alias("a")).first()["a"]
     grams = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(units, units[1:]))], "i int, a string, b string").select("i", F.xxhash64("a", "b").alias("h")).orderBy("i").collect()
     h = [r.h for r in grams]
@@ -73,6 +73,37 @@ def test_closed_syncmers(spark):
         assert (found[i] is not None) == (min(inner) in (inner[0], inner[-1]))
 
 
+def test_short_and_unbroken_texts_have_anchors(spark):
+    """Likeness against the Jaccard similarity of whole anchor sets, on short, unbroken and long texts."""
+    r = random.Random(9)
+    run = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    long = words(30, 9000)
+    a = run(100_000)
+    short = "the cat sat on the mat, said who"
+    edits = " ".join(w if i % 60 else f"new{i}" for i, w in enumerate(long.split()))
+    pairs = [(a, a[:50_000] + run(50_000)), (short, short[:24] + "somewhere"), (long, edits), (long, words(31, 9000)), (short, short), (long, long[:400])]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pairs)], "i int, x string, y string")
+    sets = df.select("i", *(F.array_distinct(F.array_compact(fingerprints.anchors(F.col(c)))).alias(c) for c in "xy")).collect()
+    exact = {row.i: len(set(row.x) & set(row.y)) / len(set(row.x) | set(row.y)) for row in sets}
+    made = df.select("i", *(fingerprints.sketch(F.col(c)).alias(c) for c in "xy"))
+    got = {row.i: (row.n, len(row.x)) for row in made.select("*", fingerprints.likeness(F.col("x"), F.col("y")).alias("n")).collect()}
+    for i, want in exact.items():
+        assert abs(got[i][0] - want) < 0.08, (i, got[i], want)
+    assert got[0][0] > 0.25 and got[1][0] > 0.15 and 0.7 < got[2][0] < 1 and got[3][0] < 0.1 and got[4][0] == 1
+    assert got[0][1] > 1000 and got[2][1] > 500 and got[1][1] < 64
+
+
+def test_alignments_find_a_shared_passage(spark):
+    """Anchors of a passage meet at one offset, wherever it stands."""
+    passage = words(40, 60)
+    docs = spark.createDataFrame([(1, words(41, 300) + " " + passage + " " + words(42, 200)), (2, words(43, 50)), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(10, words(44, 30) + " " + passage)], "doc_id long, text string")
+    met = fingerprints.alignments(fingerprints.positions(asked), fingerprints.positions(docs)).orderBy(F.desc("n_anchors")).collect()
+    units = lambda t: sum(-(-len(w) // 4) for w in t.split())
+    assert (met[0].doc_id, met[0].other_id, met[0].offset) == (10, 1, units(words(44, 30)) - units(words(41, 300)))
+    assert met[0].n_anchors > 0.3 * units(passage) and all(x.n_anchors < 4 for x in met[1:])
+
+
 def test_next_over_many_blocks(spark):
     ids = random.Random(3).sample(range(-(10**6), 10**9), 3000) + [2**62, -(2**62)]
     rows = spark.createDataFrame([(i, str(i)) for i in ids], "doc_id long, text string")
@@ -230,6 +261,54 @@ def test_language(spark, docs, none):
     assert language.prototypes(none) == {} and {x.lang_pred for x in language.predict(docs, {}, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_is_that_of_plain_vectors(spark):
+    """Bind, bundle and cosine written out, over a training table; held-out labels are never read."""
+    r = random.Random(12)
+    prose = lambda parts, n: " ".join("".join(r.choice(parts) for _ in range(3)) for _ in range(n))
+    tongues = {"aa": ("ba", "dé", "ki"), "bb": ("lor", "mes", "ba"), "cc": ("ñu", "lor", "szt")}
+    train = [(k, prose(v, r.randint(1, 40))) for k, v in tongues.items() for _ in range(8)] + [("aa", "12"), ("bb", None)]
+    texts = [prose(v, n) for v in tongues.values() for n in (1, 2, 30)] + ["Ba, DÉ!  ki", "", None, "7", "x"]
+
+    def vector(text):
+        total = np.zeros(language.DIM)
+        line = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+        line = re.sub(" +", " ", line)
+        for i in range(len(line) - 2):
+            bound = np.ones(language.DIM)
+            for place in range(3):
+                bound = bound * np.roll(language._letter(ord(line[i + place])), 2 - place)
+            total += bound
+        return total if any(c.isalpha() for c in text or "") else np.zeros(language.DIM)
+
+    bundles = {k: sum(vector(t) for lang, t in train if lang == k) for k in tongues}
+    model = language.prototypes(spark.createDataFrame(train, "lang string, text string").repartition(3))
+    for k, v in bundles.items():
+        assert np.allclose(model[k], v / np.linalg.norm(v), atol=1e-6)
+    got = {x.i: x for x in language.predict(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), model, ["i"]).collect()}
+    for i, t in enumerate(texts):
+        v = vector(t)
+        if not v.any():
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        cosine = {k: v @ b / np.linalg.norm(v) / np.linalg.norm(b) for k, b in bundles.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert got[i].lang_pred == best and abs(got[i].score - max(0.0, cosine[best])) < 1e-5
+
+
+def test_held_out_labels_are_not_learned(spark, tmp_path):
+    """The query's answers stay the same whatever the labels of held-out documents say."""
+    r = random.Random(13)
+    prose = lambda parts: " ".join("".join(r.choice(parts) for _ in range(3)) for _ in range(12))
+    rows = [(i, prose((("ba", "du"), ("lor", "mes"))[i % 2]), ("aa", "bb")[i % 2], "s", 1) for i in range(60)]
+    out = [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(60)]
+    told = []
+    for name, wrong in (("a", None), ("b", "zz")):
+        changed = [(i, t, wrong if wrong and out[i] else lang, s, n) for i, t, lang, s, n in rows]
+        spark.createDataFrame(changed, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / name / "documents.parquet"))
+        told.append(sorted(map(tuple, queries.QUERIES["op5_language"](spark, str(tmp_path / name)).collect())))
+    assert told[0] == told[1] and [x[1] for x in told[0]] == out and {x[2] for x in told[0]} == {"aa", "bb"}
+
+
 def test_lines(spark, none):
     rows = [(i, f"top {i}\n  Shared line \n\nlow {i}" + ("\nnear" if i < 3 else ""), f"site{i % 9}") for i in range(12)]
     rows += [(20, None, "x"), (21, "", None), (22, "Shared line\nShared line", None), rows[5]]
