@@ -100,9 +100,12 @@ SNOW_SQL = "(SELECT field, flat_index, CASE WHEN value < -330 THEN -9999.0 WHEN
         round(CASE WHEN wv / ws >= 0.93 THEN wsnow / wv END, 6) AS snow_covered_fraction, concat_ws('|', CASE WHEN wv / ws < 0.93 THEN 'insufficient_grid_coverage' END, CASE WHEN ww > 0 THEN 'static_water_cells_present' END, CASE WHEN wt > 0 THEN 'swe_saturated_cells_excluded' END, CASE WHEN wc > 0 THEN 'negative_non_sentinel_cells_excluded' END) AS flags FROM g""",
 )
 def e11(t):
+    return zonal.snow_stats(t.delivered_cells().withColumn("value", snow_coded()), t.mask())
+
+
+def snow_coded():
     v = F.col("value")
-    coded = F.when(v < -330, F.lit(-9999.0)).when(v < -300, F.lit(-7.0)).when(v > 330, F.lit(32767.0)).when(v < -100, F.lit(0.0)).otherwise(F.abs(v))
-    return zonal.snow_stats(t.delivered_cells().withColumn("value", coded), t.mask())
+    return F.when(v < -330, F.lit(-9999.0)).when(v < -300, F.lit(-7.0)).when(v > 330, F.lit(32767.0)).when(v < -100, F.lit(0.0)).otherwise(F.abs(v))
 
 
 RAIN_SQL = "(SELECT field, flat_index, CASE WHEN value < -350 THEN 9999.0 WHEN value BETWEEN -200 AND -150 THEN -0.05 ELSE abs(value) END::DOUBLE AS value FROM b_gap)"
@@ -115,9 +118,12 @@ RAIN_SQL = "(SELECT field, flat_index, CASE WHEN value < -350 THEN 9999.0 WHEN v
         concat_ws('|', CASE WHEN wv / ws < 0.995 THEN 'insufficient_grid_coverage' END, CASE WHEN 1 - wv / ws > 1e-6 THEN 'missing_cells' END, CASE WHEN neg > 0 THEN 'jpeg_negative_clamped' END) AS flags FROM g""",
 )
 def e12(t):
+    return zonal.forecast_stats(t.delivered_cells().withColumn("value", rain_coded()), t.mask())
+
+
+def rain_coded():
     v = F.col("value")
-    coded = F.when(v < -350, F.lit(9999.0)).when(v.between(-200, -150), F.lit(-0.05)).otherwise(F.abs(v))
-    return zonal.forecast_stats(t.delivered_cells().withColumn("value", coded), t.mask())
+    return F.when(v < -350, F.lit(9999.0)).when(v.between(-200, -150), F.lit(-0.05)).otherwise(F.abs(v))
 
 
 PIX_SQL = """(SELECT field || ':' || flat_index AS pid, (field * 8 % 480) + flat_index % 8 + 0.5::DOUBLE AS x, (flat_index // 8) * 2.5 + 0.25::DOUBLE AS y, value AS elevation, 1 + (flat_index // 8) * 0.25::DOUBLE AS area FROM b_cell)"""

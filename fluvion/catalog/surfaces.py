@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from fluvion.catalog.aggregates import ratio_sql, snow_readings
+from fluvion.catalog import grids
 from fluvion.catalog.expressions import T, now
 from fluvion.catalog.grids import INSIDE_SQL, pixels
 from fluvion.catalog.joins import event_points, rings
-from fluvion.catalog.registry import BINDINGS, query
+from fluvion.catalog.registry import BINDINGS, ORACLES, query
 from fluvion.catalog.scalars import BAND_SQL
 from fluvion.catalog.series import pct_case
 from fluvion.functions import flood, labels, values
@@ -500,6 +501,28 @@ def l17(t):
     return revisions.absent(means, stored, ["field", "basin"], [F.asc("value")])
 
 
+def grid_job(t, name, columns):
+    """One gridded product's job: every listed field answers for every basin, and pairs not yet stored are appended, refusals too."""
+    done = GRID_INPUTS[name](t, t.grid_cells().select("field").distinct())
+    stored = done.filter("field % 3 = 0 AND basin < 3").select("field", "basin")
+    return revisions.absent(done, stored, ["field", "basin"], [F.asc("cell_count")]).select("field", "basin", *columns)
+
+
+GRID_INPUTS = {
+    "strict": lambda t, fields: zonal.strict_mean(t.delivered_cells(), t.mask(), None, F.col("value") < -400, fields),
+    "snow": lambda t, fields: zonal.snow_stats(t.delivered_cells().withColumn("value", grids.snow_coded()), t.mask(), fields),
+    "forecast": lambda t, fields: zonal.forecast_stats(t.delivered_cells().withColumn("value", grids.rain_coded()), t.mask(), fields),
+}
+GRID_JOBS = {
+    "L17_strict_grid_job": ("strict", "E9_strict_zonal_mean", ["value", "missing_cells", "reason"]),
+    "L17_snow_grid_job": ("snow", "E11_snow_zonal", ["mean", "snow_covered_fraction", "flags"]),
+    "L17_forecast_grid_job": ("forecast", "E12_forecast_zonal", ["mean", "negative_clamped_cells", "flags"]),
+}
+for _name, (_input, _of, _columns) in GRID_JOBS.items():
+    query(_name)(lambda t, i=_input, c=_columns: grid_job(t, i, c))
+    ORACLES[_name] = f"SELECT field, basin, {', '.join(_columns)} FROM ({ORACLES[_of]}) WHERE NOT (field % 3 = 0 AND basin < 3)"
+
+
 @query(
     "L18_ensemble_archive",
     """WITH p AS (SELECT run_id, fp, issued_at, valid_time, max(flow) AS v FROM b_val WHERE run_id % 3 <> 0 GROUP BY ALL), s AS (SELECT *, epoch(valid_time) - epoch(lag(valid_time) OVER (PARTITION BY run_id ORDER BY valid_time)) AS st FROM p),

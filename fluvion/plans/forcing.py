@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fluvion.functions import bands
@@ -14,36 +16,41 @@ OFFICIAL_WINDOWS = 3
 RATIO_FLOOR_MM = 1.0
 
 
-def newest_cycle(rows: DataFrame, basins: DataFrame) -> DataFrame:
-    """Rows of the newest cycle not older than two days at each basin's knowledge time.
+FEATURES = ("p50_72h", "p10_72h", "p90_72h", "p50_24h", "det_24h", "det_72h", "snow_p50")
+
 
-    The cycle is a partial aggregation per basin; only (basin, cycle) meets the rows again.
-    """
-    j = rows.join(basins.select("basin", "as_of"), "basin").filter(
+def current(rows: DataFrame, basins: DataFrame) -> DataFrame:
+    """Rows of cycles known and not older than two days at each basin's knowledge time."""
+    return rows.join(basins.select("basin", "as_of"), "basin").filter(
         (F.col("issued_at") <= F.col("as_of")) & (hours_between(F.col("as_of"), F.col("issued_at")) <= MAX_CYCLE_AGE_H)
     )
-    cycle = j.groupBy("basin").agg(F.max("issued_at").alias("cycle"))
-    return j.join(cycle, "basin").filter(F.col("issued_at") == F.col("cycle"))
 
 
-def pivoted(rows: DataFrame) -> DataFrame:
-    """The named features of one cycle side by side, by conditional aggregation."""
+def newest(cycles: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
+    """Of one row per (basin, cycle) the newest per basin, as ``name`` and its columns: an aggregation, no join back."""
+    best = F.max(F.struct("issued_at", *columns)).alias("b")
+    return cycles.groupBy("basin").agg(best).select("basin", F.col("b.issued_at").alias(name), *[F.col(f"b.{c}").alias(c) for c in columns])
+
+
+def newest_features(rows: DataFrame, basins: DataFrame) -> DataFrame:
+    """The named features of the newest cycle side by side, by conditional aggregation."""
     pick = lambda name: F.max(F.when(F.col("feature") == name, F.col("value"))).alias(name)
-    return rows.groupBy("basin", "cycle").agg(*[pick(f) for f in ("p50_72h", "p10_72h", "p90_72h", "p50_24h", "det_24h", "det_72h", "snow_p50")])
+    return newest(current(rows, basins).groupBy("basin", "issued_at").agg(*map(pick, FEATURES)), "cycle", FEATURES)
 
 
 def official_totals(windows: DataFrame, basins: DataFrame) -> DataFrame:
     """Newest official cycle per basin; the total exists only when all three windows do."""
-    per = newest_cycle(windows, basins).groupBy("basin", "cycle", "lead").agg(F.max("value").alias("value"))
+    per = current(windows, basins).groupBy("basin", "issued_at", "lead").agg(F.max("value").alias("value"))
     n = F.count(F.lit(1))
-    return per.groupBy("basin", F.col("cycle").alias("official_cycle")).agg(
+    cycles = per.groupBy("basin", "issued_at").agg(
         F.when(n == OFFICIAL_WINDOWS, F.sum("value")).alias("official_total"), F.when(n == OFFICIAL_WINDOWS, F.min_by("value", "lead")).alias("official_day1")
     )
+    return newest(cycles, "official_cycle", ("official_total", "official_day1"))
 
 
 def assess(basins: DataFrame, rows: DataFrame, official: DataFrame, hypsometry: DataFrame) -> DataFrame:
     """One row per basin: band and score of the 72 h median, spread, snow level, rain-exposed share, agreement."""
-    q = basins.join(pivoted(newest_cycle(rows, basins)), "basin", "left").join(official_totals(official, basins), "basin", "left")
+    q = basins.join(newest_features(rows, basins), "basin", "left").join(official_totals(official, basins), "basin", "left")
     q = q.join(hypsometry, "basin", "left")
     v = F.col("p50_72h")
     reason = F.when(F.col("cycle").isNull(), "no_cycle").when(v.isNull(), "no_value")
