@@ -40,7 +40,7 @@ STRETCH = 512
 SENTENCE_CUT, INNER_CUT, TAIL_CUT = 8, 64, 64
 BLOCK = 64 * WINDOW
 #: words, and pieces of words, a worker remembers twice
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class _Kept(dict):
