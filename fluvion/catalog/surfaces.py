@@ -11,11 +11,12 @@ from fluvion.catalog.registry import BINDINGS, ORACLES, query
 from fluvion.catalog.scalars import BAND_SQL
 from fluvion.catalog.series import pct_case
 from fluvion.functions import flood, labels, values
-from fluvion.functions.clocks import plus_hours
+from fluvion.functions.clocks import doy_index, plus_hours
 from fluvion.operators import alerts, hydrograph, joins, precipitation, rasters, reservoirs, revisions, running, selection, snow, zonal
 from fluvion.plans import basin as basin_plan
 from fluvion.plans import cameras, climatology, comparison, forcing, river, susceptibility
 from fluvion.session import staged
+from fluvion.sources import gauges
 from fluvion.sources.bindings import LEVELS
 
 SHIFT_DAYS = 8213  # moves the order calendar next to the event calendar
@@ -473,22 +474,95 @@ def l15(t):
 SNOW_OK = "(SELECT s_suppkey AS station, s_nationkey AS basin FROM supplier WHERE s_suppkey % 4 <> 1)"
 
 
+def snow_sites(t):
+    """(station, basin) of the stations that a basin's snow context reads."""
+    k = F.col("station")
+    code = F.format_string("1711%04d", "basin")
+    assoc = F.when(k % 4 == 1, F.array(F.lit("99990001"))).otherwise(F.array(code))
+    stations = t.stations().select("station", code.alias("huc"), assoc.alias("associated"), F.col("basin").alias("b")).drop("b")
+    basins = t.basins().select("basin", F.array(F.format_string("1711%04d", "basin")).alias("huc8"))
+    return snow.assign_basins(stations, basins).filter(~F.col("verdict").eqNullSafe(F.lit(snow.OUTSIDE_DOMAIN))).select("station", "basin")
+
+
 @query(
     "L16_snow_context",
     f"""WITH r AS (SELECT l_suppkey AS station, CAST(l_shipdate AS DATE) AS day, max(l_quantity) AS value, CASE WHEN min(l_linenumber) = 1 THEN NULL ELSE floor(max(l_extendedprice) / 10000) - 1 END AS median, CASE WHEN min(l_linenumber) = 2 THEN 'S' END AS qc FROM lineitem GROUP BY ALL), s AS {SNOW_OK}, d AS (SELECT basin, max(day) AS day FROM r JOIN s USING (station) GROUP BY ALL)
       SELECT s.basin, count(*) AS n_mapped, count_if(r.value IS NOT NULL AND coalesce(r.qc, 'V') <> 'S' AND r.median > 0) AS n_used, round(avg(CASE WHEN coalesce(r.qc, 'V') <> 'S' AND r.median > 0 THEN 100.0::DOUBLE * r.value / r.median END), 1) AS swe_pct FROM s JOIN d USING (basin) LEFT JOIN r ON r.station = s.station AND r.day = d.day GROUP BY s.basin""".replace("count_if(r.value IS NOT NULL AND", "count_if(coalesce(r.value IS NOT NULL AND").replace("r.median > 0) AS n_used", "r.median > 0, false)) AS n_used"),
 )
 def l16(t):
-    k = F.col("station")
-    code = F.format_string("1711%04d", "basin")
-    assoc = F.when(k % 4 == 1, F.array(F.lit("99990001"))).otherwise(F.array(code))
-    stations = t.stations().select("station", code.alias("huc"), assoc.alias("associated"), F.col("basin").alias("b")).drop("b")
-    basins = t.basins().select("basin", F.array(F.format_string("1711%04d", "basin")).alias("huc8"))
-    sites = snow.assign_basins(stations, basins).filter(~F.col("verdict").eqNullSafe(F.lit(snow.OUTSIDE_DOMAIN))).select("station", "basin")
-    out = snow.swe_percent_of_median(snow_readings(t), sites)
+    out = snow.swe_percent_of_median(snow_readings(t), snow_sites(t))
     return out.select("basin", "n_mapped", "n_used", F.col("value").alias("swe_pct"))
 
 
+# Susceptibility in company: the published ladder lowers confidence, snow stands beside the score and never in it.
+BINDINGS["b_pubp"] = """SELECT l_suppkey AS site, datediff('day', DATE '2000-01-01', make_date(2000, month(l_shipdate), day(l_shipdate))) AS doy, max(l_quantity) AS published FROM lineitem WHERE l_linenumber = 3 AND l_quantity > 3 GROUP BY ALL"""
+BINDINGS["b_sdis"] = """SELECT s.*, l.p50, CASE WHEN abs((l.p50 - published) / published) > 0.1 THEN round((l.p50 - published) / published * 100 + 1e-9, 1) END AS off FROM b_susc s LEFT JOIN b_slad l ON l.site = s.site AND l.key = s.doy LEFT JOIN b_pubp p ON p.site = s.site AND p.doy = s.doy"""
+BINDINGS["b_sread"] = f"""SELECT r.* FROM (SELECT l_suppkey AS station, CAST(l_shipdate AS DATE) AS day, max(l_quantity) AS value, CASE WHEN min(l_linenumber) = 1 THEN NULL ELSE floor(max(l_extendedprice) / 10000) - 1 END AS median, CASE WHEN min(l_linenumber) = 2 THEN 'S' END AS qc FROM lineitem GROUP BY ALL) r WHERE day < CAST(TIMESTAMP '{S_T}' AS DATE)"""
+BINDINGS["b_swet"] = f"""SELECT s.basin, d.day, round(avg(CASE WHEN coalesce(r.qc, 'V') <> 'S' AND r.median > 0 THEN 100.0::DOUBLE * r.value / r.median END), 1) AS value FROM {SNOW_OK} s JOIN (SELECT basin, max(day) AS day FROM b_sread JOIN {SNOW_OK} s USING (station) GROUP BY ALL) d USING (basin) LEFT JOIN b_sread r ON r.station = s.station AND r.day = d.day
+  WHERE d.day >= TIMESTAMP '{S_T}' - INTERVAL 7 DAY GROUP BY s.basin, d.day"""
+BINDINGS["b_spre"] = f"""SELECT s.basin, d.day, round(avg(CASE WHEN coalesce(a.qc, 'V') <> 'S' AND coalesce(b.qc, 'V') <> 'S' AND a.value >= b.value AND a.median > b.median THEN 100.0::DOUBLE * (a.value - b.value) / (a.median - b.median) END), 1) AS value FROM {SNOW_OK} s JOIN (SELECT basin, max(day) AS day FROM b_sread JOIN {SNOW_OK} s USING (station) GROUP BY ALL) d USING (basin)
+  LEFT JOIN b_sread a ON a.station = s.station AND a.day = d.day LEFT JOIN b_sread b ON b.station = s.station AND b.day = d.day - 14 WHERE d.day >= TIMESTAMP '{S_T}' - INTERVAL 7 DAY GROUP BY s.basin, d.day"""
+BINDINGS["b_sgrid"] = f"""SELECT vec_id AS field, valid AS clock FROM (SELECT vec_id, TIMESTAMP '{S_T}' - to_days(CAST(vec_id % 11 + 1 AS INTEGER)) AS valid FROM embeddings) WHERE valid + to_days(CAST(vec_id % 5 AS INTEGER)) <= TIMESTAMP '{S_T}' AND valid >= TIMESTAMP '{S_T}' - INTERVAL 7 DAY ORDER BY valid DESC, vec_id % 5 DESC, vec_id DESC LIMIT 1"""
+BINDINGS["b_sfield"] = f"""SELECT basin, clock, CASE WHEN wv / ws >= 0.93 THEN tot / wv END AS swe_mm, CASE WHEN wv / ws >= 0.93 THEN snowy / wv END AS covered FROM (SELECT basin, clock, any_value(w) AS ws, coalesce(sum(CASE WHEN value >= 0 AND value <> 32767 THEN weight END), 0) AS wv, sum(CASE WHEN value >= 0 AND value <> 32767 THEN value * weight END) AS tot,
+  coalesce(sum(CASE WHEN value > 0 AND value <> 32767 THEN weight END), 0) AS snowy FROM {grids.SNOW_SQL} JOIN b_sgrid USING (field) JOIN b_mask USING (flat_index) JOIN b_masktotal USING (basin) GROUP BY basin, clock)"""
+
+
+def published_medians(t):
+    """(site, doy, published_p50) of the published day-of-year table."""
+    level = F.element_at(F.array(*[F.lit(x) for x in (10, 25, 50, 75, 90, 95, 5)]), F.col("l_linenumber"))
+    rows = t.lineitem().select(
+        F.col("l_suppkey").alias("site"), F.month("day").alias("month"), F.dayofmonth("day").alias("dom"), F.year("day").alias("year"),
+        level.alias("level"), F.when(F.col("l_quantity") > 3, F.col("l_quantity")).alias("value"),
+    )
+    day = F.make_date(F.lit(2000), F.col("month"), F.col("dom"))
+    return gauges.published_ladder(rows).select("site", doy_index(day).alias("doy"), F.try_element_at("ladder", F.lit(50)).alias("published_p50"))
+
+
+def checked_susceptibility(t, version="0.2.0"):
+    return susceptibility.assess(s_daily(t), F.lit(S_T).cast("timestamp"), ceilings(t), 86400, 14400, version, published_medians(t))
+
+
+@query(
+    "L3_checked_confidence",
+    "SELECT site, reason, CASE WHEN reason <> 'ok' THEN 'unknown' WHEN off IS NULL THEN confidence WHEN confidence = 'high' THEN 'moderate' ELSE 'low' END AS confidence, CASE WHEN reason = 'ok' THEN off END AS disagreement_pct FROM b_sdis",
+)
+def l3_checked(t):
+    """Confidence lowered one level where the built and the published ladder differ by more than a tenth."""
+    return checked_susceptibility(t, "0.1.0").select("site", "reason", "confidence", "disagreement_pct")
+
+
+def snow_context_rows(t):
+    """Station and grid snow as known at the time, newest per basin: percent of median, its 14-day precipitation, gridded means."""
+    at = F.lit(S_T).cast("timestamp")
+    readings = staged(snow_readings(t).filter(F.col("day") < at.cast("date")), "snow-readings")
+    sites = snow_sites(t)
+    clocked = lambda df: susceptibility.current_context(df.select("basin", F.col("day").cast("timestamp").alias("clock"), F.col("day").cast("timestamp").alias("known_at"), "value"), at)
+    valid = plus_hours(at, (F.col("field") % 11 + 1) * -24)
+    fields = t.read("embeddings").select(F.col("vec_id").alias("field")).select("field", valid.alias("clock"), plus_hours(valid, F.col("field") % 5 * 24).alias("known_at"))
+    # a field answers for every basin, so the newest one is chosen before any cell is read
+    newest = susceptibility.current_context(fields.withColumn("basin", F.lit(0)), at).select("field", "clock")
+    cells = t.delivered_cells().withColumn("value", grids.snow_coded()).join(newest.select("field"), "field", "left_semi")
+    zones = t.basins().select("basin", (F.col("basin") % 6).alias("zone"))  # the mask has six zones
+    grid = zonal.snow_stats(cells, t.mask()).withColumnRenamed("basin", "zone").join(newest, "field").join(zones, "zone").select("basin", "clock", F.col("mean").alias("swe_mm"), F.col("snow_covered_fraction").alias("covered"))
+    return clocked(snow.swe_percent_of_median(readings, sites)), clocked(snow.precipitation_percent_of_median(readings, sites)), grid
+
+
+@query(
+    "L3_susceptibility_drivers",
+    """WITH g AS (SELECT s.*, s.value / a.value AS up, s.value / b.value AS upp, n.s_nationkey AS basin FROM b_sdis s LEFT JOIN b_sday a ON a.site = s.site AND a.day = s.day - 1 LEFT JOIN b_sday b ON b.site = s.site AND b.day = s.day - 2 LEFT JOIN supplier n ON n.s_suppkey = s.site WHERE s.reason = 'ok'),
+      d AS (SELECT site, 1 AS place, 'streamflow_doy_percentile' AS feature, p AS value, 'pct' AS unit, 'increases_susceptibility' AS direction, day::TIMESTAMP AS clock FROM g UNION ALL SELECT site, 2, 'streamflow_seasonal_multiple', round(value / p95 + 1e-9, 3), 'x', 'level_not_scored', day FROM g WHERE p95 > 0
+        UNION ALL SELECT site, 3, 'streamflow_growth_24h', round(up + 1e-9, 3), 'x', 'state_change_not_scored', day FROM g WHERE up > 0 UNION ALL SELECT site, 4, 'streamflow_growth_48h', round(upp + 1e-9, 3), 'x', 'state_change_not_scored', day FROM g WHERE upp > 0
+        UNION ALL SELECT site, 20, 'basin_swe_percent_of_median', x.value, 'pct', 'context_not_scored', x.day FROM g LEFT JOIN b_swet x USING (basin) UNION ALL SELECT site, 25, 'basin_swe_mm', swe_mm, 'mm', 'context_not_scored', f.clock FROM g JOIN b_sfield f ON f.basin = g.basin % 6
+        UNION ALL SELECT site, 26, 'basin_snow_covered_fraction', round(covered * 100 + 1e-9, 2), 'pct', 'context_not_scored', f.clock FROM g JOIN b_sfield f ON f.basin = g.basin % 6 WHERE covered IS NOT NULL UNION ALL SELECT site, 30, 'snotel_precip_14d_percent_of_median', x.value, 'pct', 'context_not_scored', x.day FROM g LEFT JOIN b_spre x USING (basin)
+        UNION ALL SELECT site, 40, 'soil_saturation_percentile', NULL, 'pct', 'unavailable', NULL FROM b_susc UNION ALL SELECT site, 50, 'climatology_p50_disagreement', off, 'pct', 'lowers_confidence', day FROM g WHERE off IS NOT NULL)
+      SELECT site, CAST(row_number() OVER (PARTITION BY site ORDER BY place) AS INTEGER) AS rank, feature, round(value, 6) AS value, unit, direction, CAST(clock AS VARCHAR) AS clock FROM d""",
+)
+def l3_drivers(t):
+    """What each gauge's susceptibility rests on and what stands beside it, ranked, each with its own clock."""
+    sites = t.stations().select(F.col("station").alias("site"), "basin")
+    return susceptibility.drivers(checked_susceptibility(t), sites, *snow_context_rows(t))
+
+
 @query(
     "L17_basin_grid_job",
     """WITH g AS (SELECT field, basin, sum(weight) AS wv, sum(abs(value) * weight) AS total FROM b_gap JOIN b_mask USING (flat_index) GROUP BY ALL) SELECT field, basin, round(CASE WHEN wv / w >= 0.995 THEN total / wv END, 6) AS value FROM g JOIN b_masktotal USING (basin) WHERE NOT (field % 3 = 0 AND basin < 3)""",
