@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fluvion.catalog.registry import query
 from fluvion.operators import thresholds
-from fluvion.sources import documents, forecasts, gauges, notices, snow_stations
+from fluvion.sources import documents, forecasts, gauges, notices, prototype, snow_stations
 
 PAGE = 200
 
@@ -493,6 +493,78 @@ def a25(t):
     return t.read("lineitem").select(F.col("l_suppkey").alias("site"), ok.alias("v")).groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("n_valued"), F.max("v").alias("top"))
 
 
+def prototype_docs(t):
+    """One document per site and 200 events, with sentinels, text, points without a time and broken documents."""
+    n, page = F.col("event_id") % 10, F.floor(F.col("event_id") / PAGE)
+    raw = F.when(n == 0, "-999999").when(n == 1, "-999998.0").when(n == 2, "Ice").otherwise(F.col("value").cast("string"))
+    code = F.when(F.col("event_type") == "view", "00060").when(F.col("event_type") == "click", "00065").otherwise("00010")
+    v = F.struct(raw.alias("value"), F.when(n != 3, zulu("ts")).alias("dateTime"))
+    rows = t.events().select((F.col("user_id") % 10).alias("site"), page.alias("page"), code.alias("code"), F.struct("event_id", v.alias("v")).alias("r"))
+    points = F.transform(F.array_sort(F.collect_list("r")), lambda r: r["v"])
+    by_code = rows.groupBy("site", "page", "code").agg(points.alias("vs"))
+    one = F.struct(
+        F.struct(F.array(F.struct(F.col("code").alias("value"))).alias("variableCode"), F.struct(F.lit("ft3/s").alias("unitCode")).alias("unit")).alias("variable"),
+        F.array(F.struct(F.col("vs").alias("value"))).alias("values"),
+    )
+    g = by_code.groupBy("site", "page").agg(F.to_json(F.struct(F.struct(F.collect_list(one).alias("timeSeries")).alias("value"))).alias("content"))
+    broken = F.col("page") % 7 == 3
+    return g.select(F.concat_ws("/", F.lit("landed"), "site", "page").alias("path"), "site", F.when(broken, F.substring("content", 1, 20)).otherwise(F.col("content")).alias("content"))
+
+
+@query(
+    "A25_prototype_readings",
+    """WITH e AS (SELECT event_id, user_id % 10 AS site, event_id // 200 AS page, CASE event_type WHEN 'view' THEN 'flow' WHEN 'click' THEN 'stage' END AS variable, CASE WHEN event_id % 10 > 3 THEN value END AS v, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS t FROM events)
+      SELECT 'landed/' || d.site || '/' || d.page AS path, x.variable, CASE WHEN x.variable = 'flow' THEN 'cfs' WHEN d.page % 7 <> 3 AND count(event_id) > 0 THEN 'ft3/s' ELSE 'ft' END AS unit, CAST(CASE WHEN d.page % 7 = 3 THEN 0 ELSE count(v) END AS INTEGER) AS n, CASE WHEN d.page % 7 <> 3 THEN max(CASE WHEN v IS NOT NULL THEN t END) END AS latest_at,
+        CASE WHEN d.page % 7 <> 3 THEN first(v ORDER BY t DESC, event_id) FILTER (v IS NOT NULL) END AS latest, CASE WHEN d.page % 7 = 3 THEN 'malformed' WHEN count(event_id) = 0 THEN 'no_data' WHEN count(v) = 0 THEN 'empty_series' ELSE 'ok' END AS note
+      FROM (SELECT DISTINCT site, page FROM e) d CROSS JOIN (VALUES ('stage'), ('flow')) AS x(variable) LEFT JOIN e ON e.site = d.site AND e.page = d.page AND e.variable = x.variable GROUP BY d.site, d.page, x.variable""",
+)
+def a25b(t):
+    """The prototype's reading documents, one row per document and parameter."""
+    s = prototype.series(prototype_docs(t))
+    return s.select("path", "variable", "unit", F.size("points").alias("n"), "latest_at", "latest", "note")
+
+
+def prototype_gauges(t):
+    k, v = F.col("c_custkey"), F.round(F.abs("c_acctbal") / 100, 2)
+
+    def category(m):
+        text = (v + m).cast("string")
+        plain = ~((k % 4 == 0) | (k % 10 == m) | (k % 6 == m))
+        stage = F.when(k % 4 == 0, "-9999").when(k % 10 == m, "n/a").when(plain, text)
+        return F.struct(stage.alias("stage"), F.when((k % 4 != 0) & (k % 10 == m), text).alias("value"), F.when((k % 4 != 0) & (k % 10 != m) & (k % 6 == m), text).alias("ft"))
+
+    cats = F.create_map(*[x for m, c in enumerate(("action", "minor", "moderate", "major"), 1) for x in (F.lit(c), category(m))])
+    body = F.struct(F.struct(F.when(k % 12 != 5, cats).alias("categories")).alias("flood"))
+    return t.read("customer").select(F.concat(F.lit("gauges/"), k).alias("path"), F.to_json(body).alias("content"))
+
+
+@query(
+    "A25_prototype_levels",
+    """SELECT 'gauges/' || c_custkey AS path, CASE WHEN ok THEN round(v + 1, 6) END AS action, CASE WHEN ok THEN round(v + 2, 6) END AS minor, CASE WHEN ok THEN round(v + 3, 6) END AS moderate, CASE WHEN ok THEN round(v + 4, 6) END AS major, CASE WHEN ok THEN 'ok' ELSE 'missing_categories' END AS refusal
+      FROM (SELECT c_custkey, round(abs(c_acctbal) / 100, 2) AS v, c_custkey % 4 <> 0 AND c_custkey % 12 <> 5 AS ok FROM customer)""",
+)
+def a25c(t):
+    """The prototype's gauge documents: the first field of a category that is a number decides."""
+    return prototype.levels(prototype_gauges(t)).withColumn("refusal", F.coalesce("refusal", F.lit("ok")))
+
+
+@query(
+    "A25_prototype_snow",
+    """SELECT CAST(l_suppkey AS VARCHAR) || '/' || year(l_shipdate) AS path, CAST(l_suppkey AS VARCHAR) AS station, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, max(l_quantity) AS value FROM lineitem WHERE l_suppkey % 9 <> 4 GROUP BY l_suppkey, year(l_shipdate), CAST(l_shipdate AS DATE) HAVING max(l_quantity) <> 9""",
+)
+def a25d(t):
+    """The prototype's snow documents: the first snow-water element of an entry, of the stations that were asked for."""
+    g = t.lineitem().groupBy("l_suppkey", "day").agg(F.max("l_quantity").alias("hi"))
+    v = F.struct(F.col("day").cast("string").alias("date"), F.when(F.col("hi") == 9, "M").otherwise(F.col("hi").cast("string")).alias("value"))
+    y = g.select("l_suppkey", F.year("day").alias("y"), v.alias("v")).groupBy("l_suppkey", "y").agg(F.collect_list("v").alias("vs"))
+    none = F.slice("vs", 1, 0)
+    el = lambda code, vs: F.struct(F.struct(F.lit(code).alias("elementCode")).alias("stationElement"), vs.alias("values"))
+    station = F.col("l_suppkey").cast("string")
+    entries = F.array(F.struct(station.alias("stationTriplet"), F.array(el("SMS", F.col("vs")), el("WTEQ", F.col("vs")), el("WTEQ", none)).alias("data")), F.struct(station.alias("stationTriplet"), F.array(el("SMS", none)).alias("data")))
+    asked = F.array(F.when(F.col("l_suppkey") % 9 != 4, station).otherwise(F.lit("elsewhere")))
+    return prototype.snow(y.select(F.concat_ws("/", "l_suppkey", "y").alias("path"), asked.alias("stations"), F.to_json(entries).alias("content")))
+
+
 @query(
     "I18_number_tokens",
     r"""SELECT doc_id, CAST(len(x) AS INTEGER) AS n_tokens, list_max(list_transform(x, lambda s: TRY_CAST(replace(s, ',', '') AS DOUBLE))) AS largest FROM (SELECT doc_id, regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?') AS x FROM documents)""",

@@ -645,6 +645,26 @@ def l21(t):
     return j.select("station", "value", "risk", "stale", F.coalesce("series", empty).alias("series"), "snow_stations", "snow_fresh", state.alias("precursors"))
 
 
+LEVEL_ROWS_SQL = "(SELECT point, max(level) FILTER (category = 'action') AS action, max(level) FILTER (category = 'minor') AS minor, max(level) FILTER (category = 'moderate') AS moderate, max(level) FILTER (category = 'major') AS major FROM b_plevel GROUP BY ALL)"
+
+
+@query(
+    "L21_dated_levels",
+    f"""WITH o AS (SELECT * FROM b_obs WHERE available_at <= TIMESTAMP '{T}' AND valid_time BETWEEN TIMESTAMP '{T}' - INTERVAL 14 DAY AND TIMESTAMP '{T}' QUALIFY row_number() OVER (PARTITION BY station ORDER BY valid_time DESC, id DESC) = 1),
+      j AS (SELECT o.station, o.value, l.*, coalesce(action, minor, moderate, major) IS NULL AS bare, o.station % 5 <> 0 AS valid FROM o LEFT JOIN {LEVEL_ROWS_SQL} l ON l.point = o.station)
+      SELECT station, value, action, minor, moderate, major, CASE WHEN value IS NULL OR NOT valid OR bare THEN 'unknown' WHEN value >= major OR value >= moderate THEN 'flood' WHEN value >= minor THEN 'elevated' WHEN value >= action THEN 'watch' ELSE 'calm' END AS risk,
+        CASE WHEN value IS NULL THEN 'no_stage' WHEN NOT valid THEN 'thresholds_pending' WHEN bare THEN 'thresholds_empty' WHEN value >= major THEN 'above_major' WHEN value >= moderate THEN 'above_moderate' WHEN value >= minor THEN 'above_minor' WHEN value >= action THEN 'above_action' ELSE 'below_action' END AS reason FROM j""",
+)
+def l21_dated(t):
+    """Station risk by the levels in force and known at the time; a station without any is unknown and says so."""
+    from fluvion.catalog.joins import known
+
+    s = selection.newest(known(t, numbered=False), ["station"], [F.desc("valid_time"), F.desc("id")]).select("station", "value")
+    own = point_levels(t).drop("level_sources").withColumnRenamed("point", "station")
+    args = (F.col("value"), flood.level_columns(), F.col("station") % 5 != 0, F.lit("configured_pending"))
+    return s.join(own, "station", "left").select("station", "value", *flood.CATEGORIES, flood.prototype_risk(*args).alias("risk"), flood.prototype_reason(*args).alias("reason"))
+
+
 def prototype_readings(t):
     return t.lineitem().groupBy(F.col("l_suppkey").alias("station"), "day").agg(F.max("l_quantity").alias("value")).withColumn("mapping_confidence", F.lit("high"))
 
