@@ -138,8 +138,7 @@ def pixels(t):
         F.concat_ws(":", f, k).alias("pid"), ((f * 8 % 480) + k % 8 + F.lit(0.5)).alias("x"), (row * 2.5 + F.lit(0.25)).alias("y"),
         F.col("value").alias("elevation"), (F.lit(1) + row * 0.25).alias("area"),
     )
-    hit = joins.points_in_rings(p, rings(t), "pid", "ring_id", cell=8.0)
-    return hit.join(p.select("pid", "elevation", "area"), "pid").withColumnRenamed("ring_id", "basin")
+    return joins.points_in_rings(p, rings(t), "pid", "ring_id", cell=2.0, carry=("elevation", "area")).withColumnRenamed("ring_id", "basin")
 
 
 @query(

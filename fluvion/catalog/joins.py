@@ -230,7 +230,7 @@ def event_points(t):
       SELECT pid, ring_id FROM p JOIN v ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1""",
 )
 def d10(t):
-    return joins.points_in_rings(event_points(t), rings(t), "pid", "ring_id", cell=8.0)
+    return joins.points_in_rings(event_points(t), rings(t), "pid", "ring_id", cell=2.0)
 
 
 @query(

@@ -10,6 +10,8 @@ from fluvion.functions import geo
 from fluvion.functions.clocks import hours_between, plus_hours
 
 HOUR_US = 3_600_000_000
+#: edges of a ring that a point is tested against at once
+PACKET = 4
 
 
 def latest_at_grid(
@@ -106,12 +108,13 @@ def lookup(df: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
     return df.join(dim, on, "left")
 
 
-def points_in_rings(points: DataFrame, rings: DataFrame, point_id: str, ring_id: str, cell: float) -> DataFrame:
+def points_in_rings(points: DataFrame, rings: DataFrame, point_id: str, ring_id: str, cell: float, carry: Sequence[str] = ()) -> DataFrame:
     """(point, ring) pairs with the point inside, by even-odd crossing over all rings of one id (holes included).
 
-    Candidates meet on the grid cells of each ring's bounding box and must lie inside the box. Edges are dealt by
-    (ring, row of cells); a candidate meets only those of its own row, and crossings are counted by
-    partial aggregation. No row ever carries a whole ring but the input's own.
+    Edges are packed by (ring, row of cells), at most ``PACKET`` to a packet, and packets lie on the cells of the ring's
+    bounding box; a point meets those of its own cell and must lie inside the box. Where a packet holds all edges of its
+    row and an id has one point, the pair is decided where they meet and is shuffled no more; the others are counted by
+    (point, ring). No row ever carries a whole ring but the input's own. ``carry`` names columns of the points to go along.
     """
     c = lambda v: F.floor(v / cell).cast("int")
     nxt = lambda i: F.get("ring", F.pmod(i + 1, F.size("ring")))
@@ -119,18 +122,41 @@ def points_in_rings(points: DataFrame, rings: DataFrame, point_id: str, ring_id:
     # level edges are never crossed
     edges = rings.select(ring_id, F.explode(edge).alias("e")).select(ring_id, "e.*").filter("y1 <> y2")
     edges = edges.withColumn("_cy", F.explode(F.sequence(c(F.least("y1", "y2")), c(F.greatest("y1", "y2")))))
+    w = W.partitionBy(ring_id, "_cy")
+    number = F.floor((F.row_number().over(w.orderBy("x1", "y1", "x2", "y2")) - 1) / PACKET)
+    packed = edges.withColumns({"_k": number, "_alone": F.count(F.lit(1)).over(w) <= PACKET, "dx": F.col("x2") - F.col("x1"), "dy": F.col("y2") - F.col("y1"), "low": F.least("y1", "y2"), "high": F.greatest("y1", "y2")})
+    packed = packed.groupBy(ring_id, "_cy", "_k", "_alone").agg(F.collect_list(F.struct("x1", "y1", "dx", "dy", "low", "high")).alias("_edges")).drop("_k")
     bound = lambda f, axis: f(F.transform("ring", lambda p: p[axis]))
     boxes = rings.groupBy(ring_id).agg(
         F.min(bound(F.array_min, "x")).alias("x0"), F.max(bound(F.array_max, "x")).alias("x9"), F.min(bound(F.array_min, "y")).alias("y0"), F.max(bound(F.array_max, "y")).alias("y9")
     )
-    boxed = boxes.withColumn("_cx", F.explode(F.sequence(c(F.col("x0")), c(F.col("x9"))))).withColumn("_cy", F.explode(F.sequence(c(F.col("y0")), c(F.col("y9")))))
-    probes = points.select(point_id, "x", "y", c(F.col("x")).alias("_cx"), c(F.col("y")).alias("_cy"))
-    near = probes.join(boxed, ["_cx", "_cy"]).filter(F.col("x").between(F.col("x0"), F.col("x9")) & F.col("y").between(F.col("y0"), F.col("y9")))
-    crossed = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (
-        F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
-    )
-    hits = near.select(point_id, ring_id, "x", "y", "_cy").join(edges, [ring_id, "_cy"]).filter(crossed)
-    return hits.groupBy(point_id, ring_id).agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1").select(point_id, ring_id)
+    placed = boxes.join(packed, ring_id).withColumn("_cx", F.explode(F.sequence(c(F.col("x0")), c(F.col("x9")))))
+    # few rings lie in one partition, whose task would meet all points if these are broadcast
+    placed = placed.repartition("_cx", "_cy")
+
+    def crossed(i: int) -> Column:
+        # short on purpose: the code of all edges must stay small enough to be compiled
+        e = F.get("_edges", F.lit(i))
+        return F.when((e["low"] <= F.col("y")) & (F.col("y") < e["high"]) & (F.col("x") < e["dx"] * (F.col("y") - e["y1"]) / e["dy"] + e["x1"]), 1).otherwise(0)
+
+    def met(some: DataFrame, packets: DataFrame) -> DataFrame:
+        probes = some.withColumns({"_cx": c(F.col("x")), "_cy": c(F.col("y"))})
+        inside = F.col("x").between(F.col("x0"), F.col("x9")) & F.col("y").between(F.col("y0"), F.col("y9"))
+        return probes.join(packets, ["_cx", "_cy"]).filter(inside).withColumn("_n", sum((crossed(i) for i in range(1, PACKET)), crossed(0)))
+
+    carried = [x for x in carry if x not in ("x", "y")]
+    single = points.groupBy(point_id).agg(F.count(F.lit(1)).alias("_rows"), *[F.first(x).alias(x) for x in ("x", "y", *carried)])
+    once = single.filter("_rows = 1").drop("_rows")
+    repeated = single.filter("_rows > 1").select(F.col(point_id).alias("_id"))
+    again = points.select(point_id, "x", "y").join(repeated, F.col(point_id).eqNullSafe(F.col("_id")), "left_semi")
+    out = [point_id, ring_id, *carry]
+    direct = met(once, placed.filter("_alone")).filter("_n % 2 = 1").select(*out)
+    parts = met(once.select(point_id, "x", "y"), placed.filter("not _alone")).unionByName(met(again, placed))
+    counted = parts.groupBy(point_id, ring_id).agg(F.sum("_n").alias("_n")).filter("_n % 2 = 1").select(point_id, ring_id)
+    if carry:
+        beside = points.select(F.col(point_id).alias("_id"), *carry)
+        counted = counted.join(beside, F.col(point_id).eqNullSafe(F.col("_id")))
+    return direct.unionByName(counted.select(*out))
 
 
 def nearest_within(points: DataFrame, vertices: DataFrame, point_id: str, limit_m: float) -> DataFrame:
