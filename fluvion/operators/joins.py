@@ -12,6 +12,8 @@ from fluvion.functions.clocks import hours_between, plus_hours
 HOUR_US = 3_600_000_000
 #: edges of a ring that a point is tested against at once
 PACKET = 4
+#: parts of a grid cell, each way, in which segments too far to be nearest are left out
+FINE = 4
 
 
 def latest_at_grid(
@@ -200,18 +202,43 @@ def nearest_segment(points: DataFrame, segments: DataFrame, point_id: str, limit
     of grid cells are as high as the limit, columns at least as wide. A segment enters the cells of its pieces, each no longer
     than a cell, and of their neighbours; the distance is to the whole segment. Segments cross the date line by
     longitudes beyond 180.
+
+    Cells that hold points are cut ``FINE`` times each way. In such a part a segment is left out if, seen from the middle,
+    it is farther than the limit or than the nearest one by more than the part's extent allows any point in it.
     """
     dy = limit_m / geo.METRES_PER_DEGREE
-    row = lambda lat: F.floor(lat / dy).cast("long")
+    row = lambda lat: F.floor(F.floor(lat * FINE / dy) / FINE).cast("long")
 
     def columns(at: Column) -> Column:
         edge = F.least(F.greatest(F.abs(at - 1), F.abs(at + 2)) * dy, F.lit(90.0))
         return F.greatest(F.floor(F.cos(F.radians(edge)) * (360.0 / dy)), F.lit(1)).cast("long")
 
-    keep = ["lon1", "lat1", "lon2", "lat2", *([same] if same else [])]
+    def square(lon: Column, lat: Column, wide: Column) -> dict[str, Column]:
+        """The square of the distance in metres from a place to its row's segment, both ends on the place's side of the date line."""
+        side = 360.0 * F.round((lon - F.col("lon1")) / 360.0)
+        x1, y1 = (F.col("lon1") + side - lon) * wide, (F.col("lat1") - lat) * geo.METRES_PER_DEGREE
+        return {"_x": x1, "_y": y1, "_dx": (F.col("lon2") + side - lon) * wide - x1, "_dy": (F.col("lat2") - lat) * geo.METRES_PER_DEGREE - y1}
+
+    def measured(df: DataFrame, lon: Column, lat: Column, wide: Column) -> DataFrame:
+        length = F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")
+        part = F.when(length > 0, F.least(F.greatest(-(F.col("_x") * F.col("_dx") + F.col("_y") * F.col("_dy")) / length, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        px, py = F.col("_x") + F.col("_t") * F.col("_dx"), F.col("_y") + F.col("_t") * F.col("_dy")
+        return df.withColumns(square(lon, lat, wide)).withColumn("_t", part).withColumn("_d2", px * px + py * py).drop("_x", "_y", "_dx", "_dy", "_t")
+
+    by = [same] if same else []
+    keep = ["lon1", "lat1", "lon2", "lat2", *by]
+    fy = F.floor(F.col("lat") * FINE / dy).cast("long")
+    n_fine = columns(F.floor(F.col("_fy") / FINE).cast("long")) * FINE
+    probes = points.select(point_id, "lon", "lat", *by, geo.metres_per_degree_lon(F.col("lat")).alias("_wide"), fy.alias("_fy"))
+    probes = probes.withColumn("_fx", F.pmod(F.floor((F.col("lon") + 180.0) * n_fine / 360.0).cast("long"), n_fine))
+    asked = probes.select("_fx", "_fy", *by).distinct()
+    coarse = {"_cx": F.floor(F.col("_fx") / FINE).cast("long"), "_cy": F.floor(F.col("_fy") / FINE).cast("long")}
+
     # a degree of longitude is never longer than one of latitude, so steps by degrees are short enough
     n = F.greatest(F.ceil(F.greatest(F.abs(F.col("lon2") - F.col("lon1")), F.abs(F.col("lat2") - F.col("lat1"))) / dy), F.lit(1)).cast("int")
     pieces = segments.select(*keep).distinct().withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    # few segments lie in one partition; their pieces are spread over many before they are copied to cells
+    pieces = pieces.repartition("lon1", "lat1", "_i")
     on = lambda a, b, i: F.col(a) + (F.col(b) - F.col(a)) * i / F.col("_n")
     lon = [on("lon1", "lon2", F.col("_i") + k) for k in (0, 1)]
     lat = [on("lat1", "lat2", F.col("_i") + k) for k in (0, 1)]
@@ -220,18 +247,28 @@ def nearest_segment(points: DataFrame, segments: DataFrame, point_id: str, limit
     column = lambda x, n: F.floor((x + 180.0) * n / 360.0).cast("long")
     spread = placed.withColumn("_c", F.explode(F.sequence(column(F.col("_w"), F.col("_cols")) - 1, column(F.col("_e"), F.col("_cols")) + 1)))
     spread = spread.select(*keep, "_cy", F.pmod("_c", "_cols").alias("_cx")).distinct()
-    cy = row(F.col("lat"))
-    probes = points.select(point_id, "lon", "lat", *([same] if same else []), cy.alias("_cy"), F.pmod(column(F.col("lon"), columns(cy)), columns(cy)).alias("_cx"))
-    # both ends on the point's side of the date line, in metres from the point
-    side = 360.0 * F.round((F.col("lon") - F.col("lon1")) / 360.0)
-    wide = geo.metres_per_degree_lon(F.col("lat"))
-    x1, x2 = (F.col("lon1") + side - F.col("lon")) * wide, (F.col("lon2") + side - F.col("lon")) * wide
-    y1, y2 = ((F.col(c) - F.col("lat")) * geo.METRES_PER_DEGREE for c in ("lat1", "lat2"))
-    met = probes.join(spread, ["_cx", "_cy", *([same] if same else [])]).withColumns({"_x": x1, "_y": y1, "_dx": x2 - x1, "_dy": y2 - y1})
-    length = F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy")
-    part = F.when(length > 0, F.least(F.greatest(-(F.col("_x") * F.col("_dx") + F.col("_y") * F.col("_dy")) / length, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    met = met.withColumn("_t", part).withColumn("d_m", F.hypot(F.col("_x") + F.col("_t") * F.col("_dx"), F.col("_y") + F.col("_t") * F.col("_dy")))
-    near = met.filter(F.col("d_m") < limit_m).groupBy(point_id).agg(F.min("d_m").alias("d_m"))
+
+    # the parts of cells that are asked for, each with its middle, its extent and its widest and narrowest metre
+    deg = F.lit(360.0) / n_fine
+    south, north = F.col("_fy") * (dy / FINE), (F.col("_fy") + 1) * (dy / FINE)
+    wide = lambda at: geo.metres_per_degree_lon(F.least(at, F.lit(90.0)))
+    nearest = F.when((F.col("_fy") >= 0), south).otherwise(-north)
+    fine = asked.withColumns({**coarse, "_deg": deg, "_mid": (F.col("_fy") + 0.5) * (dy / FINE), "_most": wide(nearest), "_least": F.greatest(wide(nearest + dy / FINE), F.lit(0.0))})
+    fine = fine.withColumn("_lon", (F.col("_fx") + 0.5) * F.col("_deg") - 180.0).withColumn("_r", F.hypot(F.col("_deg") * F.col("_most"), F.lit(limit_m / FINE)) / 2 * (1 + 1e-9) + 1e-3)
+    seen = measured(spread.join(fine, ["_cx", "_cy", *by]), F.col("_lon"), F.col("_mid"), F.col("_most"))
+    # half the earth away points of one part may see a segment on either side: it stays
+    turn = F.abs(F.col("_lon") - F.col("lon1") - 360.0 * F.round((F.col("_lon") - F.col("lon1")) / 360.0))
+    seen = seen.withColumn("_far", F.when(turn < 180.0 - F.col("_deg"), F.sqrt("_d2")))
+    # no point of the part is nearer to the segment than _low or farther than _high; the generator keeps the filter from being
+    # pushed into the join, where it would spell out the whole formula many times in code too large to be compiled
+    bounds = F.struct(((F.col("_far") - F.col("_r")) * F.col("_least") / F.col("_most")).alias("_low"), (F.col("_far") + F.col("_r")).alias("_high"))
+    seen = seen.select(*keep, "_fx", "_fy", F.explode(F.array(bounds)).alias("_b")).select(*keep, "_fx", "_fy", "_b._low", "_b._high")
+    seen = seen.filter(F.col("_low").isNull() | (F.col("_low") < limit_m))
+    best = seen.groupBy("_fx", "_fy", *by).agg(F.min("_high").alias("_best"))
+    able = seen.join(best, ["_fx", "_fy", *by]).filter(F.col("_low").isNull() | F.col("_best").isNull() | (F.col("_low") <= F.col("_best"))).select(*keep, "_fx", "_fy").repartition("_fx", "_fy")
+
+    met = measured(probes.join(able, ["_fx", "_fy", *by]), F.col("lon"), F.col("lat"), F.col("_wide"))
+    near = met.groupBy(point_id).agg(F.sqrt(F.min("_d2")).alias("d_m")).filter(F.col("d_m") < limit_m)
     return points.join(near, point_id, "left")
 
 
