@@ -40,7 +40,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group stays, the one with the smallest doc_id; rows without one come last.
 
-    Near means a Jaccard similarity of five-word shingles of 0.8 or more; op3's four words and four bits bind op3 alone.
+    Near means a Jaccard similarity of five-word shingles of 0.8 or more, checked exactly. SimHash fingerprints over these shingles
+    propose what they link, min-hash bands the rest; op3's four words bind op3 alone.
     """
     found = nearcopies.near_copies(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))

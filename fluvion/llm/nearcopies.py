@@ -1,9 +1,10 @@
 """Near copies by the Jaccard similarity of word shingles, 0.8 or more.
 
-Candidates come from bands of min-hashes and every candidate is verified on the shingles of its whole text, so that
-no pair below the limit links. At similarity 0.8 two texts differ in about 10 of 64 SimHash bits (20 in the tail), a
-radius at which no index over 64 bits is selective; BANDS bands of ROWS min-hashes miss a pair at exactly 0.8
-with a chance of (1 - 0.8 ** 5) ** 40, about one in eight million.
+Candidates come from SimHash, by op3's fingerprints and multi-index hashing over this stage's shingles, and from bands of
+min-hashes; every candidate is verified on the shingles of its whole text, so that no pair below the limit links. Texts
+whose fingerprints are linked at 4 bits or fewer share a slot. At similarity 0.8 two texts differ in about 10 of 64 SimHash
+bits (20 in the tail), a radius at which no index over 64 bits is selective; BANDS bands of ROWS min-hashes add those
+and miss a pair at exactly 0.8 with a chance of (1 - 0.8 ** 5) ** 40, about one in eight million.
 
 Texts with equal shingle sets are one node. Slots that hold the same nodes as another one are left out. The nodes of a
 slot meet in one task with their shingles, where a matrix product counts what all pairs share, and the links found leave
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from fluvion.llm import simhash
 from fluvion.llm.common import staged, text_or_empty
 from fluvion.llm.graph import components
 from fluvion.llm.simhash import _stars
@@ -85,14 +87,15 @@ def _sketched(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from xxhash import xxh64_intdigest
 
     for part in parts:
-        nodes, sizes, slots = [], [], []
+        nodes, sizes, prints, slots = [], [], [], []
         for text in part.column(2):
             found = shingles(text.as_py())
             nodes.append(xxh64_intdigest(found.tobytes()))
             sizes.append(len(found))
+            prints.append(simhash.fingerprint(text.as_py(), WIDTH))
             slots.append(bands(found))
-        made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(slots, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["row", "doc_id", "node", "n", "slots"])
+        made = [pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(slots, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["row", "doc_id", "node", "n", "fp", "slots"])
 
 
 def _with_grams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,13 +224,23 @@ def links(nodes: DataFrame, grams_of: DataFrame, block: int = BLOCK, grams: int
     return stars.union(found)
 
 
+def with_simhash(nodes: DataFrame, distance: int = simhash.DISTANCE) -> DataFrame:
+    """The nodes (node, n, fp, slots), those whose fingerprints are linked within ``distance`` bits with one more slot in common."""
+    prints = nodes.where("n > 0").select("fp").distinct()
+    roots = staged(components(simhash.links(prints, distance)).select(F.col("node").alias("fp"), "root"), "simhash-roots")
+    slot = F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp"))
+    slots = F.when(F.col("n") > 0, F.concat("slots", F.array(slot))).otherwise(F.col("slots"))
+    return nodes.join(roots, "fp", "left").withColumn("slots", slots).drop("root")
+
+
 def near_copies(docs: DataFrame, block: int = BLOCK, grams: int = GRAMS) -> DataFrame:
     """(row, doc_id, root): the component of every row of ``docs``; ``row`` is its `row_key`."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(row_key().alias("row"), "doc_id", text_or_empty().alias("text"))
-    sketches = staged(rows.mapInArrow(_sketched, f"row bigint, doc_id {kind}, node bigint, n bigint, slots array<bigint>"), "sketches")
+    sketches = staged(rows.mapInArrow(_sketched, f"row bigint, doc_id {kind}, node bigint, n bigint, fp bigint, slots array<bigint>"), "sketches")
     # copies are one node from here on, put together map-side
-    nodes = staged(sketches.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("slots").alias("slots")), "nodes")
+    nodes = staged(sketches.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("slots").alias("slots")), "shapes")
+    nodes = staged(with_simhash(nodes), "nodes")
     # shingles may be wanted of nodes in a slot with others
     slots = nodes.select("node", "row", F.explode("slots").alias("slot"))
     crowded = slots.groupBy("slot").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("slot")

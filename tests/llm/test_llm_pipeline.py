@@ -89,6 +89,21 @@ def test_near_copies_in_blocks(spark, near_texts, block, grams):
     assert {x.doc_id: least[x.root] for x in found} == dict(enumerate(root + root[:30]))
 
 
+def test_texts_linked_by_simhash_share_a_slot(spark):
+    """Fingerprints within four bits, also by way of others, are candidates without any min-hash band; texts without words are not."""
+    prints = [0x5A5A5A5A5A5A5A5A, 0x5A5A5A5A5A5A5A5B, 0x5A5A5A5A5A5A5FAB, 0x1234567812345678, 0x1234567812345678, 0x0F0F0F0F0F0F0F0F, 0, 0]
+    rows = [(i, 0 if fp == 0 else 9, fp, []) for i, fp in enumerate(prints)]
+    found = nearcopies.with_simhash(spark.createDataFrame(rows, "node long, n long, fp long, slots array<long>")).collect()
+    slots = {x.node: x.slots for x in found}
+    assert len(found) == len(rows) and [len(slots[i]) for i in range(8)] == [1] * 6 + [0, 0]
+    least = {i: min(j for j in range(6) if slots[j] == slots[i]) for i in range(6)}
+    near = [[j for j in range(6) if (prints[i] ^ prints[j]).bit_count() <= 4] for i in range(6)]
+    root = list(range(6))
+    for _ in range(6):
+        root = [min(root[j] for j in near[i]) for i in range(6)]
+    assert least == dict(enumerate(root)) and least[1] == 0 and least[4] == 3
+
+
 def test_near_copies_of_no_rows(spark):
     assert nearcopies.near_copies(table(spark, [])).count() == 0
     assert [x.doc_id for x in nearcopies.near_copies(table(spark, ["a b"])).collect()] == [0]
