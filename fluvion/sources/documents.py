@@ -23,11 +23,20 @@ def catalog_directory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is worked out once per row, however many conditions and columns read it.
+
+    A plain column is copied into every condition on it, so a document would be parsed anew by each check; what a
+    generator gives is not.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def parse_json(docs: DataFrame, schema: str) -> DataFrame:
     """Add ``doc``; a payload that is not valid JSON of this shape is refused as malformed."""
     full = f"{schema}, _bad string"
     parsed = F.from_json("content", f"struct<{full}>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    df = docs.withColumn("doc", parsed)
+    df = once(docs, "doc", parsed)
     return df.withColumn("refusal", F.when(F.col("doc").isNull() | F.col("doc._bad").isNotNull(), F.lit("malformed")))
 
 

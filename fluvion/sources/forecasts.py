@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fluvion.functions.clocks import has_offset, parse_instant
 from fluvion.functions.values import number
-from fluvion.sources.documents import accepted, parse_json, refuse
+from fluvion.sources.documents import accepted, once, parse_json, refuse
 
 # Fixed values.
 SENTINEL = -9999.0
@@ -67,7 +67,7 @@ def ensembles(docs: DataFrame) -> DataFrame:
     An empty outer list is a valid answer and gives no groups; content that cannot be read gives one
     refused row without a group number. One row per group.
     """
-    parsed = docs.withColumn("groups", F.from_json("content", f"array<array<struct<{MEMBER}>>>"))
+    parsed = once(docs, "groups", F.from_json("content", f"array<array<struct<{MEMBER}>>>"))
     g = parsed.select("path", F.col("groups").isNull().alias("_unread"), F.posexplode_outer("groups").alias("group_no", "members"))
     g = g.filter("_unread or size(members) > 0").withColumn("refusal", F.when(F.col("_unread"), "malformed")).drop("_unread")
     step = F.transform("members", lambda m: m["time_step_multiplier"].try_cast("int"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fluvion.functions.clocks import has_offset, parse_instant
 from fluvion.functions.values import number, number_with_flag
-from fluvion.sources.documents import accepted, parse_json, refuse
+from fluvion.sources.documents import accepted, once, parse_json, refuse
 
 # Fixed values.
 PARAMETERS = {"00065": "stage", "00060": "flow"}
@@ -79,7 +79,7 @@ def daily_csv(docs: DataFrame) -> DataFrame:
     ``docs`` carries ``site``. Adds ``header`` (column positions) and ``refusal``.
     """
     lines = F.filter(F.split("content", r"\r?\n"), lambda x: (F.length(x) > 0) & ~x.startswith("#"))
-    df = docs.withColumn("lines", lines).withColumn("header", F.split(F.get("lines", F.lit(0)), ",")).withColumn("refusal", F.lit(None).cast("string"))
+    df = once(once(docs, "lines", lines), "header", F.split(F.get("lines", F.lit(0)), ",")).withColumn("refusal", F.lit(None).cast("string"))
     missing = F.lit(False)
     for c in DAILY_COLUMNS:
         missing = missing | ~F.array_contains("header", c)
@@ -91,7 +91,8 @@ def daily_csv(docs: DataFrame) -> DataFrame:
 
 def daily_rows(files: DataFrame) -> DataFrame:
     rows = accepted(files).select("site", "header", F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("pos", "line"))
-    cell = lambda name: F.get(F.split("line", ",", -1), F.array_position("header", F.lit(name)).cast("int") - 1)
+    rows = once(rows, "cells", F.split("line", ",", -1))
+    cell = lambda name: F.get("cells", F.array_position("header", F.lit(name)).cast("int") - 1)
     return rows.select(
         "site", "pos", F.to_date(cell("time")).alias("day"), F.nullif(F.trim(cell("value")), F.lit("")).alias("raw"), F.trim(cell("approval_status")).alias("approval")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fluvion.functions.clocks import has_offset, parse_instant, vtec_time
 from fluvion.functions.values import number
-from fluvion.sources.documents import accepted, parse_json, refuse
+from fluvion.sources.documents import accepted, once, parse_json, refuse
 
 # The line formats of the bulletins and listings.
 WMO_LINE = r"(?m)^([A-Z]{4}\d{2}) ([A-Z]{4}) (\d{6})(?: ([A-Z]{3}))?\s*$"
@@ -20,6 +20,7 @@ OBSERVED = r"\bthe (?:stage|flow) was (\d[\d,]*(?:\.\d+)?)\s+(?:feet|cfs)\b"
 MENTION = r"\b(?:to|of)\s+(?:a crest of\s+)?(\d[\d,]*(?:\.\d+)?)\s+(feet|cfs)\b"
 TRANSMISSION_END = "\x01"
 SEGMENT_END = r"(?m)^\s*\$\$\s*$"
+REST = r"(?s:(.*))"
 UNITS = {"feet": "ft", "cfs": "cfs"}
 STAMP = r"(\d{8}-\d{6})"
 NUMBER_TOKEN = r"\d[\d,]*(?:\.\d+)?"
@@ -40,22 +41,25 @@ def bulletins(docs: DataFrame) -> DataFrame:
     right below it, or with several hydrologic event lines in one segment."""
     chunks = F.filter(F.split("content", TRANSMISSION_END), lambda c: F.length(F.trim(c)) > 0)
     p = docs.select("path", F.posexplode(chunks).alias("product_no", "text")).withColumn("refusal", F.lit(None).cast("string"))
-    p = p.withColumn("text", F.regexp_replace("text", "[\r\x03]", "")).withColumn("wmo", F.nullif(F.regexp_extract("text", WMO_LINE, 3), F.lit("")))
-    below = F.get(F.split("text", WMO_LINE, 2), F.lit(1))
-    p = refuse(p, F.col("wmo").isNull(), "no_heading").withColumn("pil", F.nullif(F.regexp_extract(below, PRODUCT_LINE, 1), F.lit("")))
+    p = once(p, "text", F.replace(F.replace("text", F.lit("\r"), F.lit("")), F.lit("\x03"), F.lit("")))
+    p = once(p, "wmo", F.nullif(F.regexp_extract("text", WMO_LINE, 3), F.lit("")))
+    p = once(p, "pil", F.nullif(F.regexp_extract(F.regexp_extract("text", WMO_LINE + REST, 5), PRODUCT_LINE, 1), F.lit("")))
+    p = once(p, "parts", F.split("text", SEGMENT_END))
+    p = refuse(p, F.col("wmo").isNull(), "no_heading")
     p = refuse(p, F.col("pil").isNull(), "no_product_line")
-    # what stands before the first zone line belongs to no segment
-    bodies = F.transform(F.split("text", SEGMENT_END), lambda s: F.get(F.split(s, UGC_LINE, 2), F.lit(1)))
-    return refuse(p, F.exists(bodies, lambda s: F.coalesce(F.regexp_count(s, F.lit(HVTEC_LINE)), F.lit(0)) > 1), "several_event_lines")
+    # what stands before the first zone line belongs to no segment; it is looked for only where two event lines are
+    events = lambda s: F.coalesce(F.regexp_count(s, F.lit(HVTEC_LINE)), F.lit(0))
+    return refuse(p, F.exists("parts", lambda s: (events(s) > 1) & (events(F.regexp_extract(s, UGC_LINE + REST, 2)) > 1)), "several_event_lines")
 
 
 def segments(products: DataFrame) -> DataFrame:
     """Segments with all their event codes, flood level, observed value, the forecast bullet and its crest (largest number mentioned)."""
-    s = accepted(products).select("path", "product_no", "wmo", "pil", F.posexplode(F.split("text", SEGMENT_END)).alias("segment_no", "body"))
-    s = s.withColumn("ugc", F.nullif(F.regexp_extract("body", UGC_LINE, 1), F.lit(""))).filter(F.col("ugc").isNotNull())
-    h = lambda i: F.nullif(F.regexp_extract("body", HVTEC_LINE, i), F.lit(""))
-    bullet = F.nullif(F.regexp_extract("body", FORECAST_BULLET, 1), F.lit(""))
-    s = s.withColumn("forecast_text", bullet).withColumn("mentions", mention_values(F.coalesce(F.col("forecast_text"), F.lit(""))))
+    s = accepted(products).select("path", "product_no", "wmo", "pil", F.posexplode("parts").alias("segment_no", "body"))
+    s = once(s, "ugc", F.nullif(F.regexp_extract("body", UGC_LINE, 1), F.lit(""))).filter(F.col("ugc").isNotNull())
+    s = once(s, "event", F.split(F.regexp_extract("body", HVTEC_LINE, 0), r"\."))
+    h = lambda i: F.nullif(F.substring(F.get("event", F.lit(0)), 2, 5), F.lit("")) if i == 1 else F.get("event", F.lit(i - 1))
+    s = once(s, "forecast_text", F.nullif(F.regexp_extract("body", FORECAST_BULLET, 1), F.lit("")))
+    s = once(s, "mentions", mention_values(F.coalesce(F.col("forecast_text"), F.lit(""))))
     first = lambda pattern: number_token(F.nullif(F.regexp_extract("body", pattern, 1), F.lit("")))
     actions = F.regexp_extract_all("body", F.lit(PVTEC_LINE), F.lit(1))
     return s.select(
@@ -87,7 +91,7 @@ RESERVOIR = "SiteData struct<_id: string, observedValue: array<struct<_petype: s
 
 def reservoir_xml(docs: DataFrame) -> DataFrame:
     """Reservoir readings; ``docs`` carries the asked ``lid`` and ``pe``. One refusal per document."""
-    df = docs.withColumn("x", F.from_xml("content", RESERVOIR)).withColumn("refusal", F.lit(None).cast("string"))
+    df = once(docs, "x", F.from_xml("content", RESERVOIR)).withColumn("refusal", F.lit(None).cast("string"))
     rows = F.col("x.SiteData.observedValue")
     df = refuse(df, F.col("x.SiteData").isNull(), "no_site")
     df = refuse(df, ~F.col("x.SiteData._id").eqNullSafe(F.col("lid")), "wrong_site")
@@ -108,7 +112,7 @@ LISTING = "Contents: array<struct<Key: string, LastModified: string, Size: bigin
 
 def listing_pages(docs: DataFrame) -> DataFrame:
     """Parsed listing pages; content that is not a listing, or holds an object without a key, is refused. A page may be empty."""
-    parsed = docs.withColumn("page", F.from_xml("content", f"struct<{LISTING}>")).withColumn("refusal", F.lit(None).cast("string"))
+    parsed = once(docs, "page", F.from_xml("content", f"struct<{LISTING}>")).withColumn("refusal", F.lit(None).cast("string"))
     shaped = F.coalesce(F.col("content").rlike(r"(?s)<ListBucketResult\b.*(?:</ListBucketResult>|/>)\s*\z"), F.lit(False))
     parsed = refuse(parsed, F.col("page").isNull() | ~shaped, "malformed")
     return refuse(parsed, F.exists("page.Contents", lambda o: o["Key"].isNull()), "missing_key")
