@@ -12,6 +12,8 @@ from fluvion.functions import clocks
 # Official levels used for every variable.
 LEVELS = {"action": 50.0, "minor": 100.0, "moderate": 200.0, "major": 400.0}
 HOURS = "interval 1 hour"
+# forecast values a task sorts and groups
+TASK_VALUES = 500_000
 
 
 def hours(n: Column) -> Column:
@@ -111,14 +113,23 @@ class Tables:
             F.col("l_quantity").alias("stage"),
         )
 
-    def run_values(self, runs: DataFrame | None = None) -> DataFrame:
+    def dealt_values(self) -> DataFrame:
+        """Forecast values dealt by run, so many to a task however large the table is; a small table is left to Spark.
+
+        The number of rows comes from the footers of the files. Joins and groups on the run need no other shuffle.
+        """
+        values = self.forecast_values()
+        tasks = -(-self.read("lineitem").count() // TASK_VALUES)
+        return values.repartition(tasks, "run_id") if tasks > self.spark.sparkContext.defaultParallelism else values
+
+    def run_values(self, runs: DataFrame | None = None, most: bool = False) -> DataFrame:
         """Values with their run header: one shuffle join on the run key (AQE splits skewed runs).
 
-        With ``runs``, chosen from the headers alone, only their values are joined.
+        With ``runs``, chosen from the headers alone, only their values are joined; ``most`` says that these are most of all.
         """
         return (
             (self.forecast_runs() if runs is None else runs)
-            .join(self.forecast_values(), "run_id")
+            .join(self.dealt_values() if runs is None or most else self.forecast_values(), "run_id")
             .withColumn("valid_time", F.col("issued_at") + hours(F.col("lead") * 6))
         )
 
