@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from fluvion.catalog.registry import query
 from fluvion.catalog.replay import evaluated
 from fluvion.catalog.series import windows
-from fluvion.catalog.surfaces import BAND_SQL, susceptibility_rows
+from fluvion.catalog.surfaces import BAND_SQL, s_daily, susceptibility_rows
 from fluvion.catalog.writes import member_points
 from fluvion.functions.arrays import ESTIMATORS, register_estimator
 from fluvion.operators import hydrograph, trend
@@ -46,5 +46,6 @@ def k3(t):
     f"""SELECT m AS method, band, count(*) AS n FROM (SELECT CASE WHEN reason = 'ok' THEN {BAND_SQL('p')} ELSE 'unknown' END AS band FROM b_susc), (VALUES ('susceptibility@0.1.0'), ('susceptibility@0.2.0')) AS v(m) GROUP BY ALL""",
 )
 def k4(t):
-    both = susceptibility_rows(t, "0.1.0").select("method", "band").unionByName(susceptibility_rows(t, "0.2.0").select("method", "band"))
+    days = s_daily(t)
+    both = susceptibility_rows(t, "0.1.0", days).select("method", "band").unionByName(susceptibility_rows(t, "0.2.0", days).select("method", "band"))
     return both.groupBy("method", "band").agg(F.count(F.lit(1)).alias("n"))

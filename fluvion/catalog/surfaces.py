@@ -148,9 +148,11 @@ BINDINGS["b_susc"] = f"""SELECT site, day, value, p, n, doy, CASE WHEN age_h > 4
   FROM (SELECT DISTINCT site, day, doy, value FROM b_swin QUALIFY day = max(day) OVER (PARTITION BY site)) a LEFT JOIN b_slad l ON l.site = a.site AND l.key = a.doy)"""
 
 
-def s_daily(t):
+def s_daily(t, sites=None):
+    """Daily means known at the time; with ``sites`` (site) only theirs, left out before anything is shuffled."""
     cut = F.lit(S_T).cast("timestamp").cast("date")
-    return staged(t.daily_key(t.daily_means(None).filter(F.col("day") < cut)), "daily")
+    means = t.daily_means(None).filter(F.col("day") < cut)
+    return staged(t.daily_key(means if sites is None else means.join(sites, "site", "left_semi")), "daily")
 
 
 def ceilings(t):
@@ -159,8 +161,8 @@ def ceilings(t):
     return t.stations().select(F.col("station").alias("site"), raw.alias("ceiling"))
 
 
-def susceptibility_rows(t, version="0.2.0"):
-    return susceptibility.assess(s_daily(t), F.lit(S_T).cast("timestamp"), ceilings(t), 86400, 14400, version)
+def susceptibility_rows(t, version="0.2.0", days=None):
+    return susceptibility.assess(s_daily(t) if days is None else days, F.lit(S_T).cast("timestamp"), ceilings(t), 86400, 14400, version)
 
 
 S_BASE = f"""s.site, CAST(s.day AS VARCHAR) AS day, round(CASE WHEN s.reason = 'ok' THEN s.value END, 6) AS value, CASE WHEN s.reason = 'ok' THEN p END AS percentile, CASE WHEN s.reason = 'ok' THEN {BAND_SQL('p')} ELSE 'unknown' END AS band,
@@ -350,7 +352,7 @@ BASIN_SQL = f"""SELECT n.n_nationkey AS basin, n.n_name AS basin_name, coalesce(
       AND (ends IS NOT NULL OR expires IS NOT NULL OR sent >= TIMESTAMP '2024-01-04 00:00:00') AND alert_id NOT IN (SELECT reference FROM b_alert WHERE reference IS NOT NULL AND available_at <= TIMESTAMP '2024-01-06 00:00:00')) a JOIN (SELECT printf('WAC%03d', n_nationkey) AS zone, n_nationkey AS basin FROM nation) z ON z.zone IN (a.ugc1, a.ugc2) GROUP BY z.basin) l ON l.basin = n.n_nationkey"""
 
 
-def basin_states(t):
+def basin_states(t, points=None):
     from fluvion.catalog.aggregates import basin_hours
 
     zones = t.basins().select(F.format_string("WAC%03d", "basin").alias("zone"), F.col("basin").cast("long").alias("basin"))
@@ -358,7 +360,9 @@ def basin_states(t):
     routed = alerts.route(active, zones).select("alert_id", F.explode("basins").alias("basin"))
     rain = precipitation.trailing_totals(basin_hours(t), "basin").filter("window_h = 72")
     dims = t.basins().select(F.col("basin").cast("long").alias("basin"), "basin_name", (F.col("basin") % 6).cast("long").alias("rain_basin"))
-    return basin_plan.basin_state(dims, susceptibility_rows(t, "0.1.0"), forcing_rows(t), point_states(t), agreement_rows(t), rain, routed)
+    # a basin asks for the gauge of its own number
+    days = s_daily(t, dims.select(F.col("basin").alias("site")))
+    return basin_plan.basin_state(dims, susceptibility_rows(t, "0.1.0", days), forcing_rows(t), point_states(t) if points is None else points, agreement_rows(t), rain, routed)
 
 
 @query("L2_basin_state", BASIN_SQL)
@@ -388,8 +392,9 @@ def l2_drivers(t):
 
 @query("L24_scene_summary", f"SELECT b.basin, b.basin_name, b.susceptibility, b.hazard, count(p.point) AS n_points, max(p.value) AS highest FROM ({BASIN_SQL}) b LEFT JOIN customer c ON c.c_nationkey = b.basin LEFT JOIN b_point p ON p.point = c.c_custkey GROUP BY ALL")
 def l24(t):
-    rivers = point_states(t).select(F.col("point").alias("fp"), "value").join(t.points(), "fp").groupBy(F.col("basin").cast("long").alias("basin")).agg(F.count(F.lit(1)).alias("n_points"), F.max("value").alias("highest"))
-    return basin_plan.scene(basin_states(t), rivers)
+    points = staged(point_states(t), "point-states")
+    rivers = points.select(F.col("point").alias("fp"), "value").join(t.points(), "fp").groupBy(F.col("basin").cast("long").alias("basin")).agg(F.count(F.lit(1)).alias("n_points"), F.max("value").alias("highest"))
+    return basin_plan.scene(basin_states(t, points), rivers)
 
 
 @query(
@@ -609,7 +614,7 @@ def l18(t):
     retained = t.forecast_runs().select("run_id", "fp", "issued_at")
     stored = retained.filter("run_id % 3 = 0").select("run_id")
     missing = retained.join(stored, "run_id", "left_anti")
-    series = t.run_values(missing).groupBy("run_id", F.col("valid_time").alias("t")).agg(F.max("flow").alias("v"))
+    series = t.run_values(missing, most=True).groupBy("run_id", F.col("valid_time").alias("t")).agg(F.max("flow").alias("v"))
     enc = hydrograph.encode(series, ["run_id"]).select("run_id", "encoding")
     return revisions.link_supersession(missing.join(enc, "run_id"), ["fp"]).select("run_id", "fp", "encoding", "supersedes")
 

@@ -49,10 +49,14 @@ def site_windows(daily: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Window copies of the days; with ``keys`` (site, key) only those of the windows asked for.
 
     The copies are made map-side after the daily mean and dealt by (site, key), so a site's record is
-    spread over its 366 windows and never meets in one task.
+    spread over its 366 windows and never meets in one task. Asked windows are known before the copies are made: a day is
+    copied only into those of them that contain it, and the others are never written.
     """
-    copies = doy_windows(daily, window_days=WINDOW_DAYS)
-    return copies if keys is None else copies.join(keys.select("site", "key"), ["site", "key"], "left_semi")
+    if keys is None:
+        return doy_windows(daily, window_days=WINDOW_DAYS)
+    asked = keys.groupBy("site").agg(F.collect_set("key").alias("_asked"))
+    met = daily.join(asked, "site").withColumn("key", F.explode(F.array_intersect(neighbour_indices(F.col("doy"), WINDOW_DAYS), F.col("_asked"))))
+    return met.drop("_asked")
 
 
 def ladder(daily: DataFrame, keys: DataFrame | None = None) -> DataFrame:
