@@ -14,6 +14,7 @@ from, every text is ``und``. Ties go to the first language in order of name. Who
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +26,8 @@ DIM, N = 2048, 3
 #: cosines of unrelated vectors of signs spread by 1 / sqrt(DIM) around 0; a score under three of that is noise
 NOISE = 3 / DIM**0.5
 _BATCH_CHARS = 1 << 20
+#: n-grams whose vectors are held at once
+_GRAMS = 1024
 _SPACE = 32
 
 
@@ -64,6 +67,13 @@ def gram_vectors(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def _let_go() -> None:
+    """A worker that has packed before still holds a tokenizer and its words; they make room."""
+    packing = sys.modules.get("fluvion.llm.packing")
+    if packing is not None:
+        packing.tokens.cache_clear()
+
+
 def _merged(found: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of several lists with the sums of their counts."""
     keys, at = np.unique(np.concatenate(found), return_inverse=True)
@@ -72,6 +82,7 @@ def _merged(found: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, n
 
 def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """N-gram counts per language of a partition; the texts' n-grams are held for a bounded number of characters."""
+    _let_go()
     known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     held: dict[str, list[np.ndarray]] = {}
 
@@ -101,11 +112,11 @@ def _bundle(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         langs = np.array(part.column(0).to_pylist(), object)
         found, n = part.column(1).to_numpy(), part.column(2).to_numpy()
-        for at in range(0, len(found), 2048):
-            vectors = gram_vectors(found[at : at + 2048]).astype(np.float64)
-            for lang in set(langs[at : at + 2048]):
-                mine = langs[at : at + 2048] == lang
-                sums[lang] = sums.get(lang, 0) + n[at : at + 2048][mine] @ vectors[mine]
+        for at in range(0, len(found), _GRAMS):
+            vectors = gram_vectors(found[at : at + _GRAMS]).astype(np.float64)
+            for lang in set(langs[at : at + _GRAMS]):
+                mine = langs[at : at + _GRAMS] == lang
+                sums[lang] = sums.get(lang, 0) + np.where(mine, n[at : at + _GRAMS], 0) @ vectors
     for lang, total in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(total)], ["lang", "at", "x"])
 
@@ -135,11 +146,13 @@ def _predict(langs: list[str], profile: np.ndarray):
         row = np.repeat(np.arange(len(rows)), [len(g) for g, _ in each])
         bundle = np.zeros((len(rows), DIM), np.float32)
         n = np.concatenate([c for _, c in each])
-        for lo in range(0, len(found), 4096):
-            mine = (at >= lo) & (at < lo + 4096)
-            counts = np.zeros((len(rows), min(4096, len(found) - lo)), np.float32)
-            counts[row[mine], at[mine] - lo] = n[mine]
-            bundle += counts @ gram_vectors(found[lo : lo + 4096])
+        order = np.argsort(at)
+        row, at, n = row[order], at[order], n[order]
+        for lo in range(0, len(found), _GRAMS):
+            a, b = np.searchsorted(at, (lo, lo + _GRAMS))
+            counts = np.zeros((len(rows), min(_GRAMS, len(found) - lo)), np.float32)
+            counts[row[a:b], at[a:b] - lo] = n[a:b]
+            bundle += counts @ gram_vectors(found[lo : lo + _GRAMS])
         wide = bundle.astype(np.float64)
         cosines = (wide @ profile) / np.maximum(np.linalg.norm(wide, axis=1, keepdims=True), 1e-300)
         best = cosines.argmax(axis=1)
@@ -148,6 +161,7 @@ def _predict(langs: list[str], profile: np.ndarray):
         return names, scores
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _let_go()
         for part in parts:
             lo = 0
             texts = part.column(part.num_columns - 1)
