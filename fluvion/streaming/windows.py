@@ -14,6 +14,8 @@ from fluvion.operators import trend
 
 # Fixed values.
 DEGRADED_CADENCES = 4
+# part of a checkpoint: another number needs a new one
+KEY_GROUPS = 1024
 
 
 def hourly(stream: DataFrame, scope: str, instant: str, value: str, lateness: str) -> DataFrame:
@@ -67,34 +69,49 @@ def sustained_rises(stream: DataFrame, scope: str, gap: str = "16 minutes", mini
 
 
 STALE_OUTPUT = "key string, state string, since timestamp, last_seen timestamp"
-STALE_STATE = "last_us long, announced int"
+STALE_STATE = "key array<string>, last_us array<long>, announced array<int>, timer_ms array<long>"
 
 
 def staleness(stream: DataFrame, key: str, instant: str, cadence_s: int, grace_s: int, lateness: str) -> DataFrame:
     """Announce a silent key: stale after cadence + grace, degraded after four cadences.
 
-    Event-time timers fire without new data of the key. The function only keeps the newest instant
-    and streams over the batch frames, so a key with many rows costs no memory.
+    Event-time timers fire without new data of the key. Keys are dealt into `KEY_GROUPS` groups; a call of Python serves a
+    group, whose state holds newest instant, step and timer of each of its keys and whose timer is the first of theirs. Calls are
+    thereby bounded by groups and batches, not by keys. The function streams over the batch frames, so a key with many
+    rows costs no memory.
     """
     stale_us, degraded_us = (cadence_s + grace_s) * 1_000_000, cadence_s * DEGRADED_CADENCES * 1_000_000
     steps = sorted([("stale", stale_us), ("degraded", degraded_us)], key=lambda s: s[1])
 
-    def follow(k: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, announced = state.get if state.exists else (0, 0)
-        if state.hasTimedOut:
-            name, after = steps[announced]
-            yield pd.DataFrame({
-                "key": [str(k[0])], "state": [name], "since": [pd.Timestamp((last + after), unit="us")], "last_seen": [pd.Timestamp(last, unit="us")]
-            })
-            announced += 1
-        else:
-            newest = max((int(f["us"].max()) for f in frames), default=last)
-            if newest > last:
-                last, announced = newest, 0
-        state.update((last, announced))
-        if announced < len(steps):
-            due_ms = (last + steps[announced][1]) // 1000
-            state.setTimeoutTimestamp(max(due_ms, state.getCurrentWatermarkMs() + 1))
+    def follow(group: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        watermark = state.getCurrentWatermarkMs()
+        known = {k: of for k, *of in zip(*state.get, strict=True)} if state.exists else {}
+        newest: dict[str | None, int] = {}
+        for f in () if state.hasTimedOut else frames:
+            for k, us in f.groupby("key", dropna=False)["us"].max().dropna().astype("int64").items():
+                k = k if isinstance(k, str) else None
+                newest[k] = max(us, newest.get(k, us))
+
+        def wait(k: str | None, last: int, announced: int) -> None:
+            # a timer that is due already fires in a later batch
+            timer = max((last + steps[announced][1]) // 1000, watermark + 1) if announced < len(steps) else None
+            known[k] = [last, announced, timer]
+
+        # a key with rows in this batch is heard before its timer is looked at
+        due = [(k, last, announced) for k, (last, announced, timer) in known.items() if timer is not None and timer < watermark and k not in newest]
+        for k, last, announced in due:
+            wait(k, last, announced + 1)
+        for k, us in newest.items():
+            last, announced, _ = known.get(k, (0, 0, None))
+            wait(k, *((us, 0) if us > last else (last, announced)))
+        if due:
+            told = pd.DataFrame([(str(k), steps[n][0], last + steps[n][1], last) for k, last, n in due], columns=["key", "state", "since", "last_seen"])
+            yield told.astype({"since": "datetime64[us]", "last_seen": "datetime64[us]"})
+        if known:
+            state.update(tuple([*column] for column in zip(*([k, *of] for k, of in known.items()), strict=True)))
+        if timers := [timer for _, _, timer in known.values() if timer is not None]:
+            state.setTimeoutTimestamp(min(timers))
 
     keyed = stream.withWatermark(instant, lateness).select(F.col(key).cast("string").alias("key"), instant, F.unix_micros(instant).alias("us"))
-    return keyed.groupBy("key").applyInPandasWithState(follow, STALE_OUTPUT, STALE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    grouped = keyed.withColumn("key_group", F.pmod(F.xxhash64("key"), F.lit(KEY_GROUPS)).cast("int"))
+    return grouped.groupBy("key_group").applyInPandasWithState(follow, STALE_OUTPUT, STALE_STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -1,6 +1,7 @@
 """Documents from disk, refusals, and streams against their batch answers."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -119,3 +120,32 @@ def test_silent_station_is_announced_by_timer(spark, tmp_path):
     ingest.run_to_table(windows.staleness(s, "station", "ts", 3600, 3600, "0 seconds"), str(tmp_path / "cp"), str(tmp_path / "out"))
     got = {(r.key, r.state) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert ("a", "stale") in got and ("a", "degraded") in got
+
+
+def test_stations_share_states_and_keep_their_own_timers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(windows, "KEY_GROUPS", 3, raising=False)
+    r, t0, at, batches = random.Random(1), datetime(2024, 1, 1), 0, []
+    for _ in range(8):
+        at += r.choice([0, 1, 2, 4])
+        # whole hours, so that timers also fall on the watermark itself; no reading is behind it
+        batches.append([(r.choice([None, "None", *"abcdefgh"]), t0 + timedelta(hours=at - r.choice([0, 0, 1, 2]))) for _ in range(r.choice([2, 4, 6]))])
+        spark.createDataFrame(batches[-1], "station string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    # what a timer for each station does, batch by batch and once more without rows
+    steps, tick, mark = [("stale", timedelta(hours=2)), ("degraded", timedelta(hours=4))], timedelta(milliseconds=1), datetime(1970, 1, 1)
+    known, want = {}, []
+    for rows in [*batches, []]:
+        heard = {k: max(t for x, t in rows if x == k) for k, _ in rows}
+        for k, (last, n, timer) in list(known.items()):
+            if k not in heard and n < 2 and timer < mark:
+                want.append((str(k), steps[n][0], last + steps[n][1], last))
+                known[k] = (last, n + 1, max(last + steps[n + 1][1], mark + tick) if n == 0 else None)
+        for k, t in heard.items():
+            last, n, _ = known.get(k, (datetime(1970, 1, 1), 0, None))
+            last, n = (t, 0) if t > last else (last, n)
+            known[k] = (last, n, max(last + steps[n][1], mark + tick) if n < 2 else None)
+        mark = max([mark, *(t - timedelta(hours=2) for _, t in rows)])
+    s = ingest.open_stream(spark, str(tmp_path / "in"), "station string, ts timestamp", 1)
+    q = ingest.run_to_table(windows.staleness(s, "station", "ts", 3600, 3600, "2 hours"), str(tmp_path / "cp"), str(tmp_path / "out"))
+    got = [tuple(x) for x in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == sorted(want) and len(want) == 12
+    assert len(known) > 6 and q.lastProgress.stateOperators[0].numRowsTotal <= 3
