@@ -131,14 +131,17 @@ QUAD_SQL = f"""(SELECT ring_id, e, cx + [-9.5, 8.0, 11.0, -4.0][e + 1] AS x1, cy
 INSIDE_SQL = f"(SELECT ring_id AS basin, pid, any_value(elevation) AS elevation, any_value(area) AS area FROM {PIX_SQL} p JOIN {QUAD_SQL} v ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1)"
 
 
-def pixels(t):
+def pixels(t, origin_m=0.0, top_m=300.0, basins=None):
+    """Parcels of each basin's pixels, by elevation slot; with ``basins`` (ring_id) only theirs."""
     f, k = F.col("field"), F.col("flat_index")
     row = F.floor(k / 8)
     p = t.grid_cells().select(
         F.concat_ws(":", f, k).alias("pid"), ((f * 8 % 480) + k % 8 + F.lit(0.5)).alias("x"), (row * 2.5 + F.lit(0.25)).alias("y"),
         F.col("value").alias("elevation"), (F.lit(1) + row * 0.25).alias("area"),
     )
-    return joins.points_in_rings(p, rings(t), "pid", "ring_id", cell=2.0, carry=("elevation", "area")).withColumnRenamed("ring_id", "basin")
+    r = rings(t) if basins is None else rings(t).join(basins, "ring_id", "left_semi")
+    p = rasters.binned(p, origin_m, top_m)
+    return joins.points_in_rings(p, r, "pid", "ring_id", cell=2.0, carry=("slot", *rasters.PARCEL), merged=rasters.PARCEL).withColumnRenamed("ring_id", "basin")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -12,6 +12,8 @@ from fluvion.functions.clocks import hours_between, plus_hours
 HOUR_US = 3_600_000_000
 #: edges of a ring that a point is tested against at once
 PACKET = 4
+#: blocks of points that are merged: cuts of a grid cell each way (a power of two), points of a block, and what marks a block that an edge may divide
+CUTS, BLOCK, DIVIDED = 8, 2048, 1000
 #: parts of a grid cell, each way, in which segments too far to be nearest are left out
 FINE = 4
 
@@ -110,13 +112,21 @@ def lookup(df: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
     return df.join(dim, on, "left")
 
 
-def points_in_rings(points: DataFrame, rings: DataFrame, point_id: str, ring_id: str, cell: float, carry: Sequence[str] = ()) -> DataFrame:
+def points_in_rings(
+    points: DataFrame, rings: DataFrame, point_id: str, ring_id: str, cell: float, carry: Sequence[str] = (), merged: Mapping[str, Callable[[str], Column]] | None = None
+) -> DataFrame:
     """(point, ring) pairs with the point inside, by even-odd crossing over all rings of one id (holes included).
 
     Edges are packed by (ring, row of cells), at most ``PACKET`` to a packet, and packets lie on the cells of the ring's
     bounding box; a point meets those of its own cell and must lie inside the box. Where a packet holds all edges of its
     row and an id has one point, the pair is decided where they meet and is shuffled no more; the others are counted by
     (point, ring). No row ever carries a whole ring but the input's own. ``carry`` names columns of the points to go along.
+
+    ``merged`` asks for what the pairs add up to instead: it names the sum, least or greatest of carried columns (doubles or longs), and
+    the result has a row per ring and value of the other carried columns. Points then meet a packet as blocks, each with its extent
+    and with the aggregates of its points: a block that no edge divides is inside or outside as a whole, and the points of the others are tested one by one.
+
+    Tables of points may be far larger than their files tell (cells are unpacked from arrays), so joins with them are by merge, not broadcast.
     """
     c = lambda v: F.floor(v / cell).cast("int")
     nxt = lambda i: F.get("ring", F.pmod(i + 1, F.size("ring")))
@@ -132,33 +142,82 @@ def points_in_rings(points: DataFrame, rings: DataFrame, point_id: str, ring_id:
     boxes = rings.groupBy(ring_id).agg(
         F.min(bound(F.array_min, "x")).alias("x0"), F.max(bound(F.array_max, "x")).alias("x9"), F.min(bound(F.array_min, "y")).alias("y0"), F.max(bound(F.array_max, "y")).alias("y9")
     )
-    placed = boxes.join(packed, ring_id).withColumn("_cx", F.explode(F.sequence(c(F.col("x0")), c(F.col("x9")))))
+    placed = boxes.hint("merge").join(packed, ring_id).withColumn("_cx", F.explode(F.sequence(c(F.col("x0")), c(F.col("x9")))))
     # few rings lie in one partition, whose task would meet all points if these are broadcast
     placed = placed.repartition("_cx", "_cy")
+    inside = F.col("x").between(F.col("x0"), F.col("x9")) & F.col("y").between(F.col("y0"), F.col("y9"))
 
     def crossed(i: int) -> Column:
         # short on purpose: the code of all edges must stay small enough to be compiled
         e = F.get("_edges", F.lit(i))
         return F.when((e["low"] <= F.col("y")) & (F.col("y") < e["high"]) & (F.col("x") < e["dx"] * (F.col("y") - e["y1"]) / e["dy"] + e["x1"]), 1).otherwise(0)
 
+    crossings = sum((crossed(i) for i in range(1, PACKET)), crossed(0))
+
     def met(some: DataFrame, packets: DataFrame) -> DataFrame:
         probes = some.withColumns({"_cx": c(F.col("x")), "_cy": c(F.col("y"))})
-        inside = F.col("x").between(F.col("x0"), F.col("x9")) & F.col("y").between(F.col("y0"), F.col("y9"))
-        return probes.join(packets, ["_cx", "_cy"]).filter(inside).withColumn("_n", sum((crossed(i) for i in range(1, PACKET)), crossed(0)))
+        return probes.hint("merge").join(packets, ["_cx", "_cy"]).filter(inside).withColumn("_n", crossings)
 
     carried = [x for x in carry if x not in ("x", "y")]
     single = points.groupBy(point_id).agg(F.count(F.lit(1)).alias("_rows"), *[F.first(x).alias(x) for x in ("x", "y", *carried)])
     once = single.filter("_rows = 1").drop("_rows")
     repeated = single.filter("_rows > 1").select(F.col(point_id).alias("_id"))
-    again = points.select(point_id, "x", "y").join(repeated, F.col(point_id).eqNullSafe(F.col("_id")), "left_semi")
-    out = [point_id, ring_id, *carry]
-    direct = met(once, placed.filter("_alone")).filter("_n % 2 = 1").select(*out)
+    again = points.select(point_id, "x", "y").join(repeated.hint("merge"), F.col(point_id).eqNullSafe(F.col("_id")), "left_semi")
+    out = [ring_id, *carry] if merged else [point_id, ring_id, *carry]
+    whole = placed.filter("_alone")
+    direct = _merged_blocks(once, whole, point_id, ring_id, cell, carry, merged, inside, crossings) if merged else met(once, whole).filter("_n % 2 = 1").select(*out)
     parts = met(once.select(point_id, "x", "y"), placed.filter("not _alone")).unionByName(met(again, placed))
     counted = parts.groupBy(point_id, ring_id).agg(F.sum("_n").alias("_n")).filter("_n % 2 = 1").select(point_id, ring_id)
     if carry:
         beside = points.select(F.col(point_id).alias("_id"), *carry)
-        counted = counted.join(beside, F.col(point_id).eqNullSafe(F.col("_id")))
-    return direct.unionByName(counted.select(*out))
+        counted = counted.join(beside.hint("merge"), F.col(point_id).eqNullSafe(F.col("_id")))
+    found = direct.unionByName(counted.select(*out))
+    return _merge(found, [ring_id, *[x for x in carry if x not in merged]], merged) if merged else found
+
+
+def _merge(rows: DataFrame, keys: Sequence[str], merged: Mapping[str, Callable[[str], Column]], *more: Column) -> DataFrame:
+    return rows.groupBy(*keys).agg(*[f(x).alias(x) for x, f in merged.items()], *more)
+
+
+def _merged_blocks(
+    points: DataFrame, packets: DataFrame, point_id: str, ring_id: str, cell: float, carry: Sequence[str], merged: Mapping[str, Callable[[str], Column]], inside: Column, crossings: Column
+) -> DataFrame:
+    """(ring, carried columns) of points, one row per id, inside rings whose packets each hold all edges of their row; merged by block where they can be.
+
+    A crossing never falls or never rises along an edge, in rounded numbers too, so its values at both ends of a block's
+    extent bound those of all points in it: what is decided for a block is what its points would give one by one.
+    """
+    by, box = [x for x in carry if x not in merged], ["x0", "x9", "y0", "y9"]
+    place = ["_fx", "_fy"]
+    fine = {f: F.floor(F.col(v) / cell * CUTS) for f, v in zip(place, "xy")}
+    located = points.select(point_id, "x", "y", *carry).filter("x IS NOT NULL AND y IS NOT NULL").withColumns(fine)
+    # a crowded place is cut into parts of a bounded size
+    crowd = located.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
+    dealt = located.join(crowd.hint("merge"), place).withColumn("_part", F.pmod(F.xxhash64(point_id), F.col("_parts")))
+    low, high = ("_west", "_south"), ("_east", "_north")
+    first = [f(v).alias(x) for f, names in ((F.min, low), (F.max, high)) for v, x in zip("xy", names)]
+    groups = _merge(dealt, [*place, "_part", *by], merged, *first, F.collect_list(F.struct("x", "y", *merged)).alias("_points"))
+    extent = [f(x).alias(x) for f, names in ((F.min, low), (F.max, high)) for x in names]
+    blocks = groups.groupBy(*place, "_part").agg(*extent, F.collect_list(F.struct(*by, *merged, "_points")).alias("_groups"))
+    blocks = blocks.withColumns({k: F.floor(F.col(f) / CUTS).cast("int") for k, f in (("_cx", "_fx"), ("_cy", "_fy"))})
+
+    def divides(i: int) -> Column:
+        e, west, east, south, north = F.get("_edges", F.lit(i)), *map(F.col, ("_west", "_east", "_south", "_north"))
+        a, b = (e["dx"] * (y - e["y1"]) / e["dy"] + e["x1"] for y in (F.greatest(south, e["low"]), F.least(north, e["high"])))
+        all_left = (e["low"] <= south) & (north < e["high"]) & (east < a) & (east < b)
+        return F.when((e["low"] <= north) & (south < e["high"]), F.when((west >= a) & (west >= b), 0).when(all_left, 1).otherwise(DIVIDED)).otherwise(0)
+
+    near = (F.col("_west") <= F.col("x9")) & (F.col("_east") >= F.col("x0")) & (F.col("_south") <= F.col("y9")) & (F.col("_north") >= F.col("y0"))
+    held = (F.col("_west") >= F.col("x0")) & (F.col("_east") <= F.col("x9")) & (F.col("_south") >= F.col("y0")) & (F.col("_north") <= F.col("y9"))
+    n = sum((divides(i) for i in range(1, PACKET)), divides(0))
+    # the generator keeps the filter from being pushed into the join, where it would spell out the formula once more
+    met = blocks.hint("merge").join(packets, ["_cx", "_cy"]).filter(near).select(ring_id, *box, "_edges", "_groups", held.alias("_held"), F.explode(F.array(n)).alias("_n"))
+    met = met.filter((F.col("_n") >= DIVIDED) | (F.col("_n") % 2 == 1))
+    met = met.select(ring_id, *box, "_edges", (F.col("_held") & (F.col("_n") < DIVIDED)).alias("_whole"), F.explode("_groups").alias("_g"))
+    one = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), *[F.col("_g")[x].alias(x) for x in merged]))
+    each = F.explode(F.when(F.col("_whole"), one).otherwise(F.col("_g")["_points"])).alias("_p")
+    met = met.select(ring_id, *box, "_edges", "_whole", *[F.col("_g")[x].alias(x) for x in by], each).select(ring_id, *box, "_edges", "_whole", *by, "_p.*")
+    return met.filter(F.col("_whole") | (inside & (crossings % 2 == 1))).select(ring_id, *carry)
 
 
 def nearest_within(points: DataFrame, vertices: DataFrame, point_id: str, limit_m: float) -> DataFrame:

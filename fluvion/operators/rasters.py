@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Fixed values.
 SENTINEL, MAX_RAW = 65535, 65534
 BIN_M = 20.0
+# how parcels of one slot become one
+PARCEL = {"area": F.sum, "lo": F.min, "hi": F.max, "n": F.sum}
 
 
 def quantise(value: Column, scale: float, invalid: Sequence[float] = ()) -> Column:
@@ -60,19 +62,24 @@ def levels_present(catalog: DataFrame, by: Sequence[str], level: str) -> DataFra
     return catalog.groupBy(*by).agg(F.sort_array(F.collect_set(level)).alias("levels"))
 
 
+def binned(pixels: DataFrame, origin_m: float, top_m: float) -> DataFrame:
+    """Pixels (elevation, area) as parcels of one pixel: slot of the elevation, area, extremes and number."""
+    n_bins = int((top_m - origin_m) / BIN_M)
+    e = F.col("elevation")
+    k = F.floor((e - origin_m) / BIN_M).cast("int")
+    slot = F.when(e < origin_m, -1).when(k >= n_bins, n_bins).otherwise(k)
+    return pixels.withColumns({"slot": slot, "lo": e, "hi": e, "n": F.lit(1).cast("long")}).drop("elevation")
+
+
 def hypsometry(pixels: DataFrame, origin_m: float, top_m: float) -> DataFrame:
     """Area per elevation bin with the area below, above and the extremes.
 
-    ``pixels``: basin, elevation, area (one row per pixel and basin). Bins are few and fixed, so
+    ``pixels``: basin, elevation, area (one row per pixel and basin), or parcels of ``binned`` pixels with the same bins. Bins are few and fixed, so
     the per-basin map of bin → area is bounded.
     """
     n_bins = int((top_m - origin_m) / BIN_M)
-    e = F.col("elevation")
-    k = F.floor((e - origin_m) / BIN_M).cast("int")
-    slot = F.when(e < origin_m, -1).when(k >= n_bins, n_bins).otherwise(k)
-    per = pixels.withColumn("slot", slot).groupBy("basin", "slot").agg(
-        F.sum("area").alias("area"), F.min("elevation").alias("lo"), F.max("elevation").alias("hi"), F.count(F.lit(1)).alias("n")
-    )
+    parcels = pixels if "slot" in pixels.columns else binned(pixels, origin_m, top_m)
+    per = parcels.groupBy("basin", "slot").agg(*[f(c).alias(c) for c, f in PARCEL.items()])
     g = per.groupBy("basin").agg(
         F.map_from_entries(F.collect_list(F.struct("slot", "area"))).alias("m"), F.sum("area").alias("total"),
         F.min("lo").alias("min_m"), F.max("hi").alias("max_m"), F.sum("n").alias("n_pixels"),

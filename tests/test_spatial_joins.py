@@ -84,3 +84,40 @@ def test_pairs_that_are_decided_where_they_meet_are_not_counted_again(spark):
     found = joins.points_in_rings(p, rings, "pid", "ring_id", 4.0)
     direct = found._jdf.queryExecution().optimizedPlan().children().head().toString()
     assert found.count() > 0 and not re.search(r"Aggregate \[pid#\d+L?, ring_id#", direct)
+
+
+@pytest.mark.parametrize("cell", [0.7, 8.0])
+def test_merged_points_add_up_to_the_pairs(spark, monkeypatch, cell):
+    """Blocks wholly inside or outside, blocks an edge divides, crowded places, ids that repeat or are null."""
+    monkeypatch.setattr(joins, "BLOCK", 64)
+    r = random.Random(6)
+    rings = [(i, star(r, r.uniform(0, 60), r.uniform(0, 20), n)) for i, n in enumerate((3, 4, 4, 5, 9, 40))] + [(None, star(r, 30, 10, 6)), (9, [(20.0, 3.0), (40.0, 3.5), (41.0, 18.0), (19.0, 17.0)])]
+    places = [(r.uniform(-5, 65), r.uniform(-5, 25)) for _ in range(500)] + [(30.0, 10.0)] * 300 + [(30.0 + i / 1e4, 11.0) for i in range(300)] + [(20.0, 3.0), (41.0, 18.0), (None, 1.0), (2.0, None)]
+    points = [(i, x, y, i % 3 if i % 7 else None, float(i % 5)) for i, (x, y) in enumerate(places)]
+    points += points[:7] + [(None, 30.0, 10.0, 1, 2.0)] + [(8, 30.0, 10.0, 2, 77.0)]
+    p = spark.createDataFrame([(*x, x[4], x[4], 1) for x in points], "pid long, x double, y double, kind int, area double, lo double, hi double, n long")
+    rows = spark.createDataFrame(rings, RING)
+    merged = {"area": F.sum, "lo": F.min, "hi": F.max, "n": F.sum}
+    found = joins.points_in_rings(p, rows, "pid", "ring_id", cell, carry=("kind", *merged), merged=merged)
+    pairs = joins.points_in_rings(p, rows, "pid", "ring_id", cell, carry=("kind", *merged)).groupBy("ring_id", "kind").agg(*[f(c).alias(c) for c, f in merged.items()])
+    got, want = ({(x.ring_id, x.kind): (x.area, x.lo, x.hi, x.n) for x in df.collect()} for df in (found, pairs))
+    inside = {}
+    for i, x, y, kind, area in points:
+        if x is None or y is None:
+            continue
+        for k, ring in rings:
+            same = sum(crossings(*q[1:3], ring) for q in points if q[0] == i and q[1] is not None and q[2] is not None)
+            if k is not None and same % 2:
+                inside.setdefault((k, kind), []).append(area)
+    assert got == want == {k: (sum(v), min(v), max(v), len(v)) for k, v in inside.items()} and len(got) > 15
+
+
+def test_unpacked_points_are_never_broadcast(spark, tmp_path):
+    """Files of packed cells look far smaller than the points in them; a join planned by their size holds all points in the driver."""
+    spark.range(3).selectExpr("id", "transform(sequence(0, 63), i -> double(i)) as cells").write.parquet(f"{tmp_path}/packed")
+    p = spark.read.parquet(f"{tmp_path}/packed").select("id", F.posexplode("cells").alias("k", "x")).selectExpr("concat_ws(':', id, k) as pid", "x", "id + 0.5D as y", "x as area")
+    rings = spark.createDataFrame([(1, [(0.5, 0.0), (9.5, 0.0), (9.5, 2.0), (0.5, 2.0)])], RING)
+    for merged in (None, {"area": F.sum}):
+        df = joins.points_in_rings(p, rings, "pid", "ring_id", 2.0, carry=("area",), merged=merged)
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.agg(F.sum("area")).first()[0] == 90.0
