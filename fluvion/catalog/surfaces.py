@@ -208,8 +208,10 @@ BINDINGS["b_forcing"] = f"""SELECT b.basin, q.cycle, CASE WHEN q.p50_72h IS NULL
   FROM b_fbasin b LEFT JOIN (SELECT *, least(greatest(p50_72h, 0), 200) AS v FROM b_fq) q USING (basin) LEFT JOIN b_foff o ON o.basin = b.basin LEFT JOIN b_fhyp h ON h.basin = b.basin, LATERAL (SELECT coalesce(q.p50_72h IS NOT NULL AND o.total IS NOT NULL AND q.cycle = o.cycle, false) AS same)"""
 
 
-def forcing_inputs(t):
+def forcing_inputs(t, only=None):
+    """Basins with their times, rows and official windows; with ``only`` (basin) the runs of others are left out before anything is shuffled."""
     runs = t.forecast_runs()
+    runs = runs if only is None else runs.join(only.select(F.col("basin").alias("fp")), "fp", "left_semi")
     extra = F.when(F.col("fp") % 5 == 0, 60).otherwise(12)
     basins = runs.groupBy("fp").agg(F.max("issued_at").alias("last")).select(F.col("fp").alias("basin"), plus_hours(F.col("last"), extra).alias("as_of"))
     names = F.array(*[F.lit(x) for x in ("p50_72h", "p10_72h", "p90_72h", "p50_24h", "det_24h", "det_72h", "snow_p50")])
@@ -222,8 +224,10 @@ def forcing_inputs(t):
     return basins, rows, official
 
 
-def forcing_rows(t):
-    return forcing.assess(*forcing_inputs(t), rasters.hypsometry(pixels(t), 0.0, 300.0))
+def forcing_rows(t, only=None):
+    """One row per basin; with ``only`` (basin) just theirs, from their own runs and pixels."""
+    basins = None if only is None else only.select(F.col("basin").alias("ring_id"))
+    return forcing.assess(*forcing_inputs(t, only), rasters.hypsometry(pixels(t, basins=basins), 0.0, 300.0))
 
 
 @query(
@@ -381,9 +385,11 @@ DRIVER_SQL = f"""SELECT site AS basin, 0 AS s, 1 AS place, 'susceptibility' AS s
 def l2_drivers(t):
     """The numbers that lead each basin's surfaces, in one ranked list, each with the clock of the row it comes from."""
     basins = t.basins().select(F.col("basin").cast("long").alias("basin"))
-    s = susceptibility_rows(t, "0.1.0").filter("reason = 'ok'").withColumnRenamed("site", "basin").join(basins, "basin", "left_semi")
+    # a basin asks for the gauge of its own number
+    days = s_daily(t, basins.withColumnRenamed("basin", "site"))
+    s = susceptibility_rows(t, "0.1.0", days).filter("reason = 'ok'").withColumnRenamed("site", "basin").join(basins, "basin", "left_semi")
     s = s.withColumn("d", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(f).alias("feature"), F.col(c).cast("double").alias("value")) for i, f, c in ((1, "flow_percentile", "percentile"), (2, "daily_mean", "value"))])))
-    f = staged(forcing_rows(t).join(basins, "basin", "left_semi"), "basin-forcing")
+    f = staged(forcing_rows(t, basins), "basin-forcing")
     f = forcing.driver_rows(f).join(f.select("basin", F.col("cycle").alias("clock")), "basin").withColumnRenamed("number", "value")
     a = comparison.drivers(agreement_rows(t).join(basins.withColumnRenamed("basin", "point"), "point", "left_semi").withColumns({"o_crest": F.col("o_crest") + 1e-9, "m_crest": F.col("m_crest") + 1e-9}))
     a = a.withColumnRenamed("point", "basin").withColumn("clock", F.lit(None).cast("timestamp"))

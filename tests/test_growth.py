@@ -99,3 +99,18 @@ def test_language_holds_few_vectors():
     found, n = np.unique(language.grams(texts[0]), return_counts=True)
     bundle = sum(n[i : i + 500].astype(float) @ language.gram_vectors(found[i : i + 500]) for i in range(0, len(found), 500))
     assert abs(out.column(2)[0].as_py() - max(0.0, *(bundle[:2] / np.linalg.norm(bundle)))) < 1e-9
+
+
+def test_basins_that_are_not_asked_for_bring_no_pixels_or_runs(spark, tmp_path):
+    from fluvion.catalog import grids, surfaces
+
+    at = str(tmp_path)
+    spark.range(40).selectExpr("id as s_suppkey", "cast(id % 25 as int) as s_nationkey", "100.0D as s_acctbal").write.parquet(f"{at}/supplier.parquet")
+    spark.range(70).selectExpr("id as vec_id", "id as label", "transform(sequence(0, 63), i -> float(i % 9) / 30) as embedding").write.parquet(f"{at}/embeddings.parquet")
+    spark.range(160).selectExpr("id as o_orderkey", "id % 40 as o_custkey", "'1-URGENT' as o_orderpriority", "timestamp'2001-01-01' + make_dt_interval(cast(id % 3 as int)) as o_orderdate").write.parquet(f"{at}/orders.parquet")
+    spark.range(1120).selectExpr("id div 7 as l_orderkey", "cast(id % 7 + 1 as int) as l_linenumber", "id as l_partkey", "id as l_suppkey", "1.0D as l_extendedprice", "cast(id % 50 as double) as l_quantity").write.parquet(f"{at}/lineitem.parquet")
+    t, asked = bindings.Tables(spark, at), spark.createDataFrame([(3,), (7,), (31,), (99,)], "basin long")
+    assert {x.basin for x in grids.pixels(t, basins=asked.withColumnRenamed("basin", "ring_id")).collect()} == {3, 7, 31}
+    assert {x.basin for x in surfaces.forcing_inputs(t, asked)[1].collect()} == {3, 7, 31}
+    some, all_ = (sorted(map(tuple, df.collect())) for df in (surfaces.forcing_rows(t, asked), surfaces.forcing_rows(t).join(asked, "basin", "left_semi")))
+    assert some == all_ and len(some) == 3 and all(x[8] is not None for x in some)
