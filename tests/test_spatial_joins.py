@@ -121,3 +121,24 @@ def test_unpacked_points_are_never_broadcast(spark, tmp_path):
         df = joins.points_in_rings(p, rings, "pid", "ring_id", 2.0, carry=("area",), merged=merged)
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
         assert df.agg(F.sum("area")).first()[0] == 90.0
+
+
+def test_points_meet_rings_as_blocks(spark):
+    """Pairs of a crowded place and a ring around it are not made one by one."""
+    p = spark.range(2000).selectExpr("id as pid", "5 + id % 10 / 1000D as x", "5D as y", "1L as n")
+    rings = spark.createDataFrame([(i, [(0.5, 0.5), (9.5, 0.5), (9.5, 9.5 + i), (0.5, 9.5)]) for i in range(8)], RING)
+    df = joins.points_in_rings(p, rings, "pid", "ring_id", 2.0, carry=("n",), merged={"n": F.sum})
+    assert {x.ring_id: x.n for x in df.collect()} == {i: 2000 for i in range(8)}
+    # Generate and join nodes of the plan that ran: none gave out a row per pair
+    def nodes(plan):
+        yield plan
+        kids = plan.children()
+        more = [kids.apply(i) for i in range(kids.size())]
+        name = plan.nodeName()
+        more += [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else []
+        for x in more:
+            yield from nodes(x)
+
+    df.collect()
+    out = [x.metrics().apply("numOutputRows").value() for x in nodes(df._jdf.queryExecution().executedPlan()) if x.nodeName() in ("Generate", "SortMergeJoin", "BroadcastHashJoin") and x.metrics().contains("numOutputRows")]
+    assert out and max(out) <= 2000
