@@ -142,3 +142,16 @@ def test_points_meet_rings_as_blocks(spark):
     df.collect()
     out = [x.metrics().apply("numOutputRows").value() for x in nodes(df._jdf.queryExecution().executedPlan()) if x.nodeName() in ("Generate", "SortMergeJoin", "BroadcastHashJoin") and x.metrics().contains("numOutputRows")]
     assert out and max(out) <= 2000
+
+
+def test_hypsometry_of_parcels_is_that_of_their_pixels(spark):
+    from fluvion.operators import rasters
+
+    r = random.Random(8)
+    pixels = spark.createDataFrame([(i % 4, r.uniform(-60, 400), r.randrange(1, 9) / 4) for i in range(600)] + [(9, 300.0, 1.0), (9, 0.0, 1.0)], "basin long, elevation double, area double")
+    parcels = rasters.binned(pixels, 0.0, 300.0)
+    once = parcels.groupBy("basin", "slot").agg(*[f(c).alias(c) for c, f in rasters.PARCEL.items()])
+    want = sorted(map(tuple, rasters.hypsometry(pixels, 0.0, 300.0).collect()))
+    assert len(want) == 5 and want[4][1:4] == ([1.0] + [0.0] * 14, 0.0, 1.0) and want[4][4:8] == (2.0, 0.0, 300.0, 2)
+    for rows in (parcels, once):
+        assert sorted(map(tuple, rasters.hypsometry(rows, 0.0, 300.0).collect())) == want
