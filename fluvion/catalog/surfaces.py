@@ -467,7 +467,7 @@ def l14b(t):
 )
 def l14(t):
     pts = event_points(t)
-    inside = joins.points_in_rings(pts, rings(t), "pid", "ring_id", cell=2.0).groupBy("pid").agg(F.bool_or(F.col("ring_id") % 5 == 0).alias("floodway"))
+    inside = joins.points_in_rings(pts, rings(t), "pid", "ring_id", cell=2.0, flag=F.col("ring_id") % 5 == 0).withColumnRenamed("flag", "floodway")
     cams = t.events().select(F.col("event_id").alias("pid"), F.col("event_type").alias("title"), (F.col("event_id") % 50 == 0).alias("at_gauge"))
     stem = joins.nearest_segment(camera_places(t), stems(t), "pid", cameras.STEM_REPORT_M).select("pid", F.col("d_m").alias("stem_m"))
     return cameras.evidence(cams.join(stem, "pid").join(inside, "pid", "left"), words=("click",)).select("pid", "reasons", "tier", "evidenced")

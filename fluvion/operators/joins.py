@@ -113,7 +113,7 @@ def lookup(df: DataFrame, dim: DataFrame, on: str | Sequence[str]) -> DataFrame:
 
 
 def points_in_rings(
-    points: DataFrame, rings: DataFrame, point_id: str, ring_id: str, cell: float, carry: Sequence[str] = (), merged: Mapping[str, Callable[[str], Column]] | None = None
+    points: DataFrame, rings: DataFrame, point_id: str, ring_id: str, cell: float, carry: Sequence[str] = (), merged: Mapping[str, Callable[[str], Column]] | None = None, flag: Column | None = None
 ) -> DataFrame:
     """(point, ring) pairs with the point inside, by even-odd crossing over all rings of one id (holes included).
 
@@ -126,6 +126,9 @@ def points_in_rings(
     the result has a row per ring and value of the other carried columns. Points then meet a packet as blocks, each with its extent
     and with the aggregates of its points: a block that no edge divides is inside or outside as a whole, and the points of the others are tested one by one.
 
+    ``flag``, a condition on the ring's id, asks for one row per point in any ring instead: (point, flag), true if the condition holds for one
+    of them. A point in a block that lies whole in such a ring meets no other, and one in a block whole in any ring meets only such rings.
+
     Tables of points may be far larger than their files tell (cells are unpacked from arrays), so joins with them are by merge, not broadcast.
     """
     c = lambda v: F.floor(v / cell).cast("int")
@@ -165,9 +168,12 @@ def points_in_rings(
     again = points.select(point_id, "x", "y").join(repeated.hint("merge"), F.col(point_id).eqNullSafe(F.col("_id")), "left_semi")
     out = [ring_id, *carry] if merged else [point_id, ring_id, *carry]
     whole = placed.filter("_alone")
-    direct = _merged_blocks(once, whole, point_id, ring_id, cell, carry, merged, inside, crossings) if merged else met(once, whole).filter("_n % 2 = 1").select(*out)
     parts = met(once.select(point_id, "x", "y"), placed.filter("not _alone")).unionByName(met(again, placed))
     counted = parts.groupBy(point_id, ring_id).agg(F.sum("_n").alias("_n")).filter("_n % 2 = 1").select(point_id, ring_id)
+    if flag is not None:
+        told = _flagged_blocks(once, whole, point_id, cell, flag, inside, crossings).unionByName(counted.select(point_id, flag.alias("flag")))
+        return told.groupBy(point_id).agg(F.max("flag").alias("flag"))
+    direct = _merged_blocks(once, whole, point_id, ring_id, cell, carry, merged, inside, crossings) if merged else met(once, whole).filter("_n % 2 = 1").select(*out)
     if carry:
         beside = points.select(F.col(point_id).alias("_id"), *carry)
         counted = counted.join(beside.hint("merge"), F.col(point_id).eqNullSafe(F.col("_id")))
@@ -179,27 +185,25 @@ def _merge(rows: DataFrame, keys: Sequence[str], merged: Mapping[str, Callable[[
     return rows.groupBy(*keys).agg(*[f(x).alias(x) for x, f in merged.items()], *more)
 
 
-def _merged_blocks(
-    points: DataFrame, packets: DataFrame, point_id: str, ring_id: str, cell: float, carry: Sequence[str], merged: Mapping[str, Callable[[str], Column]], inside: Column, crossings: Column
-) -> DataFrame:
-    """(ring, carried columns) of points, one row per id, inside rings whose packets each hold all edges of their row; merged by block where they can be.
+def _located(points: DataFrame, cell: float) -> DataFrame:
+    """Points with a place and the cut of a grid cell they lie in."""
+    return points.filter("x IS NOT NULL AND y IS NOT NULL").withColumns({f: F.floor(F.col(v) / cell * CUTS) for f, v in (("_fx", "x"), ("_fy", "y"))})
+
+
+def _coarse() -> dict[str, Column]:
+    return {k: F.floor(F.col(f) / CUTS).cast("int") for k, f in (("_cx", "_fx"), ("_cy", "_fy"))}
+
+
+def _extent() -> list[Column]:
+    return [f(v).alias(x) for f, names in ((F.min, ("_west", "_south")), (F.max, ("_east", "_north"))) for v, x in zip("xy", names)]
+
+
+def _extents() -> tuple[Column, Column, Column]:
+    """Of a block beside a packet: if it touches the ring's box, if it lies in it, and how often its points cross, ``DIVIDED`` or more where they differ.
 
     A crossing never falls or never rises along an edge, in rounded numbers too, so its values at both ends of a block's
     extent bound those of all points in it: what is decided for a block is what its points would give one by one.
     """
-    by, box = [x for x in carry if x not in merged], ["x0", "x9", "y0", "y9"]
-    place = ["_fx", "_fy"]
-    fine = {f: F.floor(F.col(v) / cell * CUTS) for f, v in zip(place, "xy")}
-    located = points.select(point_id, "x", "y", *carry).filter("x IS NOT NULL AND y IS NOT NULL").withColumns(fine)
-    # a crowded place is cut into parts of a bounded size
-    crowd = located.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
-    dealt = located.join(crowd.hint("merge"), place).withColumn("_part", F.pmod(F.xxhash64(point_id), F.col("_parts")))
-    low, high = ("_west", "_south"), ("_east", "_north")
-    first = [f(v).alias(x) for f, names in ((F.min, low), (F.max, high)) for v, x in zip("xy", names)]
-    groups = _merge(dealt, [*place, "_part", *by], merged, *first, F.collect_list(F.struct("x", "y", *merged)).alias("_points"))
-    extent = [f(x).alias(x) for f, names in ((F.min, low), (F.max, high)) for x in names]
-    blocks = groups.groupBy(*place, "_part").agg(*extent, F.collect_list(F.struct(*by, *merged, "_points")).alias("_groups"))
-    blocks = blocks.withColumns({k: F.floor(F.col(f) / CUTS).cast("int") for k, f in (("_cx", "_fx"), ("_cy", "_fy"))})
 
     def divides(i: int) -> Column:
         e, west, east, south, north = F.get("_edges", F.lit(i)), *map(F.col, ("_west", "_east", "_south", "_north"))
@@ -209,7 +213,40 @@ def _merged_blocks(
 
     near = (F.col("_west") <= F.col("x9")) & (F.col("_east") >= F.col("x0")) & (F.col("_south") <= F.col("y9")) & (F.col("_north") >= F.col("y0"))
     held = (F.col("_west") >= F.col("x0")) & (F.col("_east") <= F.col("x9")) & (F.col("_south") >= F.col("y0")) & (F.col("_north") <= F.col("y9"))
-    n = sum((divides(i) for i in range(1, PACKET)), divides(0))
+    return near, held, sum((divides(i) for i in range(1, PACKET)), divides(0))
+
+
+def _flagged_blocks(points: DataFrame, packets: DataFrame, point_id: str, cell: float, flag: Column, inside: Column, crossings: Column) -> DataFrame:
+    """(point, flag) of points, one row per id, in rings whose packets each hold all edges of their row; a point may come several times."""
+    place = ["_fx", "_fy"]
+    located = _located(points.select(point_id, "x", "y"), cell)
+    blocks = located.groupBy(*place).agg(*_extent()).withColumns(_coarse())
+    _, held, n = _extents()
+    # generators keep filters from being pushed into the join, and from making two plans of what both kinds of points share
+    met = blocks.hint("merge").join(packets, ["_cx", "_cy"]).filter(held).select(*place, flag.alias("_flag"), F.explode(F.array(n)).alias("_n"))
+    sure = met.filter((F.col("_n") < DIVIDED) & (F.col("_n") % 2 == 1)).groupBy(*place).agg(F.max("_flag").alias("_sure"))
+    known = located.join(sure.hint("merge"), place, "left").select(point_id, "x", "y", *place, F.explode(F.array("_sure")).alias("_sure"))
+    asking = known.filter("_sure IS NULL OR NOT _sure").withColumns(_coarse()).drop(*place)
+    tested = asking.hint("merge").join(packets, ["_cx", "_cy"]).filter(inside & (F.col("_sure").isNull() | flag)).withColumn("_n", crossings)
+    return known.filter("_sure IS NOT NULL").select(point_id, F.col("_sure").alias("flag")).unionByName(tested.filter("_n % 2 = 1").select(point_id, flag.alias("flag")))
+
+
+def _merged_blocks(
+    points: DataFrame, packets: DataFrame, point_id: str, ring_id: str, cell: float, carry: Sequence[str], merged: Mapping[str, Callable[[str], Column]], inside: Column, crossings: Column
+) -> DataFrame:
+    """(ring, carried columns) of points, one row per id, inside rings whose packets each hold all edges of their row; merged by block where they can be."""
+    by, box = [x for x in carry if x not in merged], ["x0", "x9", "y0", "y9"]
+    place = ["_fx", "_fy"]
+    located = _located(points.select(point_id, "x", "y", *carry), cell)
+    # a crowded place is cut into parts of a bounded size
+    crowd = located.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
+    dealt = located.join(crowd.hint("merge"), place).withColumn("_part", F.pmod(F.xxhash64(point_id), F.col("_parts")))
+    low, high = ("_west", "_south"), ("_east", "_north")
+    groups = _merge(dealt, [*place, "_part", *by], merged, *_extent(), F.collect_list(F.struct("x", "y", *merged)).alias("_points"))
+    extent = [f(x).alias(x) for f, names in ((F.min, low), (F.max, high)) for x in names]
+    blocks = groups.groupBy(*place, "_part").agg(*extent, F.collect_list(F.struct(*by, *merged, "_points")).alias("_groups"))
+    blocks = blocks.withColumns(_coarse())
+    near, held, n = _extents()
     # the generator keeps the filter from being pushed into the join, where it would spell out the formula once more
     met = blocks.hint("merge").join(packets, ["_cx", "_cy"]).filter(near).select(ring_id, *box, "_edges", "_groups", held.alias("_held"), F.explode(F.array(n)).alias("_n"))
     met = met.filter((F.col("_n") >= DIVIDED) | (F.col("_n") % 2 == 1))

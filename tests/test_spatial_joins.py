@@ -123,25 +123,29 @@ def test_unpacked_points_are_never_broadcast(spark, tmp_path):
         assert df.agg(F.sum("area")).first()[0] == 90.0
 
 
-def test_points_meet_rings_as_blocks(spark):
-    """Pairs of a crowded place and a ring around it are not made one by one."""
-    p = spark.range(2000).selectExpr("id as pid", "5 + id % 10 / 1000D as x", "5D as y", "1L as n")
-    rings = spark.createDataFrame([(i, [(0.5, 0.5), (9.5, 0.5), (9.5, 9.5 + i), (0.5, 9.5)]) for i in range(8)], RING)
-    df = joins.points_in_rings(p, rings, "pid", "ring_id", 2.0, carry=("n",), merged={"n": F.sum})
-    assert {x.ring_id: x.n for x in df.collect()} == {i: 2000 for i in range(8)}
-    # Generate and join nodes of the plan that ran: none gave out a row per pair
+def rows_given_out(df):
+    """By generators and joins of the plan that ran."""
+
     def nodes(plan):
         yield plan
-        kids = plan.children()
+        kids, name = plan.children(), plan.nodeName()
         more = [kids.apply(i) for i in range(kids.size())]
-        name = plan.nodeName()
         more += [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else []
         for x in more:
             yield from nodes(x)
 
     df.collect()
-    out = [x.metrics().apply("numOutputRows").value() for x in nodes(df._jdf.queryExecution().executedPlan()) if x.nodeName() in ("Generate", "SortMergeJoin", "BroadcastHashJoin") and x.metrics().contains("numOutputRows")]
-    assert out and max(out) <= 2000
+    of = ("Generate", "SortMergeJoin", "BroadcastHashJoin")
+    return [x.metrics().apply("numOutputRows").value() for x in nodes(df._jdf.queryExecution().executedPlan()) if x.nodeName() in of and x.metrics().contains("numOutputRows")]
+
+
+def test_points_meet_rings_as_blocks(spark):
+    """Pairs of a crowded place and a ring around it are not made one by one."""
+    p = spark.range(2000).selectExpr("id as pid", "5 + id % 10 / 1000D as x", "5D as y", "1L as n")
+    rings = spark.createDataFrame([(i, [(0.5, 0.5), (9.5, 0.5), (9.5, 9.5 + i), (0.5, 9.5)]) for i in range(8)], RING)
+    df = joins.points_in_rings(p, rings, "pid", "ring_id", 2.0, carry=("n",), merged={"n": F.sum})
+    assert {x.ring_id: x.n for x in df.collect()} == {i: 2000 for i in range(8)}
+    assert max(rows_given_out(df)) <= 2000
 
 
 def test_hypsometry_of_parcels_is_that_of_their_pixels(spark):
@@ -155,3 +159,27 @@ def test_hypsometry_of_parcels_is_that_of_their_pixels(spark):
     assert len(want) == 5 and want[4][1:4] == ([1.0] + [0.0] * 14, 0.0, 1.0) and want[4][4:8] == (2.0, 0.0, 300.0, 2)
     for rows in (parcels, once):
         assert sorted(map(tuple, rasters.hypsometry(rows, 0.0, 300.0).collect())) == want
+
+
+@pytest.mark.parametrize("cell", [0.7, 8.0])
+def test_flags_are_those_of_the_pairs(spark, cell):
+    """Blocks whole in a ring that has the flag, whole in one that has not, divided, and ids that repeat or are null."""
+    r = random.Random(9)
+    rings = [(i, star(r, r.uniform(0, 60), r.uniform(0, 20), n)) for i, n in enumerate((3, 4, 4, 5, 9, 40))] + [(None, star(r, 30, 10, 6)), (10, [(20.0, 3.0), (40.0, 3.5), (41.0, 18.0), (19.0, 17.0)]), (11, [(30.0, 3.0), (60.0, 3.5), (61.0, 18.0), (29.0, 17.0)])]
+    places = [(r.uniform(-5, 65), r.uniform(-5, 25)) for _ in range(600)] + [(30.0, 10.0)] * 50 + [(20.0, 3.0), (41.0, 18.0), (None, 1.0), (2.0, None)]
+    points = [(i, x, y) for i, (x, y) in enumerate(places)]
+    points += points[:7] + [(None, 30.0, 10.0), (8, 30.0, 10.0)]
+    p, rows = spark.createDataFrame(points, "pid long, x double, y double"), spark.createDataFrame(rings, RING)
+    found = joins.points_in_rings(p, rows, "pid", "ring_id", cell, flag=F.col("ring_id") % 5 == 0).collect()
+    want = joins.points_in_rings(p, rows, "pid", "ring_id", cell).groupBy("pid").agg(F.bool_or(F.col("ring_id") % 5 == 0).alias("flag")).collect()
+    assert len(found) == len({x.pid for x in found}) and {x.pid: x.flag for x in found} == {x.pid: x.flag for x in want}
+    assert {x.flag for x in found} == {True, False} and len(found) > 100
+
+
+def test_points_of_covered_blocks_meet_no_more_rings(spark):
+    """Where a flagged ring covers a block, its points are not paired with the rings around."""
+    p = spark.range(2000).selectExpr("id as pid", "5 + id % 10 / 1000D as x", "5D as y")
+    rings = spark.createDataFrame([(i, [(0.5, 0.5), (9.5, 0.5), (9.5, 9.5 + i), (0.5, 9.5)]) for i in range(8)], RING)
+    df = joins.points_in_rings(p, rings, "pid", "ring_id", 2.0, flag=F.col("ring_id") % 5 == 0)
+    assert [x.flag for x in df.collect()] == [True] * 2000
+    assert max(rows_given_out(df)) <= 2000
